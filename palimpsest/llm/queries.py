@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import decontamination as _decontamination
+from palimpsest.llm import language as _language
 from palimpsest.llm import simhash as _simhash
+from palimpsest.llm.common import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,40 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_simhash": op5_simhash}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    told = _language.predict(docs, _language.fit(docs.where("not held_out")))
+    return told.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op5_simhash": op5_simhash,
+    "op8_language": op8_language,
+}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"list_filter(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D!-/:-@\[-`{{-~]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op1_decontamination"] = f"""
+WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+item_shingles AS (
+  SELECT DISTINCT item_id, len(s) AS k, array_to_string(s, ' ') AS shingle FROM (
+    SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 5, 0) + 2), lambda i: list_slice(w, i, i + 4))) AS s FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+ks AS (SELECT DISTINCT k FROM item_shingles),
+doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(s, ' ') AS shingle FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS s FROM doc_words, ks WHERE len(w) >= k)),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared >= ceil(0.8 * n_shingles - 1e-9)
+"""
