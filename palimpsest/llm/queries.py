@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import decontamination as _decontamination
 from palimpsest.llm import language as _language
 from palimpsest.llm import simhash as _simhash
+from palimpsest.llm import warc as _warc
 from palimpsest.llm.common import crc_mod
 
 
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _warc.deduplicate(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_page").alias("refers_to"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -35,6 +41,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op5_simhash": op5_simhash,
     "op8_language": op8_language,
 }
@@ -59,3 +66,14 @@ shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN i
 SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
 FROM shared JOIN sizes USING (item_id) WHERE n_shared >= ceil(0.8 * n_shingles - 1e-9)
 """
+
+_HEX5 = "list_transform(range(0, 8), lambda i: ('0x' || substr(h, 1 + 5 * i, 5))::BIGINT)"
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_QUAD = " || ".join(f"substr('{_B32}', 1 + ((v >> {s}) & 31)::BIGINT, 1)" for s in (15, 10, 5, 0))
+ORACLE_SQL["op2_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS original FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform({_HEX5}, lambda v: {_QUAD}), '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+FROM d
+"""
