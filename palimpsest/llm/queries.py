@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import bpe as _bpe
 from palimpsest.llm import decontamination as _decontamination
 from palimpsest.llm import language as _language
 from palimpsest.llm import simhash as _simhash
@@ -39,11 +40,26 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    coded = _bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return _bpe.decode(coded, path).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op5_simhash": op5_simhash,
     "op8_language": op8_language,
+    "op9_bpe": op9_bpe,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
