@@ -134,6 +134,11 @@ def byte_units(text: F.Column) -> F.Column:
     return F.split(F.coalesce(text, F.lit("")), _SPLIT)
 
 
+def space_units(texts: pa.Array) -> pa.ListArray:
+    """The units of texts for tokenizers that drop white space; null is empty."""
+    return pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+
+
 def read_spec(path: str) -> str:
     """A tokenizer's JSON from the given path, read once on the driver."""
     with open(path, encoding="utf-8") as f:

@@ -40,16 +40,23 @@ def setting(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, name: str, to: str | None = None) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder; shuffle files of the write go when it ends."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = to or scratch(spark, name)
     with setting(spark, **{_CLEANUP.replace(".", "__"): "true"}):
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(path)
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z in lower case; null counts as empty."""
     return text.encode("utf-8", "surrogatepass").lower() if text else b""

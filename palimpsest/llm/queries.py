@@ -11,6 +11,7 @@ from palimpsest.llm import bpe as _bpe
 from palimpsest.llm import decontamination as _decontamination
 from palimpsest.llm import language as _language
 from palimpsest.llm import simhash as _simhash
+from palimpsest.llm import tokenstore as _tokenstore
 from palimpsest.llm import warc as _warc
 from palimpsest.llm.common import crc_mod
 
@@ -46,6 +47,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokenstore.store_and_read(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     coded = _bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op5_simhash": op5_simhash,
+    "op7_tokens": op7_tokens,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
 }
