@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import bpe as _bpe
 from palimpsest.llm import decontamination as _decontamination
 from palimpsest.llm import language as _language
+from palimpsest.llm import ngram as _ngram
 from palimpsest.llm import simhash as _simhash
 from palimpsest.llm import tokenstore as _tokenstore
 from palimpsest.llm import warc as _warc
@@ -59,6 +60,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 5) == 1).alias("held_out"))
+    model = _ngram.fit(docs.where("not held_out").select("text"))
+    scored = _ngram.score(docs, model)
+    return scored.select(
+        F.col("id").alias("doc_id"), (crc_mod("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -66,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_tokens": op7_tokens,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
+    "op10_ngram": op10_ngram,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
