@@ -7,64 +7,101 @@ commonest n-grams over all languages together, so what reaches driver and execut
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS = 2_000, 60_000, 40_000
+from palimpsest.llm.bpe import slices
+
+MAX_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 2_000, 60_000, 40_000, 1_000
 LONGEST = 5
-_LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+
+
+def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words, each between ^ and $, and where each begins and ends."""
+    marked = [f"^{w}$" for w in words]
+    ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))
+    return np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate(([0], ends))
+
+
+def _gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n code points from each place."""
+    h = np.zeros(max(0, len(points) - n + 1), np.uint64)
+    for k in range(n):
+        h = (h + points[k : len(points) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
 
 
 class Model:
-    """Log frequencies by language, and the scores they give."""
+    """Log frequencies by language of words and n-grams, and the scores they give."""
 
     def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.prior, self.words, self.grams = langs, prior, words, grams
-        self.cache: dict[str, np.ndarray | None] = {}
-
-    def word(self, w: str) -> np.ndarray | None:
-        """The word's log frequency in each language, or the mean of its longest n-grams that are known."""
-        known = self.words.get(w)
-        if known is not None:
-            return known
-        marked = f"^{w}$"
-        for n in range(min(LONGEST, len(marked)), 0, -1):
-            found = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return None
-
-    def token(self, raw: str) -> np.ndarray | None:
-        """The sum over the words of one token between white space."""
-        found = [s for w in _LETTERS.findall(raw.lower()) if (s := self.word(w)) is not None]
-        return np.sum(found, axis=0) if found else None
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTERS.search(text) or not self.langs:
-            return "und", 0.0
-        total, cache = self.prior.copy(), self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
-        counts, rows = [], []
-        for raw, n in Counter(text.split()).items():
-            try:
-                row = cache[raw]
-            except KeyError:
-                row = cache[raw] = self.token(raw)
-            if row is not None:
-                rows.append(row)
-                counts.append(n)
-        if rows:
-            total += np.array(counts, np.float64) @ np.array(rows, np.float64)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        self.langs, self.prior = langs, prior
+        self.words, self.word_logs = list(words), np.array([*words.values(), np.zeros(len(langs))], np.float64)
+        self.grams = {}
+        for n in range(1, LONGEST + 1):
+            own = [g for g in grams if len(g) == n]
+            if own:
+                h = np.concatenate([_gram_hashes(np.frombuffer(g.encode("utf-32-le"), np.uint32), n) for g in own])
+                order = np.argsort(h)
+                self.grams[n] = h[order], np.array([grams[g] for g in own], np.float64)[order]
+
+    def word_scores(self, words: pa.Array) -> np.ndarray:
+        """A row per word: its log frequency in each language, or the mean of its longest n-grams that are known, or zeros."""
+        at = pc.index_in(words, value_set=pa.array(self.words, pa.string()))
+        known = pc.fill_null(at, len(self.words)).to_numpy(zero_copy_only=False)
+        out = self.word_logs[known]
+        left = np.nonzero(known == len(self.words))[0]
+        for n in range(LONGEST, 0, -1):
+            if not len(left) or n not in self.grams:
+                continue
+            points, bounds = _code_points(words.take(pa.array(left)).to_pylist())
+            places = np.repeat(np.arange(len(left)), np.diff(bounds))
+            h = _gram_hashes(points, n)
+            inside = np.arange(len(h)) + n <= bounds[1:][places[: len(h)]]
+            h, places = h[inside], places[: len(h)][inside]
+            keys, logs = self.grams[n]
+            found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[found] == h
+            places, found = places[hit], found[hit]
+            hits = np.bincount(places, minlength=len(left))
+            some = hits > 0
+            for k in range(len(self.langs)):
+                out[left[some], k] = np.bincount(places, logs[found, k], len(left))[some] / hits[some]
+            left = left[~some]
+        return out
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        letters = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), r"[^\p{L}]+", " ")
+        parts = pc.ascii_split_whitespace(letters)
+        part_offsets = parts.offsets.to_numpy()
+        words = parts.values.dictionary_encode()
+        which = words.indices.to_numpy(zero_copy_only=False)
+        scores = self.word_scores(words.dictionary) if self.langs else np.zeros((len(words.dictionary), 0))
+        real = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)
+        token = np.repeat(np.arange(len(coded.dictionary)), np.diff(part_offsets))
+        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        lettered = np.bincount(doc, (np.bincount(token, real[which], len(coded.dictionary)) > 0)[index], len(texts)) > 0
+        total = np.tile(self.prior, (len(texts), 1))
+        for k in range(len(self.langs)):
+            of_token = np.bincount(token, (scores[:, k] * real)[which], len(coded.dictionary))
+            total[:, k] += np.bincount(doc, of_token[index], len(texts))
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        best = total.argmax(axis=1)
+        share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, share, 0.0)
 
 
 def _log_table(rows: list, at: dict[str, int], sums: np.ndarray) -> dict[str, np.ndarray]:
@@ -72,15 +109,17 @@ def _log_table(rows: list, at: dict[str, int], sums: np.ndarray) -> dict[str, np
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         counts.setdefault(r["k"], np.zeros(len(at)))[at[r["lang"]]] += r["n"]
-    return {k: np.log((c + 0.5) / (sums + 0.5 * max(1, len(counts)))).astype(np.float32) for k, c in counts.items()}
+    return {k: np.log((c + 0.5) / (sums + 0.5 * max(1, len(counts)))) for k, c in counts.items()}
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """A model from the rows whose language is not null."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
+    if totals.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(totals, "lang").where(draw < F.lit(float(max_docs)) / F.col("total"))
+    sample = rows.join(F.broadcast(totals), "lang").where(draw < F.lit(float(max_docs)) / F.col("total"))
     word = F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")).alias("k")
     counts = sample.select("lang", word).where("k != ''").groupBy("lang", "k").agg(F.count("*").alias("n")).persist()
     try:
@@ -115,9 +154,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred:string,lang_score:double>")
-    def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+    rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    at = rest.index(text_col)
+    out = T.StructType([*[docs.schema[c] for c in rest], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, at):
+                lang, score = shared.value.predict(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "lang_score"])
 
-    return docs.withColumn("_told", tell(F.col(text_col))).withColumn("lang_pred", F.col("_told.lang_pred")).withColumn("lang_score", F.col("_told.lang_score")).drop("_told")
+    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, out)
