@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORDS, CACHE, SLICE_BYTES = 200_000, 250_000, 8 << 20
+from palimpsest.llm.common import written
+
+WORDS, CACHE, SLICE_BYTES = 200_000, 150_000, 8 << 20
 _JOINED = 20_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SPLIT = r"(?= [!-;=-~\p{L}])"
+_MARK = "\U0010fffe"  # never a character of a text; texts that hold it all the same are split one by one
+_SPLIT = r" ([!-;=-~\p{L}])"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -114,14 +117,8 @@ class Units:
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose strings, or lists of strings, take about ``most`` bytes at most."""
-    x = batch.column(column)
-    offsets = x.offsets.to_numpy() if pa.types.is_list(x.type) else None
-    if offsets is not None:
-        inner = np.frombuffer(x.values.buffers()[1], np.int32)[x.values.offset :][: len(x.values) + 1] if len(x.values) else np.zeros(1, np.int32)
-        sizes = np.diff(inner[offsets])
-    else:
-        sizes = pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False)
+    """The batch in runs of rows whose strings take about ``most`` bytes at most."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(sizes.astype(np.int64)) // most
     bounds = [0, *(np.nonzero(np.diff(run))[0] + 1).tolist(), batch.num_rows]
     for a, b in zip(bounds, bounds[1:]):
@@ -129,9 +126,16 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
             yield batch.slice(a, b - a)
 
 
-def byte_units(text: F.Column) -> F.Column:
-    """The units of a text for byte-level tokenizers; null is empty."""
-    return F.split(F.coalesce(text, F.lit("")), _SPLIT)
+def byte_units(texts: pa.Array) -> pa.ListArray:
+    """The units of texts for byte-level tokenizers; null is empty."""
+    texts = pc.fill_null(texts, "")
+    marked = pc.match_substring(texts, _MARK)
+    if pc.any(marked).as_py():
+        import regex
+
+        cut = regex.compile(f"(?={_SPLIT.replace('(', '').replace(')', '')})")
+        return pa.array([cut.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.split_pattern(pc.replace_substring_regex(texts, _SPLIT, _MARK + r" \1"), _MARK)
 
 
 def space_units(texts: pa.Array) -> pa.ListArray:
@@ -150,8 +154,8 @@ def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, 0, 4 * SLICE_BYTES):
-                got = pc.list_flatten(part.column(0)).value_counts()
+            for part in slices(whole, 0, 2 * SLICE_BYTES):
+                got = pc.list_flatten(byte_units(part.column(0))).value_counts()
                 yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], names=["word", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +163,8 @@ def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.encode(batch.column(0)), pa.binary())], names=["word", "ids"])
 
-    counted = docs.select(byte_units(F.col(text_col)).alias("u")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word")
+    counted = docs.select(text_col).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = written(counted, "words").where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word")
     return {r["word"]: bytes(r["ids"]) for r in top.mapInArrow(encode, "word string, ids binary").collect()}
 
 
@@ -182,11 +186,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         coder = Units(spec_b.value, known.value)
         for whole in batches:
             for part in slices(whole, len(rest)):
-                ids, ends = coder.documents(part.column(len(rest)))
+                ids, ends = coder.documents(byte_units(part.column(len(rest))))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], lists], names=[*rest, ids_col])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], byte_units(F.col(text_col)).alias("_units")).mapInArrow(run, out)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text")).mapInArrow(run, out)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
