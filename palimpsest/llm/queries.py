@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from palimpsest.llm import bpe as _bpe
 from palimpsest.llm import decontamination as _decontamination
 from palimpsest.llm import language as _language
+from palimpsest.llm import lzfingerprint as _lzfingerprint
 from palimpsest.llm import ngram as _ngram
 from palimpsest.llm import simhash as _simhash
 from palimpsest.llm import tokenstore as _tokenstore
+from palimpsest.llm import toxicity as _toxicity
 from palimpsest.llm import warc as _warc
 from palimpsest.llm.common import crc_mod
 
@@ -26,6 +28,16 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_page").alias("refers_to"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = _toxicity.fit(docs, _table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1))
+    return _toxicity.score(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_lzfingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lzfingerprint.edited_fingerprints(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -72,6 +84,8 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
+    "op4_lzfingerprint": op4_lzfingerprint,
     "op5_simhash": op5_simhash,
     "op7_tokens": op7_tokens,
     "op8_language": op8_language,
