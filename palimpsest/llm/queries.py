@@ -13,6 +13,7 @@ from palimpsest.llm import language as _language
 from palimpsest.llm import lzfingerprint as _lzfingerprint
 from palimpsest.llm import ngram as _ngram
 from palimpsest.llm import simhash as _simhash
+from palimpsest.llm import suffixdedup as _suffixdedup
 from palimpsest.llm import tokenstore as _tokenstore
 from palimpsest.llm import toxicity as _toxicity
 from palimpsest.llm import warc as _warc
@@ -60,6 +61,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _suffixdedup.cut(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokenstore.store_and_read(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_lzfingerprint": op4_lzfingerprint,
     "op5_simhash": op5_simhash,
+    "op6_suffixdedup": op6_suffixdedup,
     "op7_tokens": op7_tokens,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
