@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import written
 
-WORDS, CACHE, SLICE_BYTES = 200_000, 150_000, 8 << 20
+WORDS, CACHE, SLICE_BYTES = 200_000, 150_000, 16 << 20
 _JOINED = 20_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = "\U0010fffe"  # never a character of a text; texts that hold it all the same are split one by one
@@ -69,10 +69,28 @@ class Units:
         else:  # a space and letters begin with the only piece that has the space
             self.plain, self.glue, self.last = f"^ [{_LATIN}]+$", "", False
             self.edge = np.array([pieces.get(i, "").startswith("Ġ") for i in range(size)])
+        self.parted = f"(?P<w>{self.plain[:-1]})(?P<p>[.,;:!?]*)$"
+        self.lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
         self.known, self.cache = known or {}, {}
 
     def encode(self, units: pa.Array) -> list[bytes]:
-        """The ids of each distinct unit as little-endian 32-bit integers."""
+        """The ids of each distinct unit as little-endian 32-bit integers.
+
+        A unit of letters and closing punctuation is its letters' ids and then the punctuation's; letters are looked up in
+        lower case where the tokenizer lowers them anyway.
+        """
+        found = pc.extract_regex(units, self.parted)
+        stems, tails = found.field("w"), found.field("p")
+        if self.lowers:
+            stems = pc.utf8_lower(stems)
+        parted = found.is_valid()
+        stems = pc.if_else(parted, stems, units).dictionary_encode()
+        tails = pc.if_else(parted, tails, "").dictionary_encode()
+        own, after = self._encode(stems.dictionary), self._encode(tails.dictionary)
+        i, j = stems.indices.to_numpy(zero_copy_only=False).tolist(), tails.indices.to_numpy(zero_copy_only=False).tolist()
+        return [own[a] + after[b] for a, b in zip(i, j)]
+
+    def _encode(self, units: pa.Array) -> list[bytes]:
         words = units.to_pylist()
         known, cache = self.known, self.cache
         out = [known.get(w) or cache.get(w) for w in words]
@@ -154,7 +172,7 @@ def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, 0, 2 * SLICE_BYTES):
+            for part in slices(whole, 0):
                 got = pc.list_flatten(byte_units(part.column(0))).value_counts()
                 yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], names=["word", "n"])
 

@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str, to: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = to or scratch(spark, name)
     with setting(spark, **{_CLEANUP.replace(".", "__"): "true"}):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -58,26 +58,19 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def crc_combine(a: int, b: int, b_bytes: int) -> int:
-    """The CRC-32 of two byte strings one after the other, from theirs and the second's length (GF(2) shifts by powers of two)."""
-    mat, n = _SHIFTS, b_bytes
-    k = 0
-    while n:
-        if n & 1:
-            out, bits = 0, a
-            row = mat[k]
-            while bits:
-                low = bits & -bits
-                out ^= row[low.bit_length() - 1]
-                bits ^= low
-            a = out
-        n >>= 1
-        k += 1
-    return a ^ b
-
-
-def _shift_tables() -> list[list[int]]:
-    """For each k, what 2**k zero bytes make of each bit of a CRC-32."""
+def crc_shift(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """What each CRC-32 adds to that of a longer string in which ``after`` bytes follow its own."""
+    out = crc.astype(np.uint32)
+    for k in range(int(after.max(initial=0)).bit_length()):
+        on = np.nonzero((after >> k) & 1)[0]
+        c = out[on]
+        t = _SHIFTS[k]
+        out[on] = t[0][c & 255] ^ t[1][(c >> 8) & 255] ^ t[2][(c >> 16) & 255] ^ t[3][c >> 24]
+    return out
+
+
+def _shift_tables() -> list[list[np.ndarray]]:
+    """For each k and each of the four bytes of a CRC-32, what 2**k zero bytes make of the byte's values."""
 
     def times(m: list[int], v: int) -> int:
         out = 0
@@ -92,7 +85,8 @@ def _shift_tables() -> list[list[int]]:
     tables = [one]
     for _ in range(47):
         tables.append([times(tables[-1], x) for x in tables[-1]])
-    return tables
+    byte_of = lambda m, b: np.array([times(m[8 * b : 8 * b + 8] + [0] * 24, v) for v in range(256)], np.uint32)
+    return [[byte_of(m, b) for b in range(4)] for m in tables]
 
 
 _SHIFTS = _shift_tables()
@@ -220,15 +214,24 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs, sizes = [], []
-            for root, parts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if merkle([p["digest"] for p in parts]) != root or any(p["size"] is None for p in parts):
+            lists = batch.column(4)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            inner = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+            bounds = bounds - bounds[0]
+            if inner.field("size").null_count:
+                raise ValueError("a chunk of the store is missing")
+            digests = inner.field("digest").to_pylist()
+            for root, a, b in zip(batch.column(3).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                if merkle(digests[a:b]) != root:
                     raise ValueError("a document of the store differs from its root")
-                crc = 0
-                for p in parts:
-                    crc = crc_combine(crc, p["crc"], 4 * p["size"])
-                crcs.append(crc)
-                sizes.append(sum(p["size"] for p in parts))
+            size = inner.field("size").to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(size)))
+            after = 4 * (np.repeat(ends[bounds[1:]], np.diff(bounds)) - ends[1:])
+            part = crc_shift(inner.field("crc").to_numpy(zero_copy_only=False), after)
+            doc = np.repeat(np.arange(len(lists)), np.diff(bounds))
+            crcs = np.zeros(len(lists), np.uint32)
+            np.bitwise_xor.at(crcs, doc, part)
+            sizes, crcs = ends[bounds[1:]] - ends[bounds[:-1]], crcs.astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["part", "at", "doc_id", "n_tokens", "ids_crc32"])
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
