@@ -100,7 +100,7 @@ def _tokenized(docs: DataFrame, spec: str, end_id: int | None, wide: bool, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Units(spec_b.value)
         for whole in batches:
-            for part in slices(whole, 1):
+            for part in slices(whole, 1, 12 << 20):
                 flat, bounds = coder.documents(space_units(part.column(1)))
                 counts, recipes, roots, new, seen = [], [], [], [], set()
                 for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
