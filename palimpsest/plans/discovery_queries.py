@@ -1 +1,183 @@
-"""To come."""
+"""Discovery reads over the catalogue: listings, searches, dossiers, references, maps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.operators import aggregates as agg
+from palimpsest.operators import discover as dis
+from palimpsest.operators import paging
+from palimpsest.operators.context import Context
+from palimpsest.operators.joins import sharing_pairs
+from palimpsest.plans.catalog_queries import OVERLAP_SQL, TERMS_SQL, _terms
+from palimpsest.plans.fixtures import COUNTS_SQL, Evidence
+from palimpsest.plans.registry import query
+
+_INTERVAL = (9500, 9000)
+
+
+@query("j01_catalog_page", f"SELECT record_id, label, older, younger, (SELECT count(*) FROM catalog WHERE source = 'a' AND {OVERLAP_SQL}) AS total FROM catalog WHERE source = 'a' AND {OVERLAP_SQL} ORDER BY record_id LIMIT 51")
+def _(e: Evidence) -> DataFrame:
+    rows = Context(source="a", interval=_INTERVAL).apply(e.catalog)
+    return paging.keyset_page(rows.select("record_id", "label", "older", "younger"), ["record_id"], None, 50).crossJoin(rows.agg(F.count("*").alias("total")))
+
+
+@query("j02_multi_source", "SELECT record_id, source, label, place, a, b FROM (SELECT record_id, source, label, row_number() OVER (PARTITION BY source ORDER BY record_id) AS place FROM catalog), (SELECT count(*) FILTER (source = 'a') AS a, count(*) FILTER (source = 'b') AS b FROM catalog) WHERE place <= 25")
+def _(e: Evidence) -> DataFrame:
+    n = e.catalog.agg(*[F.count(F.when(F.col("source") == s, 1)).alias(s) for s in ("a", "b")])
+    return paging.top_per_group(e.catalog.select("record_id", "source", "label"), ["source"], [F.asc("record_id")], 25).drop("group_total").crossJoin(F.broadcast(n))
+
+
+@query("j03_occurrence_page", "SELECT record_id, label, older FROM occurrence WHERE NOT coalesce(withheld, false) ORDER BY record_id LIMIT 51")
+def _(e: Evidence) -> DataFrame:
+    return paging.keyset_page(e.occurrence.where(~F.coalesce("withheld", F.lit(False))).select("record_id", "label", "older"), ["record_id"], None, 50)
+
+
+def _entities(e: Evidence) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    kinds = [
+        e.table("part").select(F.lit("taxon").alias("kind"), s("p_partkey").alias("id"), F.col("p_name").alias("label"), s("p_partkey").alias("key")),
+        e.table("supplier").select(F.lit("locality"), s("s_suppkey"), F.col("s_name"), s("s_suppkey")),
+        e.table("customer").select(F.lit("record"), s("c_custkey"), F.col("c_name"), s("c_custkey")),
+        e.table("nation").select(F.lit("term"), s("n_nationkey"), F.col("n_name"), s("n_nationkey")),
+    ]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.union(k)
+    return out
+
+
+ENT_SQL = "ent AS (SELECT 'taxon' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS label FROM part UNION ALL SELECT 'locality', CAST(s_suppkey AS VARCHAR), s_name FROM supplier UNION ALL SELECT 'record', CAST(c_custkey AS VARCHAR), c_name FROM customer UNION ALL SELECT 'term', CAST(n_nationkey AS VARCHAR), n_name FROM nation)"
+RANK_SQL = r"CASE WHEN lower(label) = '12' OR regexp_replace(lower(label), '[^\p{L}\p{N}]', '', 'g') = '12' OR id = '12' THEN 0 WHEN kind = 'record' THEN 3 WHEN starts_with(lower(label), '12') THEN 1 ELSE 2 END"
+
+
+@query("j04_search", f"WITH {ENT_SQL} SELECT kind, id, label, {RANK_SQL} AS rank FROM ent WHERE contains(lower(label), '12') OR id = '12' ORDER BY rank, kind, id LIMIT 101")
+def _(e: Evidence) -> DataFrame:
+    found = dis.search(_entities(e), "12")
+    return paging.keyset_page(found.select("rank", "kind", "id", "label"), ["rank", "kind", "id"], None, 100)
+
+
+@query("j05_ranking", f"WITH {ENT_SQL} SELECT {RANK_SQL} AS rank, count(*) AS n FROM ent WHERE contains(lower(label), '12') OR id = '12' GROUP BY 1")
+def _(e: Evidence) -> DataFrame:
+    return dis.search(_entities(e), "12").groupBy("rank").agg(F.count("*").alias("n"))
+
+
+@query("j06_mentioned_ids", r"SELECT page_id, n AS doc_id, lang FROM (SELECT page_id, TRY_CAST(nullif(regexp_extract(lower(url), '\b(?:page|doc|p|item)[ :/_-]*(\d+)\b', 1), '') AS BIGINT) AS n FROM pages) JOIN documents ON doc_id = n", base=False)
+def _(e: Evidence) -> DataFrame:
+    named = e.table("pages").select("page_id", dis.mentioned_id(F.col("url"), ("page", "doc", "p", "item")).alias("doc_id"))
+    return named.join(e.table("documents").select("doc_id", "lang"), "doc_id").select("page_id", "doc_id", "lang")
+
+
+@query("j07_source_labels", "SELECT taxon_id, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM catalog GROUP BY taxon_id")
+def _(e: Evidence) -> DataFrame:
+    return e.catalog.groupBy("taxon_id").agg(F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
+
+
+@query("j08_places", "SELECT lon, lat, count(*) AS localities, CAST(sum(records) AS BIGINT) AS records FROM (SELECT locality_id, lon, lat, count(*) AS records FROM catalog WHERE NOT withheld AND lon IS NOT NULL AND locality_id IS NOT NULL GROUP BY ALL) GROUP BY lon, lat")
+def _(e: Evidence) -> DataFrame:
+    return agg.places(e.catalog)
+
+
+@query("j09_viewport_list", f"SELECT record_id, lon, lat FROM catalog WHERE source = 'b' AND lon BETWEEN -120 AND 60 AND lat BETWEEN -50 AND 70 AND NOT withheld AND {OVERLAP_SQL} ORDER BY record_id LIMIT 201")
+def _(e: Evidence) -> DataFrame:
+    rows = Context(source="b", box=(-120, -50, 60, 70), interval=_INTERVAL).apply(e.catalog)
+    return paging.keyset_page(rows.select("record_id", "lon", "lat"), ["record_id"], None, 200)
+
+
+@query("j10_record_detail", "SELECT specimen_id, string_agg(DISTINCT label, ',' ORDER BY label) AS names, count(*) AS evidence, CASE WHEN NOT bool_or(withheld) THEN min(lon) END AS lon FROM material GROUP BY specimen_id")
+def _(e: Evidence) -> DataFrame:
+    return e.material.groupBy("specimen_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("names"), F.count("*").alias("evidence"), F.when(~F.bool_or("withheld"), F.min("lon")).alias("lon"))
+
+
+@query("j11_entity_detail", f"SELECT institution, {COUNTS_SQL}, count(DISTINCT collection) AS collections, count(*) FILTER (NOT withheld) AS mapped FROM material GROUP BY institution")
+def _(e: Evidence) -> DataFrame:
+    return e.material.groupBy("institution").agg(*agg.counts(), F.count_distinct("collection").alias("collections"), F.count(F.when(~F.col("withheld"), 1)).alias("mapped"))
+
+
+@query("j12_localities", f"SELECT locality_id, {COUNTS_SQL} FROM catalog WHERE {OVERLAP_SQL} AND locality_id IS NOT NULL GROUP BY locality_id ORDER BY assertions DESC, locality_id LIMIT 50")
+def _(e: Evidence) -> DataFrame:
+    rows = Context(interval=_INTERVAL).apply(e.catalog).where("locality_id is not null")
+    return rows.groupBy("locality_id").agg(*agg.counts()).orderBy(F.desc("assertions"), "locality_id").limit(50)
+
+
+@query("j13_fauna", f"SELECT locality_id, taxon_id, {COUNTS_SQL.replace('count(DISTINCT taxon_id) AS taxa, ', '')} FROM catalog GROUP BY locality_id, taxon_id")
+def _(e: Evidence) -> DataFrame:
+    return e.catalog.groupBy("locality_id", "taxon_id").agg(*[c for i, c in enumerate(agg.counts()) if i != 2])
+
+
+DOSSIER_SQL = f"""WITH {TERMS_SQL}, lt AS (SELECT DISTINCT locality_id, taxon_id FROM material),
+  rel AS (SELECT locality_id, string_agg(related, ',' ORDER BY related) AS related FROM (SELECT *, row_number() OVER (PARTITION BY locality_id ORDER BY related) AS p FROM (SELECT DISTINCT x.locality_id, y.locality_id AS related FROM lt x JOIN lt y ON x.taxon_id = y.taxon_id AND x.locality_id <> y.locality_id)) WHERE p <= 12 GROUP BY locality_id),
+  trm AS (SELECT locality_id, string_agg(namespace || '=' || term || ':' || n, ',' ORDER BY namespace || '=' || term || ':' || n) AS terms FROM (SELECT locality_id, namespace, term, count(*) AS n FROM material JOIN terms USING (record_id) GROUP BY ALL) GROUP BY locality_id),
+  c AS (SELECT locality_id, {COUNTS_SQL} FROM material GROUP BY locality_id) SELECT c.*, terms, related FROM c LEFT JOIN trm USING (locality_id) LEFT JOIN rel USING (locality_id)"""
+
+
+def _dossiers(rows: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per locality: counts, facet counts of its terms, and the first twelve localities that share a taxon."""
+    facets = rows.join(terms, "record_id").groupBy("locality_id", "namespace", "term").agg(F.count("*").alias("n"))
+    facet = F.concat_ws(":", F.concat_ws("=", "namespace", "term"), F.col("n").cast("string"))
+    listed = facets.groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list(facet)), ",").alias("terms"))
+    related = paging.top_per_group(pairs, ["locality_id"], [F.asc("related")], 12).groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list("related")), ",").alias("related"))
+    return rows.groupBy("locality_id").agg(*agg.counts()).join(listed, "locality_id", "left").join(related, "locality_id", "left")
+
+
+@query("j14_dossier_live", DOSSIER_SQL + " WHERE locality_id = 's3'")
+def _(e: Evidence) -> DataFrame:
+    pairs = sharing_pairs(e.material, "locality_id", "taxon_id").where("locality_id = 's3'")
+    return _dossiers(e.material.where("locality_id = 's3'"), _terms(e), pairs)
+
+
+@query("j15_dossiers", DOSSIER_SQL)
+def _(e: Evidence) -> DataFrame:
+    return _dossiers(e.material, _terms(e), sharing_pairs(e.material, "locality_id", "taxon_id"))
+
+
+@query("j16_taxon_summary", "SELECT node, rank, name, count(*) AS assertions, count(DISTINCT specimen_id) AS specimens FROM catalog JOIN closure USING (taxon_id) GROUP BY node, rank, name")
+def _(e: Evidence) -> DataFrame:
+    return agg.ancestor_rollup_corrected(e.catalog, e.closure).join(e.closure.select("node", "rank", "name").distinct(), "node")
+
+
+@query("j17_references", "SELECT 'identification' AS role, o_custkey AS subject, o_orderkey AS reference FROM orders WHERE o_orderstatus = 'F' UNION SELECT 'collection', o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'A' UNION SELECT 'material', o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'", base=False)
+def _(e: Evidence) -> DataFrame:
+    o = e.table("orders")
+    both = o.join(e.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pick = lambda df, role, ref: df.select(F.lit(role).alias("role"), F.col("o_custkey").alias("subject"), F.col(ref).alias("reference"))
+    return pick(o.where("o_orderstatus = 'F'"), "identification", "o_orderkey").union(pick(both.where("l_returnflag = 'A'"), "collection", "l_partkey")).union(pick(both.where("l_returnflag = 'R'"), "material", "l_suppkey")).distinct()
+
+
+@query("j18_inspection", "SELECT record, count(*) AS revisions, string_agg(event_type, '>' ORDER BY seen_at, seq) AS history, count(DISTINCT content_hash) AS versions FROM revisions GROUP BY record")
+def _(e: Evidence) -> DataFrame:
+    history = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen_at", "seq", "event_type"))), lambda x: x["event_type"]), ">")
+    return e.revisions.groupBy("record").agg(F.count("*").alias("revisions"), history.alias("history"), F.count_distinct("content_hash").alias("versions"))
+
+
+@query("j19_place_context", "SELECT locality_id, arg_min(collection, record_id) AS collection, min(record_id) AS record_id FROM catalog GROUP BY locality_id")
+def _(e: Evidence) -> DataFrame:
+    return e.catalog.groupBy("locality_id").agg(F.min_by("collection", "record_id").alias("collection"), F.min("record_id").alias("record_id"))
+
+
+@query("j20_places_of_taxon", "SELECT locality_id, count(*) AS records FROM catalog WHERE taxon_id IN (SELECT taxon_id FROM closure WHERE rank = 'kingdom' AND name = (SELECT min(p_type) FROM part)) AND locality_id IS NOT NULL GROUP BY locality_id")
+def _(e: Evidence) -> DataFrame:
+    first = e.table("part").agg(F.min("p_type").alias("name"))
+    members = e.closure.where("rank = 'kingdom'").join(F.broadcast(first), "name", "left_semi").select("taxon_id")
+    return e.catalog.where("locality_id is not null").join(members, "taxon_id", "left_semi").groupBy("locality_id").agg(F.count("*").alias("records"))
+
+
+@query("j21_specimens_of_place", "SELECT DISTINCT specimen_id, collection FROM material WHERE locality_id = 's3'")
+def _(e: Evidence) -> DataFrame:
+    return Context(locality="s3").apply(e.material).select("specimen_id", "collection").distinct()
+
+
+@query("j22_grid", "SELECT CAST(floor(lon / 30) AS BIGINT) AS x, CAST(floor(lat / 30) AS BIGINT) AS y, count(*) AS records FROM catalog WHERE lon IS NOT NULL GROUP BY 1, 2")
+def _(e: Evidence) -> DataFrame:
+    return dis.grid(e.catalog.where("lon is not null"), 30)
+
+
+@query("j23_viewports", """WITH v AS (SELECT n_nationkey AS id, (n_nationkey*37)%360-180 AS west, -60 AS south, ((n_nationkey*37)%360-180 + 80 + 180) % 360 - 180 AS east, 20 + n_nationkey AS north FROM nation),
+  o AS (SELECT *, ((west - 20 + 180) % 360 + 360) % 360 - 180 AS ow, ((east + 20 + 180) % 360 + 360) % 360 - 180 AS oe, greatest(-90, south - (north - south) * 0.25) AS os, least(90, north + (north - south) * 0.25) AS onn FROM v),
+  at AS (SELECT lon, lat, count(*) AS n FROM catalog WHERE NOT withheld AND lon IS NOT NULL GROUP BY lon, lat)
+  SELECT id, CAST(sum(CASE WHEN lat BETWEEN south AND north AND CASE WHEN west <= east THEN lon BETWEEN west AND east ELSE lon >= west OR lon <= east END THEN n ELSE 0 END) AS BIGINT) AS inside, CAST(sum(n) AS BIGINT) AS near FROM o JOIN "at" ON lat BETWEEN os AND onn AND CASE WHEN ow <= oe THEN lon BETWEEN ow AND oe ELSE lon >= ow OR lon <= oe END GROUP BY id""".replace("  at AS", '  "at" AS'))
+def _(e: Evidence) -> DataFrame:
+    west = (F.col("n_nationkey") * 37) % 360 - 180
+    views = e.table("nation").select(F.col("n_nationkey").alias("id"), west.alias("west"), F.lit(-60).alias("south"), ((west + 260) % 360 - 180).alias("east"), (F.col("n_nationkey") + 20).alias("north"))
+    return dis.in_viewports(e.catalog, views)
