@@ -63,9 +63,9 @@ def _(e: Evidence) -> DataFrame:
     return dis.search(_entities(e), "12").groupBy("rank").agg(F.count("*").alias("n"))
 
 
-@query("j06_mentioned_ids", r"SELECT page_id, n AS doc_id, lang FROM (SELECT page_id, TRY_CAST(nullif(regexp_extract(lower(url), '\b(?:page|doc|p|item)[ :/_-]*(\d+)\b', 1), '') AS BIGINT) AS n FROM pages) JOIN documents ON doc_id = n", base=False)
+@query("j06_mentioned_ids", r"SELECT page_id, n AS doc_id, lang FROM (SELECT page_id, TRY_CAST(nullif(regexp_extract(lower(url), '\b(?:en|fr|de|es)[ :/_-]*(\d+)\b', 1), '') AS BIGINT) AS n FROM pages) JOIN documents ON doc_id = n", base=False)
 def _(e: Evidence) -> DataFrame:
-    named = e.table("pages").select("page_id", dis.mentioned_id(F.col("url"), ("page", "doc", "p", "item")).alias("doc_id"))
+    named = e.table("pages").select("page_id", dis.mentioned_id(F.col("url"), ("en", "fr", "de", "es")).alias("doc_id"))
     return named.join(e.table("documents").select("doc_id", "lang"), "doc_id").select("page_id", "doc_id", "lang")
 
 
@@ -79,9 +79,9 @@ def _(e: Evidence) -> DataFrame:
     return agg.places(e.catalog)
 
 
-@query("j09_viewport_list", f"SELECT record_id, lon, lat FROM catalog WHERE source = 'b' AND lon BETWEEN -120 AND 60 AND lat BETWEEN -50 AND 70 AND NOT withheld AND {OVERLAP_SQL} ORDER BY record_id LIMIT 201")
+@query("j09_viewport_list", f"SELECT record_id, lon, lat FROM catalog WHERE source = 'b' AND lon BETWEEN -120 AND 60 AND lat BETWEEN -90 AND 70 AND NOT withheld AND older >= 300 AND younger <= 400 ORDER BY record_id LIMIT 201")
 def _(e: Evidence) -> DataFrame:
-    rows = Context(source="b", box=(-120, -50, 60, 70), interval=_INTERVAL).apply(e.catalog)
+    rows = Context(source="b", box=(-120, -90, 60, 70), interval=(400, 300)).apply(e.catalog)
     return paging.keyset_page(rows.select("record_id", "lon", "lat"), ["record_id"], None, 200)
 
 
