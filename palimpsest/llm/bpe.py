@@ -7,14 +7,15 @@ alone as in its text, so each distinct unit needs encoding only once and a text'
 * Tokenizers that drop white space: runs of ASCII white space.
 
 ``word_table`` counts the units of all documents in Spark, keeps the WORDS commonest and encodes each once.  That table has
-a fixed bound and is broadcast; units outside it are encoded once per slice of documents (SLICE_BYTES of text) and kept for
-the worker's next slices, up to CACHE units.
+a fixed bound and is broadcast; units outside it are encoded once per slice of documents (SLICE_BYTES of text), or
+once per worker as long as it has met no more than CACHE of them.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import written
 
-WORDS, CACHE, SLICE_BYTES = 100_000, 100_000, 8 << 20
+WORDS, CACHE, SLICE_BYTES = 100_000, 700_000, 8 << 20
 _JOINED = 20_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = "\U0010fffe"  # never a character of a text; texts that hold it all the same are split one by one
@@ -51,87 +52,115 @@ def piece_bytes(spec: dict) -> list[bytes]:
     return [plain.get(pieces.get(i, ""), b"") for i in range(max(pieces) + 1)]
 
 
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+@dataclass
+class Coded:
+    """Ids of some words: those of word i are ``flat[start[i] : start[i] + size[i]]``."""
+
+    flat: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+
 class Units:
-    """Encodes slices of unit lists with the tokenizers library; lives in a Python worker."""
+    """Encodes slices of unit lists with the tokenizers library; lives in a Python worker.
+
+    Words of ASCII letters are encoded many at a time by the vocabulary's own merges, split at spaces alone; other words of
+    letters many at a time by the whole tokenizer; all else one by one.  A word begins, or ends, where its piece says so.
+    """
 
-    def __init__(self, spec_json: str, known: dict[str, bytes] | None = None):
+    def __init__(self, spec_json: str, known: tuple[list[str], list[bytes]] | None = None):
         from tokenizers import Tokenizer
 
         spec = json.loads(spec_json)
         self.tokenizer = Tokenizer.from_str(spec_json)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        for t in (self.tokenizer, self.bare):
+            t.no_truncation()
+            t.no_padding()
         pieces, suffix = vocabulary(spec), spec["model"].get("end_of_word_suffix")
         size = max(pieces) + 1
+        self.lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
         if suffix:  # a word of letters ends with the only piece that has the suffix
-            self.plain, self.glue, self.last = f"^[{_LATIN}]+$", " ", True
+            self.plain, self.ascii, self.last = f"[{_LATIN}]+", "[a-z]+" if self.lowers else "[A-Za-z]+", True
             self.edge = np.array([pieces.get(i, "").endswith(suffix) for i in range(size)])
         else:  # a space and letters begin with the only piece that has the space
-            self.plain, self.glue, self.last = f"^ [{_LATIN}]+$", "", False
+            self.plain, self.ascii, self.last = f" [{_LATIN}]+", " [A-Za-z]+", False
             self.edge = np.array([pieces.get(i, "").startswith("Ġ") for i in range(size)])
-        self.parted = f"(?P<w>{self.plain[:-1]})(?P<p>[.,;:!?]*)$"
-        self.lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        self.known, self.cache = known or {}, {}
+        words, ids = known or ([], [])
+        self.known = pa.array(words, pa.string())
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        self.known_ids = Coded(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes)
+
+    def words(self, words: pa.Array) -> Coded:
+        """The ids of each word."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False) if len(self.known) else np.full(len(words), -1)
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flats, filled = [self.known_ids.flat], len(self.known_ids.flat)
+        hit = at >= 0
+        start[hit], size[hit] = self.known_ids.start[at[hit]], self.known_ids.size[at[hit]]
+        left = np.nonzero(~hit)[0]
+        some = words.take(pa.array(left))
+        is_ascii, is_plain = (pc.match_substring_regex(some, f"^{x}$").to_numpy(zero_copy_only=False) for x in (self.ascii, self.plain))
+        for mask, many in ((is_ascii, self._bare), (is_plain & ~is_ascii, self._joined), (~(is_plain | is_ascii), None)):
+            whole = left[mask]
+            for k in range(0, len(whole), _JOINED):
+                index = whole[k : k + _JOINED]
+                texts = words.take(pa.array(index)).to_pylist()
+                ids, edges = many(texts) if many else (None, None)
+                if ids is None or len(edges) != len(index):
+                    found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                    ids, sizes = np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+                else:
+                    sizes = np.diff(np.concatenate(([-1], edges)) if self.last else np.concatenate((edges, [len(ids)])))
+                start[index], size[index] = filled + np.cumsum(sizes) - sizes, sizes
+                flats.append(ids)
+                filled += len(ids)
+        coded = Coded(np.concatenate(flats), start, size)
+        if len(left) and len(self.known) + len(left) <= CACHE:
+            old = self.known_ids
+            self.known = pa.concat_arrays([self.known, some])
+            self.known_ids = Coded(coded.flat, np.concatenate([old.start, start[left]]), np.concatenate([old.size, size[left]]))
+        return coded
+
+    def _edges(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        got = np.array(ids, np.uint32)
+        return got, np.nonzero(self.edge[got])[0]
+
+    def _bare(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = " ".join(texts) if self.last else "".join(texts).replace(" ", " Ġ")
+        return self._edges(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._edges(self.tokenizer.encode_batch_fast([(" " if self.last else "").join(texts)], add_special_tokens=False)[0].ids)
 
-    def encode(self, units: pa.Array) -> list[bytes]:
-        """The ids of each distinct unit as little-endian 32-bit integers.
+    def documents(self, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the unit lists in order, and where each list's ids begin and end.
 
         A unit of letters and closing punctuation is its letters' ids and then the punctuation's; letters are looked up in
         lower case where the tokenizer lowers them anyway.
         """
-        found = pc.extract_regex(units, self.parted)
-        stems, tails = found.field("w"), found.field("p")
-        if self.lowers:
-            stems = pc.utf8_lower(stems)
-        parted = found.is_valid()
-        stems = pc.if_else(parted, stems, units).dictionary_encode()
-        tails = pc.if_else(parted, tails, "").dictionary_encode()
-        own, after = self._encode(stems.dictionary), self._encode(tails.dictionary)
-        i, j = stems.indices.to_numpy(zero_copy_only=False).tolist(), tails.indices.to_numpy(zero_copy_only=False).tolist()
-        return [own[a] + after[b] for a, b in zip(i, j)]
-
-    def _encode(self, units: pa.Array) -> list[bytes]:
-        words = units.to_pylist()
-        known, cache = self.known, self.cache
-        out = [known.get(w) or cache.get(w) for w in words]
-        missing = [i for i, x in enumerate(out) if x is None]
-        if not missing:
-            return out
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-        plain = pc.match_substring_regex(units.take(pa.array(missing, pa.int64())), self.plain).to_pylist()
-        easy, hard = [i for i, p in zip(missing, plain) if p], [i for i, p in zip(missing, plain) if not p]
-        for at in range(0, len(easy), _JOINED):
-            some = easy[at : at + _JOINED]
-            text = self.glue.join(words[i] for i in some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            edges = np.nonzero(self.edge[ids])[0]
-            if len(edges) != len(some):
-                hard += some
-                continue
-            bounds = [0, *(edges + 1).tolist()] if self.last else [*edges.tolist(), len(ids)]
-            raw = ids.astype("<u4").tobytes()
-            for i, a, b in zip(some, bounds, bounds[1:]):
-                out[i] = raw[4 * a : 4 * b]
-        for at in range(0, len(hard), _JOINED):
-            some = hard[at : at + _JOINED]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-                out[i] = np.array(e.ids, "<u4").tobytes()
-        if len(missing) <= CACHE:
-            cache.update((words[i], out[i]) for i in missing)
-        return out
-
-    def documents(self, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the unit lists in order, and where each list's ids begin and end."""
         offsets = units.offsets.to_numpy().astype(np.int64)
         coded = units.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        ids = self.encode(coded.dictionary)
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        per = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = pa.array(ids, pa.binary()).take(coded.indices) if len(ids) else pa.array([], pa.binary())
-        data = np.frombuffer(flat.buffers()[2], "<u4", int(per[index].sum())) if len(flat) and flat.buffers()[2] else np.zeros(0, "<u4")
-        ends = np.concatenate(([0], np.cumsum(per[index])))
-        return data, ends[offsets - offsets[0]]
+        offsets = offsets - offsets[0]
+        distinct, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        found = pc.extract_regex(distinct, f"^(?P<w>{self.plain})(?P<p>[.,;:!?]*)$")
+        stems, tails, parted = found.field("w"), found.field("p"), found.is_valid()
+        if self.lowers:
+            stems = pc.utf8_lower(stems)
+        parts = [pc.if_else(parted, stems, distinct).dictionary_encode(), pc.if_else(parted, tails, "").dictionary_encode()]
+        ids = [self.words(p.dictionary) for p in parts]
+        of = [p.indices.to_numpy(zero_copy_only=False)[index] for p in parts]
+        size = np.stack([c.size[k] for c, k in zip(ids, of)], axis=1).ravel()
+        start = np.stack([ids[0].start[of[0]], ids[1].start[of[1]] + len(ids[0].flat)], axis=1).ravel()
+        flat = ragged(np.concatenate([c.flat for c in ids]), start, size)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return flat.astype("<u4"), ends[2 * offsets]
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -167,7 +196,7 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int = WORDS) -> dict[str, bytes]:
+def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int = WORDS) -> tuple[list[str], list[bytes]]:
     """The ids of the commonest units over all documents: ``words`` at most, each encoded once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +208,13 @@ def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Units(spec)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.encode(batch.column(0)), pa.binary())], names=["word", "ids"])
+            got = coder.words(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([got.flat[a : a + n].astype("<u4").tobytes() for a, n in zip(got.start, got.size)], pa.binary())], names=["word", "ids"])
 
     counted = docs.select(text_col).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = written(counted, "words").where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word")
-    return {r["word"]: bytes(r["ids"]) for r in top.mapInArrow(encode, "word string, ids binary").collect()}
+    rows = top.mapInArrow(encode, "word string, ids binary").collect()
+    return [r["word"] for r in rows], [bytes(r["ids"]) for r in rows]
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", words: int = WORDS) -> DataFrame:
