@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,16 @@ def per_combination(rows: DataFrame, columns: list[str], rule: Column, name: str
     return rows.join(ruled, on, "left").drop(*[f"_{c}" for c in columns])
 
 
-def sharing_pairs(rows: DataFrame, key: str, attribute: str) -> DataFrame:
-    """Distinct pairs (key, related) of different keys that share a value of the attribute."""
+def first_sharing(rows: DataFrame, key: str, attribute: str, most: int) -> DataFrame:
+    """(key, related, place): for each key the first ``most`` other keys, by id, that share a value of the attribute.
+
+    A key among a key's first ones is among the first ``most + 1`` of the value that they share, so each value offers that
+    many at most: n keys that share a value give (most + 1) * n pairs, not n * n.
+    """
     pairs = rows.select(key, attribute).where(F.col(attribute).isNotNull()).distinct()
-    return pairs.join(pairs.withColumnRenamed(key, "related"), attribute).where(F.col(key) != F.col("related")).select(key, "related").distinct()
+    offered = pairs.withColumn("_p", F.row_number().over(Window.partitionBy(attribute).orderBy(key))).where(F.col("_p") <= most + 1).select(attribute, F.col(key).alias("related"))
+    shared = pairs.join(offered, attribute).where(F.col(key) != F.col("related")).select(key, "related").distinct()
+    return shared.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("related"))).where(F.col("place") <= most)
 
 
 def map_keys(rows: DataFrame, key: str, mapping: DataFrame) -> DataFrame:

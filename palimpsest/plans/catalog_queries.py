@@ -178,9 +178,9 @@ def _(e: Evidence) -> DataFrame:
 @query("d10_sharing_localities", """WITH lt AS (SELECT DISTINCT locality_id, taxon_id FROM material), pairs AS (SELECT DISTINCT x.locality_id, y.locality_id AS related FROM lt x JOIN lt y ON x.taxon_id = y.taxon_id AND x.locality_id <> y.locality_id)
   SELECT locality_id, related, place FROM (SELECT *, row_number() OVER (PARTITION BY locality_id ORDER BY related) AS place FROM pairs) WHERE place <= 12""")
 def _(e: Evidence) -> DataFrame:
-    from palimpsest.operators.joins import sharing_pairs
+    from palimpsest.operators.joins import first_sharing
 
-    return paging.top_per_group(sharing_pairs(e.material, "locality_id", "taxon_id"), ["locality_id"], [F.asc("related")], 12).select("locality_id", "related", "place")
+    return first_sharing(e.material, "locality_id", "taxon_id", 12)
 
 
 @query("d12_parent_self_join", "SELECT n.node, n.name, p.name AS parent_name FROM (SELECT DISTINCT c.node, c.name, u.node AS parent FROM closure c LEFT JOIN closure u ON c.taxon_id = u.taxon_id AND u.depth = c.depth + 1) n LEFT JOIN (SELECT DISTINCT node, name FROM closure) p ON n.parent = p.node")

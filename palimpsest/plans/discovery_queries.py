@@ -9,7 +9,7 @@ from palimpsest.operators import aggregates as agg
 from palimpsest.operators import discover as dis
 from palimpsest.operators import paging
 from palimpsest.operators.context import Context
-from palimpsest.operators.joins import sharing_pairs
+from palimpsest.operators.joins import first_sharing
 from palimpsest.plans.catalog_queries import OVERLAP_SQL, TERMS_SQL, _terms
 from palimpsest.plans.fixtures import COUNTS_SQL, Evidence
 from palimpsest.plans.registry import query
@@ -117,19 +117,19 @@ def _dossiers(rows: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     facets = rows.join(terms, "record_id").groupBy("locality_id", "namespace", "term").agg(F.count("*").alias("n"))
     facet = F.concat_ws(":", F.concat_ws("=", "namespace", "term"), F.col("n").cast("string"))
     listed = facets.groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list(facet)), ",").alias("terms"))
-    related = paging.top_per_group(pairs, ["locality_id"], [F.asc("related")], 12).groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list("related")), ",").alias("related"))
+    related = pairs.groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list("related")), ",").alias("related"))
     return rows.groupBy("locality_id").agg(*agg.counts()).join(listed, "locality_id", "left").join(related, "locality_id", "left")
 
 
 @query("j14_dossier_live", DOSSIER_SQL + " WHERE locality_id = 's3'")
 def _(e: Evidence) -> DataFrame:
-    pairs = sharing_pairs(e.material, "locality_id", "taxon_id").where("locality_id = 's3'")
+    pairs = first_sharing(e.material, "locality_id", "taxon_id", 12).where("locality_id = 's3'")
     return _dossiers(e.material.where("locality_id = 's3'"), _terms(e), pairs)
 
 
 @query("j15_dossiers", DOSSIER_SQL)
 def _(e: Evidence) -> DataFrame:
-    return _dossiers(e.material, _terms(e), sharing_pairs(e.material, "locality_id", "taxon_id"))
+    return _dossiers(e.material, _terms(e), first_sharing(e.material, "locality_id", "taxon_id", 12))
 
 
 @query("j16_taxon_summary", "SELECT node, rank, name, count(*) AS assertions, count(DISTINCT specimen_id) AS specimens FROM catalog JOIN closure USING (taxon_id) GROUP BY node, rank, name")
