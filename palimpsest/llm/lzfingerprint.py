@@ -12,13 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.bpe import slices
 from palimpsest.llm.common import written
 
 SIZE = 128
+SLICE, RANGE_BYTES = 8 << 20, 16 << 20
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -116,56 +119,82 @@ class _Row:
 _RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _packed(rows: DataFrame, splitters: list[int]) -> DataFrame:
+    """Rows (bucket, pack): the documents of a slice whose ids fall into one range, as compressed Arrow; null ids in range -1."""
+    cuts = np.array(splitters, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for part in slices(whole, 1, SLICE):
+                ids = pc.fill_null(part.column(0), 0).to_numpy(zero_copy_only=False)
+                bucket = np.where(part.column(0).is_null().to_numpy(zero_copy_only=False), -1, np.searchsorted(cuts, ids, side="left"))
+                for b in np.unique(bucket):
+                    sink = pa.BufferOutputStream()
+                    some = part.take(pa.array(np.nonzero(bucket == b)[0]))
+                    with pa.ipc.new_stream(sink, some.schema) as out:
+                        out.write_batch(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["bucket", "pack"])
+
+    return rows.mapInArrow(run, "bucket bigint, pack binary")
+
+
+def _result_table(schema: str, id_type: pa.DataType, rows: list[tuple]) -> pa.Table:
+    types = (pa.int64(), pa.string(), id_type, pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types))})
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness (see the columns of _RESULT after the id).
 
     The edited text has its last third replaced by as many first characters of the next document in descending id order;
-    after the last comes the first.  Documents are sorted in ranges of ids; only the last document of a range waits for the
-    first of the next one, and these pairs, as many as there are ranges, are finished apart.  Null texts are empty, null
-    ids come last, rows with one id follow each other by their text.  Other columns are not read.
+    after the last comes the first.  Ids are whole numbers.  Documents meet in ranges of ids of about RANGE_BYTES of text;
+    only the last document of a range waits for the first of the next one, and these pairs, as many as there are ranges,
+    are finished apart.  Null texts are empty, null ids come last, rows with one id follow each other by their text.  Other
+    columns are not read.
     """
+    schema = f"bucket bigint, role string, id bigint, text string, {_RESULT}"
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"part int, role string, id {kind}, text string, {_RESULT}"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = (F.desc_nulls_last("id"), F.asc_nulls_first("text"))
-
-    def emit(part: int, role: str, row: _Row | None, result: tuple | None, id_type: pa.DataType) -> pa.RecordBatch:
-        values = result[1:] if result else (None,) * 6
-        doc_id, text = (result[0], None) if result else (row.doc_id, row.text)
-        types = (pa.int32(), pa.string(), id_type, pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, role, doc_id, text, *values), types)], names=[x.split()[0] for x in schema.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), None
-        for batch in batches:
-            id_type = batch.column(0).type
-            done: list[pa.RecordBatch] = []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                row = _Row(doc_id.as_py(), text.as_py())
-                done.append(emit(part, "done", None, before.beside(row.text, row.signature), id_type) if before else emit(part, "first", row, None, id_type))
-                before = row
-                if len(done) == 256:
-                    yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-                    done = []
-            if done:
-                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-        if before:
-            yield emit(part, "last", before, None, id_type)
-
-    got = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "fingerprints")
-    ends = got.where("role != 'done'").select("part", "role", "id", "text")
-    firsts = ends.where("role = 'first'").select("part", F.col("text").alias("following"))
-    ring = ends.select("part").distinct().withColumn("after", F.lead("part").over(Window.orderBy("part")))  # a row per range
-    ring = ring.withColumn("after", F.coalesce("after", F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    open_rows = ends.where("role = 'last'").join(ring, "part").join(firsts.withColumnRenamed("part", "after"), "after").select("id", "text", "following")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-size // RANGE_BYTES))
+    splitters = (rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 100_000)).first()[0] or []) if ranges > 1 else []
+    blank = (None,) * 6
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, packs = table.column("bucket")[0].as_py(), table.column("pack").to_pylist()
+        open_pack = zstandard.ZstdDecompressor()
+        parts = [pa.ipc.open_stream(open_pack.decompress(p)).read_all() for p in packs]
+        whole = pa.concat_tables(parts).sort_by([("id", "descending"), ("text", "ascending")])
+        out, before = [], None
+        for doc_id, text in zip(whole.column("id").to_pylist(), whole.column("text")):
+            row = _Row(doc_id, text.as_py())
+            if before:
+                found = before.beside(row.text, row.signature)
+                out.append((bucket, "done", found[0], None, *found[1:]))
+            else:
+                out.append((bucket, "first", row.doc_id, row.text, *blank))
+            before = row
+        out.append((bucket, "last", before.doc_id, before.text, *blank))
+        return _result_table(schema, pa.int64(), out)
+
+    packed = _packed(rows, splitters).repartition(min(2 * ranges, 20_000), "bucket")
+    got = written(packed.groupBy("bucket").applyInArrow(run, schema), "fingerprints")
+    ends = got.where("role != 'done'").select("bucket", "role", "id", "text")
+    firsts = ends.where("role = 'first'").select("bucket", F.col("text").alias("following"))
+    order = Window.orderBy(F.desc("bucket"))  # a row per range
+    ring = ends.select("bucket").distinct().withColumn("after", F.coalesce(F.lead("bucket").over(order), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    open_rows = ends.where("role = 'last'").join(ring, "bucket").join(firsts.withColumnRenamed("bucket", "after"), "after").select("id", "text", "following")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, following in zip(*batch.columns):
-                other = following.as_py() or ""
-                data = other.encode("utf-8", "surrogatepass")
-                result = _Row(doc_id.as_py(), text.as_py()).beside(other, Parse().feed(data).signature(data))
-                yield emit(0, "done", None, result, batch.column(0).type)
-
-    names = ["id", *[x.split()[0] for x in _RESULT.split(", ")]]
+            out = []
+            for doc_id, text, following in zip(*[c.to_pylist() for c in batch.columns]):
+                data = (following or "").encode("utf-8", "surrogatepass")
+                found = _Row(doc_id, text).beside(following or "", Parse().feed(data).signature(data))
+                out.append((0, "done", found[0], None, *found[1:]))
+            yield from _result_table(schema, pa.int64(), out).to_batches()
+
+    names = [F.col("id").cast(kind).alias("id"), *[x.split()[0] for x in _RESULT.split(", ")]]
     return got.where("role = 'done'").select(*names).unionByName(open_rows.mapInArrow(finish, schema).select(*names))
