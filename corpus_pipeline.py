@@ -63,8 +63,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids, and round_trip: whether the ids decode to the text (null: empty)."""
     path = tokenizer_path(TOKENIZER)
-    both = bpe.decode(written(bpe.encode(docs, path), "ids"), path)
-    return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    coded = written(bpe.encode(marked, path, keep=["doc_id", "lang", "source", "n_chars", "_hash"]), "ids")
+    both = bpe.decode(coded, path)
+    return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.xxhash64("decoded") == F.col("_hash")).alias("round_trip"))
 
 
 STAGES = [

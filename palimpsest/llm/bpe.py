@@ -217,18 +217,18 @@ def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int =
     return [r["word"] for r in rows], [bytes(r["ids"]) for r in rows]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", words: int = WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", words: int = WORDS, keep: list[str] | None = None) -> DataFrame:
     """docs with ids, an array of the tokenizer's ids of the text as its library gives them without added tokens.
 
     For byte-level tokenizers (JSON at ``path``).  Null and empty texts have an empty array; strings of special tokens inside
-    a text are those tokens, as in the library.  A column of docs named like ids_col is replaced; all other columns and
-    repeated rows stay.
+    a text are those tokens, as in the library.  A column of docs named like ids_col is replaced; all other columns, or
+    those named by ``keep``, and repeated rows stay.
     """
     spark: SparkSession = docs.sparkSession
     spec = read_spec(path)
     known = spark.sparkContext.broadcast(word_table(docs, spec, text_col, words))
     spec_b = spark.sparkContext.broadcast(spec)
-    rest = [c for c in docs.columns if c != ids_col]
+    rest = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
     out = T.StructType([*[docs.schema[c] for c in rest], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
