@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import written
 
-WORDS, CACHE, SLICE_BYTES = 100_000, 700_000, 8 << 20
+WORDS, CACHE, SLICE_BYTES = 100_000, 400_000, 4 << 20
 _JOINED = 20_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = "\U0010fffe"  # never a character of a text; texts that hold it all the same are split one by one
@@ -201,7 +201,7 @@ def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, 0, 2 * SLICE_BYTES):
+            for part in slices(whole, 0, 4 * SLICE_BYTES):
                 got = pc.list_flatten(byte_units(part.column(0))).value_counts()
                 yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], names=["word", "n"])
 

@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, at):
+            for part in slices(whole, at, 8 << 20):
                 lang, score = shared.value.predict(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "lang_score"])
 

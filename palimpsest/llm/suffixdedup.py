@@ -288,7 +288,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            for part in slices(whole_batch, len(keep)):
+            for part in slices(whole_batch, len(keep), 8 << 20):
                 n_bytes, n_removed, n_spans, kept = [], [], [], []
                 for text, spans_of in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()):
                     data = (text or "").encode("utf-8", "surrogatepass")

@@ -117,7 +117,7 @@ def _words_by_class(sample: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, 0):
+            for part in slices(whole, 0, 8 << 20):
                 lists = plain_words(part.column(0))
                 doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
                 coded = lists.values.slice(lists.offsets[0].as_py(), len(doc)).dictionary_encode()
@@ -176,7 +176,7 @@ def _features(docs: DataFrame, model: Model, text_col: str, keep: list[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for whole in batches:
-            for part in slices(whole, len(keep)):
+            for part in slices(whole, len(keep), 8 << 20):
                 x = scorer.features(part.column(len(keep)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], names=[*keep, "_features"])
