@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import tidied, written
 
 WORDS, CACHE, SLICE_BYTES = 100_000, 400_000, 4 << 20
 _JOINED = 20_000
@@ -211,9 +211,9 @@ def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int =
             got = coder.words(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([got.flat[a : a + n].astype("<u4").tobytes() for a, n in zip(got.start, got.size)], pa.binary())], names=["word", "ids"])
 
-    counted = docs.select(text_col).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col).mapInArrow(tidied(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = written(counted, "words").where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word")
-    rows = top.mapInArrow(encode, "word string, ids binary").collect()
+    rows = top.mapInArrow(tidied(encode), "word string, ids binary").collect()
     return [r["word"] for r in rows], [bytes(r["ids"]) for r in rows]
 
 
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], lists], names=[*rest, ids_col])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text")).mapInArrow(run, out)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text")).mapInArrow(tidied(run), out)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -270,4 +270,4 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
                 texts = [bytes(raw[a:b]).decode("utf-8", "replace") if ok else None for a, b, ok in zip(cut.tolist(), cut[1:].tolist(), valid)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*rest, text_col])
 
-    return coded.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, out)
+    return coded.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(tidied(run), out)

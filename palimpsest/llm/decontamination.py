@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower, written
+from palimpsest.llm.common import ascii_lower, tidied, written
 
 BITS = 1 << 23
 BROADCAST_ROWS = 200_000
@@ -65,7 +65,7 @@ def _item_rows(items: DataFrame, id_col: str, text_col: str, words: int, thresho
                 )
 
     kind = items.schema[id_col].dataType.simpleString()
-    return items.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"item {kind}, n int, k int, part int, h bigint, shingle string, sketch boolean")
+    return items.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"item {kind}, n int, k int, part int, h bigint, shingle string, sketch boolean")
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
@@ -122,7 +122,7 @@ def contained_items(
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(strings)], names=["id", "h", "shingle"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    hits = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, h bigint, shingle string")
+    hits = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"id {kind}, h bigint, shingle string")
     side = rows.select("item", "n", "h", "shingle", "sketch").distinct()
     if sum(r["rows"] for r in parts) <= BROADCAST_ROWS:
         side = F.broadcast(side)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.bpe import slices
+from palimpsest.llm.common import tidied
 
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 2_000, 60_000, 40_000, 1_000
 LONGEST = 5
@@ -164,4 +165,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 lang, score = shared.value.predict(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "lang_score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, out)
+    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(tidied(run), out)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import written
+from palimpsest.llm.common import tidied, written
 
 SIZE = 128
 SLICE, RANGE_BYTES = 8 << 20, 16 << 20
@@ -136,7 +136,7 @@ def _packed(rows: DataFrame, splitters: list[int]) -> DataFrame:
                         out.write_batch(some)
                     yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["bucket", "pack"])
 
-    return rows.mapInArrow(run, "bucket bigint, pack binary")
+    return rows.mapInArrow(tidied(run), "bucket bigint, pack binary")
 
 
 def _result_table(schema: str, id_type: pa.DataType, rows: list[tuple]) -> pa.Table:
@@ -197,4 +197,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield from _result_table(schema, pa.int64(), out).to_batches()
 
     names = [F.col("id").cast(kind).alias("id"), *[x.split()[0] for x in _RESULT.split(", ")]]
-    return got.where("role = 'done'").select(*names).unionByName(open_rows.mapInArrow(finish, schema).select(*names))
+    return got.where("role = 'done'").select(*names).unionByName(open_rows.mapInArrow(tidied(finish), schema).select(*names))

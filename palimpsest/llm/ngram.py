@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import scratch, written
+from palimpsest.llm.common import scratch, tidied, written
 
 SLICE = 32 << 20
 BUCKET_BYTES = 12 << 20
@@ -240,7 +240,7 @@ def _hot(docs: DataFrame, text_col: str, share: float) -> np.ndarray:
                 often = n > share * len(flat) / 4
                 yield pa.RecordBatch.from_arrays([pa.array(w[often].view(np.int64)), pa.array(n[often]), pa.array([len(flat)] + [0] * (int(often.sum()) - 1), pa.int64()) if often.any() else pa.array([], pa.int64())], names=["w", "n", "all"])
 
-    got = some.select(text_col).mapInArrow(run, "w bigint, n bigint, all bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).collect()
+    got = some.select(text_col).mapInArrow(tidied(run), "w bigint, n bigint, all bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).collect()
     tokens_seen = sum(r["all"] for r in got)
     return np.sort(np.array([r["w"] for r in got if r["n"] > share * tokens_seen], np.int64).view(np.uint64))
 
@@ -342,7 +342,7 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE) -
         got = np.array([fields[0].sum(), (fields[0] > 0).sum(), ends.sum(), *[(ends == k).sum() for k in (1, 2, 3, 4)], (ends >= 3).sum()], np.int64)
         return pa.table({"sums": pa.array([got.tolist()], pa.list_(pa.int64()))})
 
-    counted = docs.select(text_col).mapInArrow(count, schema)
+    counted = docs.select(text_col).mapInArrow(tidied(count), schema)
     merged = written(counted.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge_bigrams, schema), "ngram-words")
     n = np.zeros(5, np.int64)
     for r in merged.where("kind = 'c'").select("pack").toLocalIterator():  # 40 bytes a bucket
@@ -369,4 +369,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, got.values())], names=["id", *got])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")

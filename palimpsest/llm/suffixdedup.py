@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import written
+from palimpsest.llm.common import tidied, written
 
 LENGTH, K = 100, 24
 SLICE, BUCKET_BYTES = 4 << 20, 8 << 20
@@ -153,7 +153,7 @@ def _sample(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                 at = at[:: max(1, len(at) // 20_000)]
                 yield pa.RecordBatch.from_arrays([pa.array(text.leading(at).view(np.int64)), pa.array(text.hashes(at + 8, at + K).view(np.int64))], names=["lead", "rest"])
 
-    got = some.mapInArrow(run, "lead bigint, rest bigint").groupBy("lead", "rest").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(500_000).collect()
+    got = some.mapInArrow(tidied(run), "lead bigint, rest bigint").groupBy("lead", "rest").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(500_000).collect()
     lead = np.array([r["lead"] for r in got], np.int64).view(np.uint64)
     rest = np.array([r["rest"] for r in got], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in got], np.int64)
@@ -179,7 +179,7 @@ def _suffixes(docs: DataFrame, buckets: int, splitters: np.ndarray, hot: np.ndar
                 bucket = np.where(is_hot, ((context >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), np.searchsorted(splitters, lead, side="right"))
                 yield from _packs("s", bucket, [lead, rest, context, ids[doc].astype(np.int64), place, before.astype(np.uint8), after.astype(np.uint8)])
 
-    return docs.mapInArrow(run, _PACKED)
+    return docs.mapInArrow(tidied(run), _PACKED)
 
 
 def _compare(table: pa.Table, hot: np.ndarray) -> pa.Table:
@@ -221,7 +221,7 @@ def _windows(asked: DataFrame, buckets: int) -> DataFrame:
                 ids = part.column(0).to_numpy(zero_copy_only=False)[of].astype(np.int64)
                 yield from _packs("w", ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), [h, ids, at.astype(np.uint32)])
 
-    return asked.mapInArrow(run, _PACKED)
+    return asked.mapInArrow(tidied(run), _PACKED)
 
 
 def _later(table: pa.Table) -> pa.Table:
@@ -309,4 +309,4 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                     n_spans.append(len(merged))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=[*keep, *names])
 
-    return whole.mapInArrow(run, out)
+    return whole.mapInArrow(tidied(run), out)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import Units, read_spec, slices, space_units, vocabulary
-from palimpsest.llm.common import dropped, scratch, written
+from palimpsest.llm.common import dropped, scratch, tidied, written
 
 WINDOW, MEAN_BITS, LONGEST = 16, 8, 2048
 
@@ -124,7 +124,7 @@ def _tokenized(docs: DataFrame, spec: str, end_id: int | None, wide: bool, id_co
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(new, pa.list_(chunk))], names=["doc_id", "n_tokens", "digests", "root", "new"]
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, digests array<binary>, root binary, new array<struct<digest:binary,ids:binary>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, n_tokens bigint, digests array<binary>, root binary, new array<struct<digest:binary,ids:binary>>")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -188,7 +188,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     placed = recipes.select("part", "at", "doc_id", "root", F.posexplode_outer("digests").alias("pos", "digest")).join(chunks, "digest", "left")
     whole = placed.groupBy("part", "at").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("chunks"))
-    return whole.select("doc_id", "root", "chunks").mapInArrow(run, f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return whole.select("doc_id", "root", "chunks").mapInArrow(tidied(run), f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def document_sums(spark: SparkSession, path: str) -> DataFrame:
@@ -235,10 +235,10 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["part", "at", "doc_id", "n_tokens", "ids_crc32"])
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    sums = chunks.mapInArrow(chunk_sums, "digest binary, size bigint, crc bigint")
+    sums = chunks.mapInArrow(tidied(chunk_sums), "digest binary, size bigint, crc bigint")
     placed = recipes.select("part", "at", "doc_id", "root", F.posexplode_outer("digests").alias("pos", "digest")).join(sums, "digest", "left")
     grouped = placed.groupBy("part", "at").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "digest", "size", "crc")))).alias("chunks"))
-    per = written(grouped.select("part", "at", "doc_id", "root", "chunks").mapInArrow(combine, f"part int, at bigint, doc_id {kind}, n_tokens bigint, ids_crc32 bigint"), "sums")
+    per = written(grouped.select("part", "at", "doc_id", "root", "chunks").mapInArrow(tidied(combine), f"part int, at bigint, doc_id {kind}, n_tokens bigint, ids_crc32 bigint"), "sums")
     totals = per.groupBy("part").agg(F.sum("n_tokens").alias("all"))  # a row per part: as few as the store has files
     before = totals.withColumn("before", F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import written
+from palimpsest.llm.common import tidied, written
 
 MAX_DOCS, TOXIC_BYTES, ORDINARY_BYTES = 6_000, 8_192, 8_192
 REPEATS, LONGEST, LEVEL, LEAST_Z, CACHE = 4, 64, 9, 4.5, 300_000
@@ -126,7 +126,7 @@ def _words_by_class(sample: DataFrame, text_col: str) -> DataFrame:
                 toxic = part.column(1).to_numpy(zero_copy_only=False)[doc] == 1
                 yield pa.RecordBatch.from_arrays([coded.dictionary, *[pa.array(np.bincount(word[k], minlength=len(coded.dictionary)).astype(np.int64)) for k in (toxic, ~toxic)]], names=["word", "toxic", "plain"])
 
-    return sample.select(text_col, "_label").mapInArrow(run, "word string, toxic bigint, plain bigint").where("word != ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    return sample.select(text_col, "_label").mapInArrow(tidied(run), "word string, toxic bigint, plain bigint").where("word != ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> Model | float:
@@ -181,7 +181,7 @@ def _features(docs: DataFrame, model: Model, text_col: str, keep: list[str]) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], names=[*keep, "_features"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text")).mapInArrow(run, out)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text")).mapInArrow(tidied(run), out)
 
 
 def score(docs: DataFrame, model: Model | float, text_col: str = "text", score_col: str = "score") -> DataFrame:

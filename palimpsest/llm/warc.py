@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import scratch, setting, written
+from palimpsest.llm.common import scratch, setting, tidied, written
 
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
@@ -120,7 +120,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
                 yield _header(file.as_py(), _inflate(content.as_py()))
 
     with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
-        return written(_files(spark, path).mapInArrow(run, HEADER_SCHEMA), "headers")
+        return written(_files(spark, path).mapInArrow(tidied(run), HEADER_SCHEMA), "headers")
 
 
 def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -159,7 +159,7 @@ def write_deduplicated(spark: SparkSession, source: str, resolved: DataFrame, pa
                     yield pa.RecordBatch.from_arrays([*[rows.field(n).slice(i, 256) for n in names], pa.array(payloads[i : i + 256], pa.string())], names=[*names, "payload"])
 
     with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
-        rows = _files(spark, source).join(side, "file").select("content", "records").mapInArrow(run, "page_id bigint, url string, payload_digest string, payload_bytes bigint, to_page bigint, to_url string, to_id string, payload string")
+        rows = _files(spark, source).join(side, "file").select("content", "records").mapInArrow(tidied(run), "page_id bigint, url string, payload_digest string, payload_bytes bigint, to_page bigint, to_url string, to_id string, payload string")
         revisit = F.col("to_id").isNotNull()
         extra = F.when(revisit, F.concat(
             F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), _line("WARC-Refers-To", F.col("to_id")), _line("WARC-Refers-To-Target-URI", F.col("to_url")),
