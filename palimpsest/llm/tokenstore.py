@@ -30,11 +30,8 @@ from palimpsest.llm.common import dropped, scratch, tidied, written
 WINDOW, MEAN_BITS, LONGEST = 16, 8, 2048
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream; the last is its length."""
-    n = len(ids)
-    if not n:
-        return np.zeros(0, np.int64)
+def cuts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of the id streams that lie one after the other between the bounds."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     total = np.cumsum(mixed, dtype=np.uint64)
@@ -42,8 +39,9 @@ def cuts(ids: np.ndarray) -> np.ndarray:
     rolled[WINDOW:] -= total[:-WINDOW]
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     ends = np.nonzero(rolled >> np.uint64(64 - MEAN_BITS) == 0)[0] + 1
-    ends = np.unique(np.append(ends[ends >= WINDOW], n))
-    starts = np.concatenate(([0], ends[:-1]))
+    ends = ends[ends - bounds[np.searchsorted(bounds, ends) - 1] >= WINDOW]  # windows within one stream
+    ends = np.unique(np.concatenate((ends, bounds[1:][np.diff(bounds) > 0])))
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
     long = np.nonzero(ends - starts > LONGEST)[0]
     if len(long):
         ends = np.unique(np.concatenate([ends, *[np.arange(starts[i] + LONGEST, ends[i], LONGEST) for i in long]]))
@@ -101,27 +99,32 @@ def _tokenized(docs: DataFrame, spec: str, end_id: int | None, wide: bool, id_co
         coder = Units(spec_b.value)
         for whole in batches:
             for part in slices(whole, 1):
-                flat, bounds = coder.documents(space_units(part.column(1)))
-                counts, recipes, roots, new, seen = [], [], [], [], set()
-                for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
-                    ids = flat[a:b] if end_id is None else np.append(flat[a:b], np.uint32(end_id))
-                    raw, width = ids.astype(dtype).tobytes(), 4 if wide else 2
-                    digests, own, start = [], [], 0
-                    for end in cuts(ids).tolist():
-                        data = raw[start * width : end * width]
-                        digest = hashlib.sha256(data).digest()
-                        digests.append(digest)
-                        if digest not in seen:
-                            seen.add(digest)
-                            own.append({"digest": digest, "ids": data})
-                        start = end
-                    counts.append(len(ids))
-                    recipes.append(digests)
-                    roots.append(merkle(digests))
-                    new.append(own)
-                chunk = pa.struct([("digest", pa.binary()), ("ids", pa.binary())])
+                ids, bounds = coder.documents(space_units(part.column(1)))
+                if end_id is not None:
+                    flat, bounds = ids, bounds + np.arange(len(bounds))
+                    ids, inner = np.full(len(flat) + len(bounds) - 1, end_id, np.uint32), np.ones(len(flat) + len(bounds) - 1, bool)
+                    inner[bounds[1:] - 1] = False
+                    ids[inner] = flat
+                ends = cuts(ids, bounds)
+                raw, width = ids.astype(dtype).tobytes(), 4 if wide else 2
+                digests, fresh, data, start, seen = [], np.zeros(len(ends) + 1, np.int64), [], 0, set()
+                for k, end in enumerate((ends * width).tolist(), 1):
+                    chunk = raw[start:end]
+                    digest = hashlib.sha256(chunk).digest()
+                    digests.append(digest)
+                    if digest not in seen:
+                        seen.add(digest)
+                        fresh[k] = 1
+                        data.append(chunk)
+                    start = end
+                of = np.searchsorted(ends, bounds, side="right")
+                roots = [merkle(digests[a:b]) for a, b in zip(of.tolist(), of[1:].tolist())]
+                first = np.nonzero(fresh[1:])[0]
+                listed = pa.array(digests, pa.binary())
+                new = pa.StructArray.from_arrays([listed.take(pa.array(first)), pa.array(data, pa.binary())], names=["digest", "ids"])
+                lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(new, pa.list_(chunk))], names=["doc_id", "n_tokens", "digests", "root", "new"]
+                    [part.column(0), pa.array(np.diff(bounds)), lists(of, listed), pa.array(roots, pa.binary()), lists(np.cumsum(fresh)[of], new)], names=["doc_id", "n_tokens", "digests", "root", "new"]
                 )
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, n_tokens bigint, digests array<binary>, root binary, new array<struct<digest:binary,ids:binary>>")
