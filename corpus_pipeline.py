@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontamination, language, simhash, suffixdedup
+from palimpsest.llm import bpe, decontamination, language, neardup, suffixdedup
 from palimpsest.llm.common import crc_mod, written
 from palimpsest.llm.queries import tokenizer_path
 
@@ -32,11 +32,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash: the one with the smallest id.
+    """One document of each group linked at Jaccard 0.8 or more of five-word shingles: the one with the smallest id.
 
     Documents that share an id count as one, and rows without an id stay.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = neardup.near_duplicates(docs, words=5, similarity=0.8)
     gone = groups.groupBy("id").agg(F.max(F.col("component") == F.col("id")).alias("stays")).where("id is not null and not stays")
     return docs.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,0 +1,137 @@
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+Candidates meet in buckets of banded MinHash values, so their number follows the near copies and not the square of the
+corpus; every candidate pair is then compared by its whole shingle sets.  Nothing below the similarity is linked.  A pair at
+it is missed only if no band agrees: BANDS bands of ROWS values miss (1 - 0.8**ROWS)**BANDS = 0.0004 of the pairs at 0.8.
+
+Documents with equal shingle sets are one class before that.  A bucket of many classes is cut into blocks of BLOCK, and
+every pair of blocks is compared; a task returns a spanning forest of the links it found, not the links.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import ascii_lower, components, tidied, written
+
+BANDS, ROWS = 20, 5
+BLOCK = 256
+_SLICE = 512
+_DRAW = np.random.default_rng(42)
+_MUL = _DRAW.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _DRAW.integers(0, 2**63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words; of all words where there are fewer, of none where there is none."""
+    w = ascii_lower(text).split()
+    digest = xxhash.xxh64_intdigest
+    if len(w) <= words:
+        return np.array([digest(b" ".join(w), seed)] if w else [], np.uint64)
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([digest(joined[i:j], seed) for i, j in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64))
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """One hash a band of a set's MinHash values; none for the empty set."""
+    if not len(grams):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(_MUL), 2**64 - 1, np.uint64)
+    for i in range(0, len(grams), 1024):
+        h = grams[i : i + 1024, None] * _MUL + _ADD
+        np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def _key(grams: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(grams.tobytes())
+
+
+def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join the sets as all pairs at the similarity or more do, at most one less than there are sets."""
+    sizes = np.array([len(s) for s in sets])
+    index = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    mark = np.zeros(index.max() + 1, bool)
+    root, found = np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        if (root[i:] == root[i]).all():
+            continue
+        own = index[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[index[starts[i] :]], starts[i:] - starts[i], dtype=np.int64)
+        mark[own] = False
+        near = np.nonzero(both >= similarity * (sizes[i:] + sizes[i] - both) - 1e-9)[0] + i
+        for j in near.tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                found.append((i, j))
+    return found
+
+
+def _links(classes: DataFrame, docs: DataFrame, words: int, seed: int, similarity: float, block: int) -> DataFrame:
+    """Edges (a, b) over the keys of classes; docs (id, text) has the texts."""
+    meets = written(classes.select("key", "least", F.explode("bands").alias("bucket")), "meets")
+    # buckets of the same classes are compared once
+    sizes = meets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.min("key").alias("low")).where("n > 1")
+    kept = sizes.groupBy("n", "sum", "low").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).alias("cuts"))
+    members = written(meets.join(kept, "bucket").select("bucket", "cuts", "key", "least", F.pmod(F.xxhash64("key"), F.col("cuts")).alias("cut")), "members")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                sets = [shingles(t.as_py(), words, seed) for t in whole.column(0).slice(at, 64)]
+                keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "grams"])
+
+    wanted = members.select("key", "least").distinct()
+    texts = docs.join(wanted.select("least").distinct(), F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text")
+    sets = texts.mapInArrow(tidied(grams), "key bigint, grams binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    packs = written(members.select("bucket", "cuts", "cut", "key").join(sets, "key").groupBy("bucket", "cuts", "cut").agg(F.collect_list(F.struct("key", "grams")).alias("p")), "packs")
+    left = packs.select("bucket", F.col("cut").alias("own"), F.col("p").alias("a"), F.explode(F.sequence("cut", F.col("cuts") - 1)).alias("cut"))
+    pairs = left.join(packs.select("bucket", "cut", F.col("p").alias("b")), ["bucket", "cut"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for same, x, y in zip(whole.column(0), whole.column(1), whole.column(2)):
+                rows = [v for part in ((x,) if same.as_py() else (x, y)) for v in part.as_py()]
+                found = forest([np.frombuffer(r["grams"], np.uint64) for r in rows], similarity)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[i]["key"] for i, _ in found], pa.int64()), pa.array([rows[j]["key"] for _, j in found], pa.int64())], names=["a", "b"])
+
+    return pairs.select((F.col("own") == F.col("cut")).alias("same"), "a", "b").mapInArrow(tidied(run), "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """One row (id, component) per row of docs; component is the smallest id reachable over links.
+
+    Two documents are linked when their sets of word shingles have the Jaccard similarity or more.  Null and blank texts
+    have the empty set and are linked to each other only.  Repeated rows stay repeated.  A null id keeps its row and is
+    never the name of a component that has another id.  Other columns of docs are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                part = whole.slice(at, _SLICE)
+                sets = [shingles(t.as_py(), words, seed) for t in part.column(1)]
+                keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)
+                met = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), met], names=["id", "key", "bands"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = written(pairs.mapInArrow(tidied(run), f"id {kind}, key bigint, bands array<bigint>"), "sketches")
+    classes = written(own.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "classes")
+    roots = components(_links(classes, pairs, words, seed, similarity, block))
+    rooted = classes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return own.select("id", "key").join(written(rooted.select("key", "root").join(names, "root").select("key", "component"), "named"), "key").select("id", "component")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe, common, decontamination, language, lzfingerprint, ngram, queries, simhash, suffixdedup, tokenstore, toxicity, warc
+from palimpsest.llm import bpe, common, decontamination, language, lzfingerprint, neardup, ngram, queries, simhash, suffixdedup, tokenstore, toxicity, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, score string, kept string, component string, lang_pred string"
 RNG = random.Random(7)
@@ -251,6 +251,34 @@ def test_token_store(spark, unique, docs, empty):
     assert tokenstore.store_and_read(docs, path).count() == len(ROWS) and tokenstore.store_and_read(empty, path).count() == 0
 
 
+def test_near_duplicates_at_jaccard(spark, docs, empty):
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{g}x{rng.randrange(10**6)}" for _ in range(120)]
+        for e in range(6):
+            w = list(base)
+            for at in rng.sample(range(120), e):  # an edited word changes five shingles of 116
+                w[at] = f"edit{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(None, rows[0][1]), (500, None), (501, "  "), (502, "one two"), (503, "One  two"), (504, "one three")]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := lower_words(t)) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = Counter((r[0], min(x[0] for x, k in zip(rows, root) if k == root[i] and x[0] is not None)) for i, r in enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for block in (4, neardup.BLOCK):
+        assert Counter((r.id, r.component) for r in neardup.near_duplicates(table, block=block).collect()) == want
+    assert neardup.near_duplicates(docs).count() == len(ROWS) and neardup.near_duplicates(empty).count() == 0
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_duplicates(spark, table, "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter([None, *{c for _, c in want}])
+
+
 def test_ngram_model(docs, empty):
     model = ngram.fit(docs.select("text"), hot_share=0.02)
     got = ngram.score(docs, model).collect()
