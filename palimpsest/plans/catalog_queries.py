@@ -390,10 +390,11 @@ def _(e: Evidence) -> DataFrame:
 
 @query("f13_common_path", "SELECT p_brand, string_agg(name, '>' ORDER BY depth DESC) AS common FROM (SELECT p_brand, name, depth, rank FROM part JOIN closure ON p_partkey = taxon_id GROUP BY p_brand, name, depth, rank, node HAVING count(*) = (SELECT count(*) FROM part q WHERE q.p_brand = part.p_brand)) GROUP BY p_brand")
 def _(e: Evidence) -> DataFrame:
-    paths = e.closure.groupBy("taxon_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "node", "name"))), lambda x: F.struct(x["node"], x["name"])).alias("path"))
-    groups = e.table("part").select(F.col("p_partkey").alias("taxon_id"), "p_brand").join(paths, "taxon_id").groupBy("p_brand").agg(F.collect_set("path").alias("paths"))
-    common = F.aggregate(F.slice("paths", 2, 1000000), F.col("paths")[0], lambda acc, p: F.array_intersect(acc, p))
-    return groups.select("p_brand", F.array_join(F.transform(common, lambda x: x["name"]), ">").alias("common")).where("common != ''")
+    parts = e.table("part").select(F.col("p_partkey").alias("taxon_id"), "p_brand")
+    sizes = parts.groupBy("p_brand").agg(F.count("*").alias("parts"))
+    nodes = parts.join(e.closure, "taxon_id").groupBy("p_brand", "name", "depth", "rank", "node").agg(F.count("*").alias("n"))
+    common = nodes.join(sizes, "p_brand").where("n = parts").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "name"))).alias("path"))  # a node a depth
+    return common.select("p_brand", F.array_join(F.transform("path", lambda x: x["name"]), ">").alias("common"))
 
 
 @query("f14_differences", "SELECT id, 'missing' AS side FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT user_id FROM events) UNION ALL SELECT id, 'surplus' FROM (SELECT user_id AS id FROM events EXCEPT SELECT c_custkey FROM customer)", base=False)

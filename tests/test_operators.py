@@ -144,6 +144,14 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     assert got == {(r.record, r.seq, r.change) for r in revisions.classify_changes(None, frame, "record", "h", "seq")[0].collect()}
 
 
+def test_common_path_has_no_array_of_paths(spark, tmp_path):
+    rows = [(k, "T", "whole", "N") for k in range(50)] + [(k, "T" if k < 99 else "U", "odd", "N") for k in range(50, 100)] + [(100, "T", "one", "N")]
+    spark.createDataFrame(rows, "p_partkey bigint, p_type string, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["f13_common_path"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("whole", "T>whole>N"), ("one", "T>one>N>100")}
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["j12_localities", "e02_ancestor_rollup_corrected", "e03_source_rollup", "g08_parent_walk", "k07_placement", "k11_aligned", "l03_decisions", "m01_invalid_owners", "f02_top_per_group", "h02_h03_interpret", "b05_position", "a12_upsert", "d10_sharing_localities", "j23_viewports"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
