@@ -145,6 +145,11 @@ def _(e: Evidence) -> DataFrame:
     return e.table("documents").select("doc_id", nz.text_or_null(F.substring("text", 1, 1)).alias("t"))
 
 
+@query("b01_text_or_null_whole", "SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, nullif(trim(text), '') AS t FROM documents)", base=False)
+def _(e: Evidence) -> DataFrame:
+    return e.table("documents").select("doc_id", nz.text_or_null(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
+
+
 @query("b02_finite", "SELECT event_id, CAST(round(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END * 100) AS BIGINT) AS x FROM events", base=False)
 def _(e: Evidence) -> DataFrame:
     raw = F.when(F.col("event_id") % 14 == 0, "NaN").when(F.col("event_id") % 7 == 0, "x1").otherwise(F.col("value").cast("string"))

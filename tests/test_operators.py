@@ -152,6 +152,16 @@ def test_common_path_has_no_array_of_paths(spark, tmp_path):
     assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_text_or_null_takes_whole_texts(spark, tmp_path):
+    import hashlib
+
+    rows = [(1, " oak tree "), (2, "   "), (3, ""), (4, None), (5, "é")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["b01_text_or_null_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(i, len(t.strip()), hashlib.md5(t.strip().encode()).hexdigest()) if t and t.strip() else (i, None, None) for i, t in rows}
+    test_queries_equal_sql(spark, "b01_text_or_null_whole")
+
+
 @pytest.mark.parametrize("name", ["j12_localities", "e02_ancestor_rollup_corrected", "e03_source_rollup", "g08_parent_walk", "k07_placement", "k11_aligned", "l03_decisions", "m01_invalid_owners", "f02_top_per_group", "h02_h03_interpret", "b05_position", "a12_upsert", "d10_sharing_localities", "j23_viewports"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
