@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, mapped by workers.
+"""An interpolated modified Kneser-Ney model of order 2 or more: counted in Spark, stored as sorted hash arrays, mapped by workers.
 
 Counting: a task counts the bigrams of a slice of documents with numpy and packs them by bucket; a bucket merges its packs,
 writes its bigrams as one file of sorted 64-bit hashes with their counts, and passes on what it knows of each word: the
@@ -7,6 +7,10 @@ files too.  Buckets go by the first word of a bigram, so that its sums are compl
 bounded sample of documents are spread over all buckets by the whole bigram and their sums are added afterwards, so that no
 bucket grows with one word.  The sample only says where a bigram is counted.
 
+With a higher order n, n-grams are counted so first, in buckets by their context.  Such a bucket writes its n-grams and the sums
+of its contexts, and passes on for every n-gram kind one count of its last n - 1 words (all its counts where only the begin of the
+text stands before them), down to the bigrams.  The sums of hot contexts, 1 / share at most, are added in the driver.
+
 Scoring: workers map the files from the shared folder (read into an unlinked temporary file first where it is not a mounted
 one) and look the distinct words and bigrams of a slice up by binary search.  Nothing of the model passes through the driver
 but counts of counts.
@@ -17,7 +21,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +74,22 @@ def before(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return left
 
 
+def contexts(flat: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+    """The order - 1 tokens before each token, the farthest first, BEGIN where the text has none."""
+    found = [before(flat, bounds)]
+    for _ in range(order - 2):
+        found.insert(0, before(found[0], bounds))
+    return found
+
+
+def folded(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row of words; of one word the word itself."""
+    h = words[0]
+    for w in words[1:]:
+        h = pair(h, w)
+    return h
+
+
 def pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """A hash of each bigram."""
     h = (u ^ (u >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + v * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -123,9 +143,51 @@ def _map(path: str) -> np.ndarray | None:
         return np.memmap(f.name, np.uint8, "r")
 
 
+def _narrow(most: int) -> type:
+    return next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
+
+
+def _packed(words: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Grams and their counts, compressed: the pack's own words, then narrow indices of them and narrow counts."""
+    own, index = np.unique(np.concatenate(words), return_inverse=True)
+    kinds = _narrow(len(own)), _narrow(int(n.max(initial=0)))
+    head = np.array([len(own), len(n), *[np.dtype(k).itemsize for k in kinds]], np.int64)
+    data = b"".join([head.tobytes(), own.tobytes(), index.astype(kinds[0]).tobytes(), n.astype(kinds[1]).tobytes()])
+    return np.int64(len(data)).tobytes() + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(packs: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    words, counts = [], []
+    for raw in packs:
+        data = pa.decompress(raw[8:], int(np.frombuffer(raw, np.int64, 1)[0]), "zstd", asbytes=True)
+        own, n, wide, wide_n = np.frombuffer(data, np.int64, 4).tolist()
+        at = 32 + 8 * own
+        words.append(np.frombuffer(data, np.uint64, own, 32)[np.frombuffer(data, f"u{wide}", order * n, at).reshape(order, n)])
+        counts.append(np.frombuffer(data, f"u{wide_n}", n, at + order * n * wide).astype(np.int64))
+    return (list(np.concatenate(words, axis=1)), np.concatenate(counts)) if words else ([np.zeros(0, np.uint64)] * order, np.zeros(0, np.int64))
+
+
+def _gathered(words: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sorted hashes of the distinct grams, their words and the sums of their counts."""
+    h = folded(words)
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.nonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))[0]
+    return h[first], [w[order[first]] for w in words], np.add.reduceat(n, first) if len(h) else n
+
+
+def _by_bucket(words: list[np.ndarray], n: np.ndarray, hot: np.ndarray, buckets: int) -> list[tuple[str, int, bytes]]:
+    """Rows (kind, bucket, pack) of grams."""
+    context = folded(words[:-1])
+    bucket = _route(context, pair(context, words[-1]), hot, buckets)
+    order = np.lexsort((context, bucket))
+    edges = np.concatenate(([0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)])) if len(order) else [0]
+    return [("b", int(bucket[order[a]]), _packed([w[order[a:b]] for w in words], n[order[a:b]])) for a, b in zip(edges, edges[1:])]
+
+
 def _filed(keys: np.ndarray, fields: list[np.ndarray]) -> bytes:
     """A file: the width of a field's numbers, the sorted keys, the fields one after the other."""
-    kind = np.uint64 if max((int(f.max(initial=0)) for f in fields), default=0) > 0xFFFFFFFF else np.uint32
+    kind = _narrow(max((int(f.max(initial=0)) for f in fields), default=0))
     return b"".join([np.uint64(np.dtype(kind).itemsize).tobytes(), keys.tobytes(), *[f.astype(kind).tobytes() for f in fields]])
 
 
@@ -147,6 +209,16 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.0), k) for k, x in enumerate(d, 1))
 
 
+@dataclass
+class Level:
+    """What is shared of the grams of an order above 2; sums has (total, n1, n2, n3) of each hot context."""
+
+    order: int
+    hot: np.ndarray
+    discounts: tuple[float, float, float]
+    sums: np.ndarray
+
+
 @dataclass
 class Model:
     """Where the files are, and the few numbers that all of them share."""
@@ -160,6 +232,7 @@ class Model:
     d1: tuple[float, float, float]
     d2: tuple[float, float, float]
     ended: tuple[int, int, int]
+    upper: tuple[Level, ...] = ()
 
     def uniform(self) -> float:
         """What each word gets below the unigrams, unknown ones included."""
@@ -196,7 +269,7 @@ class Lookup:
             hit = known[place] == keys[at]
             for f in range(fields):
                 start = 8 + 8 * n + width * n * f
-                column = raw[start : start + width * n].view(np.uint64 if width == 8 else np.uint32)
+                column = raw[start : start + width * n].view(f"u{width}")
                 out[f, at[hit]] = column[place[hit]]
         return out
 
@@ -220,15 +293,39 @@ class Lookup:
         bigrams, first, h_back = np.unique(h, return_index=True, return_inverse=True)
         seen = self._find("bigrams", bigrams, _route(left[first], bigrams, m.hot, m.buckets), 1)[0]
         high = (seen - np.array([0.0, *m.d2])[np.minimum(seen, 3)]) / total[left_back[first]]
-        p = np.log10(high + gamma[left_back[first]] * low[back[first]])[h_back]
+        p = (high + gamma[left_back[first]] * low[back[first]])[h_back]
+        for level in m.upper:
+            p = self._raised(level, flat, bounds, p)
+        p = np.log10(p)
         starts = bounds[:-1]
         return {
             "n_tokens": np.diff(bounds), "n_known": np.add.reduceat((own[0] > 0).astype(np.int64)[back], starts), "base_score": np.add.reduceat(base[back], starts), "score": np.add.reduceat(p, starts),
         }
 
 
-def _hot(docs: DataFrame, text_col: str, share: float) -> np.ndarray:
-    """Hashes of the words that make more than ``share`` of a bounded sample's tokens: 1 / share at most."""
+    def _raised(self, level: Level, flat: np.ndarray, bounds: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The probability of each token by the level's grams; that of the order below where it is too near the begin."""
+        m = self.model
+        left = contexts(flat, bounds, level.order)
+        far = np.nonzero(left[1] != BEGIN)[0]
+        left = folded(left)[far]
+        h, first, back = np.unique(pair(left, flat[far]), return_index=True, return_inverse=True)
+        seen = self._find(f"grams{level.order}", h, _route(left[first], h, level.hot, m.buckets), 1)[0][back]
+        c, c_back = np.unique(left, return_inverse=True)
+        known = self._find(f"contexts{level.order}", c, _route(c, c, level.hot[:0], m.buckets), 4)
+        if len(level.hot):
+            at = np.minimum(np.searchsorted(level.hot, c), len(level.hot) - 1)
+            known = np.where(level.hot[at] == c, level.sums[at].T, known)
+        total, n1, n2, n3 = known[:, c_back]
+        d = np.array([0.0, *level.discounts])
+        p = low.copy()
+        had = total > 0
+        p[far] = np.where(had, (seen - d[np.minimum(seen, 3)] + (d[1] * n1 + d[2] * n2 + d[3] * n3) * low[far]) / np.maximum(total, 1), low[far])
+        return p
+
+
+def _hot(docs: DataFrame, text_col: str, share: float, order: int = 2) -> np.ndarray:
+    """Hashes of the words, or contexts of order - 1 words, that make more than ``share`` of a bounded sample's tokens: 1 / share at most."""
     total = docs.count()
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < F.lit(1_000_000.0 * SAMPLE_DOCS / max(1, total)))
 
@@ -236,7 +333,7 @@ def _hot(docs: DataFrame, text_col: str, share: float) -> np.ndarray:
         for whole in batches:
             for part in slices(whole, 0, SLICE):
                 flat, bounds = tokens(part.column(0))
-                w, n = np.unique(before(flat, bounds), return_counts=True)
+                w, n = np.unique(folded(contexts(flat, bounds, order)), return_counts=True)
                 often = n > share * len(flat) / 4
                 yield pa.RecordBatch.from_arrays([pa.array(w[often].view(np.int64)), pa.array(n[often]), pa.array([len(flat)] + [0] * (int(often.sum()) - 1), pa.int64()) if often.any() else pa.array([], pa.int64())], names=["w", "n", "all"])
 
@@ -245,31 +342,34 @@ def _hot(docs: DataFrame, text_col: str, share: float) -> np.ndarray:
     return np.sort(np.array([r["w"] for r in got if r["n"] > share * tokens_seen], np.int64).view(np.uint64))
 
 
-def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE) -> Model:
-    """The model of all texts of docs."""
+def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, order: int = 2) -> Model:
+    """The model of all texts of docs, with order - 1 words of context."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     path = scratch(spark, "ngram")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4, -(-size // BUCKET_BYTES))
-    hot = _hot(docs, text_col, hot_share)
+    hots = {k: _hot(docs, text_col, hot_share, k) for k in range(2, order + 1)}
+    hot = hots[2]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed counts by bucket: bigrams (u, v, n) and words (w, n)."""
+        """Packed counts by bucket: grams and words (w, n)."""
         for whole in batches:
-            for part in slices(whole, 0, SLICE):
+            for part in slices(whole, 0, SLICE * 2 // order):
                 flat, bounds = tokens(part.column(0))
-                left = before(flat, bounds)
-                h = pair(left, flat)
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
-                u, v = left[first], flat[first]
-                bucket = _route(u, h[first], hot, buckets)
-                order = np.lexsort((u, bucket))
-                bucket, u, v, n = bucket[order], u[order], v[order], n[order].astype(np.uint32)
+                words = [*contexts(flat, bounds, order), flat]
+                _, first, n = np.unique(folded(words), return_index=True, return_counts=True)
+                rows = _by_bucket([w[first] for w in words], n, hots[order], buckets)
+                for i in range(0, len(rows), 64):
+                    kinds, at, packs = zip(*rows[i : i + 64])
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at, pa.int32()), pa.array(packs, pa.binary())], names=["kind", "bucket", "pack"])
+                del words, rows, first, n
                 w, c = np.unique(flat, return_counts=True)
                 wb = _word_bucket(w, buckets)
                 by = np.argsort(wb, kind="stable")
                 wb, w, c = wb[by], w[by], c[by].astype(np.uint32)
-                for kind, keys, columns in (("b", bucket, (u, v, n)), ("w", wb, (w, c))):
+                for kind, keys, columns in (("w", wb, (w, c)),):
                     edges = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
                     for i in range(0, len(edges) - 1, 64):
                         spans = list(zip(edges[i : i + 64], edges[i + 1 : i + 65]))
@@ -289,6 +389,33 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE) -
                 at += n * np.dtype(k).itemsize
         return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds)]
 
+    def merge_grams(level: int) -> Callable[[pa.Table], pa.Table]:
+        """Writes a bucket's grams and contexts; passes on counts, the sums of hot contexts, and the grams one shorter."""
+
+        def merge(table: pa.Table) -> pa.Table:
+            of, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+            packs = table.column("pack").to_pylist()
+            if of == "w":
+                w, c = columns_of(packs, [np.uint64, np.uint32])
+                w, (c,) = _sums(w, [c])
+                rows = [("w", bucket, w.tobytes() + c.astype(np.uint32).tobytes())]
+            else:
+                h, words, n = _gathered(*_unpacked(packs, level))
+                real = words[1] != BEGIN
+                _put(f"{path}/grams{level}-{bucket:06d}", _filed(h[real], [n[real]]))
+                context, m = folded(words[:-1])[real], n[real]
+                context, sums = _sums(context, [m, m == 1, m == 2, m >= 3])
+                spread = np.isin(context, hots[level])
+                _put(f"{path}/contexts{level}-{bucket:06d}", _filed(context[~spread], [x[~spread] for x in sums]))
+                rows = [(f"c{level}", -1, np.array([(m == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes())]
+                if spread.any():
+                    rows.append((f"h{level}", -1, np.array([context[spread].view(np.int64), *[x[spread] for x in sums]], np.int64).tobytes()))
+                _, words, n = _gathered(words[1:], np.where(real, 1, n))
+                rows += _by_bucket(words, n, hots[level - 1], buckets)
+            return pa.table({"kind": [r[0] for r in rows], "bucket": pa.array([r[1] for r in rows], pa.int32()), "pack": pa.array([r[2] for r in rows], pa.binary())})
+
+        return merge
+
     def merge_bigrams(table: pa.Table) -> pa.Table:
         """Writes a bucket's bigrams; passes on counts, and what it knows of first and last words, by their buckets."""
         of = table.column("kind")[0].as_py()
@@ -310,12 +437,7 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE) -
             w, (c,) = _sums(w, [c])
             sent("w", w, c)
         else:
-            u, v, n = columns_of(packs, [np.uint64, np.uint64, np.uint32])
-            h = pair(u, v)
-            order = np.argsort(h, kind="stable")
-            h, u, v, n = h[order], u[order], v[order], n[order].astype(np.int64)
-            first = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
-            h, u, v, n = h[first], u[first], v[first], np.add.reduceat(n, first)
+            h, (u, v), n = _gathered(*_unpacked(packs, 2))
             _put(f"{path}/bigrams-{bucket:06d}", _filed(h, [n]))
             rows.append(("c", -1, np.array([*[(n == k).sum() for k in (1, 2, 3, 4)], len(n)], np.int64).tobytes()))
             begun, sums = _sums(u, [n, n == 1, n == 2, n >= 3])
@@ -343,13 +465,26 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE) -
         return pa.table({"sums": pa.array([got.tolist()], pa.list_(pa.int64()))})
 
     counted = docs.select(text_col).mapInArrow(tidied(count), schema)
+    upper = []
+    for level in range(order, 2, -1):
+        counted = written(counted.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge_grams(level), schema), f"ngram-{level}")
+        kinds, sums = np.zeros(4, np.int64), np.zeros((len(hots[level]), 4), np.int64)
+        for r in counted.where(F.col("kind").isin(f"c{level}", f"h{level}")).select("kind", "pack").toLocalIterator():  # 32 bytes a bucket, and 40 a hot context
+            got = np.frombuffer(bytes(r["pack"]), np.int64)
+            if r["kind"][0] == "c":
+                kinds += got
+            else:
+                keys, *fields = got.reshape(5, -1)
+                sums[np.searchsorted(hots[level], keys.view(np.uint64))] += np.array(fields).T
+        upper.insert(0, Level(level, hots[level], _discounts(kinds.tolist()), sums))
+        counted = counted.where(F.col("kind").isin("b", "w"))
     merged = written(counted.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge_bigrams, schema), "ngram-words")
     n = np.zeros(5, np.int64)
     for r in merged.where("kind = 'c'").select("pack").toLocalIterator():  # 40 bytes a bucket
         n += np.frombuffer(bytes(r["pack"]), np.int64)
     words = written(merged.where("kind != 'c'").repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge_words, "sums array<bigint>"), "ngram-sums")
     s = [words.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(8)]).first()[i] or 0 for i in range(8)]
-    return Model(path, int(buckets), hot, s[0], s[1], s[2], _discounts(s[3:7]), _discounts(n[:4].tolist()), (s[3], s[4], s[7]))
+    return Model(path, int(buckets), hot, s[0], s[1], s[2], _discounts(s[3:7]), _discounts(n[:4].tolist()), (s[3], s[4], s[7]), tuple(upper))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

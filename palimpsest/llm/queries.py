@@ -80,7 +80,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 5) == 1).alias("held_out"))
-    model = _ngram.fit(docs.where("not held_out").select("text"))
+    model = _ngram.fit(docs.where("not held_out").select("text"), order=3)
     scored = _ngram.score(docs, model)
     return scored.select(
         F.col("id").alias("doc_id"), (crc_mod("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"

@@ -307,6 +307,35 @@ def test_ngram_model(docs, empty):
     assert ngram.score(empty, none).count() == 0 and {r.score for r in ngram.score(docs, none).collect()} == {0.0}
 
 
+def test_ngram_model_of_order_three(docs, empty):
+    texts = [lower_words(r[1]) + [None] for r in ROWS]
+    threes = Counter(p for t in texts for p in zip([0, 0] + t, [0] + t, t))
+    twos = Counter()
+    for (_, b, c), n in threes.items():
+        twos[b, c] += n if b == 0 else 1
+    threes = {k: n for k, n in threes.items() if k[1] != 0}
+    ones = Counter(b for _, b in twos)
+    words = Counter(w for t in texts for w in t)
+    cut = lambda c, d: c - d[min(c, 3) - 1] if c else 0
+    d3, d2, d1 = (ngram._discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in (threes, twos, ones))
+    sums = defaultdict(lambda: [0, 0.0])
+    for grams, d in ((threes, d3), (twos, d2)):
+        for k, n in grams.items():
+            sums[k[:-1]][0] += n
+            sums[k[:-1]][1] += d[min(n, 3) - 1]
+
+    def prob(a, b, c):
+        p = cut(ones[c], d1) / len(twos) + sum(d1[min(x, 3) - 1] for x in ones.values()) / len(twos) / (len(words) + 1)
+        p = (cut(twos[b, c], d2) + sums[(b,)][1] * p) / sums[(b,)][0]
+        return (cut(threes.get((a, b, c), 0), d3) + sums[a, b][1] * p) / sums[a, b][0] if (a, b) in sums else p
+
+    want = Counter((r[0], round(sum(math.log10(prob(*p)) for p in zip([0, 0] + t, [0] + t, t)), 6)) for r, t in zip(ROWS, texts))
+    for share in (0.02, 0.002, 1.0):
+        model = ngram.fit(docs.select("text"), hot_share=share, order=3)
+        assert Counter((r.id, round(r.score, 6)) for r in ngram.score(docs, model).collect()) == want
+    assert {r.score for r in ngram.score(docs, ngram.fit(empty.select("text"), order=3)).collect()} == {0.0}
+
+
 def test_warc(spark):
     rows = [(3, "http://a/3", "<p>é</p>", "x"), (1, "http://a/1", "<p>é</p>", "x"), (2, None, None, "x"), (5, "http://a\r\nb", "", "x"), (4, "http://a/4", "one\r\n\r\nWARC/1.1\r\n\r\n" * 50, "x"), (None, "n", "<p>é</p>", "x"), (1, "http://a/1", "<p>é</p>", "x")]
     got = warc.deduplicate(spark.createDataFrame(rows, "page_id bigint, url string, html string, type string").repartition(2)).collect()
