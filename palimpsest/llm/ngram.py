@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import scratch, tidied, written
+from palimpsest.llm.common import dropped, scratch, tidied, written
 
 SLICE = 32 << 20
 BUCKET_BYTES = 12 << 20
@@ -356,7 +356,7 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed counts by bucket: grams and words (w, n)."""
         for whole in batches:
-            for part in slices(whole, 0, SLICE * 2 // order):
+            for part in slices(whole, 0, SLICE if order == 2 else SLICE // 2):
                 flat, bounds = tokens(part.column(0))
                 words = [*contexts(flat, bounds, order), flat]
                 _, first, n = np.unique(folded(words), return_index=True, return_counts=True)
@@ -479,6 +479,8 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
         upper.insert(0, Level(level, hots[level], _discounts(kinds.tolist()), sums))
         counted = counted.where(F.col("kind").isin("b", "w"))
     merged = written(counted.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge_bigrams, schema), "ngram-words")
+    if upper:
+        dropped(counted)
     n = np.zeros(5, np.int64)
     for r in merged.where("kind = 'c'").select("pack").toLocalIterator():  # 40 bytes a bucket
         n += np.frombuffer(bytes(r["pack"]), np.int64)
@@ -495,11 +497,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     probability is 1.  Repeated rows stay; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = SLICE // (1 + 3 * len(model.upper))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(shared.value)
         for whole in batches:
-            for part in slices(whole, 1, SLICE):
+            for part in slices(whole, 1, size):
                 got = lookup.score(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, got.values())], names=["id", *got])
 
