@@ -1,4 +1,4 @@
-"""BPE encoding over distinct words, and decoding through the id-to-piece table.
+"""BPE encoding through a table of distinct words, and decoding through the id-to-piece table.
 
 A text is split into units at places where the tokenizer always splits, whatever stands around: a unit's ids are the same
 alone as in its text, so each distinct unit needs encoding only once and a text's ids are its units' ids in order.
@@ -6,27 +6,32 @@ alone as in its text, so each distinct unit needs encoding only once and a text'
 * Byte-level tokenizers: a space before a letter or visible ASCII character (``<`` apart: it may open a special token).
 * Tokenizers that drop white space: runs of ASCII white space.
 
-``word_table`` counts the units of all documents in Spark, keeps the WORDS commonest and encodes each once.  That table has
-a fixed bound and is broadcast; units outside it are encoded once per slice of documents (SLICE_BYTES of text), or
-once per worker as long as it has met no more than CACHE of them.
+``encode`` runs in three steps over the whole corpus, with no bound on the number of units:
+
+1. Slices of documents (SLICE_BYTES of text) are split; a slice keeps its positions, each the number of a distinct unit, and
+   hands its distinct units on in one pack per bucket, by a hash of the unit.
+2. A bucket holds all packs with a unit, so each distinct unit of the corpus is encoded once, there.  It answers each pack
+   with the ids of its units in the same order.  A slice names a unit once, so no bucket grows with a frequent unit.
+3. Positions and answers meet by slice, and the ids are joined back by position.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import tidied, written
+from palimpsest.llm.common import gathered, removed, scratch, tidied, written
 
-WORDS, CACHE, SLICE_BYTES = 100_000, 400_000, 4 << 20
+CACHE, SLICE_BYTES, BUCKET_BYTES = 200_000, 8 << 20, 12 << 20
 _JOINED = 20_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = "\U0010fffe"  # never a character of a text; texts that hold it all the same are split one by one
@@ -58,23 +63,15 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-@dataclass
-class Coded:
-    """Ids of some words: those of word i are ``flat[start[i] : start[i] + size[i]]``."""
-
-    flat: np.ndarray
-    start: np.ndarray
-    size: np.ndarray
-
-
 class Units:
-    """Encodes slices of unit lists with the tokenizers library; lives in a Python worker.
+    """Encodes unit lists with the tokenizers library; lives in a Python worker, for all its tasks (``coder``).
 
     Words of ASCII letters are encoded many at a time by the vocabulary's own merges, split at spaces alone; other words of
     letters many at a time by the whole tokenizer; all else one by one.  A word begins, or ends, where its piece says so.
+    Words met before are remembered, CACHE of them; a full memory is emptied.
     """
 
-    def __init__(self, spec_json: str, known: tuple[list[str], list[bytes]] | None = None):
+    def __init__(self, spec_json: str):
         from tokenizers import Tokenizer
 
         spec = json.loads(spec_json)
@@ -92,20 +89,17 @@ class Units:
         else:  # a space and letters begin with the only piece that has the space
             self.plain, self.ascii, self.last = f" [{_LATIN}]+", " [A-Za-z]+", False
             self.edge = np.array([pieces.get(i, "").startswith("Ġ") for i in range(size)])
-        words, ids = known or ([], [])
-        self.known = pa.array(words, pa.string())
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        self.known_ids = Coded(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes)
-
-    def words(self, words: pa.Array) -> Coded:
-        """The ids of each word."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False) if len(self.known) else np.full(len(words), -1)
-        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        flats, filled = [self.known_ids.flat], len(self.known_ids.flat)
-        hit = at >= 0
-        start[hit], size[hit] = self.known_ids.start[at[hit]], self.known_ids.size[at[hit]]
-        left = np.nonzero(~hit)[0]
-        some = words.take(pa.array(left))
+        self.memory: dict[str, bytes] = {}
+
+    def words(self, words: pa.Array, remember: bool) -> list[bytes]:
+        """The ids of each of some distinct words, as little-endian unsigned 32-bit integers."""
+        if not remember:
+            out: list[bytes | None] = [None] * len(words)
+            left, some = np.arange(len(words)), words
+        else:
+            out = list(map(self.memory.get, words.to_pylist()))
+            left = np.array([i for i, x in enumerate(out) if x is None], np.int64)
+            some = words.take(pa.array(left))
         is_ascii, is_plain = (pc.match_substring_regex(some, f"^{x}$").to_numpy(zero_copy_only=False) for x in (self.ascii, self.plain))
         for mask, many in ((is_ascii, self._bare), (is_plain & ~is_ascii, self._joined), (~(is_plain | is_ascii), None)):
             whole = left[mask]
@@ -114,22 +108,21 @@ class Units:
                 texts = words.take(pa.array(index)).to_pylist()
                 ids, edges = many(texts) if many else (None, None)
                 if ids is None or len(edges) != len(index):
-                    found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                    ids, sizes = np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+                    found = [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 else:
-                    sizes = np.diff(np.concatenate(([-1], edges)) if self.last else np.concatenate((edges, [len(ids)])))
-                start[index], size[index] = filled + np.cumsum(sizes) - sizes, sizes
-                flats.append(ids)
-                filled += len(ids)
-        coded = Coded(np.concatenate(flats), start, size)
-        if len(left) and len(self.known) + len(left) <= CACHE:
-            old = self.known_ids
-            self.known = pa.concat_arrays([self.known, some])
-            self.known_ids = Coded(coded.flat, np.concatenate([old.start, start[left]]), np.concatenate([old.size, size[left]]))
-        return coded
+                    bounds = (4 * np.concatenate(([0], edges + 1) if self.last else (edges, [len(ids)]))).tolist()
+                    raw = ids.tobytes()
+                    found = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+                for i, x in zip(index.tolist(), found):
+                    out[i] = x
+                if remember:
+                    if len(self.memory) + len(texts) > CACHE:
+                        self.memory.clear()
+                    self.memory.update(zip(texts, found))
+        return out
 
     def _edges(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        got = np.array(ids, np.uint32)
+        got = np.array(ids, "<u4")
         return got, np.nonzero(self.edge[got])[0]
 
     def _bare(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +132,7 @@ class Units:
     def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self._edges(self.tokenizer.encode_batch_fast([(" " if self.last else "").join(texts)], add_special_tokens=False)[0].ids)
 
-    def documents(self, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, units: pa.ListArray, remember: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the unit lists in order, and where each list's ids begin and end.
 
         A unit of letters and closing punctuation is its letters' ids and then the punctuation's; letters are looked up in
@@ -154,13 +147,30 @@ class Units:
         if self.lowers:
             stems = pc.utf8_lower(stems)
         parts = [pc.if_else(parted, stems, distinct).dictionary_encode(), pc.if_else(parted, tails, "").dictionary_encode()]
-        ids = [self.words(p.dictionary) for p in parts]
-        of = [p.indices.to_numpy(zero_copy_only=False)[index] for p in parts]
-        size = np.stack([c.size[k] for c, k in zip(ids, of)], axis=1).ravel()
-        start = np.stack([ids[0].start[of[0]], ids[1].start[of[1]] + len(ids[0].flat)], axis=1).ravel()
-        flat = ragged(np.concatenate([c.flat for c in ids]), start, size)
+        starts, sizes, flats, before = [], [], [], 0
+        for p in parts:
+            ids = self.words(p.dictionary, remember)
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            of = p.indices.to_numpy(zero_copy_only=False)[index]
+            starts.append((np.cumsum(n) - n + before)[of])
+            sizes.append(n[of])
+            flats.append(np.frombuffer(b"".join(ids), "<u4"))
+            before += len(flats[-1])
+        size = np.stack(sizes, axis=1).ravel()
+        flat = ragged(np.concatenate(flats), np.stack(starts, axis=1).ravel(), size)
         ends = np.concatenate(([0], np.cumsum(size)))
-        return flat.astype("<u4"), ends[2 * offsets]
+        return flat, ends[2 * offsets]
+
+
+_CODERS: dict[str, Units] = {}
+
+
+def coder(spec: str) -> Units:
+    """The worker's own Units of a tokenizer, made once."""
+    if spec not in _CODERS:
+        _CODERS.clear()
+        _CODERS[spec] = Units(spec)
+    return _CODERS[spec]
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -196,50 +206,122 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def word_table(docs: DataFrame, spec: str, text_col: str = "text", words: int = WORDS) -> tuple[list[str], list[bytes]]:
-    """The ids of the commonest units over all documents: ``words`` at most, each encoded once."""
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """The words' sizes in bytes and their bytes."""
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    return np.diff(bounds), data[int(bounds[0]) : int(bounds[-1])].to_pybytes() if data is not None else b""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in slices(whole, 0, 4 * SLICE_BYTES):
-                got = pc.list_flatten(byte_units(part.column(0))).value_counts()
-                yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], names=["word", "n"])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Units(spec)
-        for batch in batches:
-            got = coder.words(batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([got.flat[a : a + n].astype("<u4").tobytes() for a, n in zip(got.start, got.size)], pa.binary())], names=["word", "ids"])
+def _strings(sizes: np.ndarray, data: bytes) -> pa.Array:
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.py_buffer(data)])
 
-    counted = docs.select(text_col).mapInArrow(tidied(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = written(counted, "words").where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word")
-    rows = top.mapInArrow(tidied(encode), "word string, ids binary").collect()
-    return [r["word"] for r in rows], [bytes(r["ids"]) for r in rows]
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    most = int(x.max(initial=0))
+    return x.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max))
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", words: int = WORDS, keep: list[str] | None = None) -> DataFrame:
+
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays of whole numbers at their least width, or bytes, compressed in one piece."""
+    parts = [x if isinstance(x, bytes) else _narrow(x) for x in arrays]
+    head = np.array([y for x in parts for y in ((0, len(x)) if isinstance(x, bytes) else (x.itemsize, len(x)))], "<i8")
+    data = head.tobytes() + b"".join(x if isinstance(x, bytes) else np.frombuffer(x.tobytes(), np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in parts)
+    return np.int64(len(data)).tobytes() + np.int64(len(parts)).tobytes() + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack(raw: bytes) -> list[np.ndarray | bytes]:
+    size, n = np.frombuffer(raw, "<i8", 2).tolist()
+    data = pa.decompress(raw[16:], size, "zstd", asbytes=True)
+    out, at = [], 16 * n
+    for width, count in np.frombuffer(data, "<i8", 2 * n).reshape(n, 2).tolist():
+        if width:
+            planes = np.frombuffer(data, np.uint8, width * count, at).reshape(width, count)
+            out.append(np.frombuffer(planes.T.tobytes(), f"<u{width}"))
+        else:
+            out.append(data[at : at + count])
+        at += max(width, 1) * count
+    return out
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with ids, an array of the tokenizer's ids of the text as its library gives them without added tokens.
 
     For byte-level tokenizers (JSON at ``path``).  Null and empty texts have an empty array; strings of special tokens inside
     a text are those tokens, as in the library.  A column of docs named like ids_col is replaced; all other columns, or
     those named by ``keep``, and repeated rows stay.
     """
-    spark: SparkSession = docs.sparkSession
-    spec = read_spec(path)
-    known = spark.sparkContext.broadcast(word_table(docs, spec, text_col, words))
-    spec_b = spark.sparkContext.broadcast(spec)
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     rest = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
-    out = T.StructType([*[docs.schema[c] for c in rest], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Units(spec_b.value, known.value)
-        for whole in batches:
-            for part in slices(whole, len(rest)):
-                ids, ends = coder.documents(byte_units(part.column(len(rest))))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], lists], names=[*rest, ids_col])
-
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text")).mapInArrow(tidied(run), out)
+    kept = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(rest)])
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    buckets = max(4, -(-size // bucket_bytes))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each slice its positions, bucket -1 with the documents' other columns, and a pack of units per bucket."""
+        for part in gathered(batches, len(rest), slice_bytes):
+            units = byte_units(part.column(len(rest)))
+            offsets = units.offsets.to_numpy().astype(np.int64)
+            coded = units.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+            words = coded.dictionary
+            digest = xxhash.xxh3_64_intdigest
+            bucket = np.array([digest(w) for w in words.to_pylist()], np.uint64) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.concatenate(([0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
+            rows = [(-1, pack(coded.indices.to_numpy(zero_copy_only=False), np.diff(offsets), bucket), part)]
+            ordered = words.take(pa.array(order))
+            rows += [(int(bucket[order[a]]), pack(*_bytes_of(ordered.slice(a, b - a))), part.slice(0, 0)) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+            name = uuid.uuid4().hex
+            for i in range(0, len(rows), 256):
+                at, packs, others = zip(*rows[i : i + 256])
+                values = pa.StructArray.from_arrays([pa.chunked_array([o.column(k) for o in others]).combine_chunks() for k in range(len(rest))], fields=list(inner)) if rest else pa.array([{}] * sum(o.num_rows for o in others), pa.struct([]))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([o.num_rows for o in others]))), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int64()), pa.array(packs, pa.binary()), pa.array([b < 0 for b in at]), lists], names=["slice", "bucket", "pack", "held", "rows"])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    inner = to_arrow_schema(kept)
+    sliced = T.StructType([T.StructField("slice", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("pack", T.BinaryType()), T.StructField("held", T.BooleanType()), T.StructField("rows", T.ArrayType(kept))])
+
+    def answer(table: pa.Table) -> pa.Table:
+        """The ids of a bucket's distinct units, each encoded once, for each pack of them."""
+        many = [_strings(*unpack(p)) for p in table.column("pack").to_pylist()]
+        coded = pa.chunked_array(many).combine_chunks().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        flat, ends = coder(spec.value).documents(pa.ListArray.from_arrays(pa.array(np.arange(len(coded.dictionary) + 1, dtype=np.int32)), coded.dictionary), remember=False)
+        sizes, packs, at = np.diff(ends), [], 0
+        for m in many:
+            own = index[at : at + len(m)]
+            at += len(m)
+            packs.append(pack(sizes[own], ragged(flat, ends[own], sizes[own])))
+        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "pack": pa.array(packs, pa.binary())})
+
+    def join(table: pa.Table) -> pa.Table:
+        """The documents of a slice with their ids."""
+        table = table.sort_by("bucket")
+        packs = table.column("pack").to_pylist()
+        index, lengths, bucket = unpack(packs[0])
+        found = [unpack(p) for p in packs[1:]]
+        order = np.argsort(bucket, kind="stable")
+        size, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        size[order] = np.concatenate([np.zeros(0, np.int64), *[s.astype(np.int64) for s, _ in found]])
+        start[order] = np.cumsum(size[order]) - size[order]
+        flat = np.concatenate([np.zeros(0, np.int32), *[i.astype(np.int32) for _, i in found]])
+        ids = ragged(flat, start[index], size[index])
+        ends = np.concatenate(([0], np.cumsum(size[index])))[np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))]
+        values = table.column("rows").chunk(0)[0].values if len(rest) else None
+        whole = values.flatten() if values is not None else []
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+        return pa.table([*whole, lists], names=[*inner.names, "ids"])
+
+    place = scratch(docs.sparkSession, "sliced")
+    table = written(docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`")).toDF(*inner.names, "t").mapInArrow(tidied(cut), sliced), "sliced", to=place, by="held")
+    asked = table.where("not held").select("slice", "bucket", "pack")
+    answers = written(asked.repartition(min(buckets, 20_000), "bucket").groupBy("bucket").applyInArrow(answer, "slice string, bucket bigint, pack binary"), "answers")
+    removed(docs.sparkSession, f"{place}/held=false")
+    both = table.where("held").select("slice", "bucket", "pack", "rows").unionByName(answers.withColumn("rows", F.lit(None).cast(T.ArrayType(kept))))
+    out = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return both.groupBy("slice").applyInArrow(join, out).toDF(*rest, ids_col)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -12,10 +12,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -23,6 +26,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder; a temporary one is set only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex[:12]}"
@@ -42,21 +47,29 @@ def setting(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, to: str | None = None) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder; shuffle files of the write go when it ends."""
+def written(df: DataFrame, name: str, to: str | None = None, by: str | None = None) -> DataFrame:
+    """The rows of df from a Parquet table in the shared folder; shuffle files of the write go when it ends.
+
+    With ``by``, a folder for each value of that column.
+    """
     spark = df.sparkSession
     path = to or scratch(spark, name)
     with setting(spark, **{_CLEANUP.replace(".", "__"): "true"}):
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch files that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, folder)
 
 
 def release() -> None:
@@ -66,8 +79,39 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose strings of a column take about ``most`` bytes; a longer text stands alone."""
+    held, size = [], 0
+    for whole in batches:
+        bytes_of = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < len(bytes_of):
+            n = int(np.searchsorted(np.cumsum(bytes_of[at:]), most - size, side="right"))
+            n = max(n, 0 if held else 1)
+            if n:
+                held.append(whole.slice(at, n))
+                size += int(bytes_of[at : at + n].sum())
+                at += n
+            if at < len(bytes_of):
+                yield _one(held)
+                held, size = [], 0
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def tidied(run: Callable) -> Callable:
-    """A function of Arrow batches that gives its memory back when it ends."""
+    """A function of Arrow batches that gives its memory back when it ends.
+
+    It also sets the session to hand over batches of BATCH_BYTES at most: by default a batch is 10,000 rows however long
+    their texts are, and is held in the executor and in the Python worker alike.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -17,7 +17,7 @@ from palimpsest.llm import suffixdedup as _suffixdedup
 from palimpsest.llm import tokenstore as _tokenstore
 from palimpsest.llm import toxicity as _toxicity
 from palimpsest.llm import warc as _warc
-from palimpsest.llm.common import crc_mod, written
+from palimpsest.llm.common import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    coded = written(_bpe.encode(_table(spark, sf_dir, "documents"), path, keep=["doc_id"]), "ids")
+    coded = _bpe.encode(_table(spark, sf_dir, "documents"), path, keep=["doc_id"])
     return _bpe.decode(coded, path).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

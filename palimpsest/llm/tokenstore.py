@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import Units, read_spec, slices, space_units, vocabulary
+from palimpsest.llm.bpe import coder, read_spec, slices, space_units, vocabulary
 from palimpsest.llm.common import dropped, scratch, tidied, written
 
 WINDOW, MEAN_BITS, LONGEST = 16, 8, 2048
@@ -96,10 +96,9 @@ def _tokenized(docs: DataFrame, spec: str, end_id: int | None, wide: bool, id_co
     spec_b = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Units(spec_b.value)
         for whole in batches:
             for part in slices(whole, 1):
-                ids, bounds = coder.documents(space_units(part.column(1)))
+                ids, bounds = coder(spec_b.value).documents(space_units(part.column(1)))
                 if end_id is not None:
                     flat, bounds = ids, bounds + np.arange(len(bounds))
                     ids, inner = np.full(len(flat) + len(bounds) - 1, end_id, np.uint32), np.ones(len(flat) + len(bounds) - 1, bool)

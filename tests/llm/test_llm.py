@@ -213,6 +213,9 @@ def test_bpe_round_trip(docs, empty):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert (r.ids, r.decoded) == (ids, library.decode(ids, skip_special_tokens=False))
     assert bpe.encode(empty, path).count() == 0
+    clashing = docs.select("doc_id", F.lit("a").alias("_text"), F.lit("b").alias("slice"), F.lit(1).alias("bucket"), "text")
+    small = bpe.encode(clashing, path, slice_bytes=3000, bucket_bytes=500).collect()  # many slices and buckets, a text longer than a slice
+    assert len(small) == len(ROWS) and all((r._text, r.slice, r.bucket) == ("a", "b", 1) and r.ids == library.encode(r.text or "", add_special_tokens=False).ids for r in small)
 
 
 def test_bpe_random_text(spark):
