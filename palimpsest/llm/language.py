@@ -1,7 +1,7 @@
 """Language identification: word frequencies first, then ever shorter character n-grams for words not known.
 
-The model is a classifier fitted on a bounded sample: about MAX_DOCS labelled documents of each language, drawn by a hash
-of the text, from which Spark counts words and n-grams by language.  It keeps the MAX_WORDS commonest words and the MAX_GRAMS
+The model is a classifier fitted on a bounded sample: about MAX_DOCS labelled documents of each language, drawn row by row
+(copies count as often as they stand there), from which Spark counts words and n-grams by language.  It keeps the MAX_WORDS commonest words and the MAX_GRAMS
 commonest n-grams over all languages together, so what reaches driver and executors has a fixed bound.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import tidied
+from palimpsest.llm.common import tidied, written
 
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 2_000, 60_000, 40_000, 1_000
 LONGEST = 5
@@ -116,35 +116,28 @@ def _log_table(rows: list, at: dict[str, int], sums: np.ndarray) -> dict[str, np
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """A model from the rows whose language is not null."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
-    if totals.count() > MAX_LANGS:
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(totals) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(F.broadcast(totals), "lang").where(draw < F.lit(float(max_docs)) / F.col("total"))
+    sample = rows.sampleBy("lang", {x: min(1.0, max_docs / n) for x, n in totals.items()}, seed=42) if totals else rows
     word = F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")).alias("k")
-    counts = sample.select("lang", word).where("k != ''").groupBy("lang", "k").agg(F.count("*").alias("n")).persist()
-    try:
-        prior = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-        marked = F.concat(F.lit("^"), F.col("k"), F.lit("$"))
-        gram = F.explode(F.flatten(F.array(*[
-            F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-            for n in range(1, LONGEST + 1)
-        ]))).alias("k")
-        grams = counts.select("lang", "n", gram).groupBy("lang", "k").agg(F.sum("n").alias("n"))
-
-        def commonest(df: DataFrame, most: int) -> list:
-            top = df.groupBy("k").agg(F.sum("n").alias("all")).where(F.col("all") > 1).orderBy(F.desc("all"), "k").limit(most)
-            return df.join(top.select("k"), "k").collect()
-
-        langs = sorted(prior)
-        at = {x: i for i, x in enumerate(langs)}
-        sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        mass = np.array([float(sums.get(x, 0)) for x in langs])
-        gram_sums = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        gram_mass = np.array([float(gram_sums.get(x, 0)) for x in langs])
-        return Model(langs, np.log(np.array([prior[x] for x in langs], np.float64) / max(1, sum(prior.values()))), _log_table(commonest(counts, max_words), at, mass), _log_table(commonest(grams, max_grams), at, gram_mass))
-    finally:
-        counts.unpersist()
+    counts = written(sample.select("lang", word).where("k != ''").groupBy("lang", "k").agg(F.count("*").alias("n")), "words")
+    marked = F.concat(F.lit("^"), F.col("k"), F.lit("$"))
+    gram = F.explode(F.flatten(F.array(*[
+        F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        for n in range(1, LONGEST + 1)
+    ]))).alias("k")
+    grams = written(counts.select("lang", "n", gram).groupBy("lang", "k").agg(F.sum("n").alias("n")), "grams")
+    langs = sorted(totals)
+    at = {x: i for i, x in enumerate(langs)}
+
+    def logs(df: DataFrame, most: int) -> dict[str, np.ndarray]:
+        top = df.groupBy("k").agg(F.sum("n").alias("all")).where(F.col("all") > 1).orderBy(F.desc("all"), "k").limit(most)
+        sums = {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        return _log_table(df.join(top.select("k"), "k").collect(), at, np.array([float(sums.get(x, 0)) for x in langs]))
+
+    prior = np.array([totals[x] for x in langs], np.float64)
+    return Model(langs, np.log(prior / max(1.0, prior.sum())), logs(counts, max_words), logs(grams, max_grams))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -13,7 +13,10 @@ text stands before them), down to the bigrams.  The sums of hot contexts, 1 / sh
 
 Scoring: workers map the files from the shared folder (read into an unlinked temporary file first where it is not a mounted
 one) and look the distinct words and bigrams of a slice up by binary search.  Nothing of the model passes through the driver
-but counts of counts.
+but counts of counts and a bit for each file; a file that a worker cannot see is an error, never an unknown word.
+
+Words are known by whole 64-bit hashes.  N-grams and contexts are kept by KEY_BITS bits of theirs within a bucket: an n-gram
+that was never seen is taken for one that was in about one case in a million.  Those seen once are keys alone.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import dropped, scratch, tidied, written
+from palimpsest.llm.common import dropped, gathered, scratch, tidied, written
 
-SLICE = 32 << 20
+SLICE, SCORED = 12 << 20, 4 << 20
+KEY_BITS = 40
 BUCKET_BYTES = 12 << 20
 SAMPLE_DOCS, HOT_SHARE = 2_000, 0.002
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
+OPEN_FILES = 2_000
 _FIELDS = ("count", "kinds_before", "total", "n1", "n2", "n3")
 
 
@@ -126,16 +131,13 @@ def _put(path: str, data: bytes) -> None:
             f.write(data)
 
 
-def _map(path: str) -> np.ndarray | None:
-    """The file's bytes, mapped; None where there is none."""
+def _map(path: str) -> np.ndarray:
+    """The file's bytes, mapped; raises where this worker can't see it."""
     if "://" not in path or path.startswith("file:"):
-        local = path.removeprefix("file://")
-        return np.memmap(local, np.uint8, "r") if os.path.exists(local) and os.path.getsize(local) else None
+        return np.memmap(path.removeprefix("file://"), np.uint8, "r")
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
-    if store.get_file_info(inner).size in (None, 0):
-        return None
     with tempfile.NamedTemporaryFile() as f, store.open_input_stream(inner) as src:
         while block := src.read(1 << 22):
             f.write(block)
@@ -186,11 +188,47 @@ def _by_bucket(words: list[np.ndarray], n: np.ndarray, hot: np.ndarray, buckets:
 
 
 def _filed(keys: np.ndarray, fields: list[np.ndarray]) -> bytes:
-    """A file: the width of a field's numbers, the sorted keys, the fields one after the other."""
+    """A file of whole keys: the width of a field's numbers, the sorted keys, the fields one after the other."""
     kind = _narrow(max((int(f.max(initial=0)) for f in fields), default=0))
     return b"".join([np.uint64(np.dtype(kind).itemsize).tobytes(), keys.tobytes(), *[f.astype(kind).tobytes() for f in fields]])
 
 
+#: What an n-gram, or a context by its (total, n1, n2, n3), has that was seen once.
+_ONCE = {1: (1,), 4: (1, 1, 0, 0)}
+
+
+def _padded(x: np.ndarray) -> bytes:
+    return x.tobytes() + bytes(-x.nbytes % 8)
+
+
+def _short_filed(keys: np.ndarray, fields: list[np.ndarray]) -> bytes:
+    """A file of keys cut to KEY_BITS: those seen once, then the others with their fields; parts begin at multiples of eight."""
+    once = fields[0] == 1
+    kind = _narrow(max((int(f.max(initial=0)) for f in fields), default=0))
+    out = [np.array([once.sum(), len(keys) - once.sum(), np.dtype(kind).itemsize], np.int64).tobytes()]
+    for some in (once, ~once):
+        k = keys[some]
+        out += [_padded((k >> np.uint64(32)).astype(np.uint32)), _padded((k >> np.uint64(64 - KEY_BITS)).astype(np.uint8))]
+    return b"".join([*out, *[_padded(f[~once].astype(kind)) for f in fields]])
+
+
+def _place(high: np.ndarray, low: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands among the cut ones, or -1."""
+    out = np.full(len(keys), -1)
+    if len(high):
+        own, rest = (keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(64 - KEY_BITS)).astype(np.uint8)
+        at = np.searchsorted(high, own)
+        left = np.arange(len(keys))
+        while len(left):  # as often as cut keys agree in 32 bits
+            left = left[at[left] < len(high)]
+            left = left[high[at[left]] == own[left]]
+            hit = low[at[left]] == rest[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+    return out
+
+
 def _sums(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted distinct keys and the sums of each column by key."""
     order = np.argsort(keys, kind="stable")
@@ -233,6 +271,11 @@ class Model:
     d2: tuple[float, float, float]
     ended: tuple[int, int, int]
     upper: tuple[Level, ...] = ()
+    files: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def has(self, kind: str, bucket: int) -> bool:
+        """Whether the bucket wrote a file of the kind."""
+        return bool(self.files[kind][bucket >> 3] >> (bucket & 7) & 1) if kind in self.files else False
 
     def uniform(self) -> float:
         """What each word gets below the unigrams, unknown ones included."""
@@ -248,7 +291,11 @@ class Lookup:
         self.model, self.open = model, {}
 
     def _file(self, kind: str, k: int) -> np.ndarray | None:
+        if not self.model.has(kind, k):
+            return None
         if (kind, k) not in self.open:
+            if len(self.open) >= OPEN_FILES:
+                self.open.clear()
             self.open[kind, k] = _map(f"{self.model.path}/{kind}-{k:06d}")
         return self.open[kind, k]
 
@@ -260,19 +307,45 @@ class Lookup:
         for a, b in zip(edges, edges[1:]):
             at = order[a:b]
             raw = self._file(kind, int(bucket[at[0]]))
-            if raw is None:
-                continue
-            width = int(raw[:8].view(np.uint64)[0])
-            n = (len(raw) - 8) // (8 + width * fields)
-            known = raw[8 : 8 * n + 8].view(np.uint64)
-            place = np.minimum(np.searchsorted(known, keys[at]), n - 1)
-            hit = known[place] == keys[at]
-            for f in range(fields):
-                start = 8 + 8 * n + width * n * f
-                column = raw[start : start + width * n].view(f"u{width}")
-                out[f, at[hit]] = column[place[hit]]
+            if raw is not None and kind == "words":
+                self._whole(raw, keys, at, out)
+            elif raw is not None:
+                self._short(raw, keys, at, out)
         return out
 
+    @staticmethod
+    def _whole(raw: np.ndarray, keys: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+        width = int(raw[:8].view(np.uint64)[0])
+        n = (len(raw) - 8) // (8 + width * len(out))
+        if not n:
+            return
+        known = raw[8 : 8 * n + 8].view(np.uint64)
+        place = np.minimum(np.searchsorted(known, keys[at]), n - 1)
+        hit = known[place] == keys[at]
+        for f in range(len(out)):
+            start = 8 + 8 * n + width * n * f
+            column = raw[start : start + width * n].view(f"u{width}")
+            out[f, at[hit]] = column[place[hit]]
+
+    @staticmethod
+    def _short(raw: np.ndarray, keys: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+        once, more, width = raw[:24].view(np.int64).tolist()
+        start = 24
+
+        def part(n: int, kind: str) -> np.ndarray:
+            nonlocal start
+            size = n * int(kind[1:])
+            start += size + -size % 8
+            return raw[start - size - -size % 8 :][:size].view(kind)
+
+        place = _place(part(once, "u4"), part(once, "u1"), keys[at])
+        for f, x in enumerate(_ONCE[len(out)]):
+            out[f, at[place >= 0]] = x
+        place = _place(part(more, "u4"), part(more, "u1"), keys[at])
+        hit = place >= 0
+        for f in range(len(out)):
+            out[f, at[hit]] = part(more, f"u{width}")[place[hit]]
+
     def words(self, w: np.ndarray) -> np.ndarray:
         return self._find("words", w, _word_bucket(w, self.model.buckets), len(_FIELDS))
 
@@ -326,8 +399,7 @@ class Lookup:
 
 def _hot(docs: DataFrame, text_col: str, share: float, order: int = 2) -> np.ndarray:
     """Hashes of the words, or contexts of order - 1 words, that make more than ``share`` of a bounded sample's tokens: 1 / share at most."""
-    total = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < F.lit(1_000_000.0 * SAMPLE_DOCS / max(1, total)))
+    some = docs.sample(min(1.0, SAMPLE_DOCS / max(1, docs.count())), seed=42)  # by row, so that copies count as often as they stand there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -342,6 +414,41 @@ def _hot(docs: DataFrame, text_col: str, share: float, order: int = 2) -> np.nda
     return np.sort(np.array([r["w"] for r in got if r["n"] > share * tokens_seen], np.int64).view(np.uint64))
 
 
+def _bits(rows: DataFrame, buckets: int) -> np.ndarray:
+    """A bit for each bucket that rows name: eight buckets a byte in the driver."""
+    found = rows.groupBy(F.shiftright("bucket", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, bucket & 7)")).alias("bits")).toPandas()
+    out = np.zeros(-(-buckets // 8), np.uint8)
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    return out
+
+
+def _summary(rows: DataFrame, level: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the kinds seen once to four times, and which buckets wrote a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.frombuffer(x, np.int64) for b in batches for x in b.column(0).to_pylist()), np.zeros(4, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], names=[f"n{k}" for k in range(4)])
+
+    got = rows.where(F.col("kind") == f"c{level}").select("pack").mapInArrow(tidied(run), "n0 bigint, n1 bigint, n2 bigint, n3 bigint").agg(*[F.sum(f"n{k}") for k in range(4)]).first()
+    return np.array([x or 0 for x in got], np.int64), _bits(rows.where(F.col("kind") == f"f{level}").select("bucket"), buckets)
+
+
+def _hot_sums(rows: DataFrame, hot: np.ndarray, level: int) -> np.ndarray:
+    """(total, n1, n2, n3) of each hot context, added up over the buckets: a row a context in the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(x, np.int64).reshape(5, -1)], names=["key", "n0", "n1", "n2", "n3"])
+
+    out = np.zeros((len(hot), 4), np.int64)
+    if len(hot):
+        found = rows.where(F.col("kind") == f"h{level}").select("pack").mapInArrow(tidied(run), "key bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
+        for r in found.groupBy("key").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]).collect():
+            out[np.searchsorted(hot, np.array([r["key"]], np.int64).view(np.uint64))[0]] = r["n0"], r["n1"], r["n2"], r["n3"]
+    return out
+
+
 def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, order: int = 2) -> Model:
     """The model of all texts of docs, with order - 1 words of context."""
     if order < 2:
@@ -350,31 +457,31 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
     path = scratch(spark, "ngram")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4, -(-size // BUCKET_BYTES))
+    files: dict[str, np.ndarray] = {}
     hots = {k: _hot(docs, text_col, hot_share, k) for k in range(2, order + 1)}
     hot = hots[2]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed counts by bucket: grams and words (w, n)."""
-        for whole in batches:
-            for part in slices(whole, 0, SLICE if order == 2 else SLICE // 2):
-                flat, bounds = tokens(part.column(0))
-                words = [*contexts(flat, bounds, order), flat]
-                _, first, n = np.unique(folded(words), return_index=True, return_counts=True)
-                rows = _by_bucket([w[first] for w in words], n, hots[order], buckets)
-                for i in range(0, len(rows), 64):
-                    kinds, at, packs = zip(*rows[i : i + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at, pa.int32()), pa.array(packs, pa.binary())], names=["kind", "bucket", "pack"])
-                del words, rows, first, n
-                w, c = np.unique(flat, return_counts=True)
-                wb = _word_bucket(w, buckets)
-                by = np.argsort(wb, kind="stable")
-                wb, w, c = wb[by], w[by], c[by].astype(np.uint32)
-                for kind, keys, columns in (("w", wb, (w, c)),):
-                    edges = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
-                    for i in range(0, len(edges) - 1, 64):
-                        spans = list(zip(edges[i : i + 64], edges[i + 1 : i + 65]))
-                        packs = [b"".join(x[a:b].tobytes() for x in columns) for a, b in spans]
-                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(spans)), pa.array([int(keys[a]) for a, _ in spans], pa.int32()), pa.array(packs, pa.binary())], names=["kind", "bucket", "pack"])
+        for part in gathered(batches, 0, SLICE):
+            flat, bounds = tokens(part.column(0))
+            words = [*contexts(flat, bounds, order), flat]
+            _, first, n = np.unique(folded(words), return_index=True, return_counts=True)
+            rows = _by_bucket([w[first] for w in words], n, hots[order], buckets)
+            for i in range(0, len(rows), 64):
+                kinds, at, packs = zip(*rows[i : i + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at, pa.int32()), pa.array(packs, pa.binary())], names=["kind", "bucket", "pack"])
+            del words, rows, first, n
+            w, c = np.unique(flat, return_counts=True)
+            wb = _word_bucket(w, buckets)
+            by = np.argsort(wb, kind="stable")
+            wb, w, c = wb[by], w[by], c[by].astype(np.uint32)
+            for kind, keys, columns in (("w", wb, (w, c)),):
+                edges = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
+                for i in range(0, len(edges) - 1, 64):
+                    spans = list(zip(edges[i : i + 64], edges[i + 1 : i + 65]))
+                    packs = [b"".join(x[a:b].tobytes() for x in columns) for a, b in spans]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(spans)), pa.array([int(keys[a]) for a, _ in spans], pa.int32()), pa.array(packs, pa.binary())], names=["kind", "bucket", "pack"])
 
     schema = "kind string, bucket int, pack binary"
     parts = min(buckets, 20_000)
@@ -402,12 +509,12 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
             else:
                 h, words, n = _gathered(*_unpacked(packs, level))
                 real = words[1] != BEGIN
-                _put(f"{path}/grams{level}-{bucket:06d}", _filed(h[real], [n[real]]))
+                _put(f"{path}/grams{level}-{bucket:06d}", _short_filed(h[real], [n[real]]))
                 context, m = folded(words[:-1])[real], n[real]
                 context, sums = _sums(context, [m, m == 1, m == 2, m >= 3])
                 spread = np.isin(context, hots[level])
-                _put(f"{path}/contexts{level}-{bucket:06d}", _filed(context[~spread], [x[~spread] for x in sums]))
-                rows = [(f"c{level}", -1, np.array([(m == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes())]
+                _put(f"{path}/contexts{level}-{bucket:06d}", _short_filed(context[~spread], [x[~spread] for x in sums]))
+                rows = [(f"f{level}", bucket, b""), (f"c{level}", -1, np.array([(m == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes())]
                 if spread.any():
                     rows.append((f"h{level}", -1, np.array([context[spread].view(np.int64), *[x[spread] for x in sums]], np.int64).tobytes()))
                 _, words, n = _gathered(words[1:], np.where(real, 1, n))
@@ -438,8 +545,9 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
             sent("w", w, c)
         else:
             h, (u, v), n = _gathered(*_unpacked(packs, 2))
-            _put(f"{path}/bigrams-{bucket:06d}", _filed(h, [n]))
-            rows.append(("c", -1, np.array([*[(n == k).sum() for k in (1, 2, 3, 4)], len(n)], np.int64).tobytes()))
+            _put(f"{path}/bigrams-{bucket:06d}", _short_filed(h, [n]))
+            rows.append(("f2", bucket, b""))
+            rows.append(("c2", -1, np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()))
             begun, sums = _sums(u, [n, n == 1, n == 2, n >= 3])
             sent("first", begun, *sums)
             ended, (kinds,) = _sums(v, [np.ones(len(v), np.int64)])
@@ -462,31 +570,26 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
         predicted = w != BEGIN
         ends = fields[1][predicted]
         got = np.array([fields[0].sum(), (fields[0] > 0).sum(), ends.sum(), *[(ends == k).sum() for k in (1, 2, 3, 4)], (ends >= 3).sum()], np.int64)
-        return pa.table({"sums": pa.array([got.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "sums": pa.array([got.tolist()], pa.list_(pa.int64()))})
 
     counted = docs.select(text_col).mapInArrow(tidied(count), schema)
     upper = []
     for level in range(order, 2, -1):
         counted = written(counted.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge_grams(level), schema), f"ngram-{level}")
-        kinds, sums = np.zeros(4, np.int64), np.zeros((len(hots[level]), 4), np.int64)
-        for r in counted.where(F.col("kind").isin(f"c{level}", f"h{level}")).select("kind", "pack").toLocalIterator():  # 32 bytes a bucket, and 40 a hot context
-            got = np.frombuffer(bytes(r["pack"]), np.int64)
-            if r["kind"][0] == "c":
-                kinds += got
-            else:
-                keys, *fields = got.reshape(5, -1)
-                sums[np.searchsorted(hots[level], keys.view(np.uint64))] += np.array(fields).T
+        kinds, files[f"grams{level}"] = _summary(counted, level, buckets)
+        files[f"contexts{level}"] = files[f"grams{level}"]
+        sums = _hot_sums(counted, hots[level], level)
         upper.insert(0, Level(level, hots[level], _discounts(kinds.tolist()), sums))
         counted = counted.where(F.col("kind").isin("b", "w"))
     merged = written(counted.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge_bigrams, schema), "ngram-words")
     if upper:
         dropped(counted)
-    n = np.zeros(5, np.int64)
-    for r in merged.where("kind = 'c'").select("pack").toLocalIterator():  # 40 bytes a bucket
-        n += np.frombuffer(bytes(r["pack"]), np.int64)
-    words = written(merged.where("kind != 'c'").repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge_words, "sums array<bigint>"), "ngram-sums")
-    s = [words.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(8)]).first()[i] or 0 for i in range(8)]
-    return Model(path, int(buckets), hot, s[0], s[1], s[2], _discounts(s[3:7]), _discounts(n[:4].tolist()), (s[3], s[4], s[7]), tuple(upper))
+    n, files["bigrams"] = _summary(merged, 2, buckets)
+    words = written(merged.where("kind not in ('c2', 'f2')").repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge_words, "bucket int, sums array<bigint>"), "ngram-sums")
+    s = [x or 0 for x in words.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(8)]).first()]
+    files["words"] = _bits(words.select("bucket"), buckets)
+    dropped(merged)
+    return Model(path, int(buckets), hot, s[0], s[1], s[2], _discounts(s[3:7]), _discounts(n[:4].tolist()), (s[3], s[4], s[7]), tuple(upper), files)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -497,12 +600,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     probability is 1.  Repeated rows stay; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    size = SLICE // (1 + 3 * len(model.upper))
-
+    
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(shared.value)
         for whole in batches:
-            for part in slices(whole, 1, size):
+            for part in slices(whole, 1, SCORED):
                 got = lookup.score(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, got.values())], names=["id", *got])
 
