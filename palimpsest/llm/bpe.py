@@ -13,23 +13,27 @@ alone as in its text, so each distinct unit needs encoding only once and a text'
 2. A bucket holds all packs with a unit, so each distinct unit of the corpus is encoded once, there.  It answers each pack
    with the ids of its units in the same order.  A slice names a unit once, so no bucket grows with a frequent unit.
 3. Positions and answers meet by slice, and the ids are joined back by position.
+
+Positions and packs leave the splitting in one exchange, which steps 2 and 3 both read.  A slice's name is its partition and
+number, so a task that runs again gives the same ones; should its rows have come in another order, the answers' marks differ
+and the job fails instead of mixing them up.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import gathered, removed, scratch, tidied, written
+from palimpsest.llm.common import gathered, tidied
 
 CACHE, SLICE_BYTES, BUCKET_BYTES = 200_000, 8 << 20, 12 << 20
 _JOINED = 20_000
@@ -222,12 +226,12 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max))
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 3) -> bytes:
     """Arrays of whole numbers at their least width, or bytes, compressed in one piece."""
     parts = [x if isinstance(x, bytes) else _narrow(x) for x in arrays]
     head = np.array([y for x in parts for y in ((0, len(x)) if isinstance(x, bytes) else (x.itemsize, len(x)))], "<i8")
     data = head.tobytes() + b"".join(x if isinstance(x, bytes) else np.frombuffer(x.tobytes(), np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in parts)
-    return np.int64(len(data)).tobytes() + np.int64(len(parts)).tobytes() + pa.compress(data, "zstd", asbytes=True)
+    return np.int64(len(data)).tobytes() + np.int64(len(parts)).tobytes() + pa.Codec("zstd", level).compress(data, asbytes=True)
 
 
 def unpack(raw: bytes) -> list[np.ndarray | bytes]:
@@ -259,7 +263,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each slice its positions, bucket -1 with the documents' other columns, and a pack of units per bucket."""
-        for part in gathered(batches, len(rest), slice_bytes):
+        task = TaskContext.get().partitionId()
+        for number, part in enumerate(gathered(batches, len(rest), slice_bytes)):
             units = byte_units(part.column(len(rest)))
             offsets = units.offsets.to_numpy().astype(np.int64)
             coded = units.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -268,24 +273,31 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             bucket = np.array([digest(w) for w in words.to_pylist()], np.uint64) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.concatenate(([0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
-            rows = [(-1, pack(coded.indices.to_numpy(zero_copy_only=False), np.diff(offsets), bucket), part)]
             ordered = words.take(pa.array(order))
-            rows += [(int(bucket[order[a]]), pack(*_bytes_of(ordered.slice(a, b - a))), part.slice(0, 0)) for a, b in zip(edges.tolist(), edges[1:].tolist())]
-            name = uuid.uuid4().hex
+            asked = [(int(bucket[order[a]]), pack(*_bytes_of(ordered.slice(a, b - a))), part.slice(0, 0)) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+            index = coded.indices.to_numpy(zero_copy_only=False)
+            by_count = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[by_count] = np.arange(len(words))
+            rows = [(-1, pack(rank[index], np.diff(offsets), rank[order], np.array([digest(p) for _, p, _ in asked], np.uint64), level=9), part), *asked]
+            name = f"{task}-{number}"
             for i in range(0, len(rows), 256):
                 at, packs, others = zip(*rows[i : i + 256])
                 values = pa.StructArray.from_arrays([pa.chunked_array([o.column(k) for o in others]).combine_chunks() for k in range(len(rest))], fields=list(inner)) if rest else pa.array([{}] * sum(o.num_rows for o in others), pa.struct([]))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([o.num_rows for o in others]))), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int64()), pa.array(packs, pa.binary()), pa.array([b < 0 for b in at]), lists], names=["slice", "bucket", "pack", "held", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([name if b < 0 else f"{b}" for b in at]), pa.array([name] * len(at)), pa.array(at, pa.int64()), pa.array(packs, pa.binary()), lists], names=["key", "slice", "bucket", "pack", "rows"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     inner = to_arrow_schema(kept)
-    sliced = T.StructType([T.StructField("slice", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("pack", T.BinaryType()), T.StructField("held", T.BooleanType()), T.StructField("rows", T.ArrayType(kept))])
+    sliced = T.StructType([*[T.StructField(n, T.StringType()) for n in ("key", "slice")], T.StructField("bucket", T.LongType()), T.StructField("pack", T.BinaryType()), T.StructField("rows", T.ArrayType(kept))])
 
     def answer(table: pa.Table) -> pa.Table:
         """The ids of a bucket's distinct units, each encoded once, for each pack of them."""
-        many = [_strings(*unpack(p)) for p in table.column("pack").to_pylist()]
+        if table.column("bucket")[0].as_py() < 0:
+            return answers.empty_table()
+        asked = table.column("pack").to_pylist()
+        many = [_strings(*unpack(p)) for p in asked]
         coded = pa.chunked_array(many).combine_chunks().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
         flat, ends = coder(spec.value).documents(pa.ListArray.from_arrays(pa.array(np.arange(len(coded.dictionary) + 1, dtype=np.int32)), coded.dictionary), remember=False)
@@ -294,34 +306,36 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             own = index[at : at + len(m)]
             at += len(m)
             packs.append(pack(sizes[own], ragged(flat, ends[own], sizes[own])))
-        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "pack": pa.array(packs, pa.binary())})
+        marks = pa.array(np.array([xxhash.xxh3_64_intdigest(p) for p in asked], np.uint64).view(np.int64))
+        return pa.table({"key": table.column("slice"), "bucket": table.column("bucket"), "pack": pa.array(packs, pa.binary()), "mark": marks})
+
+    answers = pa.schema([("key", pa.string()), ("bucket", pa.int64()), ("pack", pa.binary()), ("mark", pa.int64())])
 
-    def join(table: pa.Table) -> pa.Table:
+    def join(held: pa.Table, found: pa.Table) -> pa.Table:
         """The documents of a slice with their ids."""
-        table = table.sort_by("bucket")
-        packs = table.column("pack").to_pylist()
-        index, lengths, bucket = unpack(packs[0])
-        found = [unpack(p) for p in packs[1:]]
-        order = np.argsort(bucket, kind="stable")
+        if not held.num_rows or held.column("bucket")[0].as_py() >= 0:
+            return pa.schema([*inner, ("ids", pa.list_(pa.int32()))]).empty_table()
+        index, lengths, order, marks = unpack(held.column("pack")[0].as_py())
+        found = found.sort_by("bucket")
+        if held.num_rows > 1 or found.column("mark").to_pylist() != marks.view(np.int64).tolist():
+            raise ValueError("a slice of documents was split again in another order")
+        found = [unpack(p) for p in found.column("pack").to_pylist()]
         size, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         size[order] = np.concatenate([np.zeros(0, np.int64), *[s.astype(np.int64) for s, _ in found]])
         start[order] = np.cumsum(size[order]) - size[order]
         flat = np.concatenate([np.zeros(0, np.int32), *[i.astype(np.int32) for _, i in found]])
         ids = ragged(flat, start[index], size[index])
         ends = np.concatenate(([0], np.cumsum(size[index])))[np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))]
-        values = table.column("rows").chunk(0)[0].values if len(rest) else None
+        values = held.column("rows")[0].values if len(rest) else None
         whole = values.flatten() if values is not None else []
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
         return pa.table([*whole, lists], names=[*inner.names, "ids"])
 
-    place = scratch(docs.sparkSession, "sliced")
-    table = written(docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`")).toDF(*inner.names, "t").mapInArrow(tidied(cut), sliced), "sliced", to=place, by="held")
-    asked = table.where("not held").select("slice", "bucket", "pack")
-    answers = written(asked.repartition(min(buckets, 20_000), "bucket").groupBy("bucket").applyInArrow(answer, "slice string, bucket bigint, pack binary"), "answers")
-    removed(docs.sparkSession, f"{place}/held=false")
-    both = table.where("held").select("slice", "bucket", "pack", "rows").unionByName(answers.withColumn("rows", F.lit(None).cast(T.ArrayType(kept))))
+    parts = min(max(buckets, -(-size // slice_bytes)), 20_000)
+    split = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`")).toDF(*inner.names, "t").mapInArrow(tidied(cut), sliced).repartition(parts, "key")
+    answered = split.groupBy("key").applyInArrow(answer, "key string, bucket bigint, pack binary, mark bigint").repartition(parts, "key")
     out = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return both.groupBy("slice").applyInArrow(join, out).toDF(*rest, ids_col)
+    return split.groupBy("key").cogroup(answered.groupBy("key")).applyInArrow(join, out).toDF(*rest, ids_col)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
