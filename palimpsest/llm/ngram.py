@@ -1,15 +1,16 @@
 """An interpolated modified Kneser-Ney model of order 2 or more: counted in Spark, stored as sorted hash arrays, mapped by workers.
 
-Counting: a task counts the bigrams of a slice of documents with numpy and packs them by bucket; a bucket merges its packs,
-writes its bigrams as one file of sorted 64-bit hashes with their counts, and passes on what it knows of each word: the
-tokens and kinds of bigram that it begins, and how many kinds it ends.  Those sums meet by word and are written as sorted
-files too.  Buckets go by the first word of a bigram, so that its sums are complete there; words that are frequent in a
-bounded sample of documents are spread over all buckets by the whole bigram and their sums are added afterwards, so that no
-bucket grows with one word.  The sample only says where a bigram is counted.
-
-With a higher order n, n-grams are counted so first, in buckets by their context.  Such a bucket writes its n-grams and the sums
-of its contexts, and passes on for every n-gram kind one count of its last n - 1 words (all its counts where only the begin of the
-text stands before them), down to the bigrams.  The sums of hot contexts, 1 / share at most, are added in the driver.
+Counting: a task counts the n-grams of a slice of documents with numpy and packs them by bucket; a bucket merges its packs and
+writes its n-grams, and the sums of its contexts, as files of sorted hashes with their counts.  Buckets go by the words between
+the first and the last, so that both an n-gram's context and its ending, all its words but the first, are whole within a bucket
+(a bigram's bucket goes by its first word).  The bucket passes on one count of the ending for every n-gram kind (all its counts
+where only the begin of the text stands before it), and these are the n-grams of the order below, down to the bigrams.  From
+there every word's sums meet by word: the tokens and kinds of bigram that it begins, and how many kinds it ends.
+
+Words or contexts that are frequent in a bounded sample of documents are spread over as many buckets as their share asks for,
+by the context or by the whole n-gram, and their sums are added afterwards, so that no bucket grows with one word.  The sample
+only says where an n-gram is counted.  The n-grams of the highest order are counted in PASSES parts, one after the other, so
+that only one part stands in shuffle files at once.
 
 Scoring: workers map the files from the shared folder (read into an unlinked temporary file first where it is not a mounted
 one) and look the distinct words and bigrams of a slice up by binary search.  Nothing of the model passes through the driver
@@ -21,11 +22,13 @@ that was never seen is taken for one that was in about one case in a million.  T
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import slices
+from palimpsest.llm.bpe import pack, slices, unpack
 from palimpsest.llm.common import dropped, gathered, scratch, tidied, written
 
 SLICE, SCORED = 12 << 20, 4 << 20
 KEY_BITS = 40
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES, PASSES = 12 << 20, 2
 SAMPLE_DOCS, HOT_SHARE = 2_000, 0.002
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 OPEN_FILES = 2_000
@@ -103,10 +106,27 @@ def pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _route(u: np.ndarray, h: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each bigram: by its first word, or by all of it where that word is hot."""
-    key = np.where(np.isin(u, hot), h, u * np.uint64(0xD6E8FEB86659FD93)) if len(hot) else u * np.uint64(0xD6E8FEB86659FD93)
-    return ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+#: Sorted hashes of frequent contexts, and over how many buckets each is spread.
+Hot = tuple[np.ndarray, np.ndarray]
+
+
+def _offset(keys: np.ndarray, by: np.ndarray, hot: Hot) -> np.ndarray:
+    """How many buckets further a row goes, by the hashes ``by``, because its key is hot."""
+    if not len(hot[0]):
+        return np.zeros(len(keys), np.uint64)
+    at = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
+    return np.where(hot[0][at] == keys, (by >> np.uint64(20)) % hot[1][at], np.uint64(0))
+
+
+def _route(words: list[np.ndarray], h: np.ndarray | None, hots: dict[int, Hot], buckets: int) -> np.ndarray:
+    """The bucket of each n-gram, given its context's words and its hash (None: of the context itself)."""
+    context, middle = folded(words), folded(words[1:] or words)
+    place = middle * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)
+    if len(words) > 1:
+        place = place + _offset(middle, context, hots[len(words)])
+    if h is not None:
+        place = place + _offset(context, h, hots[len(words) + 1])
+    return (place % np.uint64(buckets)).astype(np.int32)
 
 
 def _word_bucket(w: np.ndarray, buckets: int) -> np.ndarray:
@@ -152,21 +172,17 @@ def _narrow(most: int) -> type:
 def _packed(words: list[np.ndarray], n: np.ndarray) -> bytes:
     """Grams and their counts, compressed: the pack's own words, then narrow indices of them and narrow counts."""
     own, index = np.unique(np.concatenate(words), return_inverse=True)
-    kinds = _narrow(len(own)), _narrow(int(n.max(initial=0)))
-    head = np.array([len(own), len(n), *[np.dtype(k).itemsize for k in kinds]], np.int64)
-    data = b"".join([head.tobytes(), own.tobytes(), index.astype(kinds[0]).tobytes(), n.astype(kinds[1]).tobytes()])
-    return np.int64(len(data)).tobytes() + pa.compress(data, "zstd", asbytes=True)
+    return pack(own, *np.split(index, len(words)), n)
 
 
 def _unpacked(packs: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    words, counts = [], []
+    words, counts = [[np.zeros(0, np.uint64)] for _ in range(order)], [np.zeros(0, np.int64)]
     for raw in packs:
-        data = pa.decompress(raw[8:], int(np.frombuffer(raw, np.int64, 1)[0]), "zstd", asbytes=True)
-        own, n, wide, wide_n = np.frombuffer(data, np.int64, 4).tolist()
-        at = 32 + 8 * own
-        words.append(np.frombuffer(data, np.uint64, own, 32)[np.frombuffer(data, f"u{wide}", order * n, at).reshape(order, n)])
-        counts.append(np.frombuffer(data, f"u{wide_n}", n, at + order * n * wide).astype(np.int64))
-    return (list(np.concatenate(words, axis=1)), np.concatenate(counts)) if words else ([np.zeros(0, np.uint64)] * order, np.zeros(0, np.int64))
+        own, *index, n = unpack(raw)
+        for w, i in zip(words, index):
+            w.append(own.astype(np.uint64)[i])
+        counts.append(n.astype(np.int64))
+    return [np.concatenate(w) for w in words], np.concatenate(counts)
 
 
 def _gathered(words: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -178,11 +194,13 @@ def _gathered(words: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[
     return h[first], [w[order[first]] for w in words], np.add.reduceat(n, first) if len(h) else n
 
 
-def _by_bucket(words: list[np.ndarray], n: np.ndarray, hot: np.ndarray, buckets: int) -> list[tuple[str, int, bytes]]:
-    """Rows (kind, bucket, pack) of grams."""
-    context = folded(words[:-1])
-    bucket = _route(context, pair(context, words[-1]), hot, buckets)
-    order = np.lexsort((context, bucket))
+def _by_bucket(words: list[np.ndarray], n: np.ndarray, hots: dict[int, Hot], buckets: int, part: int = 0, parts: int = 1) -> list[tuple[str, int, bytes]]:
+    """Rows (kind, bucket, pack) of the grams whose bucket belongs to the part."""
+    bucket = _route(words[:-1], folded(words), hots, buckets)
+    if parts > 1:
+        own = bucket % parts == part
+        words, n, bucket = [w[own] for w in words], n[own], bucket[own]
+    order = np.lexsort((words[0], words[len(words) > 2], bucket))
     edges = np.concatenate(([0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)])) if len(order) else [0]
     return [("b", int(bucket[order[a]]), _packed([w[order[a:b]] for w in words], n[order[a:b]])) for a, b in zip(edges, edges[1:])]
 
@@ -252,7 +270,6 @@ class Level:
     """What is shared of the grams of an order above 2; sums has (total, n1, n2, n3) of each hot context."""
 
     order: int
-    hot: np.ndarray
     discounts: tuple[float, float, float]
     sums: np.ndarray
 
@@ -263,7 +280,7 @@ class Model:
 
     path: str
     buckets: int
-    hot: np.ndarray
+    hots: dict[int, Hot]
     tokens: int
     kinds: int
     bigram_kinds: int
@@ -364,7 +381,7 @@ class Lookup:
         gamma = np.where(context[2] > 0, (m.d2[0] * context[3] + m.d2[1] * context[4] + m.d2[2] * context[5]) / total, 1.0)
         h = pair(left, flat)
         bigrams, first, h_back = np.unique(h, return_index=True, return_inverse=True)
-        seen = self._find("bigrams", bigrams, _route(left[first], bigrams, m.hot, m.buckets), 1)[0]
+        seen = self._find("bigrams", bigrams, _route([left[first]], bigrams, m.hots, m.buckets), 1)[0]
         high = (seen - np.array([0.0, *m.d2])[np.minimum(seen, 3)]) / total[left_back[first]]
         p = (high + gamma[left_back[first]] * low[back[first]])[h_back]
         for level in m.upper:
@@ -379,16 +396,18 @@ class Lookup:
     def _raised(self, level: Level, flat: np.ndarray, bounds: np.ndarray, low: np.ndarray) -> np.ndarray:
         """The probability of each token by the level's grams; that of the order below where it is too near the begin."""
         m = self.model
-        left = contexts(flat, bounds, level.order)
-        far = np.nonzero(left[1] != BEGIN)[0]
-        left = folded(left)[far]
+        words = contexts(flat, bounds, level.order)
+        far = np.nonzero(words[1] != BEGIN)[0]
+        words = [w[far] for w in words]
+        left = folded(words)
         h, first, back = np.unique(pair(left, flat[far]), return_index=True, return_inverse=True)
-        seen = self._find(f"grams{level.order}", h, _route(left[first], h, level.hot, m.buckets), 1)[0][back]
-        c, c_back = np.unique(left, return_inverse=True)
-        known = self._find(f"contexts{level.order}", c, _route(c, c, level.hot[:0], m.buckets), 4)
-        if len(level.hot):
-            at = np.minimum(np.searchsorted(level.hot, c), len(level.hot) - 1)
-            known = np.where(level.hot[at] == c, level.sums[at].T, known)
+        seen = self._find(f"grams{level.order}", h, _route([w[first] for w in words], h, m.hots, m.buckets), 1)[0][back]
+        c, first, c_back = np.unique(left, return_index=True, return_inverse=True)
+        known = self._find(f"contexts{level.order}", c, _route([w[first] for w in words], None, m.hots, m.buckets), 4)
+        hot = m.hots[level.order][0]
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, c), len(hot) - 1)
+            known = np.where(hot[at] == c, level.sums[at].T, known)
         total, n1, n2, n3 = known[:, c_back]
         d = np.array([0.0, *level.discounts])
         p = low.copy()
@@ -397,8 +416,8 @@ class Lookup:
         return p
 
 
-def _hot(docs: DataFrame, text_col: str, share: float, order: int = 2) -> np.ndarray:
-    """Hashes of the words, or contexts of order - 1 words, that make more than ``share`` of a bounded sample's tokens: 1 / share at most."""
+def _hot(docs: DataFrame, text_col: str, share: float, order: int, buckets: int) -> Hot:
+    """The words, or contexts of order - 1 words, that make more than ``share`` of a bounded sample's tokens: 1 / share at most."""
     some = docs.sample(min(1.0, SAMPLE_DOCS / max(1, docs.count())), seed=42)  # by row, so that copies count as often as they stand there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +430,8 @@ def _hot(docs: DataFrame, text_col: str, share: float, order: int = 2) -> np.nda
 
     got = some.select(text_col).mapInArrow(tidied(run), "w bigint, n bigint, all bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).collect()
     tokens_seen = sum(r["all"] for r in got)
-    return np.sort(np.array([r["w"] for r in got if r["n"] > share * tokens_seen], np.int64).view(np.uint64))
+    often = sorted((r["w"] % (1 << 64), r["n"] / tokens_seen) for r in got if r["n"] > share * tokens_seen)
+    return np.array([w for w, _ in often], np.uint64), np.array([max(1, math.ceil(2 * x * buckets)) for _, x in often], np.uint64)
 
 
 def _bits(rows: DataFrame, buckets: int) -> np.ndarray:
@@ -449,7 +469,7 @@ def _hot_sums(rows: DataFrame, hot: np.ndarray, level: int) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, order: int = 2) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, order: int = 2, passes: int = PASSES) -> Model:
     """The model of all texts of docs, with order - 1 words of context."""
     if order < 2:
         raise ValueError("the order is 2 at least")
@@ -458,20 +478,22 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4, -(-size // BUCKET_BYTES))
     files: dict[str, np.ndarray] = {}
-    hots = {k: _hot(docs, text_col, hot_share, k) for k in range(2, order + 1)}
-    hot = hots[2]
+    share = min(hot_share, max(1e-5, 0.5 / buckets))
+    hots = {k: _hot(docs, text_col, share, k, buckets) for k in range(2, order + 1)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed counts by bucket: grams and words (w, n)."""
-        for part in gathered(batches, 0, SLICE):
-            flat, bounds = tokens(part.column(0))
+    def count(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        """Packed counts by bucket: grams of the part, and in the first one words (w, n)."""
+        for texts in gathered(batches, 0, SLICE):
+            flat, bounds = tokens(texts.column(0))
             words = [*contexts(flat, bounds, order), flat]
             _, first, n = np.unique(folded(words), return_index=True, return_counts=True)
-            rows = _by_bucket([w[first] for w in words], n, hots[order], buckets)
+            rows = _by_bucket([w[first] for w in words], n, hots, buckets, part, passes)
             for i in range(0, len(rows), 64):
                 kinds, at, packs = zip(*rows[i : i + 64])
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at, pa.int32()), pa.array(packs, pa.binary())], names=["kind", "bucket", "pack"])
             del words, rows, first, n
+            if part:
+                continue
             w, c = np.unique(flat, return_counts=True)
             wb = _word_bucket(w, buckets)
             by = np.argsort(wb, kind="stable")
@@ -512,13 +534,13 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
                 _put(f"{path}/grams{level}-{bucket:06d}", _short_filed(h[real], [n[real]]))
                 context, m = folded(words[:-1])[real], n[real]
                 context, sums = _sums(context, [m, m == 1, m == 2, m >= 3])
-                spread = np.isin(context, hots[level])
+                spread = np.isin(context, hots[level][0])
                 _put(f"{path}/contexts{level}-{bucket:06d}", _short_filed(context[~spread], [x[~spread] for x in sums]))
                 rows = [(f"f{level}", bucket, b""), (f"c{level}", -1, np.array([(m == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes())]
                 if spread.any():
                     rows.append((f"h{level}", -1, np.array([context[spread].view(np.int64), *[x[spread] for x in sums]], np.int64).tobytes()))
                 _, words, n = _gathered(words[1:], np.where(real, 1, n))
-                rows += _by_bucket(words, n, hots[level - 1], buckets)
+                rows += _by_bucket(words, n, hots, buckets)
             return pa.table({"kind": [r[0] for r in rows], "bucket": pa.array([r[1] for r in rows], pa.int32()), "pack": pa.array([r[2] for r in rows], pa.binary())})
 
         return merge
@@ -572,24 +594,27 @@ def fit(docs: DataFrame, text_col: str = "text", hot_share: float = HOT_SHARE, o
         got = np.array([fields[0].sum(), (fields[0] > 0).sum(), ends.sum(), *[(ends == k).sum() for k in (1, 2, 3, 4)], (ends >= 3).sum()], np.int64)
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "sums": pa.array([got.tolist()], pa.list_(pa.int64()))})
 
-    counted = docs.select(text_col).mapInArrow(tidied(count), schema)
-    upper = []
+    def merged_by(rows: DataFrame, merge: Callable[[pa.Table], pa.Table], name: str) -> DataFrame:
+        return written(rows.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge, schema), name)
+
+    upper, texts, merged = [], docs.select(text_col), None
+    first = merge_grams(order) if order > 2 else merge_bigrams
+    for part in range(passes):
+        got = merged_by(texts.mapInArrow(tidied(partial(count, part=part)), schema), first, f"ngram-{order}")
+        merged = merged.unionByName(got) if merged else got
     for level in range(order, 2, -1):
-        counted = written(counted.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge_grams(level), schema), f"ngram-{level}")
+        counted = merged
         kinds, files[f"grams{level}"] = _summary(counted, level, buckets)
         files[f"contexts{level}"] = files[f"grams{level}"]
-        sums = _hot_sums(counted, hots[level], level)
-        upper.insert(0, Level(level, hots[level], _discounts(kinds.tolist()), sums))
-        counted = counted.where(F.col("kind").isin("b", "w"))
-    merged = written(counted.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(merge_bigrams, schema), "ngram-words")
-    if upper:
+        upper.insert(0, Level(level, _discounts(kinds.tolist()), _hot_sums(counted, hots[level][0], level)))
+        merged = merged_by(counted.where("kind in ('b', 'w')"), merge_grams(level - 1) if level > 3 else merge_bigrams, f"ngram-{level - 1}")
         dropped(counted)
     n, files["bigrams"] = _summary(merged, 2, buckets)
     words = written(merged.where("kind not in ('c2', 'f2')").repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge_words, "bucket int, sums array<bigint>"), "ngram-sums")
     s = [x or 0 for x in words.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(8)]).first()]
     files["words"] = _bits(words.select("bucket"), buckets)
     dropped(merged)
-    return Model(path, int(buckets), hot, s[0], s[1], s[2], _discounts(s[3:7]), _discounts(n[:4].tolist()), (s[3], s[4], s[7]), tuple(upper), files)
+    return Model(path, int(buckets), hots, s[0], s[1], s[2], _discounts(s[3:7]), _discounts(n[:4].tolist()), (s[3], s[4], s[7]), tuple(upper), files)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
