@@ -122,6 +122,14 @@ def tidied(run: Callable) -> Callable:
     return whole
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z in lower case; null counts as empty."""
     return text.encode("utf-8", "surrogatepass").lower() if text else b""

@@ -5,6 +5,10 @@ block counts whose differences add up to r at most, so a pair of tiles whose cou
 never compared; every other pair of tiles is compared whole with numpy exclusive-or and bit counts.  There are at most
 17**4 tiles; a tile of many fingerprints is cut into blocks of TILE rows.  A task that compares two blocks returns a
 spanning forest of the links it found, not the links: as many rows as the blocks have at most, and the same components.
+
+With a similarity, links within the radius only say which documents are compared: those of one component of them, by the exact
+Jaccard similarity of their word shingles, in blocks of SETS documents, each pair of blocks whole.  Again a task returns a
+spanning forest.  A radius of many bits skips few tile pairs, so those are tiled by the count of all 64 bits.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import ascii_lower, components, tidied, written
 
-TILE = 2048
+TILE, WIDE_TILE, SETS = 2048, 8192, 256
 _SLICE = 512
 
 
@@ -60,47 +64,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join the fingerprints of a and b as all links within the radius do, at most one per fingerprint."""
-    ia, ib = [], []
+    distinct, same = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at_a, at_b = same[: len(a)], same[len(a) :]
+    root = np.arange(len(distinct))
     for at in range(0, len(a), 256):
         i, j = np.nonzero(np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius)
-        ia.append(i + at)
-        ib.append(j)
-    i, j = np.concatenate(ia), np.concatenate(ib) + len(a)
-    value = np.concatenate([a, b])
-    distinct, same = np.unique(value, return_inverse=True)
-    i, j = same[i], same[j]
-    keep = i != j
-    i, j = i[keep], j[keep]
-    root = np.arange(len(distinct))
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+        i, j = at_a[i + at], at_b[j]
+        open_ = root[i] != root[j]
+        i, j = i[open_], j[open_]
+        while len(i):
+            low = np.minimum(root[i], root[j])
+            np.minimum.at(root, root[i], low)
+            np.minimum.at(root, root[j], low)
+            while (root != root[root]).any():
+                root = root[root]
+            open_ = root[i] != root[j]
+            i, j = i[open_], j[open_]
     member = np.nonzero(root != np.arange(len(root)))[0]
     return distinct[member], distinct[root[member]]
 
 
-def links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) over the distinct fingerprints in prints.fp with the components of all links within the radius."""
-    block = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
+def links(prints: DataFrame, radius: int = 2, tile: int = TILE, blocks: int = 4) -> DataFrame:
+    """Edges (a, b) over the distinct fingerprints in prints.fp with the components of all links within the radius.
+
+    Tiles go by the population counts of ``blocks`` (4 or 1) equal parts of a fingerprint.
+    """
+    bits = 64 // blocks
+    block = [F.bit_count(F.shiftrightunsigned("fp", bits * k).bitwiseAND(F.lit((1 << bits) - 1)) if blocks > 1 else F.col("fp")) for k in range(blocks)]
     code = sum((c * (32**k) for k, c in enumerate(block)), F.lit(0)).cast("int")
     coded = prints.select("fp").withColumn("tile", code)
-    sizes = coded.groupBy("tile").agg(F.ceil(F.count("*") / tile).alias("cuts"))  # 17**4 rows at most: a proven bound
+    sizes = coded.groupBy("tile").agg(F.ceil(F.count("*") / tile).alias("cuts"))  # (64 / blocks + 1) ** blocks rows at most: a proven bound
     packed = written(
         coded.join(F.broadcast(sizes), "tile").groupBy("tile", F.pmod(F.xxhash64("fp"), F.col("cuts")).alias("cut")).agg(F.collect_list("fp").alias("fps")), "tiles"
     )
-    steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
+    steps = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius and d >= (0,) * blocks]
     step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in steps])).alias("d")
     left = packed.select("tile", "cut", "fps", step)
-    moved = [F.shiftright("tile", 5 * k).bitwiseAND(F.lit(31)) + F.col(f"d.d{k}") for k in range(4)]
-    inside = moved[0].between(0, 16)
+    part = [F.shiftright("tile", 5 * k).bitwiseAND(F.lit(31)) for k in range(blocks)] if blocks > 1 else [F.col("tile")]
+    moved = [x + F.col(f"d.d{k}") for k, x in enumerate(part)]
+    inside = moved[0].between(0, bits)
     for m in moved[1:]:
-        inside &= m.between(0, 16)
+        inside &= m.between(0, bits)
     left = left.where(inside).select(
         F.col("tile").alias("own"), F.col("cut").alias("own_cut"), F.col("fps").alias("a"), sum((m * (32**k) for k, m in enumerate(moved)), F.lit(0)).cast("int").alias("tile")
     )
@@ -117,6 +121,110 @@ def links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return pairs.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words; of all words where there are fewer, of none where there is none."""
+    w = ascii_lower(text).split()
+    digest = xxhash.xxh64_intdigest
+    if len(w) <= words:
+        return np.array([digest(b" ".join(w), seed)] if w else [], np.uint64)
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([digest(joined[i:j], seed) for i, j in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64))
+
+
+def _key(grams: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(grams.tobytes())
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join the sets as all pairs at the similarity or more do, at most one less than there are sets."""
+    sizes = np.array([len(s) for s in sets])
+    index = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    mark = np.zeros(index.max() + 1, bool)
+    root, found = np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        if (root[i:] == root[i]).all():
+            continue
+        own = index[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[index[starts[i] :]], starts[i:] - starts[i], dtype=np.int64)
+        mark[own] = False
+        near = np.nonzero(both >= similarity * (sizes[i:] + sizes[i] - both) - 1e-9)[0] + i
+        for j in near.tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                found.append((i, j))
+    return found
+
+
+def _set_links(clusters: DataFrame, docs: DataFrame, words: int, seed: int, similarity: float, block: int) -> DataFrame:
+    """Edges (a, b) over the keys of clusters (cluster, key, least) at the similarity; docs (id, text) has the texts."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / block).alias("cuts"))
+    members = written(clusters.join(sizes, "cluster").select("cluster", "cuts", "key", "least", F.pmod(F.xxhash64("key"), F.col("cuts")).alias("cut")), "members")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                sets = [shingle_set(t.as_py(), words, seed) for t in whole.column(0).slice(at, 64)]
+                keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "grams"])
+
+    texts = docs.join(members.select("least"), F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text")
+    sets = texts.mapInArrow(tidied(grams), "key bigint, grams binary").dropDuplicates(["key"])
+    packs = written(members.join(sets, "key").groupBy("cluster", "cuts", "cut").agg(F.collect_list(F.struct("key", "grams")).alias("p")), "packs")  # SETS rows or so each
+    left = packs.select("cluster", F.col("cut").alias("own"), F.col("p").alias("a"), F.explode(F.sequence("cut", F.col("cuts") - 1)).alias("cut"))
+    pairs = left.join(packs.select("cluster", "cut", F.col("p").alias("b")), ["cluster", "cut"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for same, x, y in zip(whole.column(0), whole.column(1), whole.column(2)):
+                rows = [v for part in ((x,) if same.as_py() else (x, y)) for v in part.as_py()]
+                found = set_forest([np.frombuffer(r["grams"], np.uint64) for r in rows], similarity)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[i]["key"] for i, _ in found], pa.int64()), pa.array([rows[j]["key"] for _, j in found], pa.int64())], names=["a", "b"])
+
+    return pairs.select((F.col("own") == F.col("cut")).alias("same"), "a", "b").mapInArrow(tidied(run), "a bigint, b bigint")
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 12, shingle_words: int = 5, similarity: float = 0.8, block: int = SETS
+) -> DataFrame:
+    """One row (id, fp, component) per row of docs; component is the smallest id reachable over links.
+
+    Two documents are linked when a chain of fingerprints within the radius joins them and the Jaccard similarity of their
+    sets of runs of ``shingle_words`` words is ``similarity`` or more.  Equal sets are always linked; null and blank texts have
+    the empty set and are linked to each other only.  Repeated rows stay repeated.  A null id keeps its row and is never the
+    name of a component that has another id.  Other columns of docs are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                part = whole.slice(at, _SLICE)
+                texts = part.column(1).to_pylist()
+                fp = np.array([simhash(t, words, seed) for t in texts], np.uint64).view(np.int64)
+                sets = [shingle_set(t, shingle_words, seed) for t in texts]
+                keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(keys), pa.array([len(s) == 0 for s in sets])], names=["id", "fp", "key", "empty"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = written(texts.mapInArrow(tidied(run), f"id {kind}, fp bigint, key bigint, empty boolean"), "fingerprints")
+    prints = written(own.where("not empty").select("fp", "key").distinct(), "prints")
+    # texts of one set may have several fingerprints, as repeated shingles count
+    first = prints.groupBy("key").agg(F.min("fp").alias("b"))
+    near = links(prints.select("fp").distinct(), radius, WIDE_TILE, 1).unionByName(prints.join(first, "key").where("fp != b").select(F.col("fp").alias("a"), "b"))
+    coarse = components(near)
+    classes = written(own.where("not empty").groupBy("key").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "classes")
+    clusters = classes.join(coarse.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "fp").select("cluster", "key", "least")
+    roots = components(_set_links(clusters, texts, shingle_words, seed, similarity, block))
+    rooted = own.groupBy("key").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return own.select("id", "fp", "key").join(written(rooted.select("key", "root").join(names, "root").select("key", "component"), "named"), "key").select("id", "fp", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """One row (id, fp, component) per row of docs; component is the smallest id reachable over links.
 

@@ -5,33 +5,38 @@ further left).  Not every suffix is sorted.  An anchor is the place of the small
 bytes, the leftmost of equals; so each window has one, and windows with equal bytes have it at the same place.  About one
 suffix in forty is an anchor's, and every repeated window is found through the suffixes that start at its anchor.
 
-1. Suffixes at anchors go to ranges of their leading eight bytes, cut at splitters from a bounded sample.  A range sorts its
-   suffixes by leading bytes, then by a hash of what follows up to K bytes, then by the hash of their context (all bytes of
-   the windows that have the anchor), then by place: a multikey sort.  Of equal contexts all but the first are removed whole.
-   Leading strings frequent in the sample are spread over all ranges by context, so that no range grows with one string; what
-   would have met its neighbour across such a boundary is passed on as if it had.
-2. Where one leading string has different contexts, windows may repeat in part.  For the first of each context the hashes
-   of its windows are compared: all but the first window of a hash are removed.
-3. Spans are merged by document and cut out.
+1. A suffix at an anchor travels with its context, the bytes of all windows that have the anchor, to a range of its leading K
+   bytes; splitters come from a bounded sample.  Of equal contexts within a slice of documents only the first one travels.
+2. A range sorts its suffixes by multikey quicksort, eight bytes a character: leading bytes, then the context.  Of equal
+   contexts all but the first are removed whole.  Where one leading string has different contexts, the windows of the first of
+   each are compared, and all but the first of equal windows are removed.
+3. A leading string that is frequent in the sample is spread over as many ranges as its share asks for, by context and
+   partition.  What would have met across those boundaries meets afterwards: the windows of the contexts that are left over.
+4. Spans are merged by document and cut out.
+
+Hashes only bring bytes together: whatever is removed has been compared byte by byte with what it repeats.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import tidied, written
+from palimpsest.llm.bpe import pack, ragged, slices, unpack
+from palimpsest.llm.common import dropped, free_name, tidied, written
 
 LENGTH, K = 100, 24
-SLICE, BUCKET_BYTES = 4 << 20, 8 << 20
-SAMPLE_DOCS, HOT_SHARE = 2_000, 0.0005
+SLICE, BUCKET_BYTES = 2 << 20, 6 << 20
+SAMPLE_DOCS, LEAST_SHARE = 2_000, 2e-5
+_WINDOWS = 300_000
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -44,20 +49,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Text:
     """The bytes of some documents one after the other, with hashes of any stretch of them."""
 
-    def __init__(self, texts: pa.Array):
-        texts = pc.fill_null(texts, "")
-        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-        raw = texts.buffers()[2]
-        self.data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
-        self.bounds = bounds - bounds[0]
-        n = len(self.data)
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        self.data, self.bounds = data, bounds
+        n = len(data)
         if len(_POWERS[0]) <= n:
             for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
                 x = np.full(n + 1, b, np.uint64)
                 x[0] = 1
                 _POWERS[k] = np.multiply.accumulate(x)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], dtype=np.uint64, out=self.sums[1:])
+
+    @staticmethod
+    def of(texts: pa.Array) -> Text:
+        texts = pc.fill_null(texts, "")
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        raw = texts.buffers()[2]
+        return Text(np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8), bounds - bounds[0])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * _POWERS[1][start])
@@ -86,45 +94,71 @@ class Text:
         return doc[edges], at[edges], edges, last
 
     def leading(self, at: np.ndarray) -> np.ndarray:
-        """The eight bytes from each place as a number that sorts as they do."""
-        out = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            out = (out << np.uint64(8)) | self.data[at + k]
-        return out
-
-
-def _packs(kind: str, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, bucket, pack) of the columns sorted by bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    columns = [c[order] for c in columns]
-    edges = np.concatenate(([0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
-    for i in range(0, len(edges) - 1, 256):
-        spans = list(zip(edges[i : i + 256], edges[i + 1 : i + 257]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(spans)), pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in spans], pa.binary())], names=["kind", "bucket", "pack"]
-        )
-
-
-def _unpack(packs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
-    for raw in packs:
-        n, at = len(raw) // width, 0
-        for c, k in zip(out, kinds):
-            c.append(np.frombuffer(raw, k, n, at))
-            at += n * np.dtype(k).itemsize
-    return [np.concatenate(c) for c in out]
-
-
-_SUFFIX = ["<u8", "<u8", "<u8", "<i8", "<u4", "u1", "u1"]  # leading, following, context, doc, place, windows before it, after it
-_WINDOW = ["<u8", "<i8", "<u4"]  # hash, doc, place
-_PACKED = "kind string, bucket bigint, pack binary"
-_SPANS = "doc bigint, kind string, start int, stop int, place int"
-
-
-def _table(doc: np.ndarray, kind: str, start: np.ndarray, stop: np.ndarray, place: np.ndarray) -> pa.Table:
-    return pa.table({"doc": pa.array(doc.astype(np.int64)), "kind": pa.array([kind] * len(doc), pa.string()), "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32)), "place": pa.array(place.astype(np.int32))})
+        """The K bytes from each place, as rows of big-endian numbers of eight bytes."""
+        return self.data[at[:, None] + np.arange(K)].view(">u8").astype(np.uint64)
+
+
+def multikey_order(keys: np.ndarray) -> np.ndarray:
+    """The order of the rows of keys (a number is one character) by three-way radix quicksort; equal rows in any order."""
+    out = np.arange(len(keys))
+    todo = [(0, len(keys), 0)]
+    while todo:
+        a, b, depth = todo.pop()
+        if b - a < 2 or depth == keys.shape[1]:
+            continue
+        rows = out[a:b]
+        if b - a <= 256:
+            out[a:b] = rows[np.lexsort(keys[rows, depth:].T[::-1])]
+            continue
+        own = keys[rows, depth]
+        few = np.sort(own[:: len(own) // 31])
+        pivot = few[len(few) // 2]
+        less, more = own < pivot, own > pivot
+        same = ~(less | more)
+        n, m = int(less.sum()), int(same.sum())
+        out[a:b] = np.concatenate([rows[less], rows[same], rows[more]])
+        todo += [(a, a + n, depth), (a + n, a + n + m, depth + 1), (a + n + m, b, depth)]
+    return out
+
+
+class Contexts:
+    """Anchors with their contexts: document, place of the anchor, bytes before it, windows after the first, bytes."""
+
+    def __init__(self, doc: np.ndarray, place: np.ndarray, before: np.ndarray, after: np.ndarray, data: np.ndarray):
+        self.doc, self.place, self.before, self.after = (x.astype(np.int64) for x in (doc, place, before, after))
+        self.data = data
+        self.size = self.after + LENGTH
+        self.at = np.cumsum(self.size) - self.size
+
+    def take(self, rows: np.ndarray) -> Contexts:
+        return Contexts(self.doc[rows], self.place[rows], self.before[rows], self.after[rows], ragged(self.data, self.at[rows], self.size[rows]))
+
+    def packed(self) -> bytes:
+        low = int(self.doc.min(initial=0))
+        return pack((self.doc - low).view(np.uint64), np.array([low], np.int64).view(np.uint64), self.place, self.before, self.after, self.data.tobytes())
+
+    @staticmethod
+    def unpacked(packs: list[bytes]) -> Contexts:
+        parts = []
+        for raw in packs:
+            doc, low, place, before, after, data = unpack(raw)
+            parts.append((doc.astype(np.int64) + low.astype(np.uint64).view(np.int64)[0], place, before, after, np.frombuffer(data, np.uint8)))
+        return Contexts(*map(np.concatenate, zip(*parts))) if parts else Contexts(*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint8))
+
+    def leading(self) -> np.ndarray:
+        return self.data[(self.at + self.before)[:, None] + np.arange(K)].view(">u8").astype(np.uint64)
+
+    def characters(self) -> np.ndarray:
+        """Rows that are equal where contexts are: the leading bytes, the two numbers of windows, the bytes filled up with zeros."""
+        width = -(-(2 * LENGTH - K) // 8) * 8
+        flat = np.zeros((len(self.doc), width), np.uint8)
+        row = np.repeat(np.arange(len(self.doc)), self.size)
+        flat[row, np.arange(len(self.data)) - np.repeat(self.at, self.size)] = self.data
+        return np.concatenate([self.leading(), (self.before * 256 + self.after).astype(np.uint64)[:, None], flat.view(">u8").astype(np.uint64)], axis=1)
+
+    def spans(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start = self.place[rows] - self.before[rows]
+        return self.doc[rows], start, start + self.size[rows]
 
 
 def _joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,154 +175,247 @@ def _joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return doc[first], start[first], np.maximum.reduceat(stop, first)
 
 
-def _sample(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted leading bytes of the anchors of a bounded sample of documents, and the hashes of strings frequent among them."""
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(1_000_000.0 * SAMPLE_DOCS / max(1, total)))
+def _repeats(key: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which strings (size bytes of data from at) equal one of the same key that stands earlier, by their bytes.
+
+    Strings of one key that differ, as a hash may have it, are looked at again among themselves.
+    """
+    out, left = np.zeros(len(key), bool), np.arange(len(key))
+    while len(left):
+        order = left[np.lexsort((place[left], doc[left], size[left], key[left]))]
+        new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1])))
+        head = order[np.nonzero(new)[0][np.cumsum(new) - 1]]
+        rest, head = order[~new], head[~new]
+        same = np.zeros(len(rest), bool)
+        for i in range(0, len(rest), 20_000):
+            r, h = rest[i : i + 20_000], head[i : i + 20_000]
+            n = size[r]
+            differ = ragged(data, at[r], n) != ragged(data, at[h], n)
+            same[i : i + 20_000] = np.add.reduceat(differ, np.cumsum(n) - n) == 0
+        twice = (doc[rest] == doc[head]) & (place[rest] == place[head])  # one document given twice
+        out[rest[same & ~twice]] = True
+        left = rest[~same]
+    return out
+
+
+_ROWS = "kind string, doc bigint, start int, stop int, bucket bigint, pack binary"
+
+
+def _span_table(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Table:
+    n = len(doc)
+    return pa.table({"kind": pa.array(["r"] * n, pa.string()), "doc": pa.array(doc.astype(np.int64)), "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32)), "bucket": pa.nulls(n, pa.int64()), "pack": pa.nulls(n, pa.binary())})
+
+
+def _pack_table(rows: list[tuple[int, bytes]]) -> pa.Table:
+    n = len(rows)
+    return pa.table({"kind": pa.array(["p"] * n, pa.string()), "doc": pa.nulls(n, pa.int64()), "start": pa.nulls(n, pa.int32()), "stop": pa.nulls(n, pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int64()), "pack": pa.array([p for _, p in rows], pa.binary())})
+
+
+def _by_bucket(contexts: Contexts, bucket: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    edges = np.concatenate(([0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
+    return [(int(bucket[order[a]]), contexts.take(order[a:b]).packed()) for a, b in zip(edges, edges[1:])]
+
+
+def _bytes_of(leads: np.ndarray) -> np.ndarray:
+    return leads.astype(">u8").view(f"S{K}").ravel()
+
+
+def _sample(docs: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Splitters of the leading bytes, and the sorted frequent ones with the number of ranges that each is spread over.
+
+    The sample is drawn row by row, so that copies count as often as they stand in the table.
+    """
+    some = docs.sample(min(1.0, SAMPLE_DOCS / max(1, total)), seed=42)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, 1, SLICE):
-                text = Text(part.column(1))
+                text = Text.of(part.column(1))
                 _, at, _, _ = text.anchors()
                 at = at[:: max(1, len(at) // 20_000)]
-                yield pa.RecordBatch.from_arrays([pa.array(text.leading(at).view(np.int64)), pa.array(text.hashes(at + 8, at + K).view(np.int64))], names=["lead", "rest"])
+                raw = text.data[at[:, None] + np.arange(K)].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + K] for i in range(0, len(raw), K)], pa.binary())], names=["lead"])
 
-    got = some.mapInArrow(tidied(run), "lead bigint, rest bigint").groupBy("lead", "rest").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(500_000).collect()
-    lead = np.array([r["lead"] for r in got], np.int64).view(np.uint64)
-    rest = np.array([r["rest"] for r in got], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in got], np.int64)
-    often = n > max(3, HOT_SHARE * n.sum())
-    return np.sort(np.repeat(lead, n)), np.sort(_mix(lead[often] ^ (rest[often] << np.uint64(1))))
+    got = some.mapInArrow(tidied(run), "lead binary").groupBy("lead").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lead").limit(500_000).collect()
+    if not got:
+        return np.zeros(0, f"S{K}"), np.zeros(0, f"S{K}"), np.zeros(0, np.int64)
+    leads, n = np.array([bytes(r["lead"]) for r in got], f"S{K}"), np.array([r["n"] for r in got], np.int64)
+    order = np.argsort(leads, kind="stable")
+    leads, n = leads[order], n[order]
+    share = n / n.sum()
+    hot = (n > 3) & (share > max(LEAST_SHARE, 0.5 / buckets))
+    ends = np.cumsum(np.where(hot, 0, n))
+    cuts = np.unique(leads[np.minimum(np.searchsorted(ends, np.arange(1, buckets) * ends[-1] / buckets), len(leads) - 1)]) if ends[-1] else leads[:0]
+    return cuts, leads[hot], np.array([max(2, math.ceil(2 * x * buckets)) for x in share[hot]], np.int64)
 
 
-def _suffixes(docs: DataFrame, buckets: int, splitters: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """Packed suffixes by bucket."""
+def _is_hot(leads: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The place of each leading string among the hot ones, or -1."""
+    if not len(hot) or not len(leads):
+        return np.full(len(leads), -1)
+    at = np.minimum(np.searchsorted(hot, leads), len(hot) - 1)
+    return np.where(hot[at] == leads, at, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in slices(whole, 1, SLICE):
-                text = Text(part.column(1))
-                doc, at, first, last = text.anchors()
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                lead, rest = text.leading(at), text.hashes(at + 8, at + K)
-                before, after = at - first, last - first
-                context = _mix(text.hashes(first, last + LENGTH) + (before * 256 + after).astype(np.uint64))
-                place = (at - text.bounds[doc]).astype(np.uint32)
-                key = _mix(lead ^ (rest << np.uint64(1)))
-                is_hot = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
-                bucket = np.where(is_hot, ((context >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), np.searchsorted(splitters, lead, side="right"))
-                yield from _packs("s", bucket, [lead, rest, context, ids[doc].astype(np.int64), place, before.astype(np.uint8), after.astype(np.uint8)])
-
-    return docs.mapInArrow(tidied(run), _PACKED)
-
-
-def _compare(table: pa.Table, hot: np.ndarray) -> pa.Table:
-    """Sorts a range; spans to remove (kind r), and anchors whose windows must be compared one by one (kind c)."""
-    lead, rest, context, doc, place, before, after = _unpack(table.column("pack").to_pylist(), _SUFFIX)
-    order = np.lexsort((place, doc, context, rest, lead))
-    lead, rest, context, doc, place, before, after = (x[order] for x in (lead, rest, context, doc, place, before, after))
-    new_lead = np.concatenate(([True], (lead[1:] != lead[:-1]) | (rest[1:] != rest[:-1])))
-    new = new_lead | np.concatenate(([True], context[1:] != context[:-1]))
-    heads = np.nonzero(new)[0]
-    head = heads[np.cumsum(new) - 1]
-    again = ~new & ((doc != doc[head]) | (place != place[head]))
-    start = place.astype(np.int64) - before
-    d, a, b = _joined(doc[again], start[again], start[again] + after[again] + LENGTH)
-    group = np.cumsum(new_lead) - 1
-    kinds = np.bincount(group, new)
-    alone = kinds[group] < 2
-    if len(hot):
-        alone &= ~np.isin(_mix(lead ^ (rest << np.uint64(1))), hot)
-    ask = new & ~alone
-    return pa.concat_tables([_table(d, "r", a, b, a), _table(doc[ask], "c", start[ask], start[ask] + after[ask], place[ask])])
-
-
-def _windows(asked: DataFrame, buckets: int) -> DataFrame:
-    """Packed hashes of the windows asked for; rows are (doc, text, asked: the first and last window of each anchor)."""
+
+def _suffixes(docs: DataFrame, buckets: int, splitters: np.ndarray, hot: np.ndarray, spread: np.ndarray) -> DataFrame:
+    """Contexts by range, packed, and spans that repeat within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         for whole in batches:
             for part in slices(whole, 1, SLICE):
-                text = Text(part.column(1))
-                lists = part.column(2)
-                inner = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py())
-                of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                start, stop = (inner.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "stop"))
-                sizes = stop - start + 1
-                at = np.repeat(start, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                of = np.repeat(of, sizes)
-                h = text.hashes(text.bounds[of] + at, text.bounds[of] + at + LENGTH)
-                ids = part.column(0).to_numpy(zero_copy_only=False)[of].astype(np.int64)
-                yield from _packs("w", ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), [h, ids, at.astype(np.uint32)])
-
-    return asked.mapInArrow(tidied(run), _PACKED)
+                text = Text.of(part.column(1))
+                of, at, first, last = text.anchors()
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[of]
+                place, size = at - text.bounds[of], last - first + LENGTH
+                hashes = _mix(text.hashes(first, first + size) + ((at - first) * 256 + last - first).astype(np.uint64))
+                again = _repeats(hashes, ids, place, text.data, first, size)
+                yield from _span_table(*_joined(ids[again], (place - at + first)[again], (place - at + first + size)[again])).to_batches()
+                keep = np.nonzero(~again)[0]
+                if not len(keep):
+                    continue
+                leads = _bytes_of(text.leading(at[keep]))
+                which = _is_hot(leads, hot)
+                bucket = np.searchsorted(splitters, leads, side="right")
+                own = which >= 0
+                bucket[own] = (bucket[own] + task % spread[which[own]] + (hashes[keep][own] % np.uint64(buckets)).astype(np.int64)) % buckets
+                found = Contexts(ids[keep], place[keep], (at - first)[keep], (last - first)[keep], ragged(text.data, first[keep], size[keep]))
+                yield from _pack_table(_by_bucket(found, bucket)).to_batches(256)
+
+    return docs.mapInArrow(tidied(run), _ROWS)
+
+
+def _window_repeats(heads: Contexts, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the windows of the contexts (sorted by group) that equal an earlier one of their group."""
+    n = heads.after + 1
+    found = [(np.zeros(0, np.int64),) * 3]
+    ends = np.nonzero(np.concatenate((group[1:] != group[:-1], [True])))[0] + 1 if len(group) else np.zeros(0, np.int64)
+    total, a = np.concatenate(([0], np.cumsum(n))), 0
+    while a < len(group):
+        b = int(ends[max(np.searchsorted(ends, a, side="right"), np.searchsorted(total[ends], total[a] + _WINDOWS, side="right") - 1)])
+        some = heads.take(np.arange(a, b))
+        text, m = Text(some.data, np.concatenate((some.at, [len(some.data)]))), n[a:b]
+        of = np.repeat(np.arange(b - a), m)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+        at = some.at[of] + inner
+        h = _mix(text.hashes(at, at + LENGTH) + (group[a:b][of] * 256 + some.before[of] - inner).astype(np.uint64))
+        place = some.place[of] - some.before[of] + inner
+        again = _repeats(h, some.doc[of], place, some.data, at, np.full(len(of), LENGTH))
+        found.append(_joined(some.doc[of][again], place[again], place[again] + LENGTH))
+        a = b
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _compare(table: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
+    """Spans that repeat within a range, and the windows of hot leading strings, packed by a hash of theirs."""
+    contexts = Contexts.unpacked(table.column("pack").to_pylist())
+    leads = contexts.leading()
+    order = multikey_order(leads)
+    new = np.concatenate(([True], (leads[order][1:] != leads[order][:-1]).any(axis=1)))
+    runs = np.diff(np.concatenate((np.nonzero(new)[0], [len(order)])))
+    is_hot = _is_hot(_bytes_of(leads[order]), hot) >= 0
+    kept = order[(np.repeat(runs, runs) > 1) | is_hot]
+    if not len(kept):
+        return _span_table(*[np.zeros(0, np.int64)] * 3)
+    some = contexts.take(kept)
+    keys = some.characters()
+    order = multikey_order(keys)
+    keys = keys[order]
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))
+    kind = np.cumsum(new) - 1
+    order = order[np.lexsort((some.place[order], some.doc[order], kind))]
+    head = order[np.nonzero(new)[0]][kind]
+    again = ~new & ((some.doc[order] != some.doc[head]) | (some.place[order] != some.place[head]))
+    spans = [_joined(*some.spans(order[again]))]
+    heads = some.take(order[new])
+    lead = keys[new][:, :3]
+    fresh = np.concatenate(([True], (lead[1:] != lead[:-1]).any(axis=1)))
+    group = np.cumsum(fresh) - 1
+    hot_ones = _is_hot(_bytes_of(lead), hot) >= 0
+    several = np.nonzero((np.bincount(group)[group] > 1) & ~hot_ones)[0]
+    spans.append(_window_repeats(heads.take(several), group[several]))
+    tables = [_span_table(*map(np.concatenate, zip(*spans)))]
+    apart = np.nonzero(hot_ones)[0]
+    for i in range(0, len(apart), 2_000):  # each window as a context of its own
+        part = heads.take(apart[i : i + 2_000])
+        m = part.after + 1
+        of = np.repeat(np.arange(len(m)), m)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+        at = part.at[of] + inner
+        windows = Contexts(part.doc[of], part.place[of] - part.before[of] + inner, np.zeros(len(of)), np.zeros(len(of)), ragged(part.data, at, np.full(len(of), LENGTH)))
+        h = Text(part.data, part.at).hashes(at, at + LENGTH)
+        tables.append(_pack_table(_by_bucket(windows, (h % np.uint64(buckets)).astype(np.int64))))
+    return pa.concat_tables(tables)
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Spans of all windows but the first of each hash."""
-    h, doc, place = _unpack(table.column("pack").to_pylist(), _WINDOW)
-    order = np.lexsort((place, doc, h))
-    h, doc, place = h[order], doc[order], place[order].astype(np.int64)
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    head = np.nonzero(new)[0][np.cumsum(new) - 1]
-    again = ~new & ((doc != doc[head]) | (place != place[head]))
-    d, a, b = _joined(doc[again], place[again], place[again] + LENGTH)
-    return _table(d, "r", a, b, a)
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """Spans of all windows but the first of equal ones."""
+    w = Contexts.unpacked(table.column("pack").to_pylist())
+    h = Text(w.data, w.at).hashes(w.at, w.at + LENGTH)
+    again = _repeats(h, w.doc, w.place, w.data, w.at, w.size)
+    return _span_table(*_joined(w.doc[again], w.place[again], w.place[again] + LENGTH))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     """docs with a number of its own for each document, in order: the id itself where ids are whole numbers, unique and not null.
 
     Otherwise documents are numbered by id, then by a hash of the text (nulls first); rows with one id and one text are one
     document.
     """
-    found = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("ids")).first()
+    found = docs.agg(F.count("*").alias("n"), F.count_distinct(F.col(f"`{id_col}`")).alias("ids")).first()
     if docs.schema[id_col].dataType.simpleString() in ("bigint", "int") and found["n"] == found["ids"]:
-        return docs.withColumn("_doc", F.col(id_col).cast("bigint")), "_doc"
-    mark = F.xxhash64(F.coalesce(text_col, F.lit("")))
+        return docs.withColumn(key, F.col(f"`{id_col}`").cast("bigint"))
+    mark = free_name(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     order = (F.asc_nulls_first("_id"), F.asc("_mark"))
-    keys = docs.select(F.col(id_col).alias("_id"), mark.alias("_mark")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = marked.select(F.col(f"`{id_col}`").alias("_id"), F.col(mark).alias("_mark")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
     keys = written(keys.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "keys")
     sizes = keys.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    keys = keys.join(F.broadcast(sizes), "_part").select("_id", "_mark", (F.col("_at") + F.col("_before")).alias("_doc"))
-    marked = docs.withColumn("_mark", mark)
-    return marked.join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (marked["_mark"] == keys["_mark"])).drop("_id", "_mark"), "_doc"
+    keys = keys.join(F.broadcast(sizes), "_part").select("_id", "_mark", (F.col("_at") + F.col("_before")).alias("_key"))  # sizes: a row a partition
+    left, right = marked.alias("l"), keys.alias("r")
+    both = left.join(right, F.col(f"l.`{id_col}`").eqNullSafe(F.col("r._id")) & (F.col(f"l.`{mark}`") == F.col("r._mark")))
+    return both.select(*[F.col(f"l.`{c}`").alias(c) for c in docs.columns], F.col("r._key").alias(key))
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row (id, spans: sorted array of (start, stop) bytes) per document that loses bytes; ids are whole and unique."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     buckets = max(4, -(-(total["bytes"] or 0) // BUCKET_BYTES))
-    sample, hot = _sample(rows, total["n"])
-    splitters = np.unique(sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(sample) else np.zeros(0, np.uint64)
-    packed = _suffixes(rows, buckets, splitters, hot)
     parts = min(buckets, 20_000)
-    found = written(packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _compare(t, hot), _SPANS), "suffixes")
-    asked = found.where("kind = 'c'").groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("asked"))
-    windows = _windows(rows.join(asked, "doc").select("doc", "text", "asked"), buckets)
-    later = written(windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_later, _SPANS), "windows")
-    spans = found.where("kind = 'r'").unionByName(later)
-    return spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")).withColumnRenamed("doc", "id")
-
-
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    splitters, hot, spread = _sample(rows, total["n"], buckets)
+    packed = written(_suffixes(rows, buckets, splitters, hot, spread), "contexts", by="kind")
+    compared = packed.where("kind = 'p'").select("bucket", "pack").repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _compare(t, hot, buckets), _ROWS)
+    found = written(compared, "repeats")
+    later = found.where("kind = 'p'").select("bucket", "pack").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_later, _ROWS)
+    spans = packed.where("kind = 'r'").select("doc", "start", "stop").unionByName(found.where("kind = 'r'").select("doc", "start", "stop")).unionByName(later.select("doc", "start", "stop"))
+    spans = written(spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")).withColumnRenamed("doc", "id"), "spans")
+    dropped(packed)
+    dropped(found)
+    return spans
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept, the remaining bytes.
 
     Null texts are empty and lose nothing; texts shorter than LENGTH lose nothing.  Repeated rows (one id, one text) are one
     document, each with its result; rows that share an id but not the text are ordered by a hash of it.  Null ids come
-    first.  Columns of docs with these four names are replaced, the others stay.
+    first.  Columns of docs with these four names are replaced, the others stay.  With ``whole_characters`` a character goes
+    with all its bytes where a cut goes through it, and the numbers count them.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     keep = [c for c in docs.columns if c not in names]
-    keyed, key = _keyed(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col)
-    spans = written(repeated_spans(keyed, key, text_col), "spans")
-    whole = keyed.join(spans.withColumnRenamed("id", key), key, "left").select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"), F.col("spans").alias("_spans"))
-    out = T.StructType([*[whole.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in names[:3]], T.StructField("kept", T.BinaryType())])
+    key = free_name(docs, "key")
+    keyed = _keyed(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col, key)
+    spans = repeated_spans(keyed, key, text_col)
+    left, right = keyed.alias("l"), spans.alias("r")
+    whole = left.join(right, F.col(f"l.`{key}`") == F.col("r.id"), "left").select(*[F.col(f"l.`{c}`").alias(c) for c in keep], F.col(f"l.`{text_col}`"), F.col("r.spans")).toDF(*[f"c{i}" for i in range(len(keep) + 2)])
+    out = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in names[:3]], T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            for part in slices(whole_batch, len(keep), 8 << 20):
+            for part in slices(whole_batch, len(keep)):
                 n_bytes, n_removed, n_spans, kept = [], [], [], []
                 for text, spans_of in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()):
                     data = (text or "").encode("utf-8", "surrogatepass")
@@ -298,10 +425,16 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                             merged[-1][1] = max(merged[-1][1], s["stop"])
                         else:
                             merged.append([s["start"], s["stop"]])
+                    if whole_characters:
+                        for m in merged:
+                            while m[0] > 0 and m[0] < len(data) and data[m[0]] & 0xC0 == 0x80:
+                                m[0] -= 1
+                            while m[1] < len(data) and data[m[1]] & 0xC0 == 0x80:
+                                m[1] += 1
                     at, pieces = 0, []
                     for a, b in merged:
-                        pieces.append(data[at:a])
-                        at = b
+                        pieces.append(data[at : max(at, a)])
+                        at = max(at, b)
                     pieces.append(data[at:])
                     kept.append(b"".join(pieces))
                     n_bytes.append(len(data))
