@@ -10,48 +10,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontamination, language, neardup, suffixdedup
+from palimpsest.llm import bpe, decontamination, language, simhash, suffixdedup
 from palimpsest.llm.common import crc_mod, written
 from palimpsest.llm.queries import tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
+#: The posterior share that a document's language must have.
+LEAST = 0.5
 #: Whether SQL can say what run() returns: language identification, and all that follows it, it can't.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language can be told: those without a letter, null texts included, go.
+    """The documents whose language can be told, with ``lang`` as the text says.
 
-    The model learns from the documents' own labels, but for the fifth that is held out in op8; without any label no
-    document is rejected but those without a letter.
+    Those without a letter, null texts included, go, and those whose language has less than LEAST of the posterior: their words
+    speak for several languages alike.  ``lang`` is the predicted language, whatever stood there.  The model learns from the
+    documents' own labels, but for the fifth that is held out in op8; without any label no document is rejected but those
+    without a letter, and ``lang`` stays.
     """
     model = language.fit(docs.where(crc_mod("doc_id", 5) != 0))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language.predict(docs, model).where("lang_pred != 'und'").select(*docs.columns)
+    told = language.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST))
+    return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at Jaccard 0.8 or more of five-word shingles: the one with the smallest id.
 
-    Documents that share an id count as one, and rows without an id stay.
+    SimHash finds who is compared, within 12 bits; the share of pairs at 0.8 that it finds is measured in README.  Documents
+    that share an id count as one, and rows without an id stay.
     """
-    groups = neardup.near_duplicates(docs, words=5, similarity=0.8)
+    groups = simhash.similar_documents(docs, radius=12, shingle_words=5, similarity=0.8)
     gone = groups.groupBy("id").agg(F.max(F.col("component") == F.col("id")).alias("stays")).where("id is not null and not stays")
     return docs.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that an earlier passage of 100 bytes covers; parts of characters at the cuts go too."""
-    cut = suffixdedup.cut(docs)
-    kept = F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_valid_text(F.col("kept"))))
-    text = cut.withColumn("text", kept)
-    return text.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
-
+    """All documents, without the bytes that an earlier passage of 100 bytes covers.
 
-def _valid_text(data: F.Column) -> F.Column:
-    """The characters of UTF-8 bytes; where a cut went through one, its remaining bytes are left out."""
-    return F.regexp_replace(F.decode(data, "UTF-8"), "�", "") if False else F.replace(F.make_valid_utf8(data.cast("string")), F.lit("�"), F.lit(""))
+    A character goes whole where a cut goes through it; what else stands in a text stays as it is.
+    """
+    cut = suffixdedup.cut(docs, whole_characters=True)
+    text = cut.withColumn("text", F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))))
+    return text.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
