@@ -201,9 +201,9 @@ def _repeats(key: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarr
 _ROWS = "kind string, doc bigint, start int, stop int, bucket bigint, pack binary"
 
 
-def _span_table(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Table:
+def _span_table(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, buckets: int = 1) -> pa.Table:
     n = len(doc)
-    return pa.table({"kind": pa.array(["r"] * n, pa.string()), "doc": pa.array(doc.astype(np.int64)), "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32)), "bucket": pa.nulls(n, pa.int64()), "pack": pa.nulls(n, pa.binary())})
+    return pa.table({"kind": pa.array(["r"] * n, pa.string()), "doc": pa.array(doc.astype(np.int64)), "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32)), "bucket": pa.array(doc.astype(np.int64) % buckets), "pack": pa.nulls(n, pa.binary())})
 
 
 def _pack_table(rows: list[tuple[int, bytes]]) -> pa.Table:
@@ -271,7 +271,7 @@ def _suffixes(docs: DataFrame, buckets: int, splitters: np.ndarray, hot: np.ndar
                 place, size = at - text.bounds[of], last - first + LENGTH
                 hashes = _mix(text.hashes(first, first + size) + ((at - first) * 256 + last - first).astype(np.uint64))
                 again = _repeats(hashes, ids, place, text.data, first, size)
-                yield from _span_table(*_joined(ids[again], (place - at + first)[again], (place - at + first + size)[again])).to_batches()
+                yield from _span_table(*_joined(ids[again], (place - at + first)[again], (place - at + first + size)[again]), buckets).to_batches()
                 keep = np.nonzero(~again)[0]
                 if not len(keep):
                     continue
@@ -308,7 +308,10 @@ def _window_repeats(heads: Contexts, group: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _compare(table: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
-    """Spans that repeat within a range, and the windows of hot leading strings, packed by a hash of theirs."""
+    """Spans that repeat within a range, and the windows of hot leading strings, packed by a hash of theirs; spans found before."""
+    known, table = (table.filter(pc.equal(table.column("kind"), k)) for k in ("r", "p"))
+    if not table.num_rows:
+        return known
     contexts = Contexts.unpacked(table.column("pack").to_pylist())
     leads = contexts.leading()
     order = multikey_order(leads)
@@ -317,7 +320,7 @@ def _compare(table: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
     is_hot = _is_hot(_bytes_of(leads[order]), hot) >= 0
     kept = order[(np.repeat(runs, runs) > 1) | is_hot]
     if not len(kept):
-        return _span_table(*[np.zeros(0, np.int64)] * 3)
+        return known
     some = contexts.take(kept)
     keys = some.characters()
     order = multikey_order(keys)
@@ -335,7 +338,7 @@ def _compare(table: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
     hot_ones = _is_hot(_bytes_of(lead), hot) >= 0
     several = np.nonzero((np.bincount(group)[group] > 1) & ~hot_ones)[0]
     spans.append(_window_repeats(heads.take(several), group[several]))
-    tables = [_span_table(*map(np.concatenate, zip(*spans)))]
+    tables = [known, _span_table(*map(np.concatenate, zip(*spans)))]
     apart = np.nonzero(hot_ones)[0]
     for i in range(0, len(apart), 2_000):  # each window as a context of its own
         part = heads.take(apart[i : i + 2_000])
@@ -385,13 +388,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     buckets = max(4, -(-(total["bytes"] or 0) // BUCKET_BYTES))
     parts = min(buckets, 20_000)
     splitters, hot, spread = _sample(rows, total["n"], buckets)
-    packed = written(_suffixes(rows, buckets, splitters, hot, spread), "contexts", by="kind")
-    compared = packed.where("kind = 'p'").select("bucket", "pack").repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _compare(t, hot, buckets), _ROWS)
-    found = written(compared, "repeats")
-    later = found.where("kind = 'p'").select("bucket", "pack").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_later, _ROWS)
-    spans = packed.where("kind = 'r'").select("doc", "start", "stop").unionByName(found.where("kind = 'r'").select("doc", "start", "stop")).unionByName(later.select("doc", "start", "stop"))
-    spans = written(spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")).withColumnRenamed("doc", "id"), "spans")
-    dropped(packed)
+    suffixes = _suffixes(rows, buckets, splitters, hot, spread).repartition(parts, "bucket")
+    found = written(suffixes.groupBy("bucket").applyInArrow(lambda t: _compare(t, hot, buckets), _ROWS), "repeats")
+    later = found.where("kind = 'p'").repartition(parts, "bucket").groupBy("bucket").applyInArrow(_later, _ROWS)
+    spans = found.where("kind = 'r'").unionByName(later).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    spans = written(spans.withColumnRenamed("doc", "id"), "spans")
     dropped(found)
     return spans
 
