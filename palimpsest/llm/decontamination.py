@@ -3,8 +3,8 @@
 Items are partitioned by size, the floor of log2 of their distinct shingles.  An item's sketch is its smallest shingle
 hashes, as many as an item of its partition's largest size may miss at the threshold, and one more.  A document that
 contains the item at the threshold therefore holds at least one hash of the sketch, so the MinHash search loses nothing.
-Documents too small for a partition skip it.  Hashes found are then joined to the items by the shingle itself, and the
-containment is counted exactly.
+Documents too small for a partition skip it.  Hashes found in a sketch are joined to it by the shingle itself and give the
+candidate pairs of document and item; only for those are the other shingles of the item counted, exactly.
 
 Two bitmaps of fixed size (BITS) reach the executors; they filter hashes and never decide.  The item shingles are
 broadcast up to BROADCAST_ROWS rows and shuffled beyond that.
@@ -119,15 +119,20 @@ def contained_items(
                     strings += [s.decode("utf-8", "surrogatepass") for s in seen]
                     hashes += list(seen.values())
             if ids:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(strings)], names=["id", "h", "shingle"])
+                h = np.array(hashes, np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(h.view(np.int64)), pa.array(strings), pa.array(_has(sketch.value, h))], names=["id", "h", "shingle", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    hits = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"id {kind}, h bigint, shingle string")
-    side = rows.select("item", "n", "h", "shingle", "sketch").distinct()
-    if sum(r["rows"] for r in parts) <= BROADCAST_ROWS:
-        side = F.broadcast(side)
+    hits = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(tidied(run), f"id {kind}, h bigint, shingle string, sketch boolean")
+    hits = written(hits.dropDuplicates(["id", "shingle"]), "hits")
+    side = rows.select("item", "h", "shingle", "sketch").distinct()
+    small = sum(r["rows"] for r in parts) <= BROADCAST_ROWS
+    within = F.broadcast if small else (lambda df: df)
+    pairs = hits.where("sketch").join(within(side.where("sketch").select("item", "h", "shingle")), ["h", "shingle"]).select("id", "item").distinct()
     sizes = rows.groupBy("item").agg(F.countDistinct("shingle").alias("n_shingles"))
-    found = hits.join(side, ["h", "shingle"]).groupBy("id", "item").agg(F.countDistinct("shingle").alias("n_shared"), F.max("sketch").alias("sketch")).where("sketch")
+    same = F.col("p.id").eqNullSafe(F.col("hits.id"))
+    met = pairs.alias("p").join(hits.alias("hits"), same).select("p.id", "p.item", "hits.h", "hits.shingle")
+    found = met.join(within(side.select("item", "h", "shingle")), ["item", "h", "shingle"]).groupBy("id", "item").agg(F.count("*").alias("n_shared"))
     found = found.join(sizes, "item").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
     return found.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)).select("id", "item", "n_shared", "n_shingles", "containment")
 

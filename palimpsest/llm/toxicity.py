@@ -1,9 +1,8 @@
 """Toxicity by compression distance: how much shorter a window gets with a dictionary of toxic text than of ordinary text.
 
 A window is one word between spaces, repeated REPEATS times: so short a text alone is stored as it is, repeated it is not,
-and its length tells what the dictionary spared.  Windows of running text were tried first (64 to 1024 bytes, dictionaries
-from zstandard's own trainer): there both dictionaries fill with the same common syllables, and what is stored raw drowns the
-rest (area under the curve 0.64 against 0.96 on held-out rows).  The two dictionaries are therefore made of the words whose share of documents differs
+and its length tells what the dictionary spared.  Dictionaries from zstandard's own trainer over windows of running text don't
+give right results: README has the figures.  The two dictionaries, of TOXIC_BYTES and ORDINARY_BYTES at most, are therefore made of the words whose share of documents differs
 most between the classes, and of the commonest words of ordinary text.  Each distinct word of a slice is compressed once.
 
 The classifier is fitted on a bounded sample of labelled documents: MAX_DOCS of each class at most, by a hash of their id.
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.bpe import slices
-from palimpsest.llm.common import tidied, written
+from palimpsest.llm.common import free_name, tidied, written
 
 MAX_DOCS, TOXIC_BYTES, ORDINARY_BYTES = 6_000, 8_192, 8_192
 REPEATS, LONGEST, LEVEL, LEAST_Z, CACHE = 4, 64, 9, 4.5, 300_000
@@ -130,19 +129,22 @@ def _words_by_class(sample: DataFrame, text_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> Model | float:
-    """A model from the labelled rows (label 1: toxic, 0: ordinary), or the share of label 1 where a class has no row."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull()).dropDuplicates(["_id"])
+    """A model from the labelled rows (label 1: toxic, 0: ordinary), or the share of label 1 where a class has no row.
+
+    An id with both labels has label 1; other labels, null ids and ids without a document are left out.
+    """
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_label").alias("_label"))
     totals = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return float(totals.get(1, 0) > 0)
     draw = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("_label") == 1, max_docs / totals[1]).otherwise(max_docs / totals[0])
     drawn = known.where(draw < share)  # about 2 * max_docs rows
-    sample = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias(text_col)).join(F.broadcast(drawn), "_id").select(text_col, "_label"), "labelled")
+    sample = written(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_words")).join(F.broadcast(drawn), "_id").select("_words", "_label"), "labelled")
     got = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if len(got) < 2:
         return totals[1] / sum(totals.values())
-    words = written(_words_by_class(sample, text_col), "words")
+    words = written(_words_by_class(sample, "_words"), "words")
     a, b = F.col("toxic") / got[1], F.col("plain") / got[0]
     p = (F.col("toxic") + F.col("plain")) / (got[0] + got[1])
     z = (a - b) / F.sqrt(p * (1 - p) * (1 / got[0] + 1 / got[1]) + 1e-12)
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return out
 
     model = Model(content(toxic, TOXIC_BYTES) or b" ", content(plain, ORDINARY_BYTES) or b" ", np.zeros(0), np.zeros(0), np.zeros(0))
-    rows = _features(sample, model, text_col, ["_label"]).select("_label", "_features").collect()  # about 2 * max_docs short rows
+    rows = _features(sample, model, "_words", ["_label"], "_features").collect()  # about 2 * max_docs short rows
     x, y = np.array([r["_features"] for r in rows]), np.array([r["_label"] for r in rows], np.float64)
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.weights = _regression((x - model.mean) / model.spread, y)
@@ -169,9 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def _features(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+def _features(docs: DataFrame, model: Model, text_col: str, keep: list[str], name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.toxic, model.ordinary))
-    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_features", T.ArrayType(T.DoubleType()))])
+    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
@@ -179,9 +181,9 @@ def _features(docs: DataFrame, model: Model, text_col: str, keep: list[str]) ->
             for part in slices(whole, len(keep), 8 << 20):
                 x = scorer.features(part.column(len(keep)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], names=[*keep, "_features"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], names=[*keep, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text")).mapInArrow(tidied(run), out)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`")).toDF(*[f"c{i}" for i in range(len(keep) + 1)]).mapInArrow(tidied(run), out)
 
 
 def score(docs: DataFrame, model: Model | float, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -194,5 +196,6 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text", score_c
         return docs.withColumn(score_col, F.lit(model))
     keep = [c for c in docs.columns if c != score_col]
     weights = model.weights[1:] / model.spread
-    logit = F.aggregate(F.zip_with("_features", F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w), F.lit(float(model.weights[0] - weights @ model.mean)), lambda acc, v: acc + v)
-    return _features(docs, model, text_col, keep).withColumn(score_col, 1 / (1 + F.exp(-logit))).drop("_features")
+    name = free_name(docs, "features")
+    logit = F.aggregate(F.zip_with(name, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w), F.lit(float(model.weights[0] - weights @ model.mean)), lambda acc, v: acc + v)
+    return _features(docs, model, text_col, keep, name).withColumn(score_col, 1 / (1 + F.exp(-logit))).drop(name)

@@ -229,6 +229,25 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, table.where("toxic = 0").select("doc_id", "toxic"))).collect()} == {0.0}
 
 
+def test_toxicity_scores_from_dictionary_lengths(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(WORDS, k=30) + ["Nastyword", "vile"][: rng.randrange(3)] * (i % 3 == 0)), "x", "y", int(i % 3 == 0)) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, _text string, features string, toxic int")
+    labels = table.select("doc_id", "toxic").unionByName(table.where("toxic = 1").select("doc_id", F.lit(0).alias("toxic")))  # both labels: 1
+    model = toxicity.fit(table, labels)
+    assert model.weights.tolist() == toxicity.fit(table, table.select("doc_id", "toxic")).weights.tolist()
+    scorer = toxicity.Scorer(model.toxic, model.ordinary)
+    for r in toxicity.score(table, model).collect():
+        words = "".join(c if not c.isascii() or c.isalnum() else " " for c in r.text).encode().lower().decode().split()
+        spared = [len(scorer.ordinary.compress(w)) - len(scorer.toxic.compress(w)) for w in ((" " + x).encode() * 4 + b" " for x in words)]
+        sizes = [len(x.encode()) + 1 for x in words]
+        counts = [sum(d >= t for d in spared) for t in range(2, 9)] + [sum(d / n >= t for d, n in zip(spared, sizes)) for t in (0.5, 0.75)]
+        k = len(words)
+        x = [sum(spared) / k, *[10 * c / k for c in counts[:7]], *[math.log1p(c) for c in counts[:7]], *[10 * c / k for c in counts[7:]], *[math.log1p(c) for c in counts[7:]], math.log1p(k) / 10]
+        logit = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.spread))
+        assert abs(r.score - 1 / (1 + math.exp(-logit))) < 1e-9 and (r._text, r.features) == ("x", "y")
+
+
 def test_lz_fingerprints(unique, docs, empty):
     got = {r.id: r for r in lzfingerprint.edited_fingerprints(unique).collect()}
     order = sorted(UNIQUE, key=lambda r: -r[0])
@@ -238,11 +257,36 @@ def test_lz_fingerprints(unique, docs, empty):
         r = got[a[0]]
         assert (r.n_chars, r.edited_sha256) == (len(s), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (lzfingerprint.fingerprint(s), lzfingerprint.fingerprint(edited))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        for near, other in ((r.near_edited, edited), (r.near_next, t)):
+            assert abs(near - brute_likeness(s, other)) < 1e-9
     assert got[2].fingerprint == got[18].fingerprint and got[3].fingerprint == got[4].fingerprint == ""
     assert lzfingerprint.edited_fingerprints(docs).count() == len(ROWS) and lzfingerprint.edited_fingerprints(empty).count() == 0
 
 
+def brute_likeness(s, t):
+    """The share of values that both have among the smallest phrase hashes of both, phrases by a plain LZ78 parse."""
+    marks, whole = [], 2**64 - 1
+
+    def mark(phrase):
+        h = sum((c + 1) * pow(lzfingerprint._BASE, k, 2**64) for k, c in enumerate(phrase)) & whole
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & whole
+        return (h ^ h >> 32) >> 32
+
+    for data in (s.encode(), t.encode()):
+        seen, phrases, at = set(), set(), b""
+        for k in range(len(data)):
+            at += data[k : k + 1]
+            if at not in seen:
+                seen.add(at)
+                phrases.add(at)
+                at = b""
+        if at:
+            phrases.add(at)
+        marks.append(set(sorted(map(mark, phrases))[: lzfingerprint.SIZE]))
+    least = sorted(marks[0] | marks[1])[: lzfingerprint.SIZE]
+    return sum(x in marks[0] and x in marks[1] for x in least) / len(least) if least else 1.0
+
+
 def test_lz_parse_by_hand():
     parse = lzfingerprint.Parse().feed(b"aababcab")  # a, ab, abc, ab left over
     assert parse.ends == [1, 3, 6] and len(parse.signature(b"aababcab")) == 3
