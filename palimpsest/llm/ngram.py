@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import pack, slices, unpack
+from palimpsest.llm.bpe import listed, pack, slices, unpack
 from palimpsest.llm.common import dropped, gathered, scratch, tidied, written
 
 SLICE, SCORED = 12 << 20, 4 << 20
@@ -56,7 +56,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     values = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
     offsets = offsets - offsets[0]
     coded = values.dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = listed(coded.dictionary)
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(w) if w else 0 for w in words], np.uint64)
     index = coded.indices.to_numpy(zero_copy_only=False)
