@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.normalize import plain_name, text_or_null
 
-AMBIGUOUS = r"(\?|\bor\b|/|\bto\b|-)"
+# What marks a label as qualified or as one of several.
+AMBIGUOUS = r"\?|\bor\b|\band\b|mixed|uncertain|approx|\bcf\b|\baff\b|[/()]"
 
 
 def finest(*fields: tuple[str, Column]) -> Column:

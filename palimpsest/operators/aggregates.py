@@ -63,6 +63,11 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total"))
 
 
+def content_mark(text: Column) -> Column:
+    """An aggregate that changes with any of the texts, whatever their order: a sum of 60-bit digests, combined on the map side."""
+    return F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def completeness(summary: DataFrame, expected: int) -> DataFrame:
     """Rows of a summary that break its rules (specimens within assertions, known + unknown = assertions), and its sum where that is not expected."""
     broken = summary.select("key", F.when(F.col("specimens") > F.col("assertions"), "specimens").when(F.col("known") + F.col("unknown") != F.col("assertions"), "intervals").alias("rule")).where("rule is not null")

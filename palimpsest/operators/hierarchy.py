@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,20 +30,22 @@ def nodes_with_parents(paths: DataFrame) -> DataFrame:
     return paths.withColumn("parent", F.lead("node").over(above)).select("node", "rank", "name", "parent").distinct()
 
 
-def parent_closure(edges: DataFrame, max_depth: int = 512) -> DataFrame:
-    """(node, ancestor, depth) from (node, parent), each node under itself at depth 0; nodes of a cycle stop at max_depth.
+def parent_closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) from (node, parent), each node under itself at depth 0.
 
-    One join per level over the frontier alone; levels are written so that plans stay small.
+    Every ancestor stands once, at its least depth, so nodes of a cycle and below one end when all of it is met.  One join per
+    level over the frontier alone; levels are written so that plans stay small.
     """
     links = edges.select("node", "parent").where("parent is not null").distinct()
     frontier = written(edges.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct(), "closure")
-    levels = [frontier]
-    for depth in range(1, max_depth + 1):
+    levels, seen = [frontier], frontier.select("node", "ancestor")
+    for depth in count(1):
         up = frontier.join(links.select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).where(F.col("node") != F.col("ancestor"))
-        frontier = written(up, "closure")
+        frontier = written(up.dropDuplicates(["node", "ancestor"]).join(seen, ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"), "closure")
         if frontier.isEmpty():
             break
         levels.append(frontier)
+        seen = seen.unionByName(frontier.select("node", "ancestor"))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
@@ -71,15 +75,15 @@ def parent_walk(edges: DataFrame, max_depth: int = 32) -> DataFrame:
     return out
 
 
-def reachable(roots: DataFrame, edges: DataFrame, max_rounds: int = 512) -> DataFrame:
+def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, member): everything that (owner, target) edges lead to, the root itself left out unless on a cycle of others.
 
-    Semi-naive: each round joins only what the last one found, and keeps what is new.
+    Semi-naive: each round joins only what the last one found, and keeps what is new, until nothing is.
     """
     links = edges.select(F.col("owner").alias("member"), "target").distinct()
     frontier = written(roots.select(F.col("root"), F.col("root").alias("member")).distinct(), "reach")
     seen = frontier
-    for _ in range(max_rounds):
+    while True:
         found = frontier.join(links, "member").select("root", F.col("target").alias("member")).distinct()
         frontier = written(found.join(seen, ["root", "member"], "left_anti"), "reach")
         if frontier.isEmpty():
@@ -88,11 +92,11 @@ def reachable(roots: DataFrame, edges: DataFrame, max_rounds: int = 512) -> Data
     return seen.where(F.col("root") != F.col("member"))
 
 
-def levels(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, level) parents first; nodes that no round can place have level null: a cycle, or a parent that is missing."""
+def levels(nodes: DataFrame) -> DataFrame:
+    """(node, level) parents first, however deep; nodes that no round can place have level null: a cycle, or a parent that is missing."""
     placed = written(nodes.where("parent is null").select("node", F.lit(0).alias("level")), "levels")
     frontier, out = placed, placed
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         frontier = written(nodes.join(frontier.select(F.col("node").alias("parent")), "parent").select("node", F.lit(depth).alias("level")), "levels")
         if frontier.isEmpty():
             break

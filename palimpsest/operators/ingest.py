@@ -82,9 +82,9 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, ignore: tuple[str, ..
 
 
 def retire(current: DataFrame, snapshot: DataFrame, key: str, complete: bool) -> DataFrame:
-    """current with is_current false where the snapshot lacks the key; an incomplete run retires nothing."""
+    """current with is_current false where the snapshot lacks the key; an incomplete run leaves every row as it is."""
     if not complete:
-        return current.withColumn("is_current", F.lit(True))
+        return current if "is_current" in current.columns else current.withColumn("is_current", F.lit(True))
     return current.join(snapshot.select(F.col(key), F.lit(True).alias("_seen")).distinct(), key, "left").withColumn("is_current", F.col("_seen").isNotNull()).drop("_seen")
 
 

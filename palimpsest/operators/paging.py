@@ -16,11 +16,14 @@ def keyset_page(rows: DataFrame, key: list[str], after: tuple | None, size: int)
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
     """The first rows of each group, each with its place (``place``) and the group's size (``group_total``).
 
-    Sizes are aggregated before the rows are ranked, so only the ranking needs a group's rows in order.
+    Sizes are aggregated before the rows are ranked, so only the ranking needs a group's rows in order.  Null is a group.
     """
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("group_total"))
+    sizes = rows.groupBy(*[F.col(g).alias(f"_size_{g}") for g in group]).agg(F.count("*").alias("group_total"))
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= most)
-    return ranked.join(sizes, group)
+    same = F.lit(True)
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_size_{g}"))
+    return ranked.join(sizes, same).select(*group, *[c for c in rows.columns if c not in group], "place", "group_total")
 
 
 def first_per_group(rows: DataFrame, group: list[str], order: Column) -> DataFrame:

@@ -288,9 +288,9 @@ def _(e: Evidence) -> DataFrame:
     return e.material.groupBy("taxon_id").agg(F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim("collection"), F.lit("")))), ",").alias("collections"))
 
 
-@query("e13_dataset_fingerprint", "SELECT record % 16 AS part, md5(string_agg(content_hash || seq, '' ORDER BY content_hash || seq)) AS fingerprint FROM revisions GROUP BY record % 16")
+@query("e13_dataset_fingerprint", "SELECT record % 16 AS part, CAST(sum(CAST('0x' || substr(md5(content_hash || seq), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM revisions GROUP BY record % 16")
 def _(e: Evidence) -> DataFrame:
-    return e.revisions.groupBy((F.col("record") % 16).alias("part")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat("content_hash", F.col("seq").cast("string")))), "")).alias("fingerprint"))
+    return e.revisions.groupBy((F.col("record") % 16).alias("part")).agg(agg.content_mark(F.concat("content_hash", F.col("seq").cast("string"))).alias("fingerprint"))
 
 
 @query("e14_source_counts", "SELECT count(*) AS total, count(*) FILTER (source = 'a') AS a, count(*) FILTER (source = 'b') AS b FROM catalog")
@@ -315,10 +315,12 @@ def _(e: Evidence) -> DataFrame:
     return e.revisions.select("record").distinct().join(n, "record", "left").select("record", F.coalesce("materials", F.lit(0)).alias("materials"))
 
 
-@query("e18_completeness", "SELECT 'none' AS key, 'none' AS rule WHERE false", base=False)
+@query("e18_completeness", "WITH k AS (SELECT locality_id, count(*) AS n, count(DISTINCT specimen_id) AS s FROM catalog GROUP BY locality_id) SELECT locality_id AS key, 'specimens' AS rule FROM k WHERE locality_id LIKE '%7' UNION ALL SELECT locality_id, 'intervals' FROM k WHERE locality_id LIKE '%3' UNION ALL SELECT '*', 'total' WHERE EXISTS (SELECT 1 FROM k WHERE locality_id LIKE '%7')")
 def _(e: Evidence) -> DataFrame:
     summary = e.catalog.groupBy(F.col("locality_id").alias("key")).agg(*agg.counts())
-    return agg.completeness(summary, e.catalog.count())
+    wrong = F.col("key").like("%7")  # localities that lose all but a record fewer than they have specimens
+    broken = summary.withColumn("known", F.when(F.col("key").like("%3"), F.col("known") + 1).otherwise(F.col("known"))).withColumn("assertions", F.when(wrong, F.col("specimens") - 1).otherwise(F.col("assertions")))
+    return agg.completeness(broken, e.catalog.count())
 
 
 # windows, pages, set operations

@@ -159,7 +159,7 @@ def _(e: Evidence) -> DataFrame:
     return few.groupBy("node", "rank", "name").agg(F.max("group_total").alias("members"), F.array_join(F.array_sort(F.collect_list("taxon_id")).cast("array<string>"), ",").alias("first_members"))
 
 
-@query("k26_build_fingerprint", f"WITH {PATHS_SQL} SELECT source, md5(string_agg(s, ',' ORDER BY s)) AS fingerprint FROM (SELECT source, key || ':' || array_to_string(path, '/') AS s FROM paths) GROUP BY source")
+@query("k26_build_fingerprint", f"WITH {PATHS_SQL} SELECT source, CAST(sum(CAST('0x' || substr(md5(s), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM (SELECT source, key || ':' || array_to_string(path, '/') AS s FROM paths) GROUP BY source")
 def _(e: Evidence) -> DataFrame:
     leaf = F.concat_ws(":", F.col("key").cast("string"), F.array_join("path", "/"))
-    return _paths(e).groupBy("source").agg(F.md5(F.array_join(F.array_sort(F.collect_list(leaf)), ",")).alias("fingerprint"))
+    return _paths(e).groupBy("source").agg(agg.content_mark(leaf).alias("fingerprint"))

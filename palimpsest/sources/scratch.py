@@ -12,6 +12,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; a temporary folder only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex[:12]}"

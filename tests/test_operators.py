@@ -110,6 +110,9 @@ def test_completion_refuses_two_prefixes(spark):
 def test_time_labels_never_fall_back(spark):
     units = spark.createDataFrame([("Late Epoch", 5, 3)], "name string, older int, younger int")
     rows = spark.createDataFrame([("Epoch, Late",), (" late  epoch ",), ("Late Epoch?",), ("Later",), (" ",), (None,)], "label string")
+    doubtful = ["mixed epoch", "a and b", "uncertain", "approx. x", "cf x", "x aff y", "(x)", "a/b", "a or b"]
+    labels = spark.createDataFrame([(x,) for x in [*doubtful, "late-epoch", "a to b"]], "label string")
+    assert {r.label for r in intervals.interpret(labels, "label", intervals.alias_table(units)).where("status = 'ambiguous'").collect()} == set(doubtful)
     got = [r.status for r in intervals.interpret(rows, "label", intervals.alias_table(units)).collect()]
     assert sorted(got) == sorted(["mapped", "mapped", "ambiguous", "unmapped", "absent", "absent"])
 
@@ -126,6 +129,26 @@ def test_pages(spark):
     assert {(x.r, x.k, x.has_more) for x in paging.preview(rows, ["r"], [F.asc("k")], 1).collect()} == {(1, "a", True), (2, "a", False)}
 
 
+def test_groups_of_null_keep_their_rows(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, k int")
+    assert {tuple(r) for r in paging.top_per_group(rows, ["g"], [F.asc("k")], 1).collect()} == {(None, 1, 1, 2), ("a", 3, 1, 1)}
+
+
+def test_an_incomplete_run_leaves_rows_as_they_are(spark):
+    rows = spark.createDataFrame([(1, True), (2, False)], "k int, is_current boolean")
+    none = spark.createDataFrame([], "k int")
+    assert {tuple(r) for r in ingest.retire(rows, none, "k", complete=False).collect()} == {(1, True), (2, False)}
+    assert {tuple(r) for r in ingest.retire(rows, none, "k", complete=True).collect()} == {(1, False), (2, False)}
+
+
+def test_closures_of_cycles_and_deep_chains_end(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "node int, parent int")
+    got = {(r.node, r.ancestor): r.depth for r in hierarchy.parent_closure(edges).collect()}
+    assert got == {(1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (1, 2): 1, (1, 3): 2, (2, 3): 1, (2, 1): 2, (3, 1): 1, (3, 2): 2, (4, 1): 1, (4, 2): 2, (4, 3): 3}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)], "node int, parent int")
+    assert {r.node: r.level for r in hierarchy.levels(chain).collect()} == {i: i for i in range(70)}
+
+
 def test_publication_is_all_or_nothing(spark, tmp_path):
     path = str(tmp_path / "p")
     readers.publish({"x": spark.range(3)}, path)
@@ -162,7 +185,7 @@ def test_text_or_null_takes_whole_texts(spark, tmp_path):
     test_queries_equal_sql(spark, "b01_text_or_null_whole")
 
 
-@pytest.mark.parametrize("name", ["j12_localities", "e02_ancestor_rollup_corrected", "e03_source_rollup", "g08_parent_walk", "k07_placement", "k11_aligned", "l03_decisions", "m01_invalid_owners", "f02_top_per_group", "h02_h03_interpret", "b05_position", "a12_upsert", "d10_sharing_localities", "j23_viewports"])
+@pytest.mark.parametrize("name", ["j12_localities", "e02_ancestor_rollup_corrected", "e03_source_rollup", "g08_parent_walk", "k07_placement", "k11_aligned", "l03_decisions", "m01_invalid_owners", "f02_top_per_group", "h02_h03_interpret", "b05_position", "a12_upsert", "d10_sharing_localities", "j23_viewports", "a04_manifest", "m08_object_audit", "e13_dataset_fingerprint", "l06_dataset_state", "k26_build_fingerprint", "e18_completeness", "a24_exact_replay", "h02_h03_interpret"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
