@@ -109,6 +109,9 @@ def links(prints: DataFrame, radius: int = 2, tile: int = TILE, blocks: int = 4)
         F.col("tile").alias("own"), F.col("cut").alias("own_cut"), F.col("fps").alias("a"), sum((m * (32**k) for k, m in enumerate(moved)), F.lit(0)).cast("int").alias("tile")
     )
     pairs = left.join(packed, "tile").where((F.col("own") != F.col("tile")) | (F.col("own_cut") <= F.col("cut"))).select("a", F.col("fps").alias("b"))
+    if blocks == 1:  # few large pairs: dealt out one by one, as a task compares whole tiles
+        n = packed.count()
+        pairs = pairs.repartition(max(1, min(20_000, n * n // 8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
