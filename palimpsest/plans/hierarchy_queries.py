@@ -98,10 +98,10 @@ def _(e: Evidence) -> DataFrame:
     return hi.reachable(d.select(F.col("owner").alias("root")), d)
 
 
-@query("g11_frontier", f"WITH {DEPS_SQL}, rc AS (SELECT DISTINCT owner AS member FROM deps WHERE owner LIKE 'e%7' UNION SELECT d.target FROM rc JOIN deps d ON rc.member = d.owner) SELECT member, member NOT IN (SELECT owner FROM deps) AND NOT starts_with(member, 'r') AS missing FROM rc WHERE NOT starts_with(member, 'e')")
+@query("g11_frontier", f"WITH {DEPS_SQL}, rc AS (SELECT DISTINCT owner AS member FROM deps WHERE owner LIKE 'e%' UNION SELECT d.target FROM rc JOIN deps d ON rc.member = d.owner) SELECT member, member NOT IN (SELECT owner FROM deps) AND NOT starts_with(member, 'r') AS missing FROM rc WHERE NOT starts_with(member, 'e')")
 def _(e: Evidence) -> DataFrame:
     d = _dependencies(e)
-    found = hi.reachable(d.where("owner like 'e%7'").select(F.col("owner").alias("root")), d).select("member").distinct()
+    found = hi.reachable(d.where("owner like 'e%'").select(F.col("owner").alias("root")), d).select("member").distinct()
     known = d.select(F.col("owner").alias("member"), F.lit(True).alias("_k")).distinct()
     return found.join(known, "member", "left").select("member", (F.col("_k").isNull() & ~F.startswith("member", F.lit("r"))).alias("missing"))
 

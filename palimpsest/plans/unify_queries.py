@@ -138,10 +138,10 @@ def _(e: Evidence) -> DataFrame:
     return un.alias_redirects(*_builds(e))
 
 
-@query("k20_resolved_ids", f"WITH {BUILDS_SQL}, w AS (SELECT node AS id FROM b0 UNION SELECT node FROM b1 UNION SELECT concept FROM b1 WHERE concept LIKE '%3') SELECT id, arg_min(node, p) AS node FROM (SELECT id, id AS node, 0 AS p FROM w WHERE id IN (SELECT node FROM b1) UNION ALL SELECT id, new, 1 FROM w JOIN ali ON id = old UNION ALL SELECT id, node, 2 FROM w JOIN b1 ON id = concept) GROUP BY id")
+@query("k20_resolved_ids", f"WITH {BUILDS_SQL}, w AS (SELECT node AS id FROM b0 UNION SELECT node FROM b1 UNION SELECT concept FROM b1) SELECT id, arg_min(node, p) AS node FROM (SELECT id, id AS node, 0 AS p FROM w WHERE id IN (SELECT node FROM b1) UNION ALL SELECT id, new, 1 FROM w JOIN ali ON id = old UNION ALL SELECT id, node, 2 FROM w JOIN b1 ON id = concept) GROUP BY id")
 def _(e: Evidence) -> DataFrame:
     before, now = _builds(e)
-    wanted = before.select(F.col("node").alias("id")).union(now.select("node")).union(now.where("concept like '%3'").select("concept")).distinct()
+    wanted = before.select(F.col("node").alias("id")).union(now.select("node")).union(now.select("concept")).distinct()
     return un.resolve(wanted, now.select("node").distinct(), un.alias_redirects(before, now), now)
 
 
