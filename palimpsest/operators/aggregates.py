@@ -34,14 +34,26 @@ def ancestor_rollup_corrected(rows: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def source_rollup(rows: DataFrame, closure: DataFrame) -> DataFrame:
-    """Per node and source, and per node over all sources (source ``all``): direct and inclusive counts and envelopes."""
-    joined = rows.join(closure.select("taxon_id", "node", "depth"), "taxon_id")
+    """Per node and source, and per node over all sources (source ``all``): direct and inclusive counts and envelopes.
+
+    Records are summed by taxon and source before they meet the closure.  Distinct specimens are counted apart, each once
+    per node with the few sources that have it.
+    """
     whole = F.col("older").isNotNull() & F.col("younger").isNotNull()
-    measures = [
-        F.count("*").alias("inclusive"), F.count(F.when(F.col("depth") == 0, 1)).alias("direct"), F.count_distinct("specimen_id").alias("specimens"), F.count(F.when(whole, 1)).alias("known"), F.count(F.when(~whole, 1)).alias("unknown"),
-        F.max(F.when(whole, F.col("older"))).alias("older_bound"), F.min(F.when(whole, F.col("younger"))).alias("younger_bound"), F.count(F.when(F.col("withheld"), 1)).alias("withheld"), F.count(F.when(F.col("lon").isNotNull(), 1)).alias("mapped"),
+    leaves = rows.groupBy("taxon_id", "source").agg(
+        F.count("*").alias("n"), F.count(F.when(whole, 1)).alias("known"), F.count(F.when(~whole, 1)).alias("unknown"), F.max(F.when(whole, F.col("older"))).alias("older_bound"), F.min(F.when(whole, F.col("younger"))).alias("younger_bound"),
+        F.count(F.when(F.col("withheld"), 1)).alias("withheld"), F.count(F.when(F.col("lon").isNotNull(), 1)).alias("mapped"),
+    )
+    sums = [
+        F.sum("n").alias("inclusive"), F.sum(F.when(F.col("depth") == 0, F.col("n")).otherwise(0)).alias("direct"), *[F.sum(c).alias(c) for c in ("known", "unknown", "withheld", "mapped")],
+        F.max("older_bound").alias("older_bound"), F.min("younger_bound").alias("younger_bound"),
     ]
-    return joined.groupingSets([["node", "source"], ["node"]], "node", "source").agg(F.grouping("source").alias("_all"), *measures).withColumn("source", F.when(F.col("_all") == 1, "all").otherwise(F.col("source"))).drop("_all")
+    summed = leaves.join(closure.select("taxon_id", "node", "depth"), "taxon_id").groupingSets([["node", "source"], ["node"]], "node", "source").agg(F.grouping("source").alias("_all"), *sums)
+    summed = summed.withColumn("source", F.when(F.col("_all") == 1, "all").otherwise(F.col("source"))).drop("_all")
+    held = rows.where("specimen_id is not null").groupBy("taxon_id", "specimen_id").agg(F.collect_set("source").alias("of"))
+    held = held.join(closure.select("taxon_id", "node"), "taxon_id").groupBy("node", "specimen_id").agg(F.array_distinct(F.flatten(F.collect_set("of"))).alias("of"))
+    specimens = held.select("node", F.explode(F.concat("of", F.array(F.lit("all")))).alias("source")).groupBy("node", "source").agg(F.count("*").alias("specimens"))
+    return summed.join(specimens, ["node", "source"], "left").withColumn("specimens", F.coalesce("specimens", F.lit(0)))
 
 
 def places(rows: DataFrame) -> DataFrame:

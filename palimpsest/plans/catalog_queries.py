@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import aggregates as agg
@@ -14,9 +14,14 @@ from palimpsest.plans.registry import query
 OVERLAP_SQL = "older >= 9000 AND younger <= 9500"
 
 
+def labels() -> Column:
+    """The label columns of a material record as an array of (namespace, term)."""
+    return F.array(*[F.struct(F.lit(n).alias("namespace"), F.col(n).alias("term")) for n in ("l_returnflag", "l_linestatus", "p_type")])
+
+
 def _terms(e: Evidence) -> DataFrame:
     """(record_id, namespace, term): label columns of material records, unpivoted."""
-    return e.material.select("record_id", F.explode(F.array(*[F.struct(F.lit(n).alias("namespace"), F.col(n).alias("term")) for n in ("l_returnflag", "l_linestatus", "p_type")])).alias("t")).select("record_id", "t.*").where("term is not null")
+    return e.material.select("record_id", F.explode(labels()).alias("t")).select("record_id", "t.*").where("term is not null")
 
 
 TERMS_SQL = "terms AS (SELECT record_id, 'l_returnflag' AS namespace, l_returnflag AS term FROM material UNION ALL SELECT record_id, 'l_linestatus', l_linestatus FROM material UNION ALL SELECT record_id, 'p_type', p_type FROM material)"
@@ -78,7 +83,7 @@ def _(e: Evidence) -> DataFrame:
 
 @query("c08_overlap", f"SELECT record_id, older, younger FROM catalog WHERE {OVERLAP_SQL}")
 def _(e: Evidence) -> DataFrame:
-    return e.catalog.where(ctx.overlaps(9500, 9000)).select("record_id", "older", "younger")
+    return e.within(9500, 9000).catalog.where(ctx.overlaps(9500, 9000)).select("record_id", "older", "younger")
 
 
 @query("c09_point", "SELECT record_id FROM catalog WHERE lon = -106 AND lat = -64 AND NOT withheld")

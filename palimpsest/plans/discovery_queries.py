@@ -10,7 +10,7 @@ from palimpsest.operators import discover as dis
 from palimpsest.operators import paging
 from palimpsest.operators.context import Context
 from palimpsest.operators.joins import first_sharing
-from palimpsest.plans.catalog_queries import OVERLAP_SQL, TERMS_SQL, _terms
+from palimpsest.plans.catalog_queries import OVERLAP_SQL, TERMS_SQL, labels
 from palimpsest.plans.fixtures import COUNTS_SQL, Evidence
 from palimpsest.plans.registry import query
 
@@ -19,7 +19,7 @@ _INTERVAL = (9500, 9000)
 
 @query("j01_catalog_page", f"SELECT record_id, label, older, younger, (SELECT count(*) FROM catalog WHERE source = 'a' AND {OVERLAP_SQL}) AS total FROM catalog WHERE source = 'a' AND {OVERLAP_SQL} ORDER BY record_id LIMIT 51")
 def _(e: Evidence) -> DataFrame:
-    rows = Context(source="a", interval=_INTERVAL).apply(e.catalog)
+    rows = Context(source="a", interval=_INTERVAL).apply(e.within(*_INTERVAL).catalog)
     return paging.keyset_page(rows.select("record_id", "label", "older", "younger"), ["record_id"], None, 50).crossJoin(rows.agg(F.count("*").alias("total")))
 
 
@@ -81,7 +81,7 @@ def _(e: Evidence) -> DataFrame:
 
 @query("j09_viewport_list", f"SELECT record_id, lon, lat FROM catalog WHERE source = 'b' AND lon BETWEEN -120 AND 60 AND lat BETWEEN -90 AND 70 AND NOT withheld AND older >= 300 AND younger <= 400 ORDER BY record_id LIMIT 201")
 def _(e: Evidence) -> DataFrame:
-    rows = Context(source="b", box=(-120, -90, 60, 70), interval=(400, 300)).apply(e.catalog)
+    rows = Context(source="b", box=(-120, -90, 60, 70), interval=(400, 300)).apply(e.within(400, 300).catalog)
     return paging.keyset_page(rows.select("record_id", "lon", "lat"), ["record_id"], None, 200)
 
 
@@ -97,7 +97,7 @@ def _(e: Evidence) -> DataFrame:
 
 @query("j12_localities", f"SELECT locality_id, {COUNTS_SQL} FROM catalog WHERE {OVERLAP_SQL} AND locality_id IS NOT NULL GROUP BY locality_id ORDER BY assertions DESC, locality_id LIMIT 50")
 def _(e: Evidence) -> DataFrame:
-    rows = Context(interval=_INTERVAL).apply(e.catalog).where("locality_id is not null")
+    rows = Context(interval=_INTERVAL).apply(e.within(*_INTERVAL).catalog).where("locality_id is not null")
     return rows.groupBy("locality_id").agg(*agg.counts()).orderBy(F.desc("assertions"), "locality_id").limit(50)
 
 
@@ -112,9 +112,9 @@ DOSSIER_SQL = f"""WITH {TERMS_SQL}, lt AS (SELECT DISTINCT locality_id, taxon_id
   c AS (SELECT locality_id, {COUNTS_SQL} FROM material GROUP BY locality_id) SELECT c.*, terms, related FROM c LEFT JOIN trm USING (locality_id) LEFT JOIN rel USING (locality_id)"""
 
 
-def _dossiers(rows: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+def _dossiers(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per locality: counts, facet counts of its terms, and the first twelve localities that share a taxon."""
-    facets = rows.join(terms, "record_id").groupBy("locality_id", "namespace", "term").agg(F.count("*").alias("n"))
+    facets = rows.select("locality_id", F.explode(labels()).alias("t")).where("t.term is not null").groupBy("locality_id", "t.namespace", "t.term").agg(F.count("*").alias("n"))
     facet = F.concat_ws(":", F.concat_ws("=", "namespace", "term"), F.col("n").cast("string"))
     listed = facets.groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list(facet)), ",").alias("terms"))
     related = pairs.groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list("related")), ",").alias("related"))
@@ -124,12 +124,12 @@ def _dossiers(rows: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
 @query("j14_dossier_live", DOSSIER_SQL + " WHERE locality_id = 's3'")
 def _(e: Evidence) -> DataFrame:
     pairs = first_sharing(e.material, "locality_id", "taxon_id", 12).where("locality_id = 's3'")
-    return _dossiers(e.material.where("locality_id = 's3'"), _terms(e), pairs)
+    return _dossiers(e.material.where("locality_id = 's3'"), pairs)
 
 
 @query("j15_dossiers", DOSSIER_SQL)
 def _(e: Evidence) -> DataFrame:
-    return _dossiers(e.material, _terms(e), first_sharing(e.material, "locality_id", "taxon_id", 12))
+    return _dossiers(e.material, first_sharing(e.material, "locality_id", "taxon_id", 12))
 
 
 @query("j16_taxon_summary", "SELECT node, rank, name, count(*) AS assertions, count(DISTINCT specimen_id) AS specimens FROM catalog JOIN closure USING (taxon_id) GROUP BY node, rank, name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +26,26 @@ def hundredths(column: str) -> Column:
 class Evidence:
     """Lazily read tables of one folder, and the frames derived from them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, interval: tuple[float, float] | None = None):
+        self.spark, self.sf_dir, self.interval = spark, sf_dir, interval
+
+    def within(self, older: float, younger: float) -> Evidence:
+        """The same evidence for readers of one interval: days outside it are left out by the scans already.
+
+        Only what can't overlap goes; the overlap filter itself still applies.
+        """
+        return Evidence(self.spark, self.sf_dir, (older, younger))
+
+    def _dated(self, rows: DataFrame, begins: str | None, ends: str | None) -> DataFrame:
+        """rows whose first day isn't after the interval and whose last day isn't before it, by bare columns, so that Parquet can skip."""
+        if self.interval is not None:
+            older, younger = self.interval
+            day = date.fromisoformat(REFERENCE_DAY)
+            if begins:
+                rows = rows.where(F.col(begins) < F.lit(day - timedelta(days=math.ceil(younger) - 1)))
+            if ends:
+                rows = rows.where(F.col(ends) >= F.lit(day - timedelta(days=math.floor(older))))
+        return rows
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -34,7 +54,7 @@ class Evidence:
     def material(self) -> DataFrame:
         """One specimen record per line item."""
         rows = (
-            self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+            self._dated(self.table("lineitem"), None, "l_shipdate").join(self._dated(self.table("orders"), "o_orderdate", None), F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
         )
         key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], *map(hundredths, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd")))
@@ -49,7 +69,7 @@ class Evidence:
     def occurrence(self) -> DataFrame:
         """One published occurrence per event; never a specimen, sometimes no locality."""
         taxon = F.get_json_object("props", "$.k").cast("bigint")
-        rows = self.table("events").withColumn("taxon_id", taxon).join(self.table("customer"), F.col("user_id") == F.col("c_custkey"), "left").join(self.table("part").select(F.col("p_partkey").alias("taxon_id"), "p_name"), "taxon_id", "left")
+        rows = self._dated(self.table("events"), "ts", "ts").withColumn("taxon_id", taxon).join(self.table("customer"), F.col("user_id") == F.col("c_custkey"), "left").join(self.table("part").select(F.col("p_partkey").alias("taxon_id"), "p_name"), "taxon_id", "left")
         return rows.select(
             F.md5(F.concat(F.lit("b|"), F.col("event_id").cast("string"))).alias("record_id"), "taxon_id", F.when(F.col("c_custkey").isNotNull(), F.concat(F.lit("c"), "user_id")).alias("locality_id"), F.col("event_type").alias("collection"),
             days_before("ts").alias("older"), days_before("ts").alias("younger"), ((F.col("c_nationkey") * 37) % 360 - 180).alias("lon"), ((F.col("c_nationkey") * 13) % 181 - 90).alias("lat"), (F.col("c_acctbal") < 0).alias("withheld"), F.col("p_name").alias("label"),
