@@ -1,8 +1,8 @@
 """WARC archives: write, read back, resolve revisits by payload digest, write deduplicated archives.
 
 Records are built as strings by Spark and written by Spark's text writer (gzip), so archives go wherever the session can
-write and a lost task is simply written again.  Files hold a bounded number of records, set from the measured mean and
-largest record, so that a reader may take a file whole.  Only headers are shuffled by digest; payloads stay where they are
+write and a lost task is simply written again.  Files hold a bounded number of records, set from the measured mean, and large
+pages stand alone in files of their own, so that a reader may take a file whole.  Only headers are shuffled by digest; payloads stay where they are
 and meet their decisions file by file.
 """
 
@@ -21,7 +21,7 @@ from palimpsest.llm.common import scratch, setting, tidied, written
 
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
-FILE_BYTES, FILE_MOST = 8 << 20, 128 << 20
+FILE_BYTES, LARGE_BYTES = 8 << 20, 256 << 10
 BROADCAST_BYTES = 16 << 20
 HEADER_SCHEMA = "file string, at bigint, page_id bigint, url string, type string, record_id string, payload_digest string, payload_bytes bigint, refers_at string, refers_page bigint"
 
@@ -50,13 +50,21 @@ def _record(kind: Column, payload: Column, extra: Column, date: str, salt: str)
     )
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: str = "DEFAULT_COMPRESSION") -> None:
     """A response record per page, payload the html in UTF-8 (null: empty)."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
-    size = rows.agg(F.avg(F.octet_length("payload")).alias("mean"), F.max(F.octet_length("payload")).alias("most")).first()
-    each = max(1, int(min(FILE_BYTES / ((size["mean"] or 0) + 1000), FILE_MOST / ((size["most"] or 0) + 1000))))
-    record = _record(F.lit("response"), F.col("payload"), F.lit(""), date, "source")
-    rows.withColumn("payload_digest", base32_sha1(F.col("payload"))).select(record.alias("value")).write.option("maxRecordsPerFile", each).option("compression", "gzip").option("lineSep", _END).text(path)
+    length, large = F.octet_length("payload"), F.octet_length("payload") > LARGE_BYTES
+    size = rows.agg(F.avg(F.when(~large, length)).alias("mean"), F.count(F.when(large, 1)).alias("large")).first()
+    each = max(1, int(FILE_BYTES / ((size["mean"] or 0) + 1000)))
+    for part, most in ((~large, each), (large, 1))[: 2 if size["large"] else 1]:
+        record = _record(F.lit("response"), F.col("payload"), F.lit(""), date, f"source{most}")
+        digested = rows.where(part).withColumn("payload_digest", base32_sha1(F.col("payload")))
+        digested.select(record.alias("value")).write.mode("append").options(**_written(level)).option("maxRecordsPerFile", most).text(path)
+
+
+def _written(level: str) -> dict[str, str]:
+    """Options of the text writer; level is a zlib level as Hadoop names it (BEST_SPEED, DEFAULT_COMPRESSION, NINE, ...)."""
+    return {"compression": "gzip", "lineSep": _END, "zlib.compress.level": level}
 
 
 def _inflate(content: bytes) -> bytes:
@@ -135,7 +143,7 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     return headers.join(first, "payload_digest", "left").withColumn("original", F.when((F.col("payload_bytes") >= least_bytes) & ~same, F.col("original")))
 
 
-def write_deduplicated(spark: SparkSession, source: str, resolved: DataFrame, path: str, date: str = "2024-01-02T00:00:00Z") -> None:
+def write_deduplicated(spark: SparkSession, source: str, resolved: DataFrame, path: str, date: str = "2024-01-02T00:00:00Z", level: str = "DEFAULT_COMPRESSION") -> None:
     """The archives at source written anew: responses with their payload, revisits as headers that name the original."""
     packed = written(
         resolved.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "page_id", "url", "payload_digest", "payload_bytes", F.col("original.page_id").alias("to_page"), F.col("original.url").alias("to_url"), F.col("original.record_id").alias("to_id")))).alias("records")),
@@ -166,7 +174,7 @@ def write_deduplicated(spark: SparkSession, source: str, resolved: DataFrame, pa
             _line("Refers-To-Page-Id", F.col("to_page")), _line("Payload-Length", F.col("payload_bytes")),
         )).otherwise("")
         record = _record(F.when(revisit, "revisit").otherwise("response"), F.col("payload"), extra, date, "deduplicated")
-        rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", _END).text(path)
+        rows.select(record.alias("value")).write.options(**_written(level)).text(path)
 
 
 def deduplicate(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

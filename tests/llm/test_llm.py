@@ -444,6 +444,18 @@ def test_warc(spark):
     assert warc.deduplicate(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_warc_large_pages_stand_alone(spark):
+    big = "é" * warc.LARGE_BYTES
+    rows = [(i, f"http://x/{i}", big if i in (3, 7) else f"page {i % 2}") for i in range(1, 9)]
+    path = common.scratch(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path, level="BEST_SPEED")
+    heads = warc.read_headers(spark, path)
+    files = heads.groupBy("file").agg(F.sort_array(F.collect_list("page_id")).alias("ids")).collect()
+    assert sorted(r.ids for r in files) == [[1, 2, 4, 5, 6, 8], [3], [7]]
+    assert {r.page_id: r.payload_bytes for r in heads.collect()} == {i: len(t.encode()) for i, _, t in rows}
+    assert {r.page_id: r.original and r.original.page_id for r in warc.resolve_revisits(heads).collect()} == {1: None, 2: None, 3: None, 4: 2, 5: 1, 6: 2, 7: 3, 8: 2}
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
