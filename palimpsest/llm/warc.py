@@ -185,7 +185,7 @@ def deduplicate(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id",
     """
     spark = pages.sparkSession
     source, target = scratch(spark, "warc-source"), scratch(spark, "warc-deduplicated")
-    write_archives(pages, source, id_col=id_col, url_col=url_col, html_col=html_col)
+    write_archives(pages, source, id_col=id_col, url_col=url_col, html_col=html_col, level="BEST_SPEED")  # read twice, then of no use
     resolved = resolve_revisits(read_headers(spark, source), least_bytes)
     write_deduplicated(spark, source, resolved, target)
     return read_headers(spark, target)
