@@ -24,11 +24,12 @@ def completed(paths: DataFrame, root: str) -> DataFrame:
 
     It borrows what stands above its first two levels in rooted paths, if that is one and the same everywhere.
     """
-    rooted = F.startswith(F.col("path")[0], F.lit(f"{root}="))
+    first, second = F.get("path", F.lit(0)), F.get("path", F.lit(1))
+    rooted = F.coalesce(F.startswith(first, F.lit(f"{root}=")), F.lit(False))
     pairs = paths.where(rooted & (F.size("path") > 1)).select("path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("i"))
     known = pairs.select(F.element_at("path", F.col("i")).alias("_first"), F.element_at("path", F.col("i") + 1).alias("_second"), F.slice("path", 1, F.col("i") - 1).alias("before"))
     unique = known.distinct().groupBy("_first", "_second").agg(F.count("*").alias("_n"), F.first("before").alias("before")).where("_n = 1")
-    out = paths.join(unique, (F.col("path")[0] == F.col("_first")) & (F.col("path")[1] == F.col("_second")), "left")
+    out = paths.join(unique, (first == F.col("_first")) & (second == F.col("_second")), "left")
     return out.withColumn("prefix", F.when(rooted | F.col("before").isNull(), F.array().cast("array<string>")).otherwise(F.col("before"))).drop("_first", "_second", "_n", "before")
 
 
@@ -38,32 +39,90 @@ def ambiguous(paths: DataFrame) -> DataFrame:
 
 
 def isolated_nodes(paths: DataFrame) -> DataFrame:
-    """levels with ``node``: the hash of the signature, and of the concept too where the whole path is ambiguous."""
+    """levels with ``node`` and ``isolated``: the node is the hash of the signature, and of the concept too from an ambiguous level on.
+
+    A level is ambiguous where one source gives the whole path down to it to several concepts; what stands below it in a
+    longer path is isolated with it, so that nothing meets below a node that doesn't.
+    """
     marks = ambiguous(paths).withColumn("_iso", F.lit(True))
-    lv = levels(paths).join(marks, ["source", "sig"], "left")
-    return lv.withColumn("node", F.md5(F.concat("sig", F.lit("#"), F.when(F.col("_iso"), F.col("key").cast("string")).otherwise("")))).drop("_iso")
+    above = Window.partitionBy("source", "key").orderBy("level")
+    lv = levels(paths).join(marks, ["source", "sig"], "left").withColumn("isolated", F.coalesce(F.bool_or("_iso").over(above), F.lit(False)))
+    return lv.withColumn("node", F.md5(F.concat("sig", F.lit("#"), F.when(F.col("isolated"), F.col("key").cast("string")).otherwise("")))).drop("_iso")
+
 
+def placement(completed_paths: DataFrame, root: str, qualified: Column, unresolved: Column | None = None) -> DataFrame:
+    """(source, key, status, container): qualified, ambiguous, unresolved, partial (neither rooted nor completed) or supported.
 
-def placement(completed_paths: DataFrame, root: str, qualified: Column) -> DataFrame:
-    """(source, key, status): ambiguous, qualified, partial (neither rooted nor completed) or supported."""
+    ``unresolved`` says where a source is at odds with itself about a row, or gives its lowest level no rank.  What isn't
+    rooted hangs below a container, one for partial and one for unresolved paths; container is null for all others.
+    """
     amb = ambiguous(completed_paths).withColumn("_amb", F.lit(True))
     rows = completed_paths.withColumn("sig", F.array_join("path", "/")).join(amb, ["source", "sig"], "left")
-    rooted = F.startswith(F.col("path")[0], F.lit(f"{root}=")) | (F.size("prefix") > 0)
-    return rows.select("source", "key", F.when(F.col("_amb"), "ambiguous").when(qualified, "qualified").when(~rooted, "partial").otherwise("supported").alias("status"))
+    rooted = F.coalesce(F.startswith(F.get("path", F.lit(0)), F.lit(f"{root}=")), F.lit(False)) | (F.size("prefix") > 0)
+    open_ = F.coalesce(unresolved, F.lit(False)) if unresolved is not None else F.lit(False)
+    status = F.when(qualified, "qualified").when(F.col("_amb"), "ambiguous").when(open_, "unresolved").when(~rooted, "partial").otherwise("supported")
+    return rows.select("source", "key", status.alias("status"), F.when(~rooted, F.when(open_, "unresolved").otherwise("partial")).alias("container"))
+
+
+#: Ranks that stand for any rank, ranks that stand for each other, and ranks that a shared family may bridge; fixed values.
+CLADES = ("clade", "unranked clade")
+KINDRED = ("order", "suborder")
+BRIDGED = ("order", "suborder", "superorder", "superfamily", "subclass", "infraclass")
+
+
+def _rank(item: Column) -> Column:
+    return F.split_part(item, F.lit("="), F.lit(1))
+
+
+def _name(item: Column) -> Column:
+    return F.lower(F.substring(item, F.length(_rank(item)) + 2, F.length(item)))
+
+
+def _ranks_agree(a: Column, b: Column) -> Column:
+    return (a == b) | a.isin(*CLADES) | b.isin(*CLADES) | (a.isin(*KINDRED) & b.isin(*KINDRED))
+
+
+def compatible(item_a: Column, up_a: Column, item_b: Column, up_b: Column, root: str = "kingdom") -> Column:
+    """Whether two nodes of one name may be the same: items ``rank=name``, with the items above them, highest first.
+
+    Their ranks agree; some level above is shared by name and agreeing rank (but for the root rank), and shared names stand
+    in the same order; and for every rank that both have above, the nearest names are equal, or one of the two stands
+    elsewhere above the other node (nested groups), or the rank is one that a shared family and a shared class bridge.
+    """
+    names_a, names_b = F.transform(up_a, _name), F.transform(up_b, _name)
+    shared = F.transform(F.filter(up_a, lambda x: F.exists(up_b, lambda y: (_name(x) == _name(y)) & _ranks_agree(_rank(x), _rank(y)))), _name)
+    in_order = lambda names: F.array_distinct(F.filter(names, lambda n: F.array_contains(shared, n)))
+    of_rank = lambda items, rank: F.filter(items, lambda x: _rank(x) == rank)
+    families = [F.transform(of_rank(F.concat(up, F.array(item)), F.lit("family")), _name) for item, up in ((item_a, up_a), (item_b, up_b))]
+    bridge = F.arrays_overlap(*families) & F.exists(of_rank(up_a, F.lit("class")), lambda x: F.array_contains(shared, _name(x)))
+
+    def fits(rank: Column) -> Column:
+        near_a, near_b = _name(F.element_at(of_rank(up_a, rank), -1)), _name(F.element_at(of_rank(up_b, rank), -1))
+        return (near_a == near_b) | F.array_contains(names_b, near_a) | F.array_contains(names_a, near_b) | (bridge & rank.isin(*BRIDGED))
+
+    common = F.filter(F.array_intersect(F.transform(up_a, _rank), F.transform(up_b, _rank)), lambda r: ~r.isin(*CLADES))
+    anchored = (F.size(shared) > 0) | (_rank(item_a) == root)
+    return _ranks_agree(_rank(item_a), _rank(item_b)) & anchored & (in_order(names_a) == in_order(names_b)) & F.forall(common, fits)
 
 
 def align(lv: DataFrame, spine: str, other: str) -> DataFrame:
-    """(sig, target, targets): nodes that only the other source has against spine nodes of their name and rank that share a level above.
+    """(sig, target, targets): nodes that only the other source has against compatible spine nodes of their name.
 
     target is set where there is exactly one; several are a disagreement.
     """
-    nodes = lv.select("source", "sig", F.lower("item").alias("name"), "up").distinct()
+    nodes = lv.select("source", "sig", "item", _name(F.col("item")).alias("name"), "up").distinct()
     a = nodes.where(F.col("source") == spine).drop("source")
     b = nodes.where(F.col("source") == other).drop("source").join(a.select("sig"), "sig", "left_anti")
-    fit = b.join(a.select(F.col("sig").alias("target"), "name", F.col("up").alias("_up")), "name").where(F.arrays_overlap("up", "_up"))
+    pairs = b.join(a.select(F.col("sig").alias("target"), "name", F.col("item").alias("_item"), F.col("up").alias("_up")), "name")
+    fit = pairs.where(compatible(F.col("_item"), F.col("_up"), F.col("item"), F.col("up")))
     return fit.groupBy("sig").agg(F.count_distinct("target").alias("targets"), F.min("target").alias("target")).withColumn("target", F.when(F.col("targets") == 1, F.col("target")))
 
 
+def merging(lv: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(sig, target): aligned nodes without a disagreement above them; the others stay where they are."""
+    return aligned.where("target is not null").join(below_disagreement(lv, aligned), "sig", "left_anti").select("sig", "target")
+
+
 def below_disagreement(lv: DataFrame, aligned: DataFrame) -> DataFrame:
     """Signatures with a disagreement among the levels above them: they do not merge either."""
     split = aligned.where("targets > 1").select(F.col("sig").alias("_above"))
@@ -76,15 +135,13 @@ def _above(lv: DataFrame) -> DataFrame:
     return some.select("sig", F.explode(F.transform(F.sequence(F.lit(1), F.size("up")), lambda i: F.array_join(F.slice("up", F.lit(1), i), "/"))).alias("_above"))
 
 
-def redirected(bridge: DataFrame, aligned: DataFrame) -> DataFrame:
-    """bridge (sig, source, concept) with every aligned signature replaced by its target, repeats dropped."""
-    to = aligned.where("target is not null").select("sig", "target")
-    return bridge.join(to, "sig", "left").select(F.coalesce("target", "sig").alias("sig"), "source", "concept").distinct()
+def redirected(bridge: DataFrame, merged: DataFrame) -> DataFrame:
+    """bridge (sig, source, concept) with every merged signature (sig, target) replaced by its target, repeats dropped."""
+    return bridge.join(merged, "sig", "left").select(F.coalesce("target", "sig").alias("sig"), "source", "concept").distinct()
 
 
-def reparented(lv: DataFrame, aligned: DataFrame) -> DataFrame:
-    """(sig, parent) of all nodes after redirects: a node's parent is its parent's target where that was aligned."""
-    to = aligned.where("target is not null").select("sig", "target")
+def reparented(lv: DataFrame, to: DataFrame) -> DataFrame:
+    """(sig, parent) of all nodes after redirects: a node's parent is its parent's target where that was merged.  to: (sig, target)."""
     edges = lv.select("sig", F.when(F.size("up") > 0, F.array_join("up", "/")).alias("parent")).distinct().join(to.select("sig"), "sig", "left_anti")
     up = to.select(F.col("sig").alias("parent"), "target")
     return edges.join(up, "parent", "left").select("sig", F.coalesce("target", "parent").alias("parent")).distinct()
@@ -96,11 +153,21 @@ def inherited(paths: DataFrame, attributes: DataFrame) -> DataFrame:
     return near.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "attribute"))), lambda x: x["attribute"]).alias("attributes"))
 
 
-def alias_redirects(before: DataFrame, now: DataFrame) -> DataFrame:
-    """(old, new): nodes that are gone whose concepts (node, concept) all stand under one node now."""
-    gone = before.join(now.select("node").distinct(), "node", "left_anti")
+def alias_redirects(before: DataFrame, now: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """(old, new): nodes that are gone whose concepts (node, concept) all stand under one node now.
+
+    ``earlier``, the redirects (old, new) of former builds, are carried on: to where their target has gone, or to the target
+    if it still is a node.  Ids that are nodes again, and redirects that lead nowhere, go.
+    """
+    nodes = now.select("node").distinct()
+    gone = before.join(nodes, "node", "left_anti")
     moved = gone.withColumnRenamed("node", "old").join(now.withColumnRenamed("node", "new"), "concept")
-    return moved.groupBy("old").agg(F.count_distinct("new").alias("n"), F.min("new").alias("new")).where("n = 1").select("old", "new")
+    direct = moved.groupBy("old").agg(F.count_distinct("new").alias("n"), F.min("new").alias("new")).where("n = 1").select("old", "new")
+    if earlier is None:
+        return direct
+    ends = direct.select(F.col("old").alias("via"), "new").unionByName(nodes.select(F.col("node").alias("via"), F.col("node").alias("new")))
+    carried = earlier.select("old", F.col("new").alias("via")).join(nodes.select(F.col("node").alias("old")), "old", "left_anti").join(ends, "via").select("old", "new").distinct()
+    return direct.join(carried, "old", "left_anti").select("old", "new").unionByName(carried)
 
 
 def resolve(wanted: DataFrame, nodes: DataFrame, aliases: DataFrame, concepts: DataFrame) -> DataFrame:

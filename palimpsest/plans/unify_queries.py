@@ -12,24 +12,27 @@ from palimpsest.plans.registry import query
 
 
 def _paths(e: Evidence) -> DataFrame:
-    """Source a: type, brand, name of all parts.  Source b, small parts: without the brand, or (every fourth) without the type."""
-    parts, key = e.table("part"), F.col("p_partkey").alias("key")
-    full = un.rank_path([("kingdom", F.col("p_type")), ("family", F.col("p_brand")), ("genus", F.col("p_name"))])
-    cut = F.when(F.col("p_partkey") % 4 == 0, un.rank_path([("kingdom", F.lit(" ")), ("family", F.col("p_brand")), ("genus", F.col("p_name"))])).otherwise(un.rank_path([("kingdom", F.col("p_type")), ("family", F.lit("NO_FAMILY_SPECIFIED")), ("genus", F.col("p_name"))]))
+    """Source a: type, brand, name of all parts, and for every third a species.  Source b, small parts: without the brand, or (every fourth) without the type."""
+    parts, k, key = e.table("part"), F.col("p_partkey"), F.col("p_partkey").alias("key")
+    species = ("species", F.when(k % 3 == 0, F.concat("p_name", F.lit(" "), (F.col("p_size") % 5).cast("string"))))
+    full = un.rank_path([("kingdom", F.col("p_type")), ("family", F.col("p_brand")), ("genus", F.col("p_name")), species])
+    cut = F.when(k % 4 == 0, un.rank_path([("kingdom", F.lit(" ")), ("family", F.col("p_brand")), ("genus", F.col("p_name")), species])).otherwise(un.rank_path([("kingdom", F.col("p_type")), ("family", F.lit("NO_FAMILY_SPECIFIED")), ("genus", F.col("p_name")), species]))
     a = parts.select(F.lit("a").alias("source"), key, full.alias("path"))
     return a.unionByName(parts.where("p_size <= 25").select(F.lit("b").alias("source"), key, cut.alias("path")))
 
 
-PATHS_SQL = """paths AS (SELECT 'a' AS source, p_partkey AS key, ['kingdom=' || p_type, 'family=' || p_brand, 'genus=' || p_name] AS path FROM part
-    UNION ALL SELECT 'b', p_partkey, CASE WHEN p_partkey % 4 = 0 THEN ['family=' || p_brand, 'genus=' || p_name] ELSE ['kingdom=' || p_type, 'genus=' || p_name] END FROM part WHERE p_size <= 25),
+PATHS_SQL = """paths AS (SELECT source, key, list_concat(path, CASE WHEN key % 3 = 0 THEN ['species=' || p_name || ' ' || p_size % 5] ELSE [] END) AS path FROM (
+    SELECT 'a' AS source, p_partkey AS key, p_name, p_size, ['kingdom=' || p_type, 'family=' || p_brand, 'genus=' || p_name] AS path FROM part
+    UNION ALL SELECT 'b', p_partkey, p_name, p_size, CASE WHEN p_partkey % 4 = 0 THEN ['family=' || p_brand, 'genus=' || p_name] ELSE ['kingdom=' || p_type, 'genus=' || p_name] END FROM part WHERE p_size <= 25)),
   lv AS (SELECT source, key, i - 1 AS level, path[i] AS item, array_to_string(path[1:i], '/') AS sig, path[1:i-1] AS up FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM paths)),
   amb AS (SELECT source, array_to_string(path, '/') AS sig FROM paths GROUP BY ALL HAVING count(DISTINCT key) > 1),
   known AS (SELECT DISTINCT path[i] AS f, path[i+1] AS s, array_to_string(path[1:i-1], '/') AS prior FROM (SELECT *, unnest(range(1, len(path))) AS i FROM paths WHERE starts_with(path[1], 'kingdom='))),
   uniq AS (SELECT f, s, min(prior) AS prior FROM known GROUP BY f, s HAVING count(*) = 1),
   comp AS (SELECT p.*, CASE WHEN starts_with(path[1], 'kingdom=') OR prior IS NULL THEN '' ELSE prior END AS prefix FROM paths p LEFT JOIN uniq ON path[1] = f AND path[2] = s),
   na AS (SELECT DISTINCT sig, lower(item) AS name, up FROM lv WHERE source = 'a'), nb AS (SELECT DISTINCT sig, lower(item) AS name, up FROM lv WHERE source = 'b' AND sig NOT IN (SELECT sig FROM lv WHERE source = 'a')),
-  fit AS (SELECT nb.sig, na.sig AS target FROM nb JOIN na USING (name) WHERE list_has_any(nb.up, na.up)),
-  al AS (SELECT sig, count(DISTINCT target) AS targets, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS target FROM fit GROUP BY sig)"""
+  fit AS (SELECT nb.sig, na.sig AS target FROM nb JOIN na USING (name) WHERE list_has_any(nb.up, na.up) AND len(list_intersect(list_transform(nb.up, lambda x: split_part(x, '=', 1)), list_transform(na.up, lambda x: split_part(x, '=', 1)))) = len(list_intersect(nb.up, na.up))),
+  al AS (SELECT sig, count(DISTINCT target) AS targets, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS target FROM fit GROUP BY sig),
+  stay AS (SELECT DISTINCT lv.sig FROM lv JOIN (SELECT sig FROM al WHERE targets > 1) d ON starts_with(lv.sig, d.sig || '/')), mg AS (SELECT sig, target FROM al WHERE target IS NOT NULL AND sig NOT IN (SELECT sig FROM stay))"""
 
 
 @query("k01_source_paths", f"WITH {PATHS_SQL} SELECT source, key, level, item, sig FROM lv")
@@ -61,14 +64,14 @@ def _(e: Evidence) -> DataFrame:
     return un.ambiguous(_paths(e))
 
 
-@query("k06_node_identity", f"WITH {PATHS_SQL} SELECT lv.source, key, level, md5(sig || '#' || CASE WHEN amb.source IS NOT NULL THEN CAST(key AS VARCHAR) ELSE '' END) AS node FROM lv LEFT JOIN amb USING (source, sig)")
+@query("k06_node_identity", f"WITH {PATHS_SQL} SELECT source, key, level, md5(sig || '#' || CASE WHEN bool_or(hit) OVER (PARTITION BY source, key ORDER BY level) THEN CAST(key AS VARCHAR) ELSE '' END) AS node FROM (SELECT lv.*, amb.sig IS NOT NULL AS hit FROM lv LEFT JOIN amb ON lv.source = amb.source AND lv.sig = amb.sig)")
 def _(e: Evidence) -> DataFrame:
     return un.isolated_nodes(_paths(e)).select("source", "key", "level", "node")
 
 
-@query("k07_placement", f"WITH {PATHS_SQL} SELECT c.source, key, CASE WHEN amb.sig IS NOT NULL THEN 'ambiguous' WHEN key % 9 = 0 THEN 'qualified' WHEN NOT starts_with(path[1], 'kingdom=') AND prefix = '' THEN 'partial' ELSE 'supported' END AS status FROM comp c LEFT JOIN amb ON c.source = amb.source AND array_to_string(path, '/') = amb.sig")
+@query("k07_placement", f"WITH {PATHS_SQL} SELECT c.source, key, CASE WHEN key % 9 = 0 THEN 'qualified' WHEN amb.sig IS NOT NULL THEN 'ambiguous' WHEN key % 7 = 0 THEN 'unresolved' WHEN NOT starts_with(path[1], 'kingdom=') AND prefix = '' THEN 'partial' ELSE 'supported' END AS status, CASE WHEN NOT starts_with(path[1], 'kingdom=') AND prefix = '' THEN CASE WHEN key % 7 = 0 THEN 'unresolved' ELSE 'partial' END END AS container FROM comp c LEFT JOIN amb ON c.source = amb.source AND array_to_string(path, '/') = amb.sig")
 def _(e: Evidence) -> DataFrame:
-    return un.placement(un.completed(_paths(e), "kingdom"), "kingdom", F.col("key") % 9 == 0)
+    return un.placement(un.completed(_paths(e), "kingdom"), "kingdom", F.col("key") % 9 == 0, F.col("key") % 7 == 0)
 
 
 @query("k08_concept_bridge", f"WITH {PATHS_SQL} SELECT DISTINCT sig, source, key AS concept FROM lv")
@@ -91,30 +94,30 @@ def _(e: Evidence) -> DataFrame:
     return un.align(un.levels(_paths(e)), "a", "b").where("target is not null").select("sig", "target")
 
 
-@query("k12_below_disagreement", f"WITH {PATHS_SQL} SELECT DISTINCT lv.sig FROM lv JOIN al ON al.targets > 1 AND starts_with(lv.sig, al.sig || '/')")
+@query("k12_below_disagreement", f"WITH {PATHS_SQL} SELECT sig FROM stay")
 def _(e: Evidence) -> DataFrame:
     lv = un.levels(_paths(e))
     return un.below_disagreement(lv, un.align(lv, "a", "b"))
 
 
-@query("k13_containment_notes", f"WITH {PATHS_SQL} SELECT DISTINCT al.sig, al.target FROM al JOIN lv b ON b.sig = al.sig AND b.source = 'b' JOIN lv a ON a.sig = al.target AND a.source = 'a' WHERE b.up <> a.up")
+@query("k13_containment_notes", f"WITH {PATHS_SQL} SELECT DISTINCT al.sig, al.target FROM mg al JOIN lv b ON b.sig = al.sig AND b.source = 'b' JOIN lv a ON a.sig = al.target AND a.source = 'a' WHERE b.up <> a.up")
 def _(e: Evidence) -> DataFrame:
     lv = un.levels(_paths(e))
-    al = un.align(lv, "a", "b").where("target is not null")
+    al = un.merging(lv, un.align(lv, "a", "b"))
     above = lambda s, name: lv.where(F.col("source") == s).select(F.col("sig").alias(name), F.col("up").alias(f"up_{s}")).distinct()
     return al.join(above("b", "sig"), "sig").join(above("a", "target"), "target").where("up_a != up_b").select("sig", "target").distinct()
 
 
-@query("k14_reparented", f"WITH {PATHS_SQL} SELECT DISTINCT e.sig, coalesce(t.target, e.parent) AS parent FROM (SELECT DISTINCT sig, CASE WHEN len(up) > 0 THEN array_to_string(up, '/') END AS parent FROM lv WHERE sig NOT IN (SELECT sig FROM al WHERE target IS NOT NULL)) e LEFT JOIN (SELECT sig, target FROM al WHERE target IS NOT NULL) t ON e.parent = t.sig")
+@query("k14_reparented", f"WITH {PATHS_SQL} SELECT DISTINCT e.sig, coalesce(t.target, e.parent) AS parent FROM (SELECT DISTINCT sig, CASE WHEN len(up) > 0 THEN array_to_string(up, '/') END AS parent FROM lv WHERE sig NOT IN (SELECT sig FROM mg)) e LEFT JOIN mg t ON e.parent = t.sig")
 def _(e: Evidence) -> DataFrame:
     lv = un.levels(_paths(e))
-    return un.reparented(lv, un.align(lv, "a", "b"))
+    return un.reparented(lv, un.merging(lv, un.align(lv, "a", "b")))
 
 
-@query("k15_rewired_concepts", f"WITH {PATHS_SQL} SELECT DISTINCT coalesce(target, lv.sig) AS sig, source, key AS concept FROM lv LEFT JOIN (SELECT sig, target FROM al WHERE target IS NOT NULL) t ON t.sig = lv.sig")
+@query("k15_rewired_concepts", f"WITH {PATHS_SQL} SELECT DISTINCT coalesce(target, lv.sig) AS sig, source, key AS concept FROM lv LEFT JOIN mg t ON t.sig = lv.sig")
 def _(e: Evidence) -> DataFrame:
     lv = un.levels(_paths(e))
-    return un.redirected(lv.select("sig", "source", F.col("key").alias("concept")), un.align(lv, "a", "b"))
+    return un.redirected(lv.select("sig", "source", F.col("key").alias("concept")), un.merging(lv, un.align(lv, "a", "b")))
 
 
 @query("k16_inherited_attributes", "SELECT taxon_id AS leaf, string_agg(attribute, ',' ORDER BY depth, attribute) AS attributes FROM (SELECT taxon_id, ascii(substr(node, 1, 1)) % 4 AS attribute, min(depth) AS depth FROM closure WHERE ascii(substr(node, 2, 1)) % 2 = 0 GROUP BY ALL) GROUP BY taxon_id")
@@ -133,9 +136,10 @@ def _builds(e: Evidence) -> tuple[DataFrame, DataFrame]:
 BUILDS_SQL = "b0 AS (SELECT md5(concat_ws('|', p_type, p_name)) AS node, 'c' || p_partkey AS concept FROM part), b1 AS (SELECT md5(concat_ws('|', p_type, p_brand, p_name)) AS node, 'c' || p_partkey AS concept FROM part), ali AS (SELECT b0.node AS old, min(b1.node) AS new FROM b0 JOIN b1 USING (concept) WHERE b0.node NOT IN (SELECT node FROM b1) GROUP BY b0.node HAVING count(DISTINCT b1.node) = 1)"
 
 
-@query("k17_alias_redirects", f"WITH {BUILDS_SQL} SELECT old, new FROM ali")
+@query("k17_alias_redirects", f"WITH {BUILDS_SQL}, prior AS (SELECT DISTINCT 'n' || p_size AS old, md5(concat_ws('|', p_type, p_name)) AS new FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_size)), chained AS (SELECT p.old, coalesce(ali.new, CASE WHEN p.new IN (SELECT node FROM b1) THEN p.new END) AS new FROM prior p LEFT JOIN ali ON p.new = ali.old) SELECT old, new FROM ali UNION ALL SELECT old, new FROM chained WHERE new IS NOT NULL")
 def _(e: Evidence) -> DataFrame:
-    return un.alias_redirects(*_builds(e))
+    first = e.table("part").groupBy("p_size").agg(F.min_by(F.md5(F.concat_ws("|", "p_type", "p_name")), "p_partkey").alias("new"))
+    return un.alias_redirects(*_builds(e), first.select(F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("old"), "new"))
 
 
 @query("k20_resolved_ids", f"WITH {BUILDS_SQL}, w AS (SELECT node AS id FROM b0 UNION SELECT node FROM b1 UNION SELECT concept FROM b1) SELECT id, arg_min(node, p) AS node FROM (SELECT id, id AS node, 0 AS p FROM w WHERE id IN (SELECT node FROM b1) UNION ALL SELECT id, new, 1 FROM w JOIN ali ON id = old UNION ALL SELECT id, node, 2 FROM w JOIN b1 ON id = concept) GROUP BY id")

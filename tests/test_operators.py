@@ -185,7 +185,64 @@ def test_text_or_null_takes_whole_texts(spark, tmp_path):
     test_queries_equal_sql(spark, "b01_text_or_null_whole")
 
 
-@pytest.mark.parametrize("name", ["j12_localities", "e02_ancestor_rollup_corrected", "e03_source_rollup", "g08_parent_walk", "k07_placement", "k11_aligned", "l03_decisions", "m01_invalid_owners", "f02_top_per_group", "h02_h03_interpret", "b05_position", "a12_upsert", "d10_sharing_localities", "j23_viewports", "a04_manifest", "m08_object_audit", "e13_dataset_fingerprint", "l06_dataset_state", "k26_build_fingerprint", "e18_completeness", "a24_exact_replay", "h02_h03_interpret"])
+COMPATIBLE = [
+    ("class=X genus=G", "class=X genus=g", True), ("class=X order=G", "class=X clade=G", True), ("class=X order=G", "class=X suborder=G", True), ("class=X order=G", "class=X family=G", False),
+    ("class=X genus=G", "class=Y genus=G", False), ("genus=G", "genus=G", False), ("kingdom=K", "clade=Life kingdom=K", True), ("clade=P clade=Q genus=G", "clade=Q clade=P genus=G", False),
+    ("class=X order=O genus=G", "class=X order=P genus=G", False), ("class=X order=O family=F genus=G", "class=X order=P family=F genus=G", True), ("class=X order=O family=F", "class=X order=P family=F", True),
+    ("class=X order=O family=F genus=G", "class=X order=P family=H genus=G", False), ("order=O family=F genus=G", "order=P family=F genus=G", False), ("class=X tribe=O family=F genus=G", "class=X tribe=P family=F genus=G", False),
+    ("class=X order=O genus=G", "class=X order=P clade=O genus=G", True), ("class=X class=Z genus=G", "class=Z genus=G", True), ("class=Z class=X genus=G", "class=Z genus=G", True), ("class=W clade=N class=X genus=G", "class=V clade=N class=X genus=G", True),
+]
+
+
+def test_compatible_nodes(spark):
+    rows = spark.createDataFrame([(i, a.split(), b.split()) for i, (a, b, _) in enumerate(COMPATIBLE)], "i int, a array<string>, b array<string>")
+    last, above = lambda c: F.element_at(c, -1), lambda c: F.slice(c, 1, F.size(c) - 1)
+    both = [unify.compatible(last(x), above(x), last(y), above(y)) for x, y in (("a", "b"), ("b", "a"))]
+    got = {r.i: (r.ab, r.ba) for r in rows.select("i", both[0].alias("ab"), both[1].alias("ba")).collect()}
+    assert got == {i: (ok, ok) for i, (_, _, ok) in enumerate(COMPATIBLE)}
+
+
+def test_isolation_reaches_descendants_and_disagreements_keep_theirs(spark):
+    path = "source string, key int, path array<string>"
+    rows = spark.createDataFrame([("a", 1, ["kingdom=A"]), ("a", 2, ["kingdom=A"]), ("a", 3, ["kingdom=A", "family=B"]), ("a", 4, ["kingdom=A", "family=B", "genus=C"]), ("b", 5, ["kingdom=A", "family=B"])], path)
+    nodes = {(r.key, r.level): r.node for r in unify.isolated_nodes(rows).collect()}
+    assert nodes[3, 1] != nodes[4, 1] and nodes[3, 1] != nodes[5, 1] and len(set(nodes.values())) == 9
+    two = spark.createDataFrame(
+        [("a", 1, ["kingdom=K", "family=F", "genus=G", "species=S"]), ("a", 2, ["kingdom=K", "family=H", "genus=G", "species=T"]), ("a", 3, ["kingdom=K", "family=F", "genus=N", "species=U"]), ("b", 4, ["kingdom=K", "genus=G", "species=S"]), ("b", 5, ["kingdom=K", "genus=N", "species=U"])],
+        path,
+    )
+    lv = unify.levels(two)
+    aligned = unify.align(lv, "a", "b")
+    assert {r.sig: r.targets for r in aligned.collect()} == {"kingdom=K/genus=G": 2, "kingdom=K/genus=G/species=S": 1, "kingdom=K/genus=N": 1, "kingdom=K/genus=N/species=U": 1}
+    merged = unify.merging(lv, aligned)
+    assert {r.sig for r in merged.collect()} == {"kingdom=K/genus=N", "kingdom=K/genus=N/species=U"}
+    up = {r.sig: r.parent for r in unify.reparented(lv, merged).collect()}
+    assert up["kingdom=K/genus=G/species=S"] == "kingdom=K/genus=G" and "kingdom=K/genus=N" not in up
+
+
+def test_placement_states(spark):
+    rows = spark.createDataFrame([("a", 1, ["kingdom=A"]), ("a", 2, ["genus=B"]), ("a", 3, ["genus=C"]), ("a", 4, ["kingdom=D"]), ("a", 5, ["kingdom=D"]), ("a", 6, ["kingdom=E"]), ("a", 7, []), ("a", 8, ["genus=F"])], "source string, key int, path array<string>")
+    got = unify.placement(unify.completed(rows, "kingdom"), "kingdom", F.col("key") == 6, F.col("key").isin(3, 4))
+    assert {r.key: (r.status, r.container) for r in got.collect()} == {
+        1: ("supported", None), 2: ("partial", "partial"), 3: ("unresolved", "unresolved"), 4: ("ambiguous", None), 5: ("ambiguous", None), 6: ("qualified", None), 7: ("partial", "partial"), 8: ("partial", "partial"),
+    }
+
+
+def test_redirects_chain_over_builds(spark):
+    before = spark.createDataFrame([("n1", "c1"), ("n2", "c2"), ("n2", "c3"), ("n3", "c4")], "node string, concept string")
+    now = spark.createDataFrame([("m1", "c1"), ("m2", "c2"), ("m3", "c3"), ("n3", "c4"), ("o4", "c5")], "node string, concept string")
+    earlier = spark.createDataFrame([("o1", "n1"), ("o2", "n2"), ("o3", "n3"), ("o4", "n1"), ("o5", "n9")], "old string, new string")
+    assert {(r.old, r.new) for r in unify.alias_redirects(before, now, earlier).collect()} == {("n1", "m1"), ("o1", "m1"), ("o3", "n3")}
+
+
+def test_shared_targets_are_walked_once_and_cycles_end(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("y", "y"), ("y", "z"), ("w", None)]
+    edges = spark.createDataFrame(pairs, "owner string, target string")
+    got = {(r.root, r.member) for r in hierarchy.reachable(edges.select(F.col("owner").alias("root")), edges.where("target is not null")).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "a"), ("c", "a"), ("c", "b"), ("x", "a"), ("x", "b"), ("x", "c"), ("y", "z")}
+
+
+@pytest.mark.parametrize("name", ["k06_node_identity", "k12_below_disagreement", "k14_reparented", "k17_alias_redirects", "c08_overlap", "j15_dossiers", "g10_dependency_closure", "j12_localities", "e02_ancestor_rollup_corrected", "e03_source_rollup", "g08_parent_walk", "k07_placement", "k11_aligned", "l03_decisions", "m01_invalid_owners", "f02_top_per_group", "h02_h03_interpret", "b05_position", "a12_upsert", "d10_sharing_localities", "j23_viewports", "a04_manifest", "m08_object_audit", "e13_dataset_fingerprint", "l06_dataset_state", "k26_build_fingerprint", "e18_completeness", "a24_exact_replay", "h02_h03_interpret"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
