@@ -47,12 +47,19 @@ def _(e: Evidence) -> DataFrame:
     return ctx.eligible_normalized(rows, _current(e), pointers, e.revisions.where("seq % 97 = 0").select("record").distinct(), ["record", "content_hash"]).select("record", "seq")
 
 
-@query("c03_projected_or_live", f"SELECT locality_id, {COUNTS_SQL} FROM catalog GROUP BY locality_id")
+@query("c03_projected_or_live", f"SELECT 'projected' AS made, locality_id, {COUNTS_SQL} FROM catalog WHERE source = 'a' GROUP BY locality_id UNION ALL SELECT 'live', locality_id, {COUNTS_SQL} FROM catalog WHERE source = 'b' GROUP BY locality_id")
 def _(e: Evidence) -> DataFrame:
+    """Two projections: that of source a is as its records are, that of source b was made before the clicks came."""
     from palimpsest.operators.provenance import projected_or_live
-
-    live = e.catalog.groupBy("locality_id").agg(*agg.counts())
-    return projected_or_live(live, live, agg.fingerprint(e.table("events"), ["event_id", "value"]), agg.fingerprint(e.table("events"), ["event_id", "value"]))
+    from palimpsest.sources.scratch import written
+
+    made = lambda rows, how: rows.groupBy("locality_id").agg(*agg.counts()).withColumn("made", F.lit(how))
+    a, b, events = e.catalog.where("source = 'a'"), e.catalog.where("source = 'b'"), e.table("events")
+    mark_a, mark_b = agg.fingerprint(e.table("lineitem"), ["l_orderkey", "l_linenumber", "l_quantity"]), agg.fingerprint(events, ["event_id", "value"])
+    early = written(made(b.where("collection != 'click'"), "projected"), "projection")
+    fresh = projected_or_live(written(made(a, "projected"), "projection"), made(a, "live"), written(mark_a, "mark"), mark_a)
+    stale = projected_or_live(early, made(b, "live"), written(agg.fingerprint(events.where("event_type != 'click'"), ["event_id", "value"]), "mark"), mark_b)
+    return fresh.unionByName(stale)
 
 
 @query("c04_direct_keys", "SELECT record_id FROM catalog WHERE collection = '1-URGENT' AND institution = 'O' AND locality_id = 's3'")
