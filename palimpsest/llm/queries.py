@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe as _bpe
 from palimpsest.llm import decontamination as _decontamination
+from palimpsest.llm import divergence as _divergence
 from palimpsest.llm import language as _language
 from palimpsest.llm import lzfingerprint as _lzfingerprint
 from palimpsest.llm import ngram as _ngram
+from palimpsest.llm import quality as _quality
 from palimpsest.llm import simhash as _simhash
 from palimpsest.llm import suffixdedup as _suffixdedup
 from palimpsest.llm import tokenstore as _tokenstore
 from palimpsest.llm import toxicity as _toxicity
 from palimpsest.llm import warc as _warc
+from palimpsest.llm import whitening as _whitening
 from palimpsest.llm.common import crc_mod
 
 
@@ -87,6 +90,21 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = _quality.fit(docs, _table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    return _quality.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return _whitening.whiten(rows, _whitening.fit(rows, components=4)).withColumnRenamed("id", "vec_id")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _divergence.audit(_table(spark, sf_dir, "documents"), least_docs=30, smooth=5, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -98,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
     "op10_ngram": op10_ngram,
+    "op11_quality": op11_quality,
+    "op12_whitening": op12_whitening,
+    "op13_divergence": op13_divergence,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,3 +152,20 @@ SELECT page_id, payload_bytes, array_to_string(list_transform({_HEX5}, lambda v:
   CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
 FROM d
 """
+
+_TERMS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_SHARE = "1 + (1000000000::HUGEINT * ({} + 5)) // ({} + 5 * v::HUGEINT)"
+ORACLE_SQL["op13_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest({_TERMS}) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS lang_n FROM t GROUP BY lang, term HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, sum(n) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(lang_n), 0) AS lang_total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+g AS (SELECT lang, source, v, lang_total, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, ({_SHARE.format('coalesce(n, 0)', 'total')})::BIGINT AS p, ({_SHARE.format('lang_n', 'lang_total')})::BIGINT AS q
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y USING (lang, term) GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_parts) WHERE part = 'pair' OR rank <= 50
+"""
