@@ -26,8 +26,10 @@ from palimpsest.llm.common import gathered, tidied, written
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text in a slice; sources in a block and terms in a bucket of a tile.
-SLICE_BYTES, BLOCK, BUCKET = 12 << 20, 256, 4_096
+SLICE_BYTES, BLOCK, BUCKET = 32 << 20, 256, 4_096
 UNIT = 1_000_000_000
+#: Rows up to which a table that has been counted is broadcast; a larger one is shuffled.
+SMALL = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -35,6 +37,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(TERM), F.lit(0))
 
 
+def _if_small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has SMALL rows at most."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def chunk_counts(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Slices of docs (text, lang, source, none of them null), as a written table of rows of two kinds.
 
@@ -49,11 +56,15 @@ def chunk_counts(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
             offsets = lists.offsets.to_numpy().astype(np.int64)
             coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
             chunks, n = coded.dictionary, max(1, len(coded.dictionary))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            pairs, counts = np.unique(doc * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            pairs = np.repeat(np.arange(batch.num_rows) * n, np.diff(offsets))
+            pairs += coded.indices.to_numpy(zero_copy_only=False)
+            del lists, coded
+            pairs.sort()
+            first = _starts(pairs)
+            pairs, counts = pairs[first], np.diff(first, append=len(pairs))
             begins = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * n)
-            which = pairs % n
-            steps = np.diff(which, prepend=0)  # small within a document
+            pairs %= n
+            steps = np.diff(pairs, prepend=0)  # small within a document
             group = _pairs(batch.column(1), batch.column(2))
             firsts = np.unique(group, return_index=True)[1]
             data = b"".join(x.astype(np.int32).tobytes() for x in (np.array([batch.num_rows, len(pairs)]), group, begins, steps, counts))
@@ -69,6 +80,11 @@ def chunk_counts(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     return written(made, "chunks", by="kind")
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([len(ordered) > 0], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+
+
 def _pairs(a: pa.Array, b: pa.Array) -> np.ndarray:
     """A number for each distinct pair of values, from 0 on."""
     a, b = a.dictionary_encode(), b.dictionary_encode()
@@ -83,8 +99,7 @@ def _slice_terms(pack: pa.Table, found: pa.Table) -> pa.Table:
     rows, n = int(data[0]), int(data[1])
     group, begins, steps, counts = np.split(data[2:], np.cumsum([rows, rows + 1, n]))
     chunk, doc = np.cumsum(steps), np.repeat(np.arange(rows), np.diff(begins))
-    lists = found.column("terms").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    lists = pc.ascii_split_whitespace(pa.concat_arrays([*found.column("terms").chunks, pa.array([], pa.string())]))
     coded = lists.flatten().dictionary_encode()
     words, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     # the terms of chunk k: index[first[k] : first[k] + size[k]]
@@ -92,31 +107,41 @@ def _slice_terms(pack: pa.Table, found: pa.Table) -> pa.Table:
     first, size = np.zeros((2, max(int(chunk.max(initial=-1)), int(at.max(initial=-1))) + 1), np.int64)
     first[at], size[at] = np.cumsum(sizes) - sizes, sizes
     each = size[chunk]
-    inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    term = index[np.repeat(first[chunk], each) + inner]
-    doc, counts, v = np.repeat(doc, each), np.repeat(counts, each), max(1, len(words))
+    term = index[np.arange(each.sum()) + np.repeat(first[chunk] - np.cumsum(each) + each, each)].astype(np.int64)
+    # groups by language and documents by group, so that one order has terms, their languages, groups and documents
     lang_of = pa.array(langs, pa.string()).dictionary_encode()
-    lang = lang_of.indices.to_numpy(zero_copy_only=False)
-    own, back = np.unique(group[doc] * v + term, return_inverse=True)  # pairs of (language, source) and term
-    occurrences = np.bincount(back, counts, len(own)).astype(np.int64)
-    in_docs = np.bincount(np.searchsorted(own, group[(held := np.unique(doc * v + term)) // v] * v + held % v), minlength=len(own))
-    order = np.lexsort((own // v, own % v, lang[own // v]))
-    own, occurrences, in_docs = own[order], occurrences[order], in_docs[order]
-    key = lang[own // v] * v + own % v
-    starts = np.flatnonzero(np.diff(key, prepend=-1))
-    ends = np.append(starts, len(own)).astype(np.int32)
+    lang = lang_of.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    groups = np.argsort(lang, kind="stable")
+    placed = np.empty_like(groups)
+    placed[groups] = np.arange(len(groups))
+    docs = np.argsort(placed[group], kind="stable")
+    turn = np.empty_like(docs)
+    turn[docs] = np.arange(rows)
+    term *= max(1, rows)
+    term += np.repeat(turn[doc], each)
+    order = np.argsort(term)
+    key, counts = term[order], np.repeat(counts, each)[order]
+    held = _starts(key)  # a document that holds a term
+    occurrences, key = np.add.reduceat(counts, held) if len(held) else counts, key[held]
+    which, own = key // max(1, rows), placed[group][docs][key % max(1, rows)]
+    pairs = _starts(which * len(groups) + own)  # a group that does
+    occurrences = np.add.reduceat(occurrences, pairs) if len(pairs) else occurrences
+    in_docs, which, own = np.diff(pairs, append=len(key)), which[pairs], own[pairs]
+    of = lang[groups][own]
+    starts = _starts(which * len(lang_of.dictionary) + of)  # a language that does
+    ends = pa.array(np.append(starts, len(own)).astype(np.int32))
     totals = np.add.reduceat(in_docs, starts) if len(starts) else in_docs
-    source = pa.array(sources, pa.string()).take(pa.array(own // v))
+    source = pa.array(sources, pa.string()).take(pa.array(groups[own]))
     return pa.table({
-        "lang": lang_of.dictionary.take(pa.array(key[starts] // v)), "term": words.take(pa.array(key[starts] % v)), "docs": pa.array(totals.astype(np.int64)),
-        "sources": pa.ListArray.from_arrays(pa.array(ends), source), "counts": pa.ListArray.from_arrays(pa.array(ends), pa.array(occurrences)),
+        "lang": lang_of.dictionary.take(pa.array(of[starts])), "term": words.take(pa.array(which[starts])), "docs": pa.array(totals.astype(np.int64)),
+        "sources": pa.ListArray.from_arrays(ends, source), "counts": pa.ListArray.from_arrays(ends, pa.array(occurrences.astype(np.int64))),
     })
 
 
 def slice_terms(slices: DataFrame) -> DataFrame:
     """(lang, term, docs, sources, counts) by slice: documents that hold the term, and its occurrences in each source."""
     rows = slices.where("kind = 'chunk'").select("slice", "at", "chunk")
-    known = rows.select("chunk").distinct().select("chunk", terms(F.col("chunk")).alias("terms")).where(F.size("terms") > 0)
+    known = rows.select("chunk").distinct().select("chunk", F.array_join(terms(F.col("chunk")), " ").alias("terms")).where("terms != ''")
     found = rows.join(known, "chunk").select("slice", "at", "terms")
     packs = slices.where("kind = 'pack'").select(F.col("slice").alias("of"), "langs", "sources", "data")
 
@@ -140,11 +165,10 @@ def kept_counts(docs: DataFrame, least_docs: int = 30, slice_bytes: int = SLICE_
     A language keeps the terms that at least ``least_docs`` of its documents hold; ``all`` is the term's count in it.
     """
     by_slice = written(slice_terms(chunk_counts(docs, slice_bytes)), "terms")
-    in_all = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    kept = by_slice.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum(in_all).alias("all")).where(F.col("docs") >= least_docs).select("lang", "term", "all")
-    kept = written(kept, "kept")
-    each = by_slice.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("e"))
+    kept = written(by_slice.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term"), "kept")
+    each = by_slice.join(_if_small(kept), ["lang", "term"]).select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("e"))
     counts = written(each.groupBy("lang", F.col("e.sources").alias("source"), "term").agg(F.sum("e.counts").alias("n")), "counts")
+    kept = written(counts.groupBy("lang", "term").agg(F.sum("n").alias("all")), "kept")
     return kept, counts, docs.select("lang", "source").distinct()
 
 
@@ -178,7 +202,7 @@ def source_distances(counts: DataFrame, groups: DataFrame, buckets: DataFrame, b
     """
     placed = groups.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("bigint") - 1)
     most = placed.groupBy("lang").agg(F.floor(F.max("place") / block).alias("last"))
-    placed = written(placed.join(most, "lang"), "sources")
+    placed = written(placed.join(most, "lang").join(buckets.select("lang", "buckets").distinct(), "lang"), "sources")
     own_block, other = F.floor(F.col("place") / block), F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("other")
 
     def tiled(rows: DataFrame, *columns: str) -> DataFrame:
@@ -186,10 +210,9 @@ def source_distances(counts: DataFrame, groups: DataFrame, buckets: DataFrame, b
         return rows.select("lang", "bucket", "place", *columns, other).withColumns({"a": F.least(own_block, "other"), "b": F.greatest(own_block, "other")}).drop("other")
 
     of_bucket = F.pmod(F.xxhash64("term"), F.col("buckets"))
-    sizes = buckets.select("lang", "buckets").distinct()
     keys = ["lang", "bucket", "a", "b"]
-    left = tiled(counts.join(placed.select("lang", "source", "place", "last"), ["lang", "source"]).join(sizes, "lang").withColumn("bucket", of_bucket), "term", "p")
-    right = tiled(placed.join(buckets, "lang"), "none", "terms").select(*[F.col(c).alias(c) for c in [*keys, "place", "none", "terms"]])
+    left = tiled(counts.join(_if_small(placed.drop("none")), ["lang", "source"]).withColumn("bucket", of_bucket), "term", "p")
+    right = tiled(placed.drop("buckets").join(buckets.drop("buckets"), "lang"), "none", "terms").select(*[F.col(c).alias(c) for c in [*keys, "place", "none", "terms"]])
 
     def run(own: pa.Table, sources: pa.Table) -> pa.Table:
         return _tile(own, sources, block)
@@ -214,17 +237,17 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """
     whole = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to) for c, to in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
     kept, counts, groups = kept_counts(whole, least_docs, slice_bytes)
-    langs = groups.select("lang").distinct().join(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("lang_total")), "lang", "left").na.fill(0)
+    langs = written(groups.select("lang").distinct().join(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("lang_total")), "lang", "left").na.fill(0), "langs")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = written(groups.join(totals, ["lang", "source"], "left").na.fill(0, ["total"]).join(langs, "lang"), "groups")
-    full = counts.join(groups, ["lang", "source"]).withColumn("p", _share("n", "total", "kept", smooth))
+    full = counts.join(_if_small(groups), ["lang", "source"]).withColumn("p", _share("n", "total", "kept", smooth))
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
 
-    above = full.join(kept, ["lang", "term"]).withColumn("value", F.col("p") - _share("all", "lang_total", "kept", smooth)).where("value > 0")
+    above = full.join(_if_small(kept), ["lang", "term"]).withColumn("value", F.col("p") - _share("all", "lang_total", "kept", smooth)).where("value > 0")
     marks = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
     sizes = langs.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("kept") / bucket)).cast("bigint")).select("lang", "buckets")
-    in_bucket = kept.join(sizes, "lang").groupBy("lang", F.pmod(F.xxhash64("term"), F.col("buckets")).alias("bucket")).agg(F.count("*").alias("terms"))
+    in_bucket = kept.join(_if_small(sizes), "lang").groupBy("lang", F.pmod(F.xxhash64("term"), F.col("buckets")).alias("bucket")).agg(F.count("*").alias("terms"))
     buckets = sizes.select("lang", "buckets", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("buckets") - 1)).alias("bucket")).join(in_bucket, ["lang", "bucket"], "left").na.fill(0, ["terms"])
     none = F.when(F.col("kept") > 0, _share(F.lit(0), "total", "kept", smooth)).otherwise(0)
     far = source_distances(full.select("lang", "source", "term", "p"), groups.select("lang", "source", none.alias("none")), buckets, block)
