@@ -105,17 +105,31 @@ def compatible(item_a: Column, up_a: Column, item_b: Column, up_b: Column, root:
     return _ranks_agree(_rank(item_a), _rank(item_b)) & anchored & (in_order(names_a) == in_order(names_b)) & F.forall(common, fits)
 
 
+def compatible_pairs(a: DataFrame, b: DataFrame, root: str = "kingdom") -> DataFrame:
+    """(id, target): nodes of b (id, item, up) with the nodes of a that ``compatible`` allows.
+
+    Nodes meet by name and by a name that stands above both, so a name that many nodes have is no hot key; a node of a with
+    the root rank needs no such anchor.  Names and ranks are split once a node, a pair is compared at its first anchor only,
+    and ranks are compared before anything nested.
+    """
+    split = lambda rows: rows.select("*", _rank(F.col("item")).alias("rank"), _name(F.col("item")).alias("name"), F.transform("up", _name).alias("names"))
+    none = F.array(F.lit(""))
+    left = split(a).select(*[F.col(c).alias(f"a_{c}") for c in ("id", "item", "up", "rank", "names")], "name", F.explode(F.when(F.col("rank") == root, none).otherwise(F.array_distinct("names"))).alias("anchor"))
+    right = split(b).select("*", F.explode(F.concat(none, F.array_distinct("names"))).alias("anchor"))
+    met = right.join(left, ["name", "anchor"]).where(_ranks_agree(F.col("a_rank"), F.col("rank")) & ((F.col("anchor") == "") | (F.col("anchor") == F.get(F.array_intersect("names", "a_names"), F.lit(0)))))
+    return met.where(compatible(F.col("a_item"), F.col("a_up"), F.col("item"), F.col("up"), root)).select("id", F.col("a_id").alias("target"))
+
+
 def align(lv: DataFrame, spine: str, other: str) -> DataFrame:
     """(sig, target, targets): nodes that only the other source has against compatible spine nodes of their name.
 
     target is set where there is exactly one; several are a disagreement.
     """
-    nodes = lv.select("source", "sig", "item", _name(F.col("item")).alias("name"), "up").distinct()
+    nodes = lv.select("source", F.col("sig").alias("id"), "item", "up").distinct()
     a = nodes.where(F.col("source") == spine).drop("source")
-    b = nodes.where(F.col("source") == other).drop("source").join(a.select("sig"), "sig", "left_anti")
-    pairs = b.join(a.select(F.col("sig").alias("target"), "name", F.col("item").alias("_item"), F.col("up").alias("_up")), "name")
-    fit = pairs.where(compatible(F.col("_item"), F.col("_up"), F.col("item"), F.col("up")))
-    return fit.groupBy("sig").agg(F.count_distinct("target").alias("targets"), F.min("target").alias("target")).withColumn("target", F.when(F.col("targets") == 1, F.col("target")))
+    b = nodes.where(F.col("source") == other).drop("source").join(a.select("id"), "id", "left_anti")
+    fit = compatible_pairs(a, b)
+    return fit.groupBy(F.col("id").alias("sig")).agg(F.count_distinct("target").alias("targets"), F.min("target").alias("target")).withColumn("target", F.when(F.col("targets") == 1, F.col("target")))
 
 
 def merging(lv: DataFrame, aligned: DataFrame) -> DataFrame:

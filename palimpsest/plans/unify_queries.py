@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import aggregates as agg
+from palimpsest.operators import merge as mg
 from palimpsest.operators import unify as un
 from palimpsest.plans.fixtures import Evidence
 from palimpsest.plans.registry import query
+from palimpsest.sources.scratch import written
 
 
 def _paths(e: Evidence) -> DataFrame:
@@ -35,6 +39,62 @@ PATHS_SQL = """paths AS (SELECT source, key, list_concat(path, CASE WHEN key % 3
   stay AS (SELECT DISTINCT lv.sig FROM lv JOIN (SELECT sig FROM al WHERE targets > 1) d ON starts_with(lv.sig, d.sig || '/')), mg AS (SELECT sig, target FROM al WHERE target IS NOT NULL AND sig NOT IN (SELECT sig FROM stay))"""
 
 
+class Merge:
+    """Classifications of source a, and of source b over small parts, with all that keeps nodes apart, and their merge.
+
+    b lacks the brand, or (every fourth part) the type, or has a level above the type (every fifth).  Two brands come with two
+    concepts each, and each source qualifies some rows and is at odds with itself about others.
+    """
+
+    def __init__(self, e: Evidence):
+        k, given = F.col("p_partkey"), lambda rank, name, concept: F.struct(F.concat(F.lit(f"{rank}="), name).alias("item"), F.concat(F.lit(f"{rank[0]}:"), concept).alias("concept"))
+        brand = F.concat("p_brand", F.when(F.col("p_brand").isin("Brand#7", "Brand#16"), F.concat(F.lit(":"), (F.col("p_size") % 2).cast("string"))).otherwise(""))
+        small = F.concat("p_name", F.lit(" "), (F.col("p_size") % 5).cast("string"))
+        kingdom, family, genus, species = given("kingdom", F.col("p_type"), F.col("p_type")), given("family", F.col("p_brand"), brand), given("genus", F.col("p_name"), F.col("p_name")), given("species", small, small)
+        low = F.when(k % 3 == 0, F.array(genus, species)).otherwise(F.array(genus))
+        a = e.table("part").select(F.lit("a").alias("source"), k.alias("key"), F.concat(F.array(kingdom, family), low).alias("terms"), F.lit(False).alias("rooted"), (k % 29 == 0).alias("qualified"), (k % 31 == 0).alias("unresolved"))
+        upper = F.when(k % 4 == 0, F.array(family)).when(k % 5 == 1, F.array(given("clade", F.lit("Life"), F.lit("Life")), kingdom)).otherwise(F.array(kingdom))
+        b = e.table("part").where("p_size <= 25").select(F.lit("b").alias("source"), k.alias("key"), F.concat(upper, low).alias("terms"), ((k % 5 == 1) & (k % 4 != 0)).alias("rooted"), (k % 19 == 0).alias("qualified"), (k % 23 == 0).alias("unresolved"))
+        self.levels = written(mg.placed_levels(a.unionByName(b), "a"), "levels")
+        self.nodes = written(mg.nodes_of(self.levels), "nodes")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return written(mg.targets(self.nodes, "a", "b"), "targets")
+
+    @cached_property
+    def to(self) -> DataFrame:
+        return written(mg.redirects(self.nodes, self.found), "redirects")
+
+
+MERGE_SQL = """low AS (SELECT p_partkey AS key, p_size, p_type, p_brand, {'item': 'kingdom=' || p_type, 'concept': 'k:' || p_type} AS ki, {'item': 'family=' || p_brand, 'concept': 'f:' || p_brand || CASE WHEN p_brand IN ('Brand#7', 'Brand#16') THEN ':' || p_size % 2 ELSE '' END} AS fa,
+    list_concat([{'item': 'genus=' || p_name, 'concept': 'g:' || p_name}], CASE WHEN p_partkey % 3 = 0 THEN [{'item': 'species=' || p_name || ' ' || p_size % 5, 'concept': 's:' || p_name || ' ' || p_size % 5}] ELSE [] END) AS lo FROM part),
+  given AS (SELECT 'a' AS source, key, list_concat([ki, fa], lo) AS terms, false AS said, key % 29 = 0 AS qualified, key % 31 = 0 AS unresolved FROM low
+    UNION ALL SELECT 'b', key, list_concat(CASE WHEN key % 4 = 0 THEN [fa] WHEN key % 5 = 1 THEN [{'item': 'clade=Life', 'concept': 'c:Life'}, ki] ELSE [ki] END, lo), key % 5 = 1 AND key % 4 <> 0, key % 19 = 0, key % 23 = 0 FROM low WHERE p_size <= 25),
+  cutp AS (SELECT source, key, said, qualified, unresolved, array_to_string(list_transform(terms, lambda t: t.item), '/') AS supplied, CASE WHEN unresolved THEN terms[-1:] ELSE terms END AS terms FROM given),
+  items AS (SELECT *, list_transform(terms, lambda t: t.item) AS its, said OR starts_with(terms[1].item, 'kingdom=') AS rooted FROM cutp),
+  spine AS (SELECT DISTINCT its[i] AS f, its[i+1] AS s, its[1:i-1] AS before FROM (SELECT its, unnest(range(1, len(its))) AS i FROM items WHERE source = 'a' AND starts_with(its[1], 'kingdom=') AND NOT unresolved)),
+  one AS (SELECT f, s, any_value(before) AS before FROM spine GROUP BY f, s HAVING count(*) = 1),
+  whole AS (SELECT i.* EXCLUDE (rooted), rooted OR len(coalesce(before, [])) > 0 AS rooted, coalesce(before, []) AS before FROM items i LEFT JOIN one ON NOT rooted AND NOT unresolved AND its[1] = f AND its[2] = s),
+  lev AS (SELECT source, key, supplied, qualified, unresolved, rooted, len(before) AS borrowed, list_concat(list_transform(before, lambda x: {'item': x, 'concept': x}), terms) AS t FROM whole),
+  each AS (SELECT *, t[i].item AS item, t[i].concept AS concept, i > borrowed AS own, i = len(t) AS last, list_transform(t[1:i-1], lambda x: x.item) AS up, array_to_string(list_transform(t[1:i], lambda x: x.item), '/') AS sig FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM lev)),
+  several AS (SELECT source, sig FROM each WHERE own GROUP BY ALL HAVING count(DISTINCT concept) > 1),
+  st AS (SELECT e.*, CASE WHEN last AND qualified THEN 'qualified' WHEN s.sig IS NOT NULL THEN 'ambiguous' WHEN last AND unresolved THEN 'unresolved' WHEN NOT rooted THEN 'partial' ELSE 'supported' END AS placement FROM each e LEFT JOIN several s ON e.source = s.source AND e.sig = s.sig),
+  nd AS (SELECT *, md5(sig || '#' || coalesce(string_agg(CASE WHEN placement IN ('ambiguous', 'qualified', 'unresolved') THEN source || ':' || concept END, '|') OVER (PARTITION BY source, key ORDER BY i), '')) AS node FROM st),
+  lvl AS (SELECT *, coalesce(lag(node) OVER w, CASE WHEN NOT rooted THEN md5('container#' || CASE WHEN unresolved THEN 'unresolved' ELSE 'partial' END) END) AS parent, list(node) OVER (PARTITION BY source, key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM nd WINDOW w AS (PARTITION BY source, key ORDER BY i)),
+  node AS (SELECT node, min(item) AS item, min(placement) AS placement, min(parent) AS parent, any_value(up) AS up, any_value(above) AS above, coalesce(bool_or(source = 'a' AND own), false) AS in_a, coalesce(bool_or(source = 'b' AND own), false) AS in_b FROM lvl GROUP BY node
+    UNION ALL SELECT DISTINCT parent, NULL, 'container', NULL, [], [], false, false FROM lvl WHERE i = 1 AND parent IS NOT NULL),
+  fits AS (SELECT b.node, a.node AS target FROM node b JOIN node a ON lower(split_part(a.item, '=', 2)) = lower(split_part(b.item, '=', 2)) AND split_part(a.item, '=', 1) = split_part(b.item, '=', 1)
+    WHERE a.in_a AND a.placement = 'supported' AND b.in_b AND NOT b.in_a AND b.placement IN ('supported', 'partial') AND (starts_with(a.item, 'kingdom=') OR list_has_any(a.up, b.up))
+      AND len(list_intersect(list_transform(b.up, lambda x: split_part(x, '=', 1)), list_transform(a.up, lambda x: split_part(x, '=', 1)))) = len(list_intersect(b.up, a.up))),
+  found AS (SELECT node, count(DISTINCT target) AS targets, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS target FROM fits GROUP BY node),
+  below AS (SELECT DISTINCT n.node FROM (SELECT node, unnest(above) AS upper FROM node) n JOIN node u ON u.node = n.upper WHERE u.placement IN ('ambiguous', 'qualified', 'unresolved')),
+  redir AS (SELECT node, target FROM found WHERE target IS NOT NULL AND node NOT IN (SELECT node FROM below)),
+  edge AS (SELECT n.node, item, placement, coalesce(r.target, n.parent) AS parent FROM node n LEFT JOIN redir r ON n.parent = r.node),
+  uppers AS (SELECT target, min(parent) AS upper FROM edge JOIN redir USING (node) WHERE parent IS NOT NULL GROUP BY target HAVING count(DISTINCT parent) = 1),
+  stays AS (SELECT e.node, item, placement, coalesce(parent, upper) AS parent FROM edge e LEFT JOIN uppers ON e.node = target WHERE e.node NOT IN (SELECT node FROM redir))"""
+
+
 @query("k01_source_paths", f"WITH {PATHS_SQL} SELECT source, key, level, item, sig FROM lv")
 def _(e: Evidence) -> DataFrame:
     return un.levels(_paths(e)).select("source", "key", "level", "item", "sig")
@@ -64,9 +124,9 @@ def _(e: Evidence) -> DataFrame:
     return un.ambiguous(_paths(e))
 
 
-@query("k06_node_identity", f"WITH {PATHS_SQL} SELECT source, key, level, md5(sig || '#' || CASE WHEN bool_or(hit) OVER (PARTITION BY source, key ORDER BY level) THEN CAST(key AS VARCHAR) ELSE '' END) AS node FROM (SELECT lv.*, amb.sig IS NOT NULL AS hit FROM lv LEFT JOIN amb ON lv.source = amb.source AND lv.sig = amb.sig)")
+@query("k06_node_identity", f"WITH {MERGE_SQL} SELECT source, key, i - 1 AS level, node, parent, placement FROM lvl")
 def _(e: Evidence) -> DataFrame:
-    return un.isolated_nodes(_paths(e)).select("source", "key", "level", "node")
+    return Merge(e).levels.select("source", "key", "level", "node", "parent", "placement")
 
 
 @query("k07_placement", f"WITH {PATHS_SQL} SELECT c.source, key, CASE WHEN key % 9 = 0 THEN 'qualified' WHEN amb.sig IS NOT NULL THEN 'ambiguous' WHEN key % 7 = 0 THEN 'unresolved' WHEN NOT starts_with(path[1], 'kingdom=') AND prefix = '' THEN 'partial' ELSE 'supported' END AS status, CASE WHEN NOT starts_with(path[1], 'kingdom=') AND prefix = '' THEN CASE WHEN key % 7 = 0 THEN 'unresolved' ELSE 'partial' END END AS container FROM comp c LEFT JOIN amb ON c.source = amb.source AND array_to_string(path, '/') = amb.sig")
@@ -74,9 +134,9 @@ def _(e: Evidence) -> DataFrame:
     return un.placement(un.completed(_paths(e), "kingdom"), "kingdom", F.col("key") % 9 == 0, F.col("key") % 7 == 0)
 
 
-@query("k08_concept_bridge", f"WITH {PATHS_SQL} SELECT DISTINCT sig, source, key AS concept FROM lv")
+@query("k08_concept_bridge", f"WITH {MERGE_SQL} SELECT node, source, concept, arg_max(supplied, key) AS supplied FROM lvl WHERE own GROUP BY node, source, concept")
 def _(e: Evidence) -> DataFrame:
-    return un.levels(_paths(e)).select("sig", "source", F.col("key").alias("concept")).distinct()
+    return mg.concept_bridge(Merge(e).levels)
 
 
 @query("k09_leaf_map", f"WITH {PATHS_SQL} SELECT source, key, array_to_string(path, '/') AS leaf FROM paths")
@@ -89,15 +149,16 @@ def _(e: Evidence) -> DataFrame:
     return un.align(un.levels(_paths(e)), "a", "b").select("sig", "targets")
 
 
-@query("k11_aligned", f"WITH {PATHS_SQL} SELECT sig, target FROM al WHERE target IS NOT NULL")
+@query("k11_aligned", f"WITH {MERGE_SQL} SELECT node, target, targets FROM found")
 def _(e: Evidence) -> DataFrame:
-    return un.align(un.levels(_paths(e)), "a", "b").where("target is not null").select("sig", "target")
+    return Merge(e).found
 
 
-@query("k12_below_disagreement", f"WITH {PATHS_SQL} SELECT sig FROM stay")
+@query("k12_below_disagreement", f"WITH {MERGE_SQL} SELECT node, item, node IN (SELECT node FROM found WHERE target IS NOT NULL) AS held_back FROM node WHERE node IN (SELECT node FROM below)")
 def _(e: Evidence) -> DataFrame:
-    lv = un.levels(_paths(e))
-    return un.below_disagreement(lv, un.align(lv, "a", "b"))
+    m = Merge(e)
+    would = m.found.where("target is not null").select("node", F.lit(True).alias("held_back"))
+    return mg.below_apart(m.nodes).join(m.nodes.select("node", "item"), "node").join(would, "node", "left").na.fill(False)
 
 
 @query("k13_containment_notes", f"WITH {PATHS_SQL} SELECT DISTINCT al.sig, al.target FROM mg al JOIN lv b ON b.sig = al.sig AND b.source = 'b' JOIN lv a ON a.sig = al.target AND a.source = 'a' WHERE b.up <> a.up")
@@ -108,16 +169,17 @@ def _(e: Evidence) -> DataFrame:
     return al.join(above("b", "sig"), "sig").join(above("a", "target"), "target").where("up_a != up_b").select("sig", "target").distinct()
 
 
-@query("k14_reparented", f"WITH {PATHS_SQL} SELECT DISTINCT e.sig, coalesce(t.target, e.parent) AS parent FROM (SELECT DISTINCT sig, CASE WHEN len(up) > 0 THEN array_to_string(up, '/') END AS parent FROM lv WHERE sig NOT IN (SELECT sig FROM mg)) e LEFT JOIN mg t ON e.parent = t.sig")
+@query("k14_reparented", f"WITH {MERGE_SQL}, walk AS (SELECT node, placement, parent, CASE WHEN placement = 'container' THEN '' ELSE item END AS path FROM stays WHERE parent IS NULL UNION ALL SELECT s.node, s.placement, s.parent, CASE WHEN w.path = '' THEN s.item ELSE w.path || '/' || s.item END FROM stays s JOIN walk w ON s.parent = w.node) SELECT node, placement, parent, path, node IN (SELECT target FROM redir) AS unified FROM walk")
 def _(e: Evidence) -> DataFrame:
-    lv = un.levels(_paths(e))
-    return un.reparented(lv, un.merging(lv, un.align(lv, "a", "b")))
+    m = Merge(e)
+    return mg.unified(mg.rebuilt_paths(mg.reparented(m.nodes, m.to)), m.to).select("node", "placement", "parent", F.array_join("path", "/").alias("path"), "unified")
 
 
-@query("k15_rewired_concepts", f"WITH {PATHS_SQL} SELECT DISTINCT coalesce(target, lv.sig) AS sig, source, key AS concept FROM lv LEFT JOIN mg t ON t.sig = lv.sig")
+@query("k15_rewired_concepts", f"WITH {MERGE_SQL}, bridge AS (SELECT node, source, concept, arg_max(supplied, key) AS supplied FROM lvl WHERE own GROUP BY node, source, concept), m AS (SELECT coalesce(target, b.node) AS node, source, concept, supplied, target IS NOT NULL AS moved FROM bridge b LEFT JOIN redir r ON b.node = r.node), last AS (SELECT source, key, arg_max(node, i) AS node FROM lvl GROUP BY source, key) SELECT 'concept' AS part, node, source, concept, arg_max(supplied, (moved, supplied)) AS supplied, bool_or(moved) AS browse_path_adjusted FROM m GROUP BY node, source, concept UNION ALL SELECT 'leaf', coalesce(target, l.node), source, CAST(key AS VARCHAR), '', target IS NOT NULL FROM last l LEFT JOIN redir r ON l.node = r.node")
 def _(e: Evidence) -> DataFrame:
-    lv = un.levels(_paths(e))
-    return un.redirected(lv.select("sig", "source", F.col("key").alias("concept")), un.merging(lv, un.align(lv, "a", "b")))
+    m = Merge(e)
+    concepts = mg.rewired(mg.concept_bridge(m.levels), m.to).select(F.lit("concept").alias("part"), "node", "source", "concept", "supplied", "browse_path_adjusted")
+    return concepts.unionByName(mg.leaves(m.levels, m.to).select(F.lit("leaf").alias("part"), "node", "source", F.col("key").cast("string").alias("concept"), F.lit("").alias("supplied"), "browse_path_adjusted"))
 
 
 @query("k16_inherited_attributes", "SELECT taxon_id AS leaf, string_agg(attribute, ',' ORDER BY depth, attribute) AS attributes FROM (SELECT taxon_id, ascii(substr(node, 1, 1)) % 4 AS attribute, min(depth) AS depth FROM closure WHERE ascii(substr(node, 2, 1)) % 2 = 0 GROUP BY ALL) GROUP BY taxon_id")
