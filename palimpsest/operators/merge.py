@@ -44,17 +44,18 @@ def placed_levels(rows: DataFrame, spine: str, root: str = "kingdom") -> DataFra
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     at_odds = flag("unresolved")
     rows = rows.where(F.size("terms") > 0).select("source", "key", F.when(at_odds, F.slice("terms", -1, 1)).otherwise(F.col("terms")).alias("terms"), flag("rooted").alias("said"), flag("qualified").alias("qualified"), at_odds.alias("unresolved"), F.transform("terms", lambda t: t["item"]).alias("supplied"))
-    rows = rows.withColumn("items", F.transform("terms", lambda t: t["item"]))
+    rows = rows.withColumn("items", F.transform("terms", lambda t: t["item"])).repartition("source", "key")  # levels are gathered by path again below
     first = F.get("items", F.lit(0))
     rooted = F.col("said") | F.startswith(first, F.lit(f"{root}="))
     open_ = ~rooted & ~F.col("unresolved")
     found = rows.join(_borrowed(rows, spine, root), open_ & (first == F.col("first")) & (F.get("items", F.lit(1)) == F.col("second")), "left")
     before = F.coalesce("before", F.array().cast("array<string>"))
     upper = F.transform(before, lambda i: F.struct(i.alias("item"), i.alias("concept")))
-    whole = found.select("source", "key", "supplied", "qualified", "unresolved", (rooted | (F.size(before) > 0)).alias("rooted"), F.size(before).alias("borrowed"), F.concat(upper, F.transform("terms", lambda t: F.struct(t["item"].alias("item"), t["concept"].cast("string").alias("concept")))).alias("terms"))
+    whole = found.select("source", "key", "supplied", "qualified", "unresolved", (rooted | (F.size(before) > 0)).alias("rooted"), F.size(before).alias("borrowed"), F.concat(upper, F.transform("terms", lambda t: F.struct(t["item"].alias("item"), t["concept"].cast("string").alias("concept")))).alias("terms"), F.concat(before, "items").alias("items"))
     each = whole.select("*", F.posexplode("terms").alias("level", "term")).withColumns({
-        "item": F.col("term.item"), "concept": F.col("term.concept"), "own": F.col("level") >= F.col("borrowed"), "last": F.col("level") == F.size("terms") - 1, "up": F.transform(F.slice("terms", F.lit(1), F.col("level")), lambda t: t["item"]),
-    }).withColumn("sig", F.array_join(F.concat("up", F.array("item")), "/"))
+        "item": F.col("term.item"), "concept": F.col("term.concept"), "own": F.col("level") >= F.col("borrowed"), "last": F.col("level") == F.size("items") - 1,
+        "up": F.slice("items", F.lit(1), F.col("level")), "sig": F.array_join(F.slice("items", F.lit(1), F.col("level") + 1), "/"),
+    }).drop("terms", "items", "term")
     several = each.where("own").groupBy("source", "sig").agg(F.count_distinct("concept").alias("n")).where("n > 1").select("source", "sig", F.lit(True).alias("ambiguous"))
     each = each.join(several, ["source", "sig"], "left").withColumn("ambiguous", flag("ambiguous"))
     odd = F.col("last") & (F.col("unresolved") | F.startswith("item", F.lit("=")))

@@ -82,6 +82,10 @@ def _ranks_agree(a: Column, b: Column) -> Column:
     return (a == b) | a.isin(*CLADES) | b.isin(*CLADES) | (a.isin(*KINDRED) & b.isin(*KINDRED))
 
 
+def _split(item: Column) -> Column:
+    return F.struct(_rank(item).alias("rank"), _name(item).alias("name"))
+
+
 def compatible(item_a: Column, up_a: Column, item_b: Column, up_b: Column, root: str = "kingdom") -> Column:
     """Whether two nodes of one name may be the same: items ``rank=name``, with the items above them, highest first.
 
@@ -89,20 +93,26 @@ def compatible(item_a: Column, up_a: Column, item_b: Column, up_b: Column, root:
     in the same order; and for every rank that both have above, the nearest names are equal, or one of the two stands
     elsewhere above the other node (nested groups), or the rank is one that a shared family and a shared class bridge.
     """
-    names_a, names_b = F.transform(up_a, _name), F.transform(up_b, _name)
-    shared = F.transform(F.filter(up_a, lambda x: F.exists(up_b, lambda y: (_name(x) == _name(y)) & _ranks_agree(_rank(x), _rank(y)))), _name)
-    in_order = lambda names: F.array_distinct(F.filter(names, lambda n: F.array_contains(shared, n)))
-    of_rank = lambda items, rank: F.filter(items, lambda x: _rank(x) == rank)
-    families = [F.transform(of_rank(F.concat(up, F.array(item)), F.lit("family")), _name) for item, up in ((item_a, up_a), (item_b, up_b))]
-    bridge = F.arrays_overlap(*families) & F.exists(of_rank(up_a, F.lit("class")), lambda x: F.array_contains(shared, _name(x)))
+    return _compatible(_split(item_a), F.transform(up_a, _split), _split(item_b), F.transform(up_b, _split), root)
+
+
+def _compatible(a: Column, up_a: Column, b: Column, up_b: Column, root: str) -> Column:
+    """``compatible`` for structs of rank and lower-case name."""
+    names = lambda items: F.transform(items, lambda x: x["name"])
+    shared = names(F.filter(up_a, lambda x: F.exists(up_b, lambda y: (x["name"] == y["name"]) & _ranks_agree(x["rank"], y["rank"]))))
+    in_order = lambda items: F.array_distinct(F.filter(names(items), lambda n: F.array_contains(shared, n)))
+    of_rank = lambda items, rank: F.filter(items, lambda x: x["rank"] == rank)
+    families = [names(of_rank(F.concat(up, F.array(item)), F.lit("family"))) for item, up in ((a, up_a), (b, up_b))]
+    bridge = F.arrays_overlap(*families) & F.exists(of_rank(up_a, F.lit("class")), lambda x: F.array_contains(shared, x["name"]))
 
     def fits(rank: Column) -> Column:
-        near_a, near_b = _name(F.element_at(of_rank(up_a, rank), -1)), _name(F.element_at(of_rank(up_b, rank), -1))
-        return (near_a == near_b) | F.array_contains(names_b, near_a) | F.array_contains(names_a, near_b) | (bridge & rank.isin(*BRIDGED))
+        near_a, near_b = F.element_at(of_rank(up_a, rank), -1)["name"], F.element_at(of_rank(up_b, rank), -1)["name"]
+        return (near_a == near_b) | F.exists(up_b, lambda x: x["name"] == near_a) | F.exists(up_a, lambda x: x["name"] == near_b) | (bridge & rank.isin(*BRIDGED))
 
-    common = F.filter(F.array_intersect(F.transform(up_a, _rank), F.transform(up_b, _rank)), lambda r: ~r.isin(*CLADES))
-    anchored = (F.size(shared) > 0) | (_rank(item_a) == root)
-    return _ranks_agree(_rank(item_a), _rank(item_b)) & anchored & (in_order(names_a) == in_order(names_b)) & F.forall(common, fits)
+    ranks = lambda items: F.transform(items, lambda x: x["rank"])
+    common = F.filter(F.array_intersect(ranks(up_a), ranks(up_b)), lambda r: ~r.isin(*CLADES))
+    anchored = (F.size(shared) > 0) | (a["rank"] == root)
+    return _ranks_agree(a["rank"], b["rank"]) & anchored & (in_order(up_a) == in_order(up_b)) & F.forall(common, fits)
 
 
 def compatible_pairs(a: DataFrame, b: DataFrame, root: str = "kingdom") -> DataFrame:
@@ -112,12 +122,14 @@ def compatible_pairs(a: DataFrame, b: DataFrame, root: str = "kingdom") -> DataF
     the root rank needs no such anchor.  Names and ranks are split once a node, a pair is compared at its first anchor only,
     and ranks are compared before anything nested.
     """
-    split = lambda rows: rows.select("*", _rank(F.col("item")).alias("rank"), _name(F.col("item")).alias("name"), F.transform("up", _name).alias("names"))
+    split = lambda rows: rows.select("id", _split(F.col("item")).alias("own"), F.transform("up", _split).alias("up")).withColumn("names", F.array_distinct(F.transform("up", lambda x: x["name"])))
     none = F.array(F.lit(""))
-    left = split(a).select(*[F.col(c).alias(f"a_{c}") for c in ("id", "item", "up", "rank", "names")], "name", F.explode(F.when(F.col("rank") == root, none).otherwise(F.array_distinct("names"))).alias("anchor"))
-    right = split(b).select("*", F.explode(F.concat(none, F.array_distinct("names"))).alias("anchor"))
-    met = right.join(left, ["name", "anchor"]).where(_ranks_agree(F.col("a_rank"), F.col("rank")) & ((F.col("anchor") == "") | (F.col("anchor") == F.get(F.array_intersect("names", "a_names"), F.lit(0)))))
-    return met.where(compatible(F.col("a_item"), F.col("a_up"), F.col("item"), F.col("up"), root)).select("id", F.col("a_id").alias("target"))
+    left = split(a).select(*[F.col(c).alias(f"a_{c}") for c in ("id", "own", "up", "names")], F.col("own.name").alias("name"), F.explode(F.when(F.col("own.rank") == root, none).otherwise(F.col("names"))).alias("anchor"))
+    right = split(b).select("*", F.col("own.name").alias("name"), F.explode(F.concat(none, "names")).alias("anchor"))
+    first = (F.col("anchor") == "") | (F.col("anchor") == F.get(F.array_intersect("names", "a_names"), F.lit(0)))
+    met = right.join(left, ["name", "anchor"]).where(_ranks_agree(F.col("a_own.rank"), F.col("own.rank")) & first).select("id", "own", "up", "a_id", "a_own", "a_up")
+    dealt = met.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # comparing costs more than moving: no task keeps the pairs of a common name
+    return dealt.where(_compatible(F.col("a_own"), F.col("a_up"), F.col("own"), F.col("up"), root)).select("id", F.col("a_id").alias("target"))
 
 
 def align(lv: DataFrame, spine: str, other: str) -> DataFrame:
