@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.normalize import plain_name, text_or_null
 
 # What marks a label as qualified or as one of several.
+#: Stages that are the parts of an epoch which has no units of its own for them.
+STAGES = {"early": "Greenlandian", "middle": "Northgrippian", "late": "Meghalayan"}
 AMBIGUOUS = r"\?|\bor\b|\band\b|mixed|uncertain|approx|\bcf\b|\baff\b|[/()]"
 
 
@@ -17,10 +19,13 @@ def finest(*fields: tuple[str, Column]) -> Column:
 
 
 def alias_table(units: DataFrame) -> DataFrame:
-    """(alias, unit, older, younger) from units (name, older, younger): each name, and "Epoch, modifier" for "Modifier Epoch"."""
+    """(alias, unit, older, younger) from units (name, older, younger): each name, "Epoch, modifier" for "Modifier Epoch", and
+    both forms of the parts of the Holocene for the stages that they are."""
     plain = units.select(plain_name(F.col("name")).alias("alias"), F.col("name").alias("unit"), "older", "younger")
     turned = plain.withColumn("alias", F.regexp_replace("alias", r"^(early|middle|late) (.+)$", "$2, $1"))
-    return plain.unionByName(turned).distinct()
+    forms = F.create_map(*[x for part, stage in STAGES.items() for x in (F.lit(stage.lower()), F.array(F.lit(f"holocene, {part}"), F.lit(f"{part} holocene")))])
+    parts = plain.where(F.col("alias").isin(*[s.lower() for s in STAGES.values()])).select(F.explode(forms[F.col("alias")]).alias("alias"), "unit", "older", "younger")
+    return plain.unionByName(turned).unionByName(parts).distinct()
 
 
 def interpret(rows: DataFrame, label: str, aliases: DataFrame) -> DataFrame:

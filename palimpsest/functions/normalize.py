@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The qualifiers of an uncertain identification, and texts that say nothing.
 QUALIFIERS = ("cf", "aff", "sp", "spp", "indet", "uncertain")
-MEANINGLESS = ("default", "none", "unknown", "n/a", "na", "null", "not available", "not applicable", "unspecified")
+MEANINGLESS = ("default", "none", "unspecified", "unknown", "not supplied", "n/a")
 
 
 def text_or_null(c: Column) -> Column:
@@ -132,9 +135,67 @@ def envelope_problems(older: Column, younger: Column) -> Column:
 
 
 def is_meaningful(c: Column) -> Column:
-    t = plain_name(c)
-    return t.isNotNull() & (t != "") & ~t.isin(*MEANINGLESS)
+    """Whether a text says something: not blank, and none of MEANINGLESS, alone or with a number after a dash."""
+    t = F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
+    return F.coalesce((t != "") & ~F.rlike(t, F.lit(rf"^({'|'.join(MEANINGLESS)})(\s*-\s*\d+)?$")), F.lit(False))
 
 
 def or_placeholder(c: Column, placeholder: str = "not supplied") -> Column:
     return F.coalesce(text_or_null(c), F.lit(placeholder))
+
+
+def folded_names(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with ``name``: the column in compatibility form (NFKC), white space collapsed, case folded; null stays null.
+
+    Neither form is a built-in function, so a vectorized one sees each distinct name once, and the result is joined back.
+    """
+
+    @F.pandas_udf("string")
+    def folded(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
+
+    known = rows.select(F.col(column).alias("_given")).where("_given is not null").distinct().select("_given", folded("_given").alias(name))
+    return rows.join(known, F.col(column) == F.col("_given"), "left").drop("_given")
+
+
+# records of one provider: each a struct with its typed id, its fields, and whether any part of it is invalid
+
+
+def _record(required: list[Column], optional: dict[str, tuple[Column, tuple[str, ...]]], invalid: Column | None = None, **fields: Column) -> Column:
+    """required: the record's own id, then ids that it can't do without; optional: name to (text, prefixes)."""
+    given = {n: optional_id(c, *prefixes) for n, (c, prefixes) in optional.items()}
+    bad = F.lit(False) if invalid is None else invalid
+    for c in required:
+        bad = bad | c.isNull()
+    for c in given.values():
+        bad = bad | c["invalid"]
+    return F.struct(required[0].alias("id"), *[c["value"].alias(n) for n, c in given.items()], *[c.alias(n) for n, c in fields.items()], bad.alias("invalid"))
+
+
+def taxon_name_record(number: Column, original: Column, accepted: Column, parent: Column, name: Column, rank: Column, reference: Column) -> Column:
+    taxon = ("txn", "var")
+    return _record([typed_id(number, *taxon)], {"original": (original, taxon), "accepted": (accepted, taxon), "parent": (parent, taxon), "reference": (reference, ("ref",))}, name=name, rank=rank)
+
+
+def material_record(number: Column, occurrence: Column, collection: Column, reidentification: Column, label: Column, reference: Column) -> Column:
+    found = typed_id(occurrence, "occ")
+    return _record([typed_id(number, "spm"), found], {"collection": (collection, ("col",)), "reidentification": (reidentification, ("rei",)), "reference": (reference, ("ref",))}, occurrence=found, label=label)
+
+
+def measurement_record(number: Column, specimen: Column, kind: Column, values: dict[str, Column], unit: Column) -> Column:
+    """``values`` is a map of decimals by name, null where nothing is given; ``faults`` names those that are no numbers."""
+    found, numbers = typed_id(specimen, "spm"), {n: strict_decimal(c) for n, c in values.items()}
+    faults = F.filter(F.array(*[F.when(d["invalid"], F.lit(n)) for n, d in numbers.items()]), lambda x: x.isNotNull())
+    entries = F.create_map(*[x for n, d in numbers.items() for x in (F.lit(n), d["value"])])
+    return _record([typed_id(number, "mea"), found], {}, F.size(faults) > 0, specimen=found, kind=kind, values=entries, faults=faults, unit=unit)
+
+
+def opinion_record(number: Column, child: Column, original: Column, parent: Column, status: Column, reference: Column) -> Column:
+    taxon = ("txn", "var")
+    return _record([typed_id(number, "opn")], {"child": (child, taxon), "original": (original, taxon), "parent": (parent, taxon), "reference": (reference, ("ref",))}, status=status)
+
+
+def reference_record(number: Column, title: Column, doi: Column, year: Column, raw: dict[str, Column]) -> Column:
+    """``authors`` are the raw fields whose names begin with ``author``; a blank year is null."""
+    authors = F.create_map(*[x for n, c in raw.items() if n.startswith("author") for x in (F.lit(n), c)])
+    return _record([typed_id(number, "ref")], {}, title=title, doi=doi, year=text_or_null(year), authors=authors)

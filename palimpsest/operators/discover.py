@@ -46,13 +46,24 @@ def buffered(viewports: DataFrame, share: float = 0.25) -> DataFrame:
     )
 
 
-def in_viewports(points: DataFrame, viewports: DataFrame) -> DataFrame:
+def _cells(low: Column, high: Column, step: float, offset: float) -> Column:
+    """The numbers of the cells of ``step`` degrees that a stretch touches."""
+    return F.sequence(F.floor((low + offset) / step), F.floor((high + offset) / step))
+
+
+def in_viewports(points: DataFrame, viewports: DataFrame, cell: float = 10.0) -> DataFrame:
     """Per viewport the records inside it and inside its outer edges.
 
-    Points are first summed by coordinate; viewports are a stated set of a few, broadcast to them.
+    Points are first summed by coordinate; both sides are laid on a grid of ``cell`` degrees, viewports in all cells that their
+    outer edges touch (past the antimeridian in two stretches), and meet by cell.  The exact test follows.
     """
-    at = points.where("not withheld and lon is not null").groupBy("lon", "lat").agg(F.count("*").alias("n"))
+    at = points.where("not withheld and lon is not null and lat is not null").groupBy("lon", "lat").agg(F.count("*").alias("n"))
     within = lambda w, s, e, n: F.col("lat").between(F.col(s), F.col(n)) & F.when(F.col(w) <= F.col(e), F.col("lon").between(F.col(w), F.col(e))).otherwise((F.col("lon") >= F.col(w)) | (F.col("lon") <= F.col(e)))
     outer, inner = within("outer_west", "outer_south", "outer_east", "outer_north"), within("west", "south", "east", "north")
-    pairs = at.join(F.broadcast(buffered(viewports)), outer)
+    views = buffered(viewports)
+    west, east = F.col("outer_west").cast("double"), F.col("outer_east").cast("double")
+    across = F.when(west <= east, _cells(west, east, cell, 180)).otherwise(F.array_union(_cells(west, F.lit(180.0), cell, 180), _cells(F.lit(-180.0), east, cell, 180)))
+    views = views.withColumn("_x", F.explode(across)).withColumn("_y", F.explode(_cells(F.col("outer_south").cast("double"), F.col("outer_north").cast("double"), cell, 90)))
+    at = at.withColumns({"_x": F.floor((F.col("lon") + 180) / cell), "_y": F.floor((F.col("lat") + 90) / cell)})
+    pairs = at.join(views, ["_x", "_y"]).where(outer)
     return pairs.groupBy("id").agg(F.sum(F.when(inner, F.col("n")).otherwise(0)).alias("inside"), F.sum("n").alias("near"))

@@ -118,3 +118,24 @@ def nearest_rule(paths: DataFrame, rules: DataFrame) -> DataFrame:
     fit = paths.join(rules, "node").where((F.col("depth") == 0) | F.col("inherit"))
     first = fit.groupBy("leaf").agg(F.min_by(F.struct("rule", "neutral"), "depth").alias("r"))
     return first.select("leaf", F.when(~F.col("r.neutral"), F.col("r.rule")).alias("rule"))
+
+
+def typed_edges(owners: DataFrame, direct: dict[str, tuple[str, DataFrame]], aliased: dict[str, tuple[str, DataFrame]], intervals: DataFrame) -> DataFrame:
+    """(owner, kind, target, missing): what records need, by foreign ids, by ids with aliases, and by names of intervals.
+
+    ``direct``: kind to (column of owners with a target's id, targets (id)).  ``aliased``: kind to (column, aliases (alias, id)):
+    an id stands for every target that lists it, its own id among them.  ``intervals``: (id, name), met by the names that the
+    owners' array ``names`` holds; a name may have several.  A target that is not there is a row with ``missing``, its id being
+    what was asked for; null asks for nothing, and an owner is no target of its own.
+    """
+    parts = []
+    for kind, (column, targets) in {**direct, **aliased}.items():
+        known = targets.select(F.col("id").cast("string").alias("asked"), F.col("id").cast("string").alias("target")) if kind in direct else targets.select(F.col("alias").cast("string").alias("asked"), F.col("id").cast("string").alias("target"))
+        wanted = owners.select("owner", F.lit(kind).alias("kind"), F.col(column).cast("string").alias("asked")).where("asked is not null").distinct()
+        parts.append(wanted.join(known.distinct(), "asked", "left"))
+    wanted = owners.select("owner", F.lit("interval").alias("kind"), F.explode("names").alias("asked")).where("trim(asked) != ''").distinct()
+    parts.append(wanted.join(intervals.select(F.col("name").alias("asked"), F.col("id").cast("string").alias("target")).distinct(), "asked", "left"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("owner", "kind", F.coalesce("target", "asked").alias("target"), F.col("target").isNull().alias("missing")).where(F.col("owner") != F.concat_ws("#", "kind", "target")).distinct()

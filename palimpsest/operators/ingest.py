@@ -1,10 +1,14 @@
-"""Snapshot ingestion: checks, quarantine, merges, revisions, currentness."""
+"""Snapshot ingestion: checks, quarantine, merges, revisions, currentness, and the audit of runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.aggregates import content_mark
+
+RUNS = "run string, digest string, read bigint, accepted bigint, failed bigint, inserted bigint, updated bigint, unchanged bigint, skipped bigint, status string"
+
 
 def count_contract(envelopes: DataFrame) -> DataFrame:
     """Envelopes (file, found, returned, records, limit_all) that break the contract, with the reason."""
@@ -97,3 +101,36 @@ def population_control(rows: DataFrame, controls: DataFrame) -> DataFrame:
     """Kinds whose count differs from the declared one."""
     n = rows.groupBy("kind").agg(F.count("*").alias("n"))
     return n.join(controls, "kind", "full").where(~F.col("n").eqNullSafe(F.col("declared"))).select("kind", "n", "declared")
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """The audit of all runs so far; empty before the first."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(RUNS).parquet(path) if there else spark.createDataFrame([], RUNS)
+
+
+def audited_run(path: str, run: str, known: DataFrame, snapshot: DataFrame, key: str, hashed: str, reason: Column) -> DataFrame:
+    """Appends what a run does to the table of runs below path, and returns the rows that it would publish.
+
+    A snapshot whose digest a stored run with status success or partial already has is a replay: all its rows are skipped and
+    nothing is published.  Else rows with a reason have failed, and the first of those that share a key and all later ones
+    are told by hash: inserted, updated or unchanged against ``known``; repeats of one key beyond the first, by hash, are
+    skipped.  Status: replayed, success, partial (some failed), failed (all did), empty.
+    """
+    spark = snapshot.sparkSession
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (key, hashed)])
+    digest = snapshot.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(content_mark(text), F.lit("0"))).alias("digest")).first()["digest"]
+    if not runs(spark, path).where((F.col("digest") == digest) & F.col("status").isin("success", "partial")).isEmpty():
+        row = snapshot.agg(F.count("*").alias("read")).select(F.lit(run).alias("run"), F.lit(digest).alias("digest"), "read", *[F.lit(0).cast("bigint").alias(c) for c in ("accepted", "failed", "inserted", "updated", "unchanged")], F.col("read").alias("skipped"), F.lit("replayed").alias("status"))
+        row.coalesce(1).write.mode("append").parquet(path)
+        return snapshot.where("false")
+    good, bad = quarantine(snapshot, reason)
+    firsts = good.groupBy(key).agg(F.min_by(F.struct(*good.columns), hashed).alias("r"), F.count("*").alias("n"))
+    rows, repeats = firsts.select("r.*"), firsts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("skipped"))
+    count = lambda change: F.count(F.when(F.col("change") == change, 1)).alias(change)
+    changes = classify(known, rows, key, hashed).agg(*map(count, ("inserted", "updated", "unchanged")))
+    total = snapshot.agg(F.count("*").alias("read")).crossJoin(bad.agg(F.count("*").alias("failed"))).crossJoin(repeats).crossJoin(changes)  # one row each
+    status = F.when(F.col("read") == 0, "empty").when(F.col("failed") == F.col("read"), "failed").when(F.col("failed") > 0, "partial").otherwise("success")
+    total.select(F.lit(run).alias("run"), F.lit(digest).alias("digest"), "read", (F.col("inserted") + F.col("updated") + F.col("unchanged")).alias("accepted"), "failed", "inserted", "updated", "unchanged", "skipped", status.alias("status")).coalesce(1).write.mode("append").parquet(path)
+    return rows

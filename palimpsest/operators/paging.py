@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import written
+
 
 def keyset_page(rows: DataFrame, key: list[str], after: tuple | None, size: int) -> DataFrame:
     """The ``size`` rows after the given key and one more, which tells that there is another page."""
@@ -33,8 +35,19 @@ def first_per_group(rows: DataFrame, group: list[str], order: Column) -> DataFra
 
 
 def interleaved(rows: DataFrame, kind: str, key: str) -> DataFrame:
-    """rows with ``turn``, the row's place within its kind: ordering by turn takes kinds in rotation."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(kind).orderBy(key)))
+    """rows with ``turn``, the row's place within its kind: ordering by turn takes kinds in rotation.
+
+    Rows lie in ranges of (kind, key); each range numbers its own rows, and what the ranges before it hold of a kind is added
+    from their counts, a row for each range and kind.  No task sorts a whole kind.
+    """
+    part, place = "_range", "_place"
+    ranged = written(rows.repartitionByRange(kind, key).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(kind, part).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(kind).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(counts.select(F.col(kind).alias("_kind"), F.col(part).alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets")
+    own = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part, kind).orderBy(key)))
+    found = own.join(offsets, F.col(kind).eqNullSafe(F.col("_kind")) & (F.col(part) == F.col("_part")))
+    return found.withColumn("turn", (F.col("_before") + F.col(place)).cast("int")).select(*rows.columns, "turn")
 
 
 def preview(rows: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:

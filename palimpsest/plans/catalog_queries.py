@@ -108,9 +108,11 @@ def _(e: Evidence) -> DataFrame:
     return e.table("documents").where(ctx.text_matches("there wh", F.col("text"), F.col("text"))).select("doc_id")
 
 
-@query("c12_text_short_literal", "SELECT p_partkey FROM part WHERE starts_with(lower(p_name), 'pa') AND NOT contains(p_name, '%')", base=False)
+@query("c12_text_short_literal", r"SELECT p_partkey FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN regexp_replace(p_name, '^(.).', '\1%') WHEN 1 THEN regexp_replace(p_name, '^(.).', '\1_') ELSE p_name END AS name FROM part) WHERE starts_with(lower(name), 'r%') OR starts_with(lower(name), 'b_')", base=False)
 def _(e: Evidence) -> DataFrame:
-    return e.table("part").where(ctx.text_matches("pa", F.col("p_name"), F.col("p_name")) & ~F.contains("p_name", F.lit("%"))).select("p_partkey")
+    k, sign = F.col("p_partkey") % 3, lambda c: F.regexp_replace("p_name", "^(.).", f"$1{c}")
+    rows = e.table("part").select("p_partkey", F.when(k == 0, sign("%")).when(k == 1, sign("_")).otherwise(F.col("p_name")).alias("name"))
+    return rows.where(ctx.text_matches("r%", F.col("name"), F.col("name")) | ctx.text_matches("b_", F.col("name"), F.col("name"))).select("p_partkey")
 
 
 @query("c13_source", "SELECT record_id FROM catalog WHERE source = 'b'")
@@ -158,9 +160,9 @@ def _(e: Evidence) -> DataFrame:
     return e.table("customer").join(e.table("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("d05_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", base=False)
+@query("d05_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)", base=False)
 def _(e: Evidence) -> DataFrame:
-    return e.table("customer").join(e.table("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return e.table("customer").join(e.table("orders").where("o_orderkey % 3 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("d06_rule_per_combination", "SELECT record_id, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'returned' WHEN l_linestatus = 'O' THEN 'open' ELSE lower(p_type) END AS rule FROM material")
@@ -411,6 +413,15 @@ def _(e: Evidence) -> DataFrame:
     return common.select("p_brand", F.array_join(F.transform("path", lambda x: x["name"]), ">").alias("common"))
 
 
+@query("f13_common_path_grouped", "WITH g AS (SELECT p_partkey, concat_ws('/', p_type, CASE WHEN p_size > 10 THEN p_brand END) AS grp FROM part), n AS (SELECT grp, count(*) AS parts FROM g GROUP BY grp) SELECT grp, string_agg(name, '>' ORDER BY depth DESC) AS common FROM (SELECT grp, name, depth, rank, count(*) AS c FROM g JOIN closure ON p_partkey = taxon_id GROUP BY grp, name, depth, rank, node) JOIN n USING (grp) WHERE c = parts GROUP BY grp")
+def _(e: Evidence) -> DataFrame:
+    parts = e.table("part").select(F.col("p_partkey").alias("taxon_id"), F.concat_ws("/", "p_type", F.when(F.col("p_size") > 10, F.col("p_brand"))).alias("grp"))
+    sizes = parts.groupBy("grp").agg(F.count("*").alias("parts"))
+    nodes = parts.join(e.closure, "taxon_id").groupBy("grp", "name", "depth", "rank", "node").agg(F.count("*").alias("n"))
+    common = nodes.join(sizes, "grp").where("n = parts").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "name"))).alias("path"))  # a node a depth
+    return common.select("grp", F.array_join(F.transform("path", lambda x: x["name"]), ">").alias("common"))
+
+
 @query("f14_differences", "SELECT id, 'missing' AS side FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT user_id FROM events) UNION ALL SELECT id, 'surplus' FROM (SELECT user_id AS id FROM events EXCEPT SELECT c_custkey FROM customer)", base=False)
 def _(e: Evidence) -> DataFrame:
     from palimpsest.operators.joins import differences

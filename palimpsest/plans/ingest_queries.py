@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import intervals as iv
@@ -11,6 +11,7 @@ from palimpsest.operators import ingest as ing
 from palimpsest.operators.aggregates import content_mark
 from palimpsest.plans.fixtures import Evidence
 from palimpsest.plans.registry import query
+from palimpsest.sources.scratch import scratch
 
 
 @query("a03_count_contract", "SELECT o_orderkey AS file, found, returned, records, CASE WHEN returned <> records THEN 'returned' WHEN found < returned THEN 'found' ELSE 'incomplete' END AS reason FROM (SELECT o_orderkey, max(l_linenumber) AS found, count(DISTINCT l_linenumber) AS returned, count(*) AS records, o_orderstatus = 'O' AS limit_all FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) WHERE returned <> records OR found < returned OR (limit_all AND found <> returned)", base=False)
@@ -104,11 +105,19 @@ def _(e: Evidence) -> DataFrame:
     return ing.revision_history(e.revisions, "record", "content_hash", "seq")
 
 
-@query("a18_run_audit", f"WITH {_OLD_SQL} SELECT count(*) AS read, count(*) FILTER (o.c_custkey IS NULL) AS inserted, count(*) FILTER (o.c_custkey IS NOT NULL AND n.c_nationkey <> o.c_nationkey) AS updated, count(*) FILTER (n.c_nationkey = o.c_nationkey) AS unchanged FROM new_v n LEFT JOIN old_v o USING (c_custkey)")
+@query("a18_run_audit", f"""WITH {_OLD_SQL}, o AS (SELECT * FROM old_v WHERE c_custkey % 97 <> 0), n AS (SELECT * FROM new_v WHERE c_custkey % 97 <> 0),
+  first AS (SELECT (SELECT count(*) FROM old_v) AS read, (SELECT count(*) FROM o) AS inserted), c AS (SELECT (SELECT count(*) FROM new_v) AS read, count(*) AS accepted, count(*) FILTER (o.c_custkey IS NULL) AS inserted, count(*) FILTER (o.c_custkey IS NOT NULL AND n.c_nationkey <> o.c_nationkey) AS updated, count(*) FILTER (n.c_nationkey = o.c_nationkey) AS unchanged FROM n LEFT JOIN o USING (c_custkey))
+  SELECT '1' AS run, read, inserted AS accepted, read - inserted AS failed, inserted, 0 AS updated, 0 AS unchanged, 0 AS skipped, 'partial' AS status FROM first UNION ALL SELECT '2', read, accepted, read - accepted, inserted, updated, unchanged, 0, 'partial' FROM c
+  UNION ALL SELECT '3', read, 0, 0, 0, 0, 0, read, 'replayed' FROM c UNION ALL SELECT '4', 0, 0, 0, 0, 0, 0, 0, 'empty'""")
 def _(e: Evidence) -> DataFrame:
-    old, new = _versions(e)
-    c = ing.classify(old.withColumn("h", F.md5(F.col("c_nationkey").cast("string"))), new.withColumn("h", F.md5(F.col("c_nationkey").cast("string"))), "c_custkey", "h")
-    return c.agg(F.count("*").alias("read"), *[F.count(F.when(F.col("change") == x, 1)).alias(x) for x in ("inserted", "updated", "unchanged")])
+    path = scratch(e.spark, "audit")
+    old, new = (v.select("c_custkey", F.md5(F.col("c_nationkey").cast("string")).alias("h")) for v in _versions(e))
+    reason = F.when(F.col("c_custkey") % 97 == 0, "not wanted")
+    known = ing.audited_run(path, "1", old.where("false"), old, "c_custkey", "h", reason)
+    published = ing.upsert(known, ing.audited_run(path, "2", known, new, "c_custkey", "h", reason), "c_custkey")
+    ing.audited_run(path, "3", published, new, "c_custkey", "h", reason)
+    ing.audited_run(path, "4", published, new.where("false"), "c_custkey", "h", reason)
+    return ing.runs(e.spark, path).drop("digest")
 
 
 @query("a20_population_control", "SELECT kind, n, declared FROM (SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1) FULL JOIN (SELECT event_type AS kind, count(*) AS declared FROM events WHERE event_id % 2 = 0 OR event_type < 'd' GROUP BY 1) USING (kind) WHERE n IS DISTINCT FROM declared", base=False)
@@ -147,9 +156,9 @@ def _(e: Evidence) -> DataFrame:
 # column functions
 
 
-@query("b01_text_or_null", "SELECT doc_id, nullif(trim(substr(text, 1, 1)), '') AS t FROM documents", base=False)
+@query("b01_text_or_null", "SELECT doc_id, nullif(trim(text), '') AS t FROM documents", base=False)
 def _(e: Evidence) -> DataFrame:
-    return e.table("documents").select("doc_id", nz.text_or_null(F.substring("text", 1, 1)).alias("t"))
+    return e.table("documents").select("doc_id", nz.text_or_null(F.col("text")).alias("t"))
 
 
 @query("b01_text_or_null_whole", "SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, nullif(trim(text), '') AS t FROM documents)", base=False)
@@ -246,6 +255,14 @@ def _(e: Evidence) -> DataFrame:
     return e.table("part").select("p_partkey", nz.plain_name(F.concat(F.lit("  "), "p_name", F.lit("  X "))).alias("name"))
 
 
+@query("b15_folded_name", r"SELECT p_partkey, lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) || CASE p_partkey % 4 WHEN 0 THEN ' fish' WHEN 1 THEN ' strasse' WHEN 2 THEN ' ab 12' ELSE '' END AS name FROM part", base=False)
+def _(e: Evidence) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    odd = F.when(k == 0, "  \ufb01SH").when(k == 1, " Stra\u00dfe\t").when(k == 2, "\u00a0\uff21\uff22 \u2460\u2461").otherwise(" ")
+    rows = e.table("part").select("p_partkey", F.concat("p_name", odd).alias("given"))
+    return nz.folded_names(rows, "given", "name").select("p_partkey", "name")
+
+
 @query("b16_qualified", r"SELECT p_partkey, p_partkey % 3 < 2 AS qualified FROM part", base=False)
 def _(e: Evidence) -> DataFrame:
     name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " cf. X").when(F.col("p_partkey") % 3 == 1, "?").otherwise(" spider"))
@@ -290,9 +307,44 @@ def _(e: Evidence) -> DataFrame:
     return e.table("lineitem").groupBy(F.col("l_orderkey").alias("specimen"), F.col("l_linestatus").alias("kind")).agg(F.sum(F.round(F.col("l_quantity") * 100).cast("bigint")).alias("hundredths"), F.count("*").alias("n"))
 
 
-@query("b24_meaningful", "SELECT p_partkey, p_partkey % 4 = 3 AS meaningful FROM part", base=False)
+_RECORDS_B23 = {
+    "measurement": "SELECT 'measurement' AS kind, CASE WHEN l_orderkey > 0 THEN l_orderkey END AS id, CASE WHEN l_linenumber % 5 = 0 THEN 'average=invalid' ELSE 'average=' || CAST(l_quantity AS DECIMAL(18,2)) END || '|max=' || CAST(l_tax AS DECIMAL(18,2)) || '|min=-|' || l_linestatus AS fields, l_linenumber % 5 = 0 OR l_orderkey = 0 AS invalid FROM lineitem",
+    "material": "SELECT 'material', CASE WHEN o_orderkey > 0 THEN o_orderkey END, coalesce(CAST(nullif(o_custkey, 0) AS VARCHAR), '-') || '|' || o_orderstatus, o_orderkey = 0 OR o_custkey = 0 FROM orders",
+    "opinion": "SELECT 'opinion', CASE WHEN s_suppkey > 0 THEN s_suppkey END, coalesce(CASE WHEN s_nationkey % 2 = 0 THEN CAST(nullif(s_nationkey, 0) AS VARCHAR) END, '-') || '|' || s_name, s_suppkey = 0 FROM supplier",
+    "reference": "SELECT 'reference', CASE WHEN n_nationkey > 0 THEN n_nationkey END, n_name || '|Doe|Roe', n_nationkey = 0 FROM nation",
+    "taxon": "SELECT 'taxon', CASE WHEN p_partkey > 0 THEN p_partkey END, p_name || '|' || coalesce(CAST(CASE WHEN p_partkey % 3 = 1 THEN p_size END AS VARCHAR), '-'), p_partkey = 0 OR p_partkey % 3 = 2 FROM part",
+}
+
+
+@query("b23_normalized_records", " UNION ALL ".join(_RECORDS_B23.values()), base=False)
+def _(e: Evidence) -> DataFrame:
+    ident = lambda prefix, c: F.concat(F.lit(f"{prefix}:"), F.col(c).cast("string"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+
+    def rows(kind: str, table: str, made: Column, fields: Column) -> DataFrame:
+        return e.table(table).withColumn("r", made).select(F.lit(kind).alias("kind"), "r.id", fields.alias("fields"), "r.invalid")
+
+    measured = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    value = lambda key: F.when(F.array_contains("r.faults", key), "invalid").otherwise(text(F.col("r.values")[key].cast("decimal(18,2)")))
+    out = rows(
+        "measurement", "lineitem", nz.measurement_record(ident("mea", "l_orderkey"), ident("spm", "l_orderkey"), F.col("l_linestatus"), {"average": F.when(F.col("l_linenumber") % 5 == 0, "about 3").otherwise(measured("l_quantity")), "max": measured("l_tax"), "min": F.lit(" ")}, F.lit("mm")),
+        F.concat(F.lit("average="), value("average"), F.lit("|max="), value("max"), F.lit("|min="), value("min"), F.lit("|"), F.col("r.kind")),
+    )
+    t = F.col("p_partkey") % 3
+    for more in (
+        rows("material", "orders", nz.material_record(ident("spm", "o_orderkey"), ident("occ", "o_custkey"), F.lit(None), F.lit("0"), F.col("o_orderstatus"), F.lit("")), F.concat(text(F.col("r.occurrence")), F.lit("|"), F.col("r.label"))),
+        rows("opinion", "supplier", nz.opinion_record(ident("opn", "s_suppkey"), F.lit(None), F.lit(None), F.when((F.col("s_nationkey") % 2 == 0) & (F.col("s_nationkey") > 0), ident("txn", "s_nationkey")), F.col("s_name"), F.lit("0")), F.concat(text(F.col("r.parent")), F.lit("|"), F.col("r.status"))),
+        rows("reference", "nation", nz.reference_record(ident("ref", "n_nationkey"), F.col("n_name"), F.lit(None), F.lit("1999"), {"author2": F.lit("Roe"), "author1": F.lit("Doe"), "editor": F.lit("x")}), F.concat("r.title", F.lit("|"), F.array_join(F.map_values(F.map_from_entries(F.array_sort(F.map_entries("r.authors")))), "|"))),
+        rows("taxon", "part", nz.taxon_name_record(ident("txn", "p_partkey"), F.lit(None), F.when(t == 1, ident("var", "p_size")).when(t == 2, "txn:007"), F.lit("0"), F.col("p_name"), F.lit("genus"), F.lit(None)), F.concat("r.name", F.lit("|"), text(F.col("r.accepted")))),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+@query("b24_meaningful", "SELECT p_partkey, p_partkey % 6 IN (3, 5) AS meaningful FROM part", base=False)
 def _(e: Evidence) -> DataFrame:
-    raw = F.when(F.col("p_partkey") % 4 == 0, " N/A").when(F.col("p_partkey") % 4 == 1, "Unknown").when(F.col("p_partkey") % 4 == 2, " ").otherwise(F.col("p_name"))
+    k = F.col("p_partkey") % 6
+    raw = F.when(k == 0, " N/A").when(k == 1, "Unknown").when(k == 2, " ").when(k == 4, F.concat(F.lit("Default - "), F.col("p_size").cast("string"))).when(k == 5, F.concat(F.lit("none of "), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))
     return e.table("part").select("p_partkey", nz.is_meaningful(raw).alias("meaningful"))
 
 
@@ -378,19 +430,6 @@ def _(e: Evidence) -> DataFrame:
 # entities
 
 
-@query("i01_entities", "SELECT 'institution' AS kind, institution AS id FROM material UNION SELECT 'collection', collection FROM material UNION SELECT 'specimen', CAST(specimen_id AS VARCHAR) FROM material UNION SELECT 'taxon', CAST(taxon_id AS VARCHAR) FROM material UNION SELECT 'locality', locality_id FROM material")
-def _(e: Evidence) -> DataFrame:
-    from palimpsest.operators.entities import entities
-
-    return entities(e.material, {"institution": "institution", "collection": "collection", "specimen": "specimen_id", "taxon": "taxon_id", "locality": "locality_id"})
-
-
-@query("i02_rows_per_kind", "SELECT 'occurrence' AS kind, count(*) AS n FROM occurrence UNION ALL SELECT 'taxon', count(DISTINCT taxon_id) FROM occurrence UNION ALL SELECT 'locality', count(DISTINCT locality_id) FROM occurrence")
-def _(e: Evidence) -> DataFrame:
-    n = e.occurrence.agg(F.count("*").alias("occurrence"), F.count_distinct("taxon_id").alias("taxon"), F.count_distinct("locality_id").alias("locality"))
-    return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("occurrence", "taxon", "locality")])).alias("x")).select("x.*")
-
-
 @query("i03_identification_history", "SELECT record, string_agg(seq, ',' ORDER BY seen_at, seq) AS history, count(*) FILTER (is_current) <> 1 AS broken FROM revisions GROUP BY record")
 def _(e: Evidence) -> DataFrame:
     from palimpsest.operators.entities import histories

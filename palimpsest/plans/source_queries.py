@@ -22,7 +22,8 @@ def _(e: Evidence) -> DataFrame:
 @query("a02_provider_responses", "SELECT o_orderstatus AS status, o_orderkey AS id, o_custkey AS owner FROM orders", base=False)
 def _(e: Evidence) -> DataFrame:
     path = scratch(e.spark, "responses")
-    rows = e.table("orders").groupBy("o_orderstatus", F.pmod("o_custkey", F.lit(16)).alias("part")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("status"))).alias("records"))
+    parts = e.table("orders").count() // 2_000 + 1  # responses of some 2,000 records, however many orders there are
+    rows = e.table("orders").groupBy("o_orderstatus", F.pmod(F.xxhash64("o_orderkey"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("status"))).alias("records"))
     body = rows.select(F.lit("p").alias("data_provider"), F.lit("l").alias("data_license"), F.size("records").alias("records_found"), F.size("records").alias("records_returned"), "records")
     body.write.option("maxRecordsPerFile", 1).json(path)
     envelopes, records = readers.provider_responses(e.spark, f"{path}/*.json", "id bigint, owner bigint, status string")
@@ -80,6 +81,6 @@ def _(e: Evidence) -> DataFrame:
     rows = e.revisions.select("record", "content_hash", "seq")
     top = rows.agg(F.max("seq").alias("m")).first()["m"] or 0
     for k in range(3):
-        rows.where((F.col("seq") > top * k // 3 - (k == 0)) & (F.col("seq") <= top * (k + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rows.where((F.col("seq") > top * k // 3 - (k == 0)) & (F.col("seq") <= top * (k + 1) // 3)).write.mode("append").parquet(f"{base}/in")
         st.track_revisions(e.spark, f"{base}/in", rows.schema, "record", "content_hash", "seq", base).awaitTermination()
     return e.spark.read.parquet(f"{base}/changes/*")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def staged_load(spark: SparkSession, source: str, schema: StructType, keys: list[str], target: str, checkpoint: str) -> StreamingQuery:
@@ -29,17 +32,49 @@ def classify_changes(known: DataFrame | None, batch: DataFrame, key: str, hashed
     return marked.where("_new").select(key, order, "change"), latest
 
 
-def track_revisions(spark: SparkSession, source: str, schema: StructType, key: str, hashed: str, order: str, path: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Appends the change class of every row read below source to path/changes, and the latest hash by key to path/latest/<batch>.
+class LatestHash(StatefulProcessor):
+    """Keeps the content hash of each key's last row, and says of every row what it changes."""
 
-    A batch that is run again writes the same files again, so a restart neither loses nor repeats a change.
-    """
+    def __init__(self, hashed: str, order: str, state: StructType, key_name: str):
+        self.hashed, self.order, self.state, self.key_name = hashed, order, state, key_name
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        batch = pd.concat(list(rows)).sort_values([self.order, self.hashed], kind="stable")
+        before = batch[self.hashed].shift(1)
+        known = pd.Series([False, *[True] * (len(batch) - 1)], index=batch.index)
+        if self.last.exists():
+            known.iloc[0], before.iloc[0] = True, self.last.get()[0]
+        same = before.eq(batch[self.hashed]) | (before.isna() & batch[self.hashed].isna())
+        change = ["inserted" if not k else "unchanged" if e else "updated" for k, e in zip(known, same)]
+        self.last.update((batch[self.hashed].iloc[-1],))
+        yield pd.DataFrame({self.key_name: [key[0]] * len(batch), self.order: batch[self.order].to_numpy(), "change": change})
 
-    def step(batch: DataFrame, number: int) -> None:
-        known = batch.sparkSession.read.parquet(f"{path}/latest/{number - 1}") if number else None
-        changes, latest = classify_changes(known, batch, key, hashed, order)
-        changes.write.mode("overwrite").parquet(f"{path}/changes/{number}")
-        latest.write.mode("overwrite").parquet(f"{path}/latest/{number}")
+    def close(self) -> None:
+        pass
 
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+def track_revisions(spark: SparkSession, source: str, schema: StructType, key: str, hashed: str, order: str, path: str, files_per_batch: int | None = None) -> StreamingQuery:
+    """Appends the change class (key, order, change) of every row read below source to path/changes/rows.
+
+    Rows of a batch are taken in their order against the key's last row of earlier batches: inserted, updated or unchanged.
+    The last hash of each key is keyed state in the checkpoint, whose log takes the keys that a batch touches, not all that were
+    ever seen; a restart goes on where the last committed batch ended.  A batch's rows of one key are held together in one task.
+    """
+    state, kind = StructType([schema[hashed]]), {f.name: f for f in schema}
+    out = StructType([kind[key], kind[order], StructField("change", StringType())])
+    reader = spark.readStream.schema(schema)
+    rows = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(source)
+    marked = rows.select(key, hashed, order).groupBy(key).transformWithStateInPandas(LatestHash(hashed, order, state, key), out, "Append", "None")
+    stream = marked.writeStream.format("parquet").option("path", f"{path}/changes/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True)
+    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return stream.start()  # the query keeps the settings that it started with
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
