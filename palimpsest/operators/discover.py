@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import written
+
 
 def search_rank(query: str, label: Column, key: Column, kind: Column) -> Column:
     """0 for the exact label, its letters and digits, or the exact key; 3 for other records; 1 for a prefix; else 2."""
@@ -21,6 +23,18 @@ def search(entities: DataFrame, query: str) -> DataFrame:
     return found.withColumn("rank", search_rank(query, F.col("label"), F.col("key"), F.col("kind")))
 
 
+def search_through(names: DataFrame, members: DataFrame, taxa: DataFrame, query: str) -> DataFrame:
+    """(kind, id, label, rank) of all that the query finds among names (kind, id, label, key); nodes stand for the taxa below them.
+
+    One scan over the names finds the hits; those of kind ``node`` are carried down members (node, taxon_id), and a taxon takes
+    the best rank of the nodes above it, its own among them.  taxa: (taxon_id, taxon), their labels.
+    """
+    hits = written(search(names, query), "hits")
+    below = hits.where("kind = 'node'").select(F.col("id").alias("node"), "rank").join(members, "node").groupBy("taxon_id").agg(F.min("rank").alias("rank"))
+    found = below.join(taxa, "taxon_id").select(F.lit("taxon").alias("kind"), F.col("taxon_id").cast("string").alias("id"), F.col("taxon").alias("label"), "rank")
+    return hits.where("kind != 'node'").select("kind", "id", "label", "rank").unionByName(found)
+
+
 def mentioned_id(text: Column, prefixes: tuple[str, ...]) -> Column:
     """The id of a record named in free text (``occ 123``, ``col:5``), else null."""
     return F.nullif(F.regexp_extract(F.lower(text), rf"\b(?:{'|'.join(prefixes)})[ :/_-]*(\d+)\b", 1), F.lit("")).cast("bigint")

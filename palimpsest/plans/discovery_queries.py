@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import aggregates as agg
+from palimpsest.operators import details as det
 from palimpsest.operators import discover as dis
 from palimpsest.operators import paging
 from palimpsest.operators.context import Context
 from palimpsest.operators.joins import first_sharing
 from palimpsest.plans.catalog_queries import OVERLAP_SQL, TERMS_SQL, labels
-from palimpsest.plans.fixtures import COUNTS_SQL, Evidence
+from palimpsest.plans.fixtures import COUNTS_SQL, Evidence, days_before
 from palimpsest.plans.registry import query
 
 _INTERVAL = (9500, 9000)
@@ -58,6 +59,24 @@ def _(e: Evidence) -> DataFrame:
     return paging.keyset_page(found.select("rank", "kind", "id", "label"), ["rank", "kind", "id"], None, 100)
 
 
+ALL_KINDS_SQL = """names AS (SELECT 'node' AS kind, node AS id, name AS label, name AS key FROM (SELECT DISTINCT node, name FROM closure) UNION ALL SELECT 'locality', CAST(s_suppkey AS VARCHAR), s_name, CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT 'record', CAST(c_custkey AS VARCHAR), c_name, CAST(c_custkey AS VARCHAR) FROM customer
+  UNION ALL SELECT 'term', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT DISTINCT 'collection', o_orderpriority, o_orderpriority, o_orderpriority FROM orders UNION ALL SELECT DISTINCT 'institution', o_orderstatus, o_orderstatus, o_orderstatus FROM orders UNION ALL SELECT 'reference', CAST(r_regionkey AS VARCHAR), r_name, CAST(r_regionkey AS VARCHAR) FROM region)"""
+
+
+@query("j04_search_all_kinds", rf"""WITH {ALL_KINDS_SQL}, hit AS (SELECT *, CASE WHEN lower(label) = '1' OR regexp_replace(lower(label), '[^\p{{L}}\p{{N}}]', '', 'g') = '1' OR lower(key) = '1' THEN 0 WHEN kind = 'record' THEN 3 WHEN starts_with(lower(label), '1') THEN 1 ELSE 2 END AS rank FROM names WHERE contains(lower(label), '1') OR lower(key) = '1')
+  SELECT kind, id, label, rank FROM hit WHERE kind <> 'node' UNION ALL SELECT 'taxon', CAST(taxon_id AS VARCHAR), min(p_name), min(hit.rank) FROM hit JOIN closure ON id = node JOIN part ON taxon_id = p_partkey WHERE kind = 'node' GROUP BY taxon_id""")
+def _(e: Evidence) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    of = lambda kind, rows, id_, label: rows.select(F.lit(kind).alias("kind"), id_.alias("id"), label.alias("label"), id_.alias("key"))
+    names = of("node", e.closure.select("node", "name").distinct(), F.col("node"), F.col("name")).withColumn("key", F.col("label"))
+    for kind, table, id_, label in (("locality", "supplier", "s_suppkey", "s_name"), ("record", "customer", "c_custkey", "c_name"), ("term", "nation", "n_nationkey", "n_name"), ("reference", "region", "r_regionkey", "r_name")):
+        names = names.unionByName(of(kind, e.table(table), s(id_), F.col(label)))
+    for kind, column in (("collection", "o_orderpriority"), ("institution", "o_orderstatus")):
+        names = names.unionByName(of(kind, e.table("orders").select(column).distinct(), F.col(column), F.col(column)))
+    taxa = e.table("part").select(F.col("p_partkey").alias("taxon_id"), F.col("p_name").alias("taxon"))
+    return dis.search_through(names, e.closure.select("node", "taxon_id"), taxa, "1")
+
+
 @query("j05_ranking", f"WITH {ENT_SQL} SELECT {RANK_SQL} AS rank, count(*) AS n FROM ent WHERE contains(lower(label), '12') OR id = '12' GROUP BY 1")
 def _(e: Evidence) -> DataFrame:
     return dis.search(_entities(e), "12").groupBy("rank").agg(F.count("*").alias("n"))
@@ -85,9 +104,33 @@ def _(e: Evidence) -> DataFrame:
     return paging.keyset_page(rows.select("record_id", "lon", "lat"), ["record_id"], None, 200)
 
 
-@query("j10_record_detail", "SELECT specimen_id, string_agg(DISTINCT label, ',' ORDER BY label) AS names, count(*) AS evidence, CASE WHEN NOT bool_or(withheld) THEN min(lon) END AS lon FROM material GROUP BY specimen_id")
+def _nested_sql(name: str, rows: str, most: int) -> str:
+    """Of rows (key, number, text, body): the first bodies of each key as one text, how many there are, and whether there are more."""
+    return f"{name} AS (SELECT key, string_agg(body, ',' ORDER BY p) FILTER (p <= {most}) AS {name}, count(*) AS {name}_total, count(*) > {most} AS {name}_has_more FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY number NULLS LAST, text NULLS LAST, body) AS p FROM ({rows})) GROUP BY key)"
+
+
+def _children(*names: str) -> str:
+    return ", ".join(f"coalesce({n}, '') AS {n}, coalesce({n}_total, 0) AS {n}_total, coalesce({n}_has_more, false) AS {n}_has_more" for n in names)
+
+
+def _shown(*names: str) -> list:
+    return [c for n in names for c in (F.coalesce(det.listed(n), F.lit("")).alias(n), F.coalesce(f"{n}_total", F.lit(0)).alias(f"{n}_total"), F.coalesce(f"{n}_has_more", F.lit(False)).alias(f"{n}_has_more"))]
+
+
+@query("j10_record_detail", "WITH " + ", ".join([
+    _nested_sql("evidence", "SELECT specimen_id AS key, NULL AS number, record_id AS text, concat_ws(':', record_id, label, collection, institution) AS body FROM material", 3),
+    _nested_sql("ages", "SELECT DISTINCT specimen_id AS key, -older AS number, NULL AS text, coalesce(CAST(older AS VARCHAR), '-') || ':' || coalesce(CAST(younger AS VARCHAR), '-') AS body FROM material", 3),
+    _nested_sql("places", "SELECT DISTINCT specimen_id AS key, NULL AS number, locality_id AS text, locality_id || ':' || CASE WHEN withheld THEN '-' ELSE CAST(lon AS VARCHAR) END || ':' || CASE WHEN withheld THEN '-' ELSE CAST(lat AS VARCHAR) END AS body FROM material", 3),
+]) + f", own AS (SELECT specimen_id, min(institution) AS institution, bool_or(withheld) AS withheld FROM material GROUP BY specimen_id) SELECT specimen_id, institution, withheld, {_children('evidence', 'ages', 'places')} FROM own LEFT JOIN evidence ON specimen_id = evidence.key LEFT JOIN ages ON specimen_id = ages.key LEFT JOIN places ON specimen_id = places.key")
 def _(e: Evidence) -> DataFrame:
-    return e.material.groupBy("specimen_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("names"), F.count("*").alias("evidence"), F.when(~F.bool_or("withheld"), F.min("lon")).alias("lon"))
+    m, open_ = e.material, lambda c: F.when(~F.col("withheld"), F.col(c))
+    places = m.select("specimen_id", "locality_id", open_("lon").alias("lon"), open_("lat").alias("lat")).distinct()
+    children = det.nested({
+        "evidence": det.child(m, "specimen_id", ["record_id", "label", "collection", "institution"], text=F.col("record_id")),
+        "ages": det.child(m.select("specimen_id", "older", "younger").distinct(), "specimen_id", ["older", "younger"], number=-F.col("older")), "places": det.child(places, "specimen_id", ["locality_id", "lon", "lat"], text=F.col("locality_id")),
+    }, 3)
+    own = m.groupBy("specimen_id").agg(F.min("institution").alias("institution"), F.bool_or("withheld").alias("withheld"))
+    return own.join(children.withColumnRenamed("key", "specimen_id"), "specimen_id", "left").select("specimen_id", "institution", "withheld", *_shown("evidence", "ages", "places"))
 
 
 @query("j11_entity_detail", f"SELECT institution, {COUNTS_SQL}, count(DISTINCT collection) AS collections, count(*) FILTER (NOT withheld) AS mapped FROM material GROUP BY institution")
@@ -109,16 +152,25 @@ def _(e: Evidence) -> DataFrame:
 DOSSIER_SQL = f"""WITH {TERMS_SQL}, lt AS (SELECT DISTINCT locality_id, taxon_id FROM material),
   rel AS (SELECT locality_id, string_agg(related, ',' ORDER BY related) AS related FROM (SELECT *, row_number() OVER (PARTITION BY locality_id ORDER BY related) AS p FROM (SELECT DISTINCT x.locality_id, y.locality_id AS related FROM lt x JOIN lt y ON x.taxon_id = y.taxon_id AND x.locality_id <> y.locality_id)) WHERE p <= 12 GROUP BY locality_id),
   trm AS (SELECT locality_id, string_agg(namespace || '=' || term || ':' || n, ',' ORDER BY namespace || '=' || term || ':' || n) AS terms FROM (SELECT locality_id, namespace, term, count(*) AS n FROM material JOIN terms USING (record_id) GROUP BY ALL) GROUP BY locality_id),
-  c AS (SELECT locality_id, {COUNTS_SQL} FROM material GROUP BY locality_id) SELECT c.*, terms, related FROM c LEFT JOIN trm USING (locality_id) LEFT JOIN rel USING (locality_id)"""
+  {_nested_sql("intervals", "SELECT locality_id AS key, -older AS number, label AS text, concat_ws(':', label, coalesce(CAST(older AS VARCHAR), '-'), coalesce(CAST(younger AS VARCHAR), '-'), count(*)) AS body FROM material GROUP BY locality_id, label, older, younger", 30)},
+  {_nested_sql("custody", "SELECT locality_id AS key, NULL AS number, collection || '/' || institution AS text, concat_ws(':', collection, institution, count(*)) AS body FROM material GROUP BY locality_id, collection, institution", 30)},
+  c AS (SELECT locality_id, {COUNTS_SQL} FROM material GROUP BY locality_id) SELECT c.*, terms, related, {_children("intervals", "custody")} FROM c LEFT JOIN trm USING (locality_id) LEFT JOIN rel USING (locality_id) LEFT JOIN intervals ON locality_id = intervals.key LEFT JOIN custody ON locality_id = custody.key"""
 
 
 def _dossiers(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per locality: counts, facet counts of its terms, and the first twelve localities that share a taxon."""
+    """Per locality: counts, facet counts of its terms, the first twelve localities that share a taxon, interpreted intervals and custody."""
     facets = rows.select("locality_id", F.explode(labels()).alias("t")).where("t.term is not null").groupBy("locality_id", "t.namespace", "t.term").agg(F.count("*").alias("n"))
     facet = F.concat_ws(":", F.concat_ws("=", "namespace", "term"), F.col("n").cast("string"))
     listed = facets.groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list(facet)), ",").alias("terms"))
     related = pairs.groupBy("locality_id").agg(F.array_join(F.array_sort(F.collect_list("related")), ",").alias("related"))
-    return rows.groupBy("locality_id").agg(*agg.counts()).join(listed, "locality_id", "left").join(related, "locality_id", "left")
+    intervals = rows.groupBy("locality_id", "label", "older", "younger").agg(F.count("*").alias("n"))
+    custody = rows.groupBy("locality_id", "collection", "institution").agg(F.count("*").alias("n"))
+    children = det.nested({
+        "intervals": det.child(intervals, "locality_id", ["label", "older", "younger", "n"], number=-F.col("older"), text=F.col("label")),
+        "custody": det.child(custody, "locality_id", ["collection", "institution", "n"], text=F.concat_ws("/", "collection", "institution")),
+    }, 30).withColumnRenamed("key", "locality_id")
+    counts = rows.groupBy("locality_id").agg(*agg.counts())
+    return counts.join(listed, "locality_id", "left").join(related, "locality_id", "left").join(children, "locality_id", "left").select(*counts.columns, "terms", "related", *_shown("intervals", "custody"))
 
 
 @query("j14_dossier_live", DOSSIER_SQL + " WHERE locality_id = 's3'")
@@ -145,10 +197,22 @@ def _(e: Evidence) -> DataFrame:
     return pick(o.where("o_orderstatus = 'F'"), "identification", "o_orderkey").union(pick(both.where("l_returnflag = 'A'"), "collection", "l_partkey")).union(pick(both.where("l_returnflag = 'R'"), "material", "l_suppkey")).distinct()
 
 
-@query("j18_inspection", "SELECT record, count(*) AS revisions, string_agg(event_type, '>' ORDER BY seen_at, seq) AS history, count(DISTINCT content_hash) AS versions FROM revisions GROUP BY record")
-def _(e: Evidence) -> DataFrame:
-    history = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen_at", "seq", "event_type"))), lambda x: x["event_type"]), ">")
-    return e.revisions.groupBy("record").agg(F.count("*").alias("revisions"), history.alias("history"), F.count_distinct("content_hash").alias("versions"))
+@query("j18_inspection", "WITH " + ", ".join([
+    _nested_sql("history", "SELECT record AS key, epoch(seen_at) AS number, NULL AS text, concat_ws(':', event_type, seq) AS body FROM revisions", 20),
+    _nested_sql("ages", "SELECT user_id AS key, -max(older) AS number, collection AS text, concat_ws(':', collection, max(older), min(younger)) AS body FROM (SELECT user_id, event_type AS collection, date_diff('day', CAST(ts AS DATE), DATE '2025-01-01') AS older, date_diff('day', CAST(ts AS DATE), DATE '2025-01-01') AS younger FROM events) GROUP BY user_id, collection", 20),
+    _nested_sql("materials", "SELECT o_custkey AS key, o_orderkey AS number, l_linenumber AS text, concat_ws(':', o_orderkey, l_linenumber, l_returnflag) AS body FROM orders JOIN lineitem ON o_orderkey = l_orderkey", 20),
+    _nested_sql("refs", "SELECT DISTINCT o_custkey AS key, NULL AS number, o_orderpriority AS text, o_orderpriority AS body FROM orders WHERE o_orderstatus = 'F'", 20),
+]) + f", own AS (SELECT record, count(*) AS revisions, count(DISTINCT content_hash) AS versions FROM revisions GROUP BY record) SELECT record, revisions, versions, {_children('history', 'ages', 'materials', 'refs')} FROM own LEFT JOIN history ON record = history.key LEFT JOIN ages ON record = ages.key LEFT JOIN materials ON record = materials.key LEFT JOIN refs ON record = refs.key")
+def _(e: Evidence) -> DataFrame:
+    day = e.table("events").withColumn("days", days_before("ts")).groupBy("user_id", "event_type").agg(F.max("days").alias("older"), F.min("days").alias("younger"))
+    lines = e.table("orders").join(e.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    children = det.nested({
+        "history": det.child(e.revisions, "record", ["event_type", "seq"], number=F.col("seen_at").cast("timestamp").cast("double")), "ages": det.child(day, "user_id", ["event_type", "older", "younger"], number=-F.col("older"), text=F.col("event_type")),
+        "materials": det.child(lines, "o_custkey", ["o_orderkey", "l_linenumber", "l_returnflag"], number=F.col("o_orderkey"), text=F.col("l_linenumber")),
+        "refs": det.child(e.table("orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority").distinct(), "o_custkey", ["o_orderpriority"], text=F.col("o_orderpriority")),
+    }, 20)
+    own = e.revisions.groupBy("record").agg(F.count("*").alias("revisions"), F.count_distinct("content_hash").alias("versions"))
+    return own.join(children.withColumnRenamed("key", "record"), "record", "left").select("record", "revisions", "versions", *_shown("history", "ages", "materials", "refs"))
 
 
 @query("j19_place_context", "SELECT locality_id, arg_min(collection, record_id) AS collection, min(record_id) AS record_id FROM catalog GROUP BY locality_id")

@@ -229,6 +229,36 @@ def _(e: Evidence) -> DataFrame:
     return rec.candidates(_subjects(e), _targets(e)).groupBy("subject").agg(F.array_join(F.array_sort(F.collect_list("specimen")).cast("array<string>"), ",").alias("specimens"))
 
 
+_MARK_SQL = "CAST(sum(CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)) AS VARCHAR)"
+
+
+@query("l06_source_states", "SELECT 'a' AS dataset, " + _MARK_SQL.format("concat_ws('|', '=' || s_suppkey, '=' || s_name)") + " AS state, count(*) AS rows FROM supplier UNION ALL SELECT 'b', " + _MARK_SQL.format("concat_ws('|', '=' || c_custkey, '=' || c_name)") + ", count(*) FROM customer", base=False)
+def _(e: Evidence) -> DataFrame:
+    return rec.dataset_states(_sources(e), _registered(e))
+
+
+def _sources(e: Evidence) -> dict[str, DataFrame]:
+    return {"a": e.table("supplier").select("s_suppkey", "s_name"), "b": e.table("customer").select("c_custkey", "c_name")}
+
+
+def _registered(e: Evidence) -> DataFrame:
+    """Regions stand for datasets: the first two are sources, the last one is synthetic."""
+    key = F.col("r_regionkey")
+    return e.table("region").select(F.when(key == 0, "a").when(key == 1, "b").otherwise(F.col("r_name")).alias("dataset"), (key == 4).alias("is_synthetic"))
+
+
+@query("l09_generations", f"WITH {RECON_SQL}, g AS (SELECT e.subject, e.specimen, decision, CASE WHEN (e.subject + e.specimen) % 4 = 0 THEN 'accepted' WHEN (e.subject + e.specimen) % 4 = 1 THEN 'rejected' END AS verdict FROM edge e JOIN dec USING (subject)), sh AS (SELECT subject, specimen, CASE WHEN verdict = 'rejected' THEN 'rejected' WHEN verdict = 'accepted' AND decision <> 'deterministic' THEN 'accepted-candidate' ELSE decision END AS shown FROM g), v AS (SELECT subject, string_agg(specimen || ':' || shown, ',' ORDER BY specimen) AS edges FROM sh GROUP BY subject), old AS (SELECT subject, string_agg(specimen || ':' || shown, ',' ORDER BY specimen) AS edges FROM sh WHERE specimen % 2 = 0 GROUP BY subject) SELECT 'view' AS shown, 'new' AS generation, subject, edges, true AS current FROM v UNION ALL SELECT 'history', 'new', subject, edges, true FROM v UNION ALL SELECT 'history', 'old', subject, edges, false FROM old")
+def _(e: Evidence) -> DataFrame:
+    edges = rec.candidates(_subjects(e), _targets(e)).select("subject", "specimen").distinct()
+    edges = edges.join(rec.decide(_subjects(e), rec.candidates(_subjects(e), _targets(e))), "subject")
+    now = rec.dataset_states(_sources(e), _registered(e)).select("dataset", "state")
+    made = edges.withColumn("generation", F.lit("new")).unionByName(edges.where("specimen % 2 = 0").withColumn("generation", F.lit("old")))
+    stored = now.withColumn("generation", F.lit("new")).unionByName(now.withColumns({"generation": F.lit("old"), "state": F.when(F.col("dataset") == "b", F.concat(F.lit("1"), "state")).otherwise(F.col("state"))}))  # one side has changed since
+    view = lambda name, history: rec.current_view(made, _reviews(e).distinct(), stored, now, history).withColumn("shown", F.lit(name))
+    both = view("view", False).unionByName(view("history", True))
+    return both.select("shown", "generation", "subject", F.array_join(F.transform("edges", lambda x: F.concat_ws(":", x["specimen"].cast("string"), x["shown"])), ",").alias("edges"), "current")
+
+
 @query("l10_review", f"WITH {RECON_SQL} SELECT subject, specimen, CASE (subject + specimen) % 4 WHEN 1 THEN 'rejected' WHEN 0 THEN CASE WHEN decision = 'deterministic' THEN decision ELSE 'accepted-candidate' END ELSE decision END AS shown FROM edge JOIN dec USING (subject)")
 def _(e: Evidence) -> DataFrame:
     edges = rec.candidates(_subjects(e), _targets(e))
