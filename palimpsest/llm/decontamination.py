@@ -130,9 +130,9 @@ def contained_items(
     within = F.broadcast if small else (lambda df: df)
     pairs = hits.where("sketch").join(within(side.where("sketch").select("item", "h", "shingle")), ["h", "shingle"]).select("id", "item").distinct()
     sizes = rows.groupBy("item").agg(F.countDistinct("shingle").alias("n_shingles"))
-    same = F.col("p.id").eqNullSafe(F.col("hits.id"))
-    met = pairs.alias("p").join(hits.alias("hits"), same).select("p.id", "p.item", "hits.h", "hits.shingle")
-    found = met.join(within(side.select("item", "h", "shingle")), ["item", "h", "shingle"]).groupBy("id", "item").agg(F.count("*").alias("n_shared"))
+    wanted = pairs.join(within(side.select("item", "h", "shingle")), "item")  # a pair meets its item's shingles alone, whatever else the document holds
+    same = F.col("p.id").eqNullSafe(F.col("hits.id")) & (F.col("p.h") == F.col("hits.h")) & (F.col("p.shingle") == F.col("hits.shingle"))
+    found = wanted.alias("p").join(hits.alias("hits"), same).groupBy("p.id", "p.item").agg(F.count("*").alias("n_shared"))
     found = found.join(sizes, "item").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
     return found.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)).select("id", "item", "n_shared", "n_shingles", "containment")
 

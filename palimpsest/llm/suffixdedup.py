@@ -221,10 +221,11 @@ def _bytes_of(leads: np.ndarray) -> np.ndarray:
     return leads.astype(">u8").view(f"S{K}").ravel()
 
 
-def _sample(docs: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sample(docs: DataFrame, total: int, buckets: int, most: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Splitters of the leading bytes, and the sorted frequent ones with the number of ranges that each is spread over.
 
-    The sample is drawn row by row, so that copies count as often as they stand in the table.
+    The sample is drawn row by row, so that copies count as often as they stand in the table.  Of more than ``most`` distinct
+    leading strings the frequent ones are taken, and of those that are equally frequent some by hash, wherever they sort.
     """
     some = docs.sample(min(1.0, SAMPLE_DOCS / max(1, total)), seed=42)
 
@@ -237,7 +238,7 @@ def _sample(docs: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np.n
                 raw = text.data[at[:, None] + np.arange(K)].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + K] for i in range(0, len(raw), K)], pa.binary())], names=["lead"])
 
-    got = some.mapInArrow(tidied(run), "lead binary").groupBy("lead").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lead").limit(500_000).collect()
+    got = some.mapInArrow(tidied(run), "lead binary").groupBy("lead").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.xxhash64("lead")).limit(most).collect()
     if not got:
         return np.zeros(0, f"S{K}"), np.zeros(0, f"S{K}"), np.zeros(0, np.int64)
     leads, n = np.array([bytes(r["lead"]) for r in got], f"S{K}"), np.array([r["n"] for r in got], np.int64)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from palimpsest.llm import divergence, quality, whitening
+from palimpsest.llm import decontamination, divergence, quality, suffixdedup, whitening
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, term string, score string, `a.b` string, chunk string, odds double"
 RNG = np.random.default_rng(3)
@@ -179,3 +179,22 @@ def test_quality_without_a_class(spark):
     assert {r["score"] for r in quality.score(docs, 0.25).collect()} == {0.25}
     model = quality.fit(docs, labels)
     assert quality.score(docs.where("false"), model).count() == 0
+
+
+def test_a_document_that_holds_every_item(spark):
+    rng = np.random.default_rng(9)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 24))) for k in range(120)]
+    docs = [(1, " and ".join(t for _, t in items)), (2, items[7][1] + " end"), (3, " ".join(items[8][1].split()[:19])), (None, items[9][1]), (4, None)]
+    got = decontamination.contained_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.id, r.item, r.n_shared, r.n_shingles) for r in got.collect()} == {(1, k, 20, 20) for k in range(120)} | {(2, 7, 20, 20), (None, 9, 20, 20)}
+
+
+def test_splitters_of_a_cut_sample_are_balanced(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 3000)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    every, _, _ = suffixdedup._sample(docs, 60, 8)
+    few, _, _ = suffixdedup._sample(docs, 60, 8, most=400)
+    assert len(few) == len(every) == 7
+    first = lambda cuts: [c[:1].decode() for c in cuts]
+    assert all(abs(ord(a) - ord(b)) <= 3 for a, b in zip(first(every), first(few)))
