@@ -12,6 +12,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.aggregates import content_mark
 from palimpsest.operators.unify import compatible_pairs
 from palimpsest.sources.scratch import written
 
@@ -164,3 +165,26 @@ def unified(nodes: DataFrame, to: DataFrame) -> DataFrame:
     """nodes with ``unified``: whether others were merged into them."""
     into = to.select(F.col("target").alias("node"), F.lit(True).alias("unified")).distinct()
     return nodes.join(into, "node", "left").withColumn("unified", F.coalesce("unified", F.lit(False)))
+
+
+def membership(records: DataFrame, leaf: DataFrame) -> DataFrame:
+    """(record, node) of eligible records (record, key) by the leaf (key, node) of their classification, each exactly once.
+
+    ValueError if a record has no leaf or several: then the members are not the eligible records.
+    """
+    found = written(records.join(leaf, "key", "left").select("record", "node"), "members")
+    n = found.agg(F.count("*").alias("rows"), F.count("node").alias("placed")).first()
+    eligible = records.count()
+    if not n["rows"] == n["placed"] == eligible:
+        raise ValueError(f"{eligible} eligible records, {n['placed']} placed, {n['rows'] - eligible} more than once")
+    return found
+
+
+def build_fingerprint(version: str, revision: str, snapshot: DataFrame, leaf: DataFrame) -> DataFrame:
+    """One row: what a build was made of, as a hash of the rules' version, the input's revision, the snapshot's mark and the leaves' mark.
+
+    Both marks are sums of digests over rows: they change with any row, and not with their order.
+    """
+    mark = lambda rows: rows.agg(F.coalesce(content_mark(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in rows.columns])), F.lit("0")).alias("m"))
+    both = mark(snapshot).withColumnRenamed("m", "snapshot").crossJoin(mark(leaf).withColumnRenamed("m", "leaves"))  # one row each
+    return both.select(F.sha2(F.concat_ws("|", F.lit(version), F.lit(revision), "snapshot", "leaves"), 256).alias("fingerprint"), "snapshot", "leaves")

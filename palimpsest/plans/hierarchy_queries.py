@@ -14,6 +14,7 @@ from palimpsest.operators import reconcile as rec
 from palimpsest.plans.catalog_queries import CURRENT_SQL, E03_SQL, OVERLAP_SQL, _current
 from palimpsest.plans.fixtures import COUNTS_SQL, Evidence
 from palimpsest.plans.registry import query
+from palimpsest.sources.scratch import written
 
 
 def _nodes(e: Evidence) -> DataFrame:
@@ -205,6 +206,15 @@ def _(e: Evidence) -> DataFrame:
     return pairs.select("subject", "specimen", rec.differs(F.col("c_nationkey"), F.col("s_nationkey")).alias("place_differs"), rec.differs(shown("c_mktsegment", "c_acctbal"), shown("s_name", "s_acctbal")).alias("name_differs"))
 
 
+@query("l04_context_diagnostics", f"WITH {RECON_SQL} SELECT subject, specimen, CASE WHEN trim(c_mktsegment) <> '' AND subject % 5 > 0 THEN lower(c_mktsegment) <> CASE WHEN specimen % 2 = 0 THEN lower(c_mktsegment) ELSE lower(s_name) END END AS name, c_nationkey <> s_nationkey AS locality, CASE WHEN subject % 7 > 0 THEN least(abs(x - y), 360 - abs(x - y)) > 0.01 OR abs(c_nationkey * 3 - s_nationkey * 3) > 0.01 END AS coordinates, CASE WHEN specimen % 3 > 0 THEN subject % 4 <> specimen % 4 END AS stratigraphy, CASE WHEN subject % 6 > 0 THEN subject % 50 + 10 < specimen % 70 OR specimen % 70 + 5 < subject % 50 END AS time FROM (SELECT *, c_nationkey * 15 - 180 AS x, s_nationkey * 15 - 180 AS y FROM edge JOIN customer ON subject = c_custkey JOIN supplier ON specimen = s_suppkey)")
+def _(e: Evidence) -> DataFrame:
+    pairs = rec.candidates(_subjects(e), _targets(e)).join(e.table("customer"), F.col("subject") == F.col("c_custkey")).join(e.table("supplier"), F.col("specimen") == F.col("s_suppkey"))
+    a, b = F.col("subject"), F.col("specimen")
+    left = {"name": F.when(a % 5 > 0, F.concat(F.lit(" "), F.col("c_mktsegment"))), "locality": F.col("c_nationkey").cast("string"), "lon": F.when(a % 7 > 0, F.col("c_nationkey") * 15 - 180), "lat": F.col("c_nationkey") * 3, "stratigraphy": (a % 4).cast("string"), "older": F.when(a % 6 > 0, a % 50 + 10), "younger": a % 50}
+    right = {"name": F.when(b % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("s_name")), "locality": F.col("s_nationkey").cast("string"), "lon": F.col("s_nationkey") * 15 - 180, "lat": F.col("s_nationkey") * 3, "stratigraphy": F.when(b % 3 > 0, (b % 4).cast("string")).otherwise(" "), "older": b % 70 + 5, "younger": b % 70}
+    return pairs.select("subject", "specimen", rec.diagnostics(left, right).alias("d")).select("subject", "specimen", "d.*")
+
+
 @query("l05_summary", f"WITH {RECON_SQL} SELECT decision, count(*) AS n FROM dec GROUP BY decision")
 def _(e: Evidence) -> DataFrame:
     return rec.decide(_subjects(e), rec.candidates(_subjects(e), _targets(e))).groupBy("decision").agg(F.count("*").alias("n"))
@@ -220,6 +230,15 @@ def _(e: Evidence) -> DataFrame:
     return rec.decide(_subjects(e), rec.candidates(_subjects(e), _targets(e))).select(F.md5(F.concat(F.lit("assessment|"), F.col("subject").cast("string"))).alias("id"), "subject", "decision")
 
 
+@query("l08_recorded", f"WITH {RECON_SQL}, fresh AS (SELECT sha256('assessment|' || subject) AS id, 'assessment' AS kind, subject, NULL::BIGINT AS specimen, decision FROM dec UNION ALL SELECT sha256('edge|' || subject || '|' || specimen), 'edge', subject, specimen, decision FROM (SELECT DISTINCT subject, specimen FROM edge) JOIN dec USING (subject)) SELECT id, kind, subject, specimen, CASE WHEN subject % 4 = 0 THEN 'as decided before' ELSE decision END AS decision FROM fresh")
+def _(e: Evidence) -> DataFrame:
+    edges = rec.candidates(_subjects(e), _targets(e)).select("subject", "specimen").distinct()
+    decisions = rec.decide(_subjects(e), rec.candidates(_subjects(e), _targets(e)))
+    empty = e.spark.createDataFrame([], "id string, kind string, subject bigint, specimen bigint, decision string")
+    first = rec.recorded(empty, decisions.where("subject % 4 = 0").withColumn("decision", F.lit("as decided before")), edges)
+    return rec.recorded(written(first, "recorded"), decisions, edges)  # a later run decides otherwise, and adds the rest
+
+
 def _reviews(e: Evidence) -> DataFrame:
     return rec.candidates(_subjects(e), _targets(e)).where("(subject + specimen) % 4 < 2").select("subject", "specimen", F.when((F.col("subject") + F.col("specimen")) % 4 == 0, "accepted").otherwise("rejected").alias("verdict"))
 

@@ -229,3 +229,19 @@ def _(e: Evidence) -> DataFrame:
 def _(e: Evidence) -> DataFrame:
     leaf = F.concat_ws(":", F.col("key").cast("string"), F.array_join("path", "/"))
     return _paths(e).groupBy("source").agg(agg.content_mark(leaf).alias("fingerprint"))
+
+
+@query("k18_merged_membership", f"WITH {MERGE_SQL}, last AS (SELECT source, key, arg_max(node, i) AS node FROM lvl GROUP BY source, key) SELECT record_id, coalesce(target, l.node) AS node FROM material JOIN last l ON l.source = 'a' AND key = taxon_id LEFT JOIN redir r ON l.node = r.node")
+def _(e: Evidence) -> DataFrame:
+    m = Merge(e)
+    leaf = mg.leaves(m.levels, m.to).where("source = 'a'").select("key", "node")
+    return mg.membership(e.material.select(F.col("record_id").alias("record"), F.col("taxon_id").alias("key")), leaf).withColumnRenamed("record", "record_id")
+
+
+_MARK = "CAST(sum(CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)) AS VARCHAR)"
+
+
+@query("k26_merged_fingerprint", f"WITH {MERGE_SQL}, last AS (SELECT source, key, arg_max(node, i) AS node FROM lvl GROUP BY source, key), a AS (SELECT {_MARK.format("concat_ws('|', '=' || p_partkey, '=' || p_name)")} AS snapshot FROM part), b AS (SELECT {_MARK.format("concat_ws('|', '=' || source, '=' || key, '=' || coalesce(target, l.node))")} AS leaves FROM last l LEFT JOIN redir r ON l.node = r.node) SELECT sha256(concat_ws('|', 'rules-2', 'input-7', snapshot, leaves)) AS fingerprint, snapshot, leaves FROM a, b")
+def _(e: Evidence) -> DataFrame:
+    m = Merge(e)
+    return mg.build_fingerprint("rules-2", "input-7", e.table("part").select("p_partkey", "p_name"), mg.leaves(m.levels, m.to).select("source", "key", "node"))

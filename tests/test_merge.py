@@ -108,3 +108,24 @@ def test_a_cycle_is_an_error(spark):
     to = spark.createDataFrame([(n, t) for n, t in ((k, v) for k in (x for x, p in named(nodes).items() if p == "clade=F/kingdom=K") for v in (x for x, p in named(nodes).items() if p == "kingdom=K"))] + [(x, y) for x, p in named(nodes).items() if p == "clade=F" for y, q in named(nodes).items() if q == "kingdom=K/family=F"], "node string, target string")
     with pytest.raises(ValueError, match="cyclic"):
         merge.rebuilt_paths(merge.reparented(nodes, to))
+
+
+def test_members_are_the_eligible_records(spark):
+    records, leaf = spark.createDataFrame([("r", 1), ("s", 1), ("t", 2)], "record string, key int"), spark.createDataFrame([(1, "n"), (2, "m")], "key int, node string")
+    assert {tuple(r) for r in merge.membership(records, leaf).collect()} == {("r", "n"), ("s", "n"), ("t", "m")}
+    for wrong in (leaf.where("key = 1"), leaf.union(leaf)):
+        with pytest.raises(ValueError, match="3 eligible"):
+            merge.membership(records, wrong)
+
+
+def test_fingerprints_tell_all_that_a_build_was_made_of(spark):
+    from palimpsest.operators.aggregates import fingerprint
+
+    rows, leaf = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string"), spark.createDataFrame([(1, "n")], "key int, node string")
+    of = lambda *args: merge.build_fingerprint(*args).first().fingerprint
+    same = of("v", "r", rows, leaf)
+    assert same == of("v", "r", rows.orderBy("b").repartition(2), leaf)
+    changed = spark.createDataFrame([(1, "x"), (2, "")], "a int, b string")
+    assert len({same, of("w", "r", rows, leaf), of("v", "s", rows, leaf), of("v", "r", changed, leaf), of("v", "r", rows.limit(1), leaf), of("v", "r", rows, leaf.where("false"))}) == 6
+    marks = [tuple(fingerprint(f, ["a", "b"]).first()) for f in (rows, rows.orderBy("b").repartition(3), changed, rows.union(rows), rows.where("a = 1"))]
+    assert marks[0] == marks[1] and len(set(marks)) == 4
