@@ -156,6 +156,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for whole in batches:
             for part in slices(whole, at, 8 << 20):
                 lang, score = shared.value.predict(part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=out.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(tidied(run), out)
+    return docs.select(*[F.col(f"`{c}`") for c in rest]).toDF(*[f"c{i}" for i in range(len(rest))]).mapInArrow(tidied(run), out)

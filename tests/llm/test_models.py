@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from palimpsest.llm import decontamination, divergence, quality, suffixdedup, whitening
+from palimpsest.llm import decontamination, divergence, language, quality, suffixdedup, whitening
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, term string, score string, `a.b` string, chunk string, odds double"
 RNG = np.random.default_rng(3)
@@ -198,3 +198,31 @@ def test_splitters_of_a_cut_sample_are_balanced(spark):
     assert len(few) == len(every) == 7
     first = lambda cuts: [c[:1].decode() for c in cuts]
     assert all(abs(ord(a) - ord(b)) <= 3 for a, b in zip(first(every), first(few)))
+
+
+def test_language_against_plain_counts(spark):
+    """Every word is known to the model, so the prediction is naive Bayes over words; labels repeat and tie, columns clash."""
+    rng = np.random.default_rng(8)
+    vocabulary = {"aa": ["oak", "elm", "ash", "the"], "bb": ["eiche", "ulme", "die", "the"]}
+    rows = [(k, " ".join(rng.choice(vocabulary[lang], 6)), lang, "x", "y") for k, lang in enumerate(["aa"] * 40 + ["bb"] * 40)]
+    rows += [rows[0], (200, None, "aa", "x", "y"), (201, "12 !!", "bb", "x", "y"), (202, "the", None, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, `a.b` string, lang_score string").repartition(3)
+    model = language.fit(docs)
+    counts, totals = {x: Counter() for x in ("aa", "bb")}, Counter()
+    for _, text, lang, *_ in rows:
+        if lang and text is not None:
+            totals[lang] += 1
+            counts[lang].update(w for w in re.findall(r"[^\W\d_]+", text))
+    words = set(counts["aa"]) | set(counts["bb"])
+    logs = {x: {w: np.log((c[w] + 0.5) / (sum(c.values()) + 0.5 * len(words))) for w in words} for x, c in counts.items()}
+    got = language.predict(docs, model)
+    assert got.columns.count("lang_score") == 1 and "a.b" in got.columns
+    for r in got.collect():
+        found = re.findall(r"[^\W\d_]+", r["text"] or "")
+        if not found:
+            assert (r["lang_pred"], r["lang_score"]) == ("und", 0.0)
+            continue
+        value = {x: np.log(totals[x] / sum(totals.values())) + sum(logs[x][w] for w in found) for x in logs}
+        share = {x: np.exp(v - max(value.values())) for x, v in value.items()}
+        best = max(sorted(share), key=share.get)
+        assert r["lang_pred"] == best and np.isclose(r["lang_score"], share[best] / sum(share.values()))
