@@ -39,10 +39,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at Jaccard 0.8 or more of five-word shingles: the one with the smallest id.
 
-    SimHash finds who is compared, within 12 bits; the share of pairs at 0.8 that it finds is measured in README.  Documents
-    that share an id count as one, and rows without an id stay.
+    Bands of minima say who is compared by SimHash, within 24 bits, and the exact similarity decides; README has the share of pairs
+    at 0.8 that this finds.  Documents that share an id count as one, and rows without an id stay.
     """
-    groups = simhash.similar_documents(docs, radius=12, shingle_words=5, similarity=0.8)
+    groups = simhash.similar_documents(docs, radius=24, shingle_words=5, similarity=0.8)
     gone = groups.groupBy("id").agg(F.max(F.col("component") == F.col("id")).alias("stays")).where("id is not null and not stays")
     return docs.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 

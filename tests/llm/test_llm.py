@@ -365,6 +365,18 @@ def test_near_duplicates_at_jaccard(spark, docs, empty):
     assert max((prints[i] ^ prints[j]).bit_count() for g in range(12) for i in range(6 * g, 6 * g + 6) for j in range(6 * g, 6 * g + 6)) <= 20
     for block in (4, simhash.SETS):
         assert Counter((r.id, r.component) for r in simhash.similar_documents(table, radius=20, block=block).collect()) == want
+    sets = [(i, simhash.shingle_set(t)) for i, (_, t) in enumerate(rows[:72])]
+    members = [(i, int(np.uint64(prints[i]).view(np.int64)), len(s), simhash.bands(s).tolist()) for i, s in sets]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 20 and min(members[i][2], members[j][2]) >= 0.8 * max(members[i][2], members[j][2])
+    linked = {(i, j) for i in range(72) for j in range(i) if set(members[i][3]) & set(members[j][3]) and near(i, j)}
+    frame = spark.createDataFrame(members, "key bigint, fp bigint, size bigint, bands array<bigint>")
+    for tile in (2, simhash.TILE):  # bands cut into blocks find the same components
+        got = [(r.node, r.root) for r in common.components(simhash.banded_links(frame, 20, 0.8, tile)).collect()]
+        own = list(range(72))
+        for i, j in linked:
+            own = [own[j] if r == own[i] else r for r in own]
+        assert {(n, min(k for k in range(72) if own[k] == own[n])) for n, _ in got} == set(got)
+        assert {n for n, _ in got} == {i for p in linked for i in p}
     assert simhash.similar_documents(docs).count() == len(ROWS) and simhash.similar_documents(empty).count() == 0
     import corpus_pipeline
 
