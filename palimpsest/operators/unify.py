@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.normalize import is_qualified, plain_name
+from palimpsest.operators.hierarchy import parent_walk
+
 
 def rank_path(ranks: list[tuple[str, Column]]) -> Column:
     """The supplied levels of a row as an array of ``rank=name``, highest first; blanks and NO_..._SPECIFIED are skipped."""
@@ -12,6 +15,45 @@ def rank_path(ranks: list[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*given), lambda x: x.isNotNull())
 
 
+def _flags(qualifiers: Column, name: Column) -> Column:
+    """The qualifiers that are given, and one more where the name itself holds one."""
+    said = F.filter(qualifiers, lambda q: F.coalesce(q != "", F.lit(False)))
+    return F.when(F.coalesce(is_qualified(name), F.lit(False)), F.concat(said, F.array(F.lit("qualified source name")))).otherwise(said)
+
+
+def supplied_classification(ranks: list[tuple[str, Column]], rank: Column, name: Column, accepted: Column, qualifiers: list[Column]) -> Column:
+    """struct(path, qualifiers, conflict) of a row with explicit rank columns, highest rank first, and the name it stands for.
+
+    The path has the supplied levels above the name's own rank (all, where that is none of the ranks) and ends with the name.  A row
+    whose accepted name is given and is another one is in conflict; nothing is replaced.
+    """
+    place = F.coalesce(F.array_position(F.array(*[F.lit(r) for r, _ in ranks]), rank), F.lit(0))
+    above = rank_path([(r, F.when((place == 0) | (place > i), c)) for i, (r, c) in enumerate(ranks, 1)])
+    path = F.concat(above, F.array(F.concat(F.coalesce(rank, F.lit("")), F.lit("="), name)))
+    conflict = F.coalesce(plain_name(accepted) != plain_name(name), F.lit(False))
+    return F.struct(path.alias("path"), _flags(F.array(*qualifiers), name).alias("qualifiers"), conflict.alias("conflict"))
+
+
+def walked_classifications(taxa: DataFrame, records: DataFrame, most: int = 32) -> DataFrame:
+    """(taxon, path, concepts, qualifiers, conflict) of the taxa that records name, by the parents that their source gives.
+
+    taxa: (id, name, rank, parent), one row a taxon; records: (taxon, qualifier).  ``path`` holds ``rank=name``, highest first,
+    ``concepts`` the taxa they stand for; of neighbours with one rank and one plain name the lower stays.  A walk that meets a
+    taxon again, or ends not within ``most`` taxa, is in conflict and keeps what it met until then; a parent that is no taxon ends
+    it.  ``qualifiers`` are the distinct ones of the taxon's records, in order.
+    """
+    named = records.groupBy("taxon").agg(F.array_sort(F.collect_set(F.nullif("qualifier", F.lit("")))).alias("given"))
+    walk = parent_walk(taxa.select(F.col("id").alias("node"), "parent"), most).join(named.select(F.col("taxon").alias("node")), "node", "left_semi")
+    steps = walk.select("node", F.col("reason").isin("cycle", "depth-limit").alias("conflict"), F.posexplode(F.slice("path", 1, most)).alias("at", "id"))
+    item = F.concat(F.coalesce("rank", F.lit("")), F.lit("="), "name")
+    mark = F.concat_ws("=", F.coalesce("rank", F.lit("")), plain_name(F.col("name")))
+    met = steps.join(taxa.select("id", "name", item.alias("item"), mark.alias("mark")), "id").groupBy("node", "conflict").agg(F.array_sort(F.collect_list(F.struct("at", "id", "item", "mark", "name"))).alias("up"))
+    kept = F.reverse(F.filter("up", lambda x, i: (i == 0) | ~x["mark"].eqNullSafe(F.get("up", i - 1)["mark"])))
+    rows = met.join(named.withColumnRenamed("taxon", "node"), "node").withColumn("kept", kept)
+    lowest = F.get("up", F.lit(0))["name"]
+    return rows.select(F.col("node").alias("taxon"), F.transform("kept", lambda x: x["item"]).alias("path"), F.transform("kept", lambda x: x["id"]).alias("concepts"), _flags(F.col("given"), lowest).alias("qualifiers"), "conflict")
+
+
 def levels(paths: DataFrame) -> DataFrame:
     """paths (source, key, path) by level: (source, key, level, item, sig, up), up being the signatures above."""
     each = paths.select("source", "key", F.posexplode("path").alias("level", "item"), "path")

@@ -30,4 +30,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["j12_localities"](spark, sf_dir)
 
 
-from palimpsest.plans import assembly_queries, catalog_queries, discovery_queries, hierarchy_queries, ingest_queries, source_queries, unify_queries  # noqa: E402, F401
+from palimpsest.plans import assembly_queries, catalog_queries, discovery_queries, evidence_queries, hierarchy_queries, ingest_queries, source_queries, unify_queries  # noqa: E402, F401
