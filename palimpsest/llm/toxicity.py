@@ -128,10 +128,12 @@ def _words_by_class(sample: DataFrame, text_col: str) -> DataFrame:
     return sample.select(text_col, "_label").mapInArrow(tidied(run), "word string, toxic bigint, plain bigint").where("word != ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, toxic_bytes: int = TOXIC_BYTES, ordinary_bytes: int = ORDINARY_BYTES, least_z: float = LEAST_Z) -> Model | float:
     """A model from the labelled rows (label 1: toxic, 0: ordinary), or the share of label 1 where a class has no row.
 
-    An id with both labels has label 1; other labels, null ids and ids without a document are left out.
+    An id with both labels has label 1; other labels, null ids and ids without a document are left out.  ``toxic_bytes`` and
+    ``ordinary_bytes`` bound the dictionaries, whose foremost words stay where not all fit (words longer than a window are in
+    none); a toxic word is in at least three toxic documents of the sample and has a z-score above ``least_z``.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_label").alias("_label"))
     totals = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -148,9 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = F.col("toxic") / got[1], F.col("plain") / got[0]
     p = (F.col("toxic") + F.col("plain")) / (got[0] + got[1])
     z = (a - b) / F.sqrt(p * (1 - p) * (1 / got[0] + 1 / got[1]) + 1e-12)
-    few = words.withColumn("z", z)
-    toxic = few.where((F.col("z") > LEAST_Z) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "word").limit(TOXIC_BYTES // 4).collect()
-    plain = few.where(F.abs("z") < 1.5).orderBy(F.desc("plain"), "word").limit(ORDINARY_BYTES // 2).collect()
+    few = words.where(F.octet_length("word") <= LONGEST).withColumn("z", z)  # no window holds a longer one
+    toxic = few.where((F.col("z") > least_z) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "word").limit(toxic_bytes // 2).collect()
+    plain = few.where(F.abs("z") < 1.5).orderBy(F.desc("plain"), "word").limit(ordinary_bytes // 2).collect()  # no more words than bytes allow
 
     def content(rows: list, most: int) -> bytes:
         """The words, the foremost last, where matches cost least."""
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = b" " + w + out
         return out
 
-    model = Model(content(toxic, TOXIC_BYTES) or b" ", content(plain, ORDINARY_BYTES) or b" ", np.zeros(0), np.zeros(0), np.zeros(0))
+    model = Model(content(toxic, toxic_bytes) or b" ", content(plain, ordinary_bytes) or b" ", np.zeros(0), np.zeros(0), np.zeros(0))
     rows = _features(sample, model, "_words", ["_label"], "_features").collect()  # about 2 * max_docs short rows
     x, y = np.array([r["_features"] for r in rows]), np.array([r["_label"] for r in rows], np.float64)
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9

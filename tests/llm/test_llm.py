@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -248,6 +249,35 @@ def test_toxicity_scores_from_dictionary_lengths(spark):
         assert abs(r.score - 1 / (1 + math.exp(-logit))) < 1e-9 and (r._text, r.features) == ("x", "y")
 
 
+def test_toxicity_dictionaries_and_weights(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(WORDS, k=20) + ["vile", "nasty", "x" * 70][: rng.randrange(4)] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(table, table.select("doc_id", "toxic"), toxic_bytes=200, ordinary_bytes=40, least_z=3)
+    plainly = lambda t: "".join(c if not c.isascii() or c.isalnum() else " " for c in t).encode().lower().decode().split()
+    sets = [(set(plainly(t)), y) for _, t, y in rows]
+    n1, n0 = sum(y for _, y in sets), sum(1 - y for _, y in sets)
+    seen = {w: (sum(w in s for s, y in sets if y), sum(w in s for s, y in sets if not y)) for s, _ in sets for w in s if len(w) <= 64}
+    z = {w: (a / n1 - b / n0) / math.sqrt((a + b) / (n1 + n0) * (1 - (a + b) / (n1 + n0)) * (1 / n1 + 1 / n0) + 1e-12) for w, (a, b) in seen.items()}
+    toxic = sorted((w for w in z if z[w] > 3 and seen[w][0] >= 3), key=lambda w: (-z[w], w))
+    plain = sorted((w for w in z if abs(z[w]) < 1.5), key=lambda w: (-seen[w][1], w))
+
+    def content(words, most):
+        out = b" "
+        for w in words:
+            if len(out) + len(w) + 1 > most:
+                break
+            out = b" " + w.encode() + out
+        return out
+
+    assert {"vile", "nasty"} <= set(toxic) and model.toxic == content(toxic, 200) and model.ordinary == content(plain, 40) and len(model.ordinary) <= 40
+    x = toxicity.Scorer(model.toxic, model.ordinary).features(pa.array([t for _, t, _ in rows]))
+    y = np.array([t for *_, t in rows], float)
+    x = np.column_stack([np.ones(len(x)), (x - model.mean) / model.spread])
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ model.weights))) - np.r_[0, model.weights[1:]]  # of the ridge logistic likelihood, all rows drawn
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_lz_fingerprints(unique, docs, empty):
     got = {r.id: r for r in lzfingerprint.edited_fingerprints(unique).collect()}
     order = sorted(UNIQUE, key=lambda r: -r[0])
