@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import entities
+from palimpsest.operators import entities, reconcile
 from palimpsest.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +29,58 @@ def test_digests_by_record(spark):
 
 def test_tables_of_records_are_not_shuffled_each(spark):
     assert exchanges(QUERIES["i01_entities"](spark, DATA)) <= 9  # two for each of four shared tables, and one for repeats
+
+
+SUBJECT, TARGET = "subject int, state string, institution string, collection string, number string", "institution string, collection string, number string, specimen int"
+
+
+def pairs_of(spark):
+    subjects = [(1, "complete", "UF", "VP", "7"), (2, "partial", "UF", None, "7"), (3, "partial", "UF", None, "8"), (4, "ambiguous", "UF", None, "7"), (5, "complete", "UF", "PB", "8"), (6, "malformed", None, None, None)]
+    targets = [("UF", "VP", "7", 1), ("UF", "VP", "7", 1), ("UF", "PB", "7", 2), ("UF", None, "8", 3)]
+    return spark.createDataFrame(subjects, SUBJECT), spark.createDataFrame(targets, TARGET)
+
+
+def test_decisions_without_pairs(spark, monkeypatch):
+    subjects, targets = pairs_of(spark)
+    want = reconcile.decide(subjects, reconcile.candidates(subjects, targets)).collect()
+    got = reconcile.decided(subjects, targets).select("subject", "decision").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    monkeypatch.setattr(reconcile, "candidates", lambda *_: 1 / 0)
+    for name in ("l03_decisions", "l05_summary", "l08_assessments"):
+        assert QUERIES[name](spark, DATA).count() > 0  # no pair is made
+
+
+def test_pairs_of_one_key_are_dealt_out_and_stay_with_their_subject(spark, monkeypatch):
+    subjects = spark.range(40).selectExpr("cast(id as int) subject", "'partial' state", "'UF' institution", "cast(null as string) collection", "'7' number", "id * 2 as more")
+    targets = spark.range(30).selectExpr("'UF' institution", "'VP' collection", "'7' number", "cast(id as int) specimen")
+    plain = sorted(map(tuple, reconcile.candidates(subjects, targets).collect()))
+    monkeypatch.setattr(reconcile, "PAIRS_A_TASK", 100)
+    dealt = reconcile.candidates(subjects, targets)
+    assert sorted(map(tuple, dealt.collect())) == plain and len(plain) == 1200 and plain[-1][3] == 2 * plain[-1][0]
+    parts = dealt.withColumn("p", F.spark_partition_id()).groupBy("subject").agg(F.count_distinct("p").alias("n"), F.first("p").alias("p")).collect()
+    assert {r.n for r in parts} == {1} and len({r.p for r in parts}) > 5
+    edges = dealt.withColumn("decision", F.lit("candidate")).select("subject", "specimen", "decision")
+    reviews = dealt.where("specimen < 2").select("subject", "specimen", F.lit("accepted").alias("verdict"))
+    for df in (reconcile.with_review(edges, reviews), reconcile.rebuilt(edges, reviews, edges.where("subject = 1"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(subject" in plan and "specimen" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+
+
+def test_reviews_beside_edges(spark):
+    edges = spark.createDataFrame([(1, 1, "candidate"), (1, 1, "candidate"), (1, 2, "deterministic"), (None, 3, "candidate")], "subject int, specimen int, decision string")
+    reviews = spark.createDataFrame([(1, 1, "accepted"), (1, 2, "accepted"), (9, 9, "rejected")], "subject int, specimen int, verdict string")
+    got = sorted(map(str, map(tuple, reconcile.with_review(edges, reviews).select("subject", "specimen", "shown").collect())))
+    assert got == sorted(map(str, [(1, 1, "accepted-candidate"), (1, 1, "accepted-candidate"), (1, 2, "deterministic"), (None, 3, "candidate")]))
+    old = edges.select("subject", "specimen")
+    got = [tuple(r) for r in reconcile.rebuilt(old, reviews, old.where("specimen = 2")).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (1, 2)]
+
+
+def test_recorded_runs_add_only_what_is_new(spark):
+    stored = spark.createDataFrame([], "id string, kind string, subject int, specimen int, decision string")
+    decisions = spark.createDataFrame([(1, "ambiguous"), (2, "unresolved")], "subject int, decision string")
+    edges = spark.createDataFrame([(1, 7), (1, 8), (1, 7)], "subject int, specimen int")
+    first = reconcile.recorded(stored, decisions.where("subject = 1"), edges)
+    again = reconcile.recorded(first, decisions.withColumn("decision", F.lit("other")), edges).collect()
+    assert sorted((r.kind, r.subject, r.specimen or 0, r.decision) for r in again) == [("assessment", 1, 0, "ambiguous"), ("assessment", 2, 0, "other"), ("edge", 1, 7, "ambiguous"), ("edge", 1, 8, "ambiguous")]
+    assert len({r.id for r in again}) == 4 and all(len(r.id) == 64 for r in again)
