@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import entities, reconcile
+from palimpsest.operators import entities, hierarchy, joins, reconcile
 from palimpsest.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -54,7 +54,7 @@ def test_pairs_of_one_key_are_dealt_out_and_stay_with_their_subject(spark, monke
     subjects = spark.range(40).selectExpr("cast(id as int) subject", "'partial' state", "'UF' institution", "cast(null as string) collection", "'7' number", "id * 2 as more")
     targets = spark.range(30).selectExpr("'UF' institution", "'VP' collection", "'7' number", "cast(id as int) specimen")
     plain = sorted(map(tuple, reconcile.candidates(subjects, targets).collect()))
-    monkeypatch.setattr(reconcile, "PAIRS_A_TASK", 100)
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 100)
     dealt = reconcile.candidates(subjects, targets)
     assert sorted(map(tuple, dealt.collect())) == plain and len(plain) == 1200 and plain[-1][3] == 2 * plain[-1][0]
     parts = dealt.withColumn("p", F.spark_partition_id()).groupBy("subject").agg(F.count_distinct("p").alias("n"), F.first("p").alias("p")).collect()
@@ -84,3 +84,17 @@ def test_recorded_runs_add_only_what_is_new(spark):
     again = reconcile.recorded(first, decisions.withColumn("decision", F.lit("other")), edges).collect()
     assert sorted((r.kind, r.subject, r.specimen or 0, r.decision) for r in again) == [("assessment", 1, 0, "ambiguous"), ("assessment", 2, 0, "other"), ("edge", 1, 7, "ambiguous"), ("edge", 1, 8, "ambiguous")]
     assert len({r.id for r in again}) == 4 and all(len(r.id) == 64 for r in again)
+
+
+def test_typed_edges_of_a_shared_alias_are_dealt_out(spark, monkeypatch):
+    owners = spark.range(60).selectExpr("concat('find#', id div 2) owner", "id % 2 as taxon", "array('Old', 'Older') names")
+    taxa = spark.range(20).selectExpr("id % 2 as alias", "id div 2 as id")
+    ages = spark.createDataFrame([("i1", "Old"), ("i1", "Older")], "id string, name string")
+    edges = lambda: hierarchy.typed_edges(owners, {}, {"taxon": ("taxon", taxa)}, ages)
+    plain = sorted(map(tuple, edges().collect()))
+    assert len(plain) == 30 * 10 + 30  # both rows of an owner, and both of its names, lead to the same targets
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 50)
+    dealt = edges()
+    assert sorted(map(tuple, dealt.collect())) == plain
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(owner" in line and "target" in line.split("hashpartitioning")[1] for line in plan.splitlines())
