@@ -1,5 +1,6 @@
 """Work that grows with the rows: what is shuffled, how pairs are dealt out, and the same results as the plainer forms."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import entities, hierarchy, joins, reconcile
@@ -98,3 +99,23 @@ def test_typed_edges_of_a_shared_alias_are_dealt_out(spark, monkeypatch):
     assert sorted(map(tuple, dealt.collect())) == plain
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert not any("hashpartitioning(owner" in line and "target" in line.split("hashpartitioning")[1] for line in plan.splitlines())
+
+
+def test_records_are_checked_without_a_pass_over_each_table(spark):
+    own = F.col("id")
+    tables = [
+        entities.Table("place", ("place",), {"id": F.col("id"), "name": F.col("name")}, ("id",)),
+        entities.Table("find", ("find",), {"id": own, "at": F.col("at")}, ("id",), {"at": "place"}), entities.Table("link", ("find",), {"find": own, "name": F.col("name")}, ("find", "name"), {"find": "find"}),
+    ]
+    good = [("place", 1, "A", None), ("place", 1, "A", None), ("find", 7, "x", 1)]
+    stored = lambda *more: entities.counted(spark.createDataFrame([*good, *more], "kind string, id int, name string, at int"), ["kind", "id"])
+    entities.checked_records(stored(), tables)
+    for extra, said in ((("find", 9, "y", 5), "find/at/place/5"), (("place", 1, "B", None), "place/=1/2")):
+        with pytest.raises(ValueError, match=said):
+            entities.checked_records(stored(extra), tables)
+    lost = entities.dangling({"dep": spark.createDataFrame([(8,)], "find int"), "find": spark.createDataFrame([(7,)], "id int")}, [entities.Table("dep", (), {"find": F.col("find")}, ("find",), {"find": "find"}), tables[1]], lambda t, *_: t.name == "find")
+    assert [tuple(r) for r in lost.collect()] == [("dep", "find", "find", "8")]
+
+
+def test_i02_shuffles_no_table_of_records(spark):
+    assert exchanges(QUERIES["i02_rows_per_kind"](spark, DATA)) <= 1  # of repeated records; each table was made distinct before
