@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import entities, hierarchy, joins, reconcile
+from palimpsest.operators import aggregates, entities, hierarchy, joins, reconcile
 from palimpsest.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -119,3 +119,30 @@ def test_records_are_checked_without_a_pass_over_each_table(spark):
 
 def test_i02_shuffles_no_table_of_records(spark):
     assert exchanges(QUERIES["i02_rows_per_kind"](spark, DATA)) <= 1  # of repeated records; each table was made distinct before
+
+
+def test_rollups_derive_their_rows_once(spark):
+    for name in ("e02_ancestor_rollup_corrected", "e03_source_rollup"):
+        assert "lineitem" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()  # they are written by then
+
+
+def test_specimens_of_nodes_with_one_taxon_and_with_several(spark):
+    closure = spark.createDataFrame([(1, "s1", 0), (1, "g", 1), (2, "s2", 0), (2, "g", 1), (3, "s3", 0), (3, "h", 1)], "taxon_id int, node string, depth int")
+    rows = [("a", 1, 10), ("a", 2, 10), ("b", 1, 10), ("b", 3, 11), ("a", 3, 11), ("a", 3, None), ("b", 9, 12)]
+    rows = spark.createDataFrame([(s, t, i, 5, 1, False, 0) for s, t, i in rows], "source string, taxon_id int, specimen_id int, older int, younger int, withheld boolean, lon int")
+    want = {("s1", "a", 1, 1), ("s1", "b", 1, 1), ("s1", "all", 2, 1), ("s2", "a", 1, 1), ("s2", "all", 1, 1), ("g", "a", 2, 1), ("g", "b", 1, 1), ("g", "all", 3, 1)} | {(n, s, i, 1) for n in ("s3", "h") for s, i in (("a", 2), ("b", 1), ("all", 3))}
+    assert {(r.node, r.source, r.inclusive, r.specimens) for r in aggregates.source_rollup(rows, closure).collect()} == want
+    assert {tuple(r) for r in aggregates.ancestor_rollup_corrected(rows, closure).collect()} == {tuple(r) for r in aggregates.ancestor_rollup(rows, closure).collect()}
+
+
+def test_material_lies_by_specimen(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(QUERIES["e11_several_taxa"](spark, DATA)) == 6  # two for each of three joins, none to group
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_are_counted_before_they_meet_their_file(spark):
+    plan = QUERIES["a03_count_contract"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan.split("Join", 1)[1] and "HashAggregate" not in plan.split("Join", 1)[0]
