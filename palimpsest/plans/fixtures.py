@@ -52,10 +52,10 @@ class Evidence:
 
     @cached_property
     def material(self) -> DataFrame:
-        """One specimen record per line item."""
+        """One specimen record per line item; orders are joined last, so that what is grouped by specimen lies together already."""
         rows = (
-            self._dated(self.table("lineitem"), None, "l_shipdate").join(self._dated(self.table("orders"), "o_orderdate", None), F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+            self._dated(self.table("lineitem"), None, "l_shipdate").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")).join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(self._dated(self.table("orders"), "o_orderdate", None), F.col("l_orderkey") == F.col("o_orderkey"))
         )
         key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], *map(hundredths, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd")))
         return rows.select(
