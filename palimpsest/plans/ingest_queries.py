@@ -16,8 +16,9 @@ from palimpsest.sources.scratch import scratch
 
 @query("a03_count_contract", "SELECT o_orderkey AS file, found, returned, records, CASE WHEN returned <> records THEN 'returned' WHEN found < returned THEN 'found' ELSE 'incomplete' END AS reason FROM (SELECT o_orderkey, max(l_linenumber) AS found, count(DISTINCT l_linenumber) AS returned, count(*) AS records, o_orderstatus = 'O' AS limit_all FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) WHERE returned <> records OR found < returned OR (limit_all AND found <> returned)", base=False)
 def _(e: Evidence) -> DataFrame:
-    rows = e.table("orders").join(e.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    env = rows.groupBy(F.col("o_orderkey").alias("file"), (F.col("o_orderstatus") == "O").alias("limit_all")).agg(F.max("l_linenumber").alias("found"), F.count_distinct("l_linenumber").alias("returned"), F.count("*").alias("records"))
+    lines = e.table("lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.max("l_linenumber").alias("found"), F.count_distinct("l_linenumber").alias("returned"), F.count("*").alias("n"))
+    files = e.table("orders").groupBy(F.col("o_orderkey").alias("file"), (F.col("o_orderstatus") == "O").alias("limit_all")).agg(F.count("*").alias("m"))
+    env = files.join(lines, "file").select("file", "limit_all", "found", "returned", (F.col("m") * F.col("n")).alias("records"))
     return ing.count_contract(env).drop("limit_all")
 
 
