@@ -146,3 +146,18 @@ def test_material_lies_by_specimen(spark):
 def test_lines_are_counted_before_they_meet_their_file(spark):
     plan = QUERIES["a03_count_contract"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan.split("Join", 1)[1] and "HashAggregate" not in plan.split("Join", 1)[0]
+
+
+def test_few_offers_are_kept_of_many_shared_values(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("concat('p', id % 40) as spot", "cast(pmod(xxhash64(id), 100) as int) as taxon").unionByName(spark.createDataFrame([("q", 1), ("q", None), ("alone", 999), (None, 3)], "spot string, taxon int"))
+    known = {tuple(r) for r in rows.dropna().distinct().collect()}
+    at, of = {}, {}
+    for p, t in known:
+        at.setdefault(t, set()).add(p), of.setdefault(p, set()).add(t)
+    meets = {p: sorted(set().union(*(at[t] for t in taxa)) - {p})[:3] for p, taxa in of.items()}
+    kept, plain = [], joins.offers
+    monkeypatch.setattr(joins, "offers", lambda *a: kept.append((len(a) > 4, plain(*a).count())) or plain(*a))
+    got = joins.first_sharing(rows, "spot", "taxon", 3)
+    assert {tuple(r) for r in got.collect()} == {(p, q, i + 1) for p, others in meets.items() for i, q in enumerate(others)}
+    everything = plain(rows.dropna().distinct(), "spot", "taxon", 3).count()
+    assert dict(kept)[True] < everything / 1.5  # offers beyond a place's bound are dropped before they are made distinct
