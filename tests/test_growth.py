@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import aggregates, entities, hierarchy, joins, reconcile
+from palimpsest.operators import aggregates, catalogue, entities, hierarchy, joins, reconcile
 from palimpsest.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -161,3 +161,26 @@ def test_few_offers_are_kept_of_many_shared_values(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == {(p, q, i + 1) for p, others in meets.items() for i, q in enumerate(others)}
     everything = plain(rows.dropna().distinct(), "spot", "taxon", 3).count()
     assert dict(kept)[True] < everything / 1.5  # offers beyond a place's bound are dropped before they are made distinct
+
+
+def test_entities_in_many_rows_are_never_gathered(spark, monkeypatch):
+    rows = [(i % 7 if i % 5 else None, f"p{i % 3}" if i % 4 else None, f"c{i % 11}", i % 2 if i % 6 else None, i % 13 == 0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "a int, b string, c string, lon int, withheld boolean")
+    kinds = {"term": "a", "place": "b", "taxon": "c"}
+    met, count = {}, {}
+    for *ids, lon, withheld in rows:
+        own = [(k, str(i)) for k, i in zip(kinds, ids) if i is not None]
+        for e in own:
+            met.setdefault(e, set()).update(o for o in own if o[0] != e[0])
+            n = count.setdefault(e, [0, 0])
+            n[0], n[1] = n[0] + 1, n[1] + (lon is not None and not withheld)
+    want = {e: (*count[e], [list(o) for o in sorted(met[e], key="/".join)][:4], len(met[e]), len(met[e]) > 4) for e in met}
+    described = {k: frame.select(F.col(c).alias("id"), F.col(c).alias("label")).distinct() for k, c in kinds.items()} | {"other": spark.createDataFrame([("x", "X")], "id string, label string")}
+    want["other", "x"] = (0, 0, [], 0, False)
+    for most, lot in ((10_000, 50_000), (8, 9), (1, 2)):
+        monkeypatch.setattr(catalogue, "ROWS_AN_ENTITY", most)
+        monkeypatch.setattr(catalogue, "ROWS_AT_ONCE", lot)
+        got = catalogue.entity_details(frame, kinds, described, 4).collect()
+        assert {(r.kind, r.id): (r.records, r.mapped, r.related, r.related_total, r.related_has_more) for r in got} == want
+        assert len(got) == len(want)
+    assert {tuple(r) for r in catalogue.entity_details(frame.where("false"), kinds, {"other": described["other"]}).select("id", "records", "related_total").collect()} == {("x", 0, 0)}
