@@ -184,3 +184,15 @@ def test_entities_in_many_rows_are_never_gathered(spark, monkeypatch):
         assert {(r.kind, r.id): (r.records, r.mapped, r.related, r.related_total, r.related_has_more) for r in got} == want
         assert len(got) == len(want)
     assert {tuple(r) for r in catalogue.entity_details(frame.where("false"), kinds, {"other": described["other"]}).select("id", "records", "related_total").collect()} == {("x", 0, 0)}
+
+
+def test_what_references_say_is_checked_once(spark, monkeypatch):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    evidence = frame([(1, "x"), (1, "y"), (2, "y"), (None, "y")], "occurrence int, owner string")
+    frames = frame([("x", "e", "1"), ("x", "e", "1"), ("y", "r", "1"), ("y", "op", "1"), ("x", "old", "1"), ("y", "none", None)], "owner string, member string, content_hash string")
+    records = frame([("e", "1", True), ("e", "2", True), ("r", "1", True), ("op", "1", True), ("old", "1", False), ("none", None, True), ("s", "1", True)], "record string, content_hash string, is_current boolean")
+    role = frame([(1, "e", "1", 7), (1, "e", "2", 7), (1, "e", "3", 7), (2, "e", "1", 7), (1, "e", "1", 8), (1, "old", "1", 7), (1, "none", None, 7), (None, "r", "1", 7)], "occurrence int, record string, content_hash string, reference int")
+    opinions = frame([("op", "1", 7), ("op", "2", 7), ("s", "1", 7)], "record string, content_hash string, reference int")
+    got = catalogue.proven_references(evidence, {"said": role, "again": role.limit(1)}, opinions, frame([(7, "r"), (8, "s")], "reference int, record string"), frames, records)
+    assert sorted(map(tuple, got.collect())) == [(1, "again", 7, "e"), (1, "opinion", 7, "op"), (1, "said", 7, "e"), (2, "opinion", 7, "op")]
+    assert "lineitem" not in QUERIES["j17_proven_references"](spark, DATA)._jdf.queryExecution().executedPlan().toString()  # it is written by then
