@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.paging import top_per_group
@@ -38,6 +38,24 @@ def nested(children: dict[str, DataFrame], most: int) -> DataFrame:
     return first.groupBy("key").agg(*out)
 
 
+def nested_alike(rows: DataFrame, key: str, children: dict[str, tuple[list[str], list[Column], bool]], most: int, own: list[Column]) -> DataFrame:
+    """(key, own aggregates, and what ``nested`` gives for each kind), for kinds that are all taken from the same rows and a small ``most``.
+
+    A kind is its fields, its order, and whether equal rows count once; the order must tell rows of different fields apart.
+    Places come from windows over the key alone: rows are derived once, and those that lie together by key, as after a join on
+    it, are shuffled no more.  Each place is an aggregate of its own, so a group is streamed in its order and never gathered.
+    """
+    out = list(own)
+    for kind, (fields, order, distinct) in children.items():
+        place = f"_{kind}"
+        rows = rows.withColumn(place, (F.dense_rank() if distinct else F.row_number()).over(Window.partitionBy(key).orderBy(*order)))
+        body = F.array(*[F.col(f).cast("string") for f in fields])
+        first = F.array(*[F.first(F.when(F.col(place) == i + 1, body), ignorenulls=True) for i in range(most)])
+        size = F.max(place).cast("bigint")
+        out += [F.filter(first, lambda b: b.isNotNull()).alias(kind), size.alias(f"{kind}_total"), (size > most).alias(f"{kind}_has_more")]
+    return rows.groupBy(key).agg(*out)
+
+
 def listed(bodies: str) -> Column:
     """An array of bodies as one text: fields joined by colons (null: -), bodies by commas."""
     return F.array_join(F.transform(bodies, lambda b: F.array_join(b, ":", "-")), ",")

@@ -123,14 +123,16 @@ def _shown(*names: str) -> list:
     _nested_sql("places", "SELECT DISTINCT specimen_id AS key, NULL AS number, locality_id AS text, locality_id || ':' || CASE WHEN withheld THEN '-' ELSE CAST(lon AS VARCHAR) END || ':' || CASE WHEN withheld THEN '-' ELSE CAST(lat AS VARCHAR) END AS body FROM material", 3),
 ]) + f", own AS (SELECT specimen_id, min(institution) AS institution, bool_or(withheld) AS withheld FROM material GROUP BY specimen_id) SELECT specimen_id, institution, withheld, {_children('evidence', 'ages', 'places')} FROM own LEFT JOIN evidence ON specimen_id = evidence.key LEFT JOIN ages ON specimen_id = ages.key LEFT JOIN places ON specimen_id = places.key")
 def _(e: Evidence) -> DataFrame:
-    m, open_ = e.material, lambda c: F.when(~F.col("withheld"), F.col(c))
-    places = m.select("specimen_id", "locality_id", open_("lon").alias("lon"), open_("lat").alias("lat")).distinct()
-    children = det.nested({
-        "evidence": det.child(m, "specimen_id", ["record_id", "label", "collection", "institution"], text=F.col("record_id")),
-        "ages": det.child(m.select("specimen_id", "older", "younger").distinct(), "specimen_id", ["older", "younger"], number=-F.col("older")), "places": det.child(places, "specimen_id", ["locality_id", "lon", "lat"], text=F.col("locality_id")),
-    }, 3)
-    own = m.groupBy("specimen_id").agg(F.min("institution").alias("institution"), F.bool_or("withheld").alias("withheld"))
-    return own.join(children.withColumnRenamed("key", "specimen_id"), "specimen_id", "left").select("specimen_id", "institution", "withheld", *_shown("evidence", "ages", "places"))
+    open_ = lambda c: F.when(~F.col("withheld"), F.col(c)).alias(c)
+    rows = e.material.select("specimen_id", "record_id", "label", "collection", "institution", "older", "younger", "locality_id", "withheld", open_("lon"), open_("lat"))
+    text = lambda c: F.col(c).cast("string").asc()
+    children = {
+        "evidence": (["record_id", "label", "collection", "institution"], [F.asc_nulls_last("record_id"), F.asc("label"), F.asc("collection"), F.asc("institution")], False),
+        "ages": (["older", "younger"], [F.desc_nulls_last("older"), text("younger")], True),
+        "places": (["locality_id", "lon", "lat"], [F.asc_nulls_last("locality_id"), text("lon"), text("lat")], True),
+    }
+    own = [F.min("institution").alias("institution"), F.bool_or("withheld").alias("withheld")]
+    return det.nested_alike(rows, "specimen_id", children, 3, own).select("specimen_id", "institution", "withheld", *_shown(*children))
 
 
 @query("j11_entity_detail", f"SELECT institution, {COUNTS_SQL}, count(DISTINCT collection) AS collections, count(*) FILTER (NOT withheld) AS mapped FROM material GROUP BY institution")

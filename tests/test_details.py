@@ -44,3 +44,16 @@ def test_states_and_generations(spark):
     assert view(now, history=True) == want | {("h", 9, ((9, "candidate"),), False)}
     assert {r[3] for r in view(changed, history=True)} == {False}
     assert view(now.where("dataset = 'b'")) == set()  # a source that is gone
+
+
+def test_kinds_of_the_same_rows_need_no_shuffle_beyond_the_key(spark):
+    rows = spark.createDataFrame([(k % 3 or None, f"r{k % 40:02}", 100 - k % 7 if k % 5 else None, k % 2 == 0) for k in range(120)] + [(9, None, None, None)], "key int, name string, age int, ok boolean")
+    old = details.nested({
+        "all": details.child(rows, "key", ["name", "age"], text=F.col("name")),
+        "ages": details.child(rows.select("key", "age", "ok").distinct(), "key", ["age", "ok"], number=-F.col("age")),
+    }, 4).join(rows.groupBy(F.col("key").alias("_k")).agg(F.min("ok").alias("ok")), F.col("key").eqNullSafe(F.col("_k"))).drop("_k")
+    ok = F.col("ok").cast("string").asc()
+    got = details.nested_alike(rows, "key", {"all": (["name", "age"], [F.asc_nulls_last("name"), F.col("age").cast("string").asc()], False), "ages": (["age", "ok"], [F.desc_nulls_last("age"), ok], True)}, 4, [F.min("ok").alias("ok")])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    found = {tuple(map(repr, r)) for r in got.collect()}
+    assert found == {tuple(map(repr, r)) for r in old.select(*got.columns).collect()} and len(found) == 4

@@ -196,3 +196,8 @@ def test_what_references_say_is_checked_once(spark, monkeypatch):
     got = catalogue.proven_references(evidence, {"said": role, "again": role.limit(1)}, opinions, frame([(7, "r"), (8, "s")], "reference int, record string"), frames, records)
     assert sorted(map(tuple, got.collect())) == [(1, "again", 7, "e"), (1, "opinion", 7, "op"), (1, "said", 7, "e"), (2, "opinion", 7, "op")]
     assert "lineitem" not in QUERIES["j17_proven_references"](spark, DATA)._jdf.queryExecution().executedPlan().toString()  # it is written by then
+
+
+def test_record_details_derive_their_material_once(spark):
+    plan = QUERIES["j10_record_detail"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "lineitem" in line for line in plan.splitlines()) == 1
