@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.paging import top_per_group
-
 
 def child(rows: DataFrame, key: str, fields: list[str], number: Column | None = None, text: Column | None = None) -> DataFrame:
     """Rows of one kind for ``nested``: (key, number, text, body), in order of number (nulls last), text and body.
@@ -21,21 +19,24 @@ def nested(children: dict[str, DataFrame], most: int) -> DataFrame:
     """(key, and for each kind: an array of its first ``most`` bodies in order, its size, and whether there are more).
 
     All kinds are tagged and go through one shuffle by key and kind.  Rows beyond ``most`` are cut before anything is gathered,
-    so a record with a long history takes no more memory than any other; sizes count all rows.
+    so a record with a long history takes no more memory than any other; sizes count all rows, and meet the first rows where
+    these are gathered.
     """
     tagged = None
-    for kind, rows in children.items():
-        own = rows.withColumn("kind", F.lit(kind))
+    for i, rows in enumerate(children.values()):
+        own = rows.withColumn("kind", F.lit(i).cast("byte"))
         tagged = own if tagged is None else tagged.unionByName(own)
     order = [F.asc_nulls_last("number"), F.asc_nulls_last("text"), F.asc("body")]
-    first = top_per_group(tagged, ["key", "kind"], order, most)
+    first = tagged.withColumn("place", F.row_number().over(Window.partitionBy("key", "kind").orderBy(*order))).where(F.col("place") <= most)
+    sizes = tagged.groupBy("key", "kind").agg(F.count("*").alias("size"))
+    both = first.select("key", "kind", "place", "body").unionByName(sizes, allowMissingColumns=True)
     out = []
-    for kind in children:
-        own = F.col("kind") == kind
-        bodies = F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("place", "body")))), lambda x: x["body"])
-        size = F.coalesce(F.max(F.when(own, F.col("group_total"))), F.lit(0)).cast("bigint")
+    for i, kind in enumerate(children):
+        own = F.col("kind") == i
+        bodies = F.transform(F.array_sort(F.collect_list(F.when(own & F.col("place").isNotNull(), F.struct("place", "body")))), lambda x: x["body"])
+        size = F.coalesce(F.max(F.when(own, F.col("size"))), F.lit(0))
         out += [bodies.alias(kind), size.alias(f"{kind}_total"), (size > most).alias(f"{kind}_has_more")]
-    return first.groupBy("key").agg(*out)
+    return both.groupBy("key").agg(*out)
 
 
 def nested_alike(rows: DataFrame, key: str, children: dict[str, tuple[list[str], list[Column], bool]], most: int, own: list[Column]) -> DataFrame:

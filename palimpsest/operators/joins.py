@@ -43,8 +43,13 @@ def first_sharing(rows: DataFrame, key: str, attribute: str, most: int) -> DataF
     return ranked(offers(pairs, key, attribute, most, written(bounds.select(key, F.col("related").alias("_bound")), "bounds")))
 
 
-#: Fixed limits: pairs of one task, and rows that are broadcast once they are counted; one value in so many gives the bounds.
-PAIRS_A_TASK, BROADCAST_ROWS, BOUND_BY = 1_000_000, 1_000_000, 16
+#: Fixed limits: pairs of one task, rows that are broadcast once they are counted, and rows of one task; one value in so many gives the bounds.
+PAIRS_A_TASK, BROADCAST_ROWS, ROWS_A_TASK, BOUND_BY = 1_000_000, 1_000_000, 500_000, 16
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """How many tasks the rows take.  Narrow rows shrink so well that a partition of the usual bytes would hold millions of them."""
+    return max(1, -(-rows.count() // ROWS_A_TASK))
 
 
 def dealt_join(asking: DataFrame, known: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:

@@ -10,7 +10,7 @@ from palimpsest.operators import details as det
 from palimpsest.operators import discover as dis
 from palimpsest.operators import paging
 from palimpsest.operators.context import Context
-from palimpsest.operators.joins import first_sharing
+from palimpsest.operators.joins import first_sharing, tasks_for
 from palimpsest.plans.catalog_queries import OVERLAP_SQL, TERMS_SQL, labels
 from palimpsest.plans.fixtures import COUNTS_SQL, Evidence, days_before
 from palimpsest.plans.registry import query
@@ -207,13 +207,15 @@ def _(e: Evidence) -> DataFrame:
 ]) + f", own AS (SELECT record, count(*) AS revisions, count(DISTINCT content_hash) AS versions FROM revisions GROUP BY record) SELECT record, revisions, versions, {_children('history', 'ages', 'materials', 'refs')} FROM own LEFT JOIN history ON record = history.key LEFT JOIN ages ON record = ages.key LEFT JOIN materials ON record = materials.key LEFT JOIN refs ON record = refs.key")
 def _(e: Evidence) -> DataFrame:
     day = e.table("events").withColumn("days", days_before("ts")).groupBy("user_id", "event_type").agg(F.max("days").alias("older"), F.min("days").alias("younger"))
-    lines = e.table("orders").join(e.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    orders = e.table("orders").join(e.versions.select("record").distinct(), F.col("o_custkey") == F.col("record"), "left_semi")  # what no record shows meets no lines
+    n = tasks_for(e.table("lineitem"))
+    lines = orders.repartition(n, "o_orderkey").join(e.table("lineitem").repartition(n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     children = det.nested({
-        "history": det.child(e.revisions, "record", ["event_type", "seq"], number=F.col("seen_at").cast("timestamp").cast("double")), "ages": det.child(day, "user_id", ["event_type", "older", "younger"], number=-F.col("older"), text=F.col("event_type")),
+        "history": det.child(e.versions, "record", ["event_type", "seq"], number=F.col("seen_at").cast("timestamp").cast("double")), "ages": det.child(day, "user_id", ["event_type", "older", "younger"], number=-F.col("older"), text=F.col("event_type")),
         "materials": det.child(lines, "o_custkey", ["o_orderkey", "l_linenumber", "l_returnflag"], number=F.col("o_orderkey"), text=F.col("l_linenumber")),
-        "refs": det.child(e.table("orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority").distinct(), "o_custkey", ["o_orderpriority"], text=F.col("o_orderpriority")),
+        "refs": det.child(orders.where("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority").distinct(), "o_custkey", ["o_orderpriority"], text=F.col("o_orderpriority")),
     }, 20)
-    own = e.revisions.groupBy("record").agg(F.count("*").alias("revisions"), F.count_distinct("content_hash").alias("versions"))
+    own = e.versions.groupBy("record").agg(F.count("*").alias("revisions"), F.count_distinct("content_hash").alias("versions"))
     return own.join(children.withColumnRenamed("key", "record"), "record", "left").select("record", "revisions", "versions", *_shown("history", "ages", "materials", "refs"))
 
 

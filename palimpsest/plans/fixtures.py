@@ -88,6 +88,12 @@ class Evidence:
         parts = self.table("part").withColumn("species", F.col("p_partkey").cast("string"))
         return prefix_paths(parts, F.col("p_partkey"), list(zip(RANKS, ("p_type", "p_brand", "p_name", "species")))).withColumnRenamed("leaf", "taxon_id")
 
+    @cached_property
+    def versions(self) -> DataFrame:
+        """Events as versions of their user's record: (record, content_hash, seq, seen_at, event_type)."""
+        content = F.md5(F.concat_ws("|", "event_type", hundredths("value")))
+        return self.table("events").select(F.col("user_id").alias("record"), content.alias("content_hash"), F.col("event_id").alias("seq"), F.col("ts").alias("seen_at"), "event_type")
+
     @cached_property
     def revisions(self) -> DataFrame:
         """Events as revisions of their user's record: (record, content_hash, seen_at, seq), and whether it is the latest."""

@@ -201,3 +201,24 @@ def test_what_references_say_is_checked_once(spark, monkeypatch):
 def test_record_details_derive_their_material_once(spark):
     plan = QUERIES["j10_record_detail"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert sum("FileScan" in line and "lineitem" in line for line in plan.splitlines()) == 1
+
+
+def test_inspection_joins_lines_of_records_alone_by_tasks_of_so_many_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 1000)
+    for name in ("orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{DATA}/{name}.parquet")
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.union(events.limit(3).withColumn("user_id", F.lit(None).cast("bigint"))).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["j18_inspection"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "REPARTITION_BY_NUM" in plan and "WindowGroupLimit" in plan
+    found = {r.record: r for r in got.collect()}
+    lines = spark.read.parquet(f"{DATA}/orders.parquet").join(spark.read.parquet(f"{DATA}/lineitem.parquet"), F.expr("o_orderkey = l_orderkey")).groupBy("o_custkey").count().collect()
+    sizes = dict(map(tuple, lines))
+    assert set(found) == {r.user_id for r in events.select("user_id").distinct().collect()} | {None}
+    assert all(r.materials_total == sizes.get(k, 0) and r.materials_has_more == (r.materials_total > 20) for k, r in found.items())
+    assert (found[None].revisions, found[None].history, found[None].history_total) == (3, "", 0)
+
+
+def test_tasks_grow_with_the_rows(spark):
+    assert [joins.tasks_for(spark.range(n)) for n in (0, 1, joins.ROWS_A_TASK, joins.ROWS_A_TASK + 1)] == [1, 1, 1, 2]
