@@ -44,7 +44,7 @@ def first_sharing(rows: DataFrame, key: str, attribute: str, most: int) -> DataF
 
 
 #: Fixed limits: pairs of one task, rows that are broadcast once they are counted, and rows of one task; one value in so many gives the bounds.
-PAIRS_A_TASK, BROADCAST_ROWS, ROWS_A_TASK, BOUND_BY = 1_000_000, 1_000_000, 500_000, 16
+PAIRS_A_TASK, BROADCAST_ROWS, ROWS_A_TASK, BOUND_BY = 1_000_000, 1_000_000, 250_000, 16
 
 
 def tasks_for(rows: DataFrame) -> int:

@@ -124,7 +124,7 @@ def _shown(*names: str) -> list:
 ]) + f", own AS (SELECT specimen_id, min(institution) AS institution, bool_or(withheld) AS withheld FROM material GROUP BY specimen_id) SELECT specimen_id, institution, withheld, {_children('evidence', 'ages', 'places')} FROM own LEFT JOIN evidence ON specimen_id = evidence.key LEFT JOIN ages ON specimen_id = ages.key LEFT JOIN places ON specimen_id = places.key")
 def _(e: Evidence) -> DataFrame:
     open_ = lambda c: F.when(~F.col("withheld"), F.col(c)).alias(c)
-    rows = e.material.select("specimen_id", "record_id", "label", "collection", "institution", "older", "younger", "locality_id", "withheld", open_("lon"), open_("lat"))
+    rows = e.material_in(tasks_for(e.table("lineitem"))).select("specimen_id", "record_id", "label", "collection", "institution", "older", "younger", "locality_id", "withheld", open_("lon"), open_("lat"))
     text = lambda c: F.col(c).cast("string").asc()
     children = {
         "evidence": (["record_id", "label", "collection", "institution"], [F.asc_nulls_last("record_id"), F.asc("label"), F.asc("collection"), F.asc("institution")], False),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from datetime import date, timedelta
 from functools import cached_property
 
@@ -53,10 +54,18 @@ class Evidence:
     @cached_property
     def material(self) -> DataFrame:
         """One specimen record per line item; orders are joined last, so that what is grouped by specimen lies together already."""
-        rows = (
+        return self._material(lambda rows, _: rows)
+
+    def material_in(self, tasks: int) -> DataFrame:
+        """The same, lying by specimen in so many tasks."""
+        return self._material(lambda rows, specimen: rows.repartition(tasks, specimen))
+
+    def _material(self, deal: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        lines = (
             self._dated(self.table("lineitem"), None, "l_shipdate").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")).join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(self._dated(self.table("orders"), "o_orderdate", None), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
         )
+        rows = deal(lines, "l_orderkey").join(deal(self._dated(self.table("orders"), "o_orderdate", None), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], *map(hundredths, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd")))
         return rows.select(
             key.alias("record_id"), F.col("l_orderkey").alias("specimen_id"), F.col("l_partkey").alias("taxon_id"), F.concat(F.lit("s"), "l_suppkey").alias("locality_id"), F.col("o_orderpriority").alias("collection"), F.col("o_orderstatus").alias("institution"),

@@ -198,9 +198,11 @@ def test_what_references_say_is_checked_once(spark, monkeypatch):
     assert "lineitem" not in QUERIES["j17_proven_references"](spark, DATA)._jdf.queryExecution().executedPlan().toString()  # it is written by then
 
 
-def test_record_details_derive_their_material_once(spark):
+def test_record_details_derive_their_material_once(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 1000)
     plan = QUERIES["j10_record_detail"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert sum("FileScan" in line and "lineitem" in line for line in plan.splitlines()) == 1
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan  # the specimens' rows stay where they were dealt
 
 
 def test_inspection_joins_lines_of_records_alone_by_tasks_of_so_many_rows(spark, monkeypatch, tmp_path):
