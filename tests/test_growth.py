@@ -1,5 +1,7 @@
 """Work that grows with the rows: what is shuffled, how pairs are dealt out, and the same results as the plainer forms."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,30 @@ def test_recorded_runs_add_only_what_is_new(spark):
     assert len({r.id for r in again}) == 4 and all(len(r.id) == 64 for r in again)
 
 
+def plan_of_pairs(spark, monkeypatch, name):
+    """The plan of a query whose pairs are dealt out to many tasks; pairs that are shuffled again, by both of their ids, stand in it."""
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 2)
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    return plan
+
+
+def test_recorded_pairs_are_neither_written_nor_shuffled(spark, monkeypatch):
+    plan = plan_of_pairs(spark, monkeypatch, "l08_recorded")
+    assert "palimpsest/recorded-" not in plan and not re.search(r"hashpartitioning\(subject#\d+L?, specimen", plan)
+
+
+def test_pairs_of_generations_meet_reviews_once(spark, monkeypatch):
+    assert plan_of_pairs(spark, monkeypatch, "l09_generations").count(" Window [") == 1
+
+
+def test_recorded_rows_come_once_whatever_is_stored(spark):
+    stored = spark.createDataFrame([("i", "edge", 1, 7, "old"), ("i", "edge", 1, 7, "old"), ("j", "edge", 2, 7, "old"), ("k", "assessment", 1, None, "old")], "id string, kind string, subject int, specimen int, decision string")
+    edges = spark.createDataFrame([(1, 7, "new"), (1, 8, "new"), (1, 8, "new"), (None, 7, "new")], "subject int, specimen int, decision string")
+    got = reconcile.recorded(stored, edges.select("subject", "decision").where("subject = 1"), edges)
+    assert sorted((r.kind, r.subject or 0, r.specimen or 0, r.decision) for r in got.collect()) == [("assessment", 1, 0, "old"), ("edge", 0, 7, "new"), ("edge", 1, 7, "old"), ("edge", 1, 7, "old"), ("edge", 1, 8, "new"), ("edge", 2, 7, "old")]
+
+
 def test_typed_edges_of_a_shared_alias_are_dealt_out(spark, monkeypatch):
     owners = spark.range(60).selectExpr("concat('find#', id div 2) owner", "id % 2 as taxon", "array('Old', 'Older') names")
     taxa = spark.range(20).selectExpr("id % 2 as alias", "id div 2 as id")
