@@ -106,6 +106,11 @@ def test_pairs_of_generations_meet_reviews_once(spark, monkeypatch):
     assert plan_of_pairs(spark, monkeypatch, "l09_generations").count(" Window [") == 1
 
 
+def test_identifiers_are_parsed_once_for_all_steps(spark):
+    for name in ("l08_recorded", "l09_generations", "l10_review"):
+        assert "regexp" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()  # they are written by then
+
+
 def test_recorded_rows_come_once_whatever_is_stored(spark):
     stored = spark.createDataFrame([("i", "edge", 1, 7, "old"), ("i", "edge", 1, 7, "old"), ("j", "edge", 2, 7, "old"), ("k", "assessment", 1, None, "old")], "id string, kind string, subject int, specimen int, decision string")
     edges = spark.createDataFrame([(1, 7, "new"), (1, 8, "new"), (1, 8, "new"), (None, 7, "new")], "subject int, specimen int, decision string")
