@@ -132,6 +132,19 @@ def test_typed_edges_of_a_shared_alias_are_dealt_out(spark, monkeypatch):
     assert not any("hashpartitioning(owner" in line and "target" in line.split("hashpartitioning")[1] for line in plan.splitlines())
 
 
+def test_owners_are_dealt_out_once_for_all_kinds(spark, monkeypatch):
+    owners = spark.createDataFrame([("a#1", 1, 5, ["Old", "Old", " ", None]), ("a#1", 2, 5, ["New"]), ("a#2", None, 7, None), (None, 1, None, ["Old"])], "owner string, a int, b int, names array<string>")
+    ages = spark.createDataFrame([("i1", "Old"), ("i1", "New"), ("i2", "New")], "id string, name string")
+    direct, aliased = {"a": ("a", spark.createDataFrame([(1,), (2,), (2,)], "id int"))}, {"b": ("b", spark.createDataFrame([(5, 50), (5, 51), (6, 60)], "alias int, id int"))}
+    want = {("a#1", "a", "2", False), ("a#1", "b", "50", False), ("a#1", "b", "51", False), ("a#1", "interval", "i1", False), ("a#1", "interval", "i2", False), ("a#2", "b", "7", True)}
+    for most in (joins.BROADCAST_ROWS, 3, 0):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", most)
+        got = hierarchy.typed_edges(owners, direct, aliased, ages)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert most < 4 or not re.search(r"hashpartitioning\(owner#\d+, [a-z]", plan)  # rows are made distinct where they were dealt
+
+
 def test_records_are_checked_without_a_pass_over_each_table(spark):
     own = F.col("id")
     tables = [
