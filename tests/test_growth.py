@@ -34,6 +34,17 @@ def test_tables_of_records_are_not_shuffled_each(spark):
     assert exchanges(QUERIES["i01_entities"](spark, DATA)) <= 9  # two for each of four shared tables, and one for repeats
 
 
+def test_records_hold_no_text_of_their_supplier(spark):
+    plan = QUERIES["i01_entities"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert any("palimpsest/records-" in line for line in plan.splitlines())
+    assert not any("palimpsest/records-" in line and ("s_name" in line or "label" in line) for line in plan.splitlines())
+    tables = [entities.Table("place", (), {"id": F.col("at"), "name": F.col("name")}, ("id",)), entities.Table("find", (), {"id": F.col("id"), "at": F.col("at")}, ("id",))]
+    records = spark.createDataFrame([(1, 5, "P"), (1, 5, "P"), (2, 5, "P"), (3, 6, "Q")], "id int, at int, name string")
+    want = entities.row_digests(entities.assembled(records.withColumn("kind", F.lit("k")), tables), tables).collect()
+    got = entities.record_digests(entities.counted(records.select("id", "at", F.lit("k").alias("kind")), ["id"]), tables, apart={"place": records.drop("id")}).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 SUBJECT, TARGET = "subject int, state string, institution string, collection string, number string", "institution string, collection string, number string, specimen int"
 
 
