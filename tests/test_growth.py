@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import aggregates, catalogue, entities, hierarchy, joins, reconcile
+from palimpsest.plans import assembly_queries
 from palimpsest.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -176,6 +177,25 @@ def test_i02_shuffles_no_table_of_records(spark):
     assert exchanges(QUERIES["i02_rows_per_kind"](spark, DATA)) <= 1  # of repeated records; each table was made distinct before
 
 
+def test_frames_move_as_nodes_and_bytes(spark, monkeypatch):
+    kept = {}
+    plain = assembly_queries.written
+    monkeypatch.setattr(assembly_queries, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    assert QUERIES["i02_rows_per_kind"](spark, DATA).count() > 0
+    assert dict(kept["frames"].dtypes) == {"root": "string", "member": "string", "target": "binary"} and "hash" not in kept["plain"].columns
+
+
+def test_rows_that_may_come_twice(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 1), ("b", "x", 1), (None, "x", 1)], "root string, member string, n int")
+    assert sorted(map(tuple, entities.twice(rows, ["root", "member"]).collect())) == [("a", "x", 1), ("a", "x", 2)]
+
+
+def test_every_owner_is_a_root_where_none_are_given(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "a"), ("a", "b")], "owner string, target string")
+    want = sorted(map(tuple, hierarchy.reachable(edges.select(F.col("owner").alias("root")), edges).collect()))
+    assert sorted(map(tuple, hierarchy.reachable(None, edges).collect())) == want and ("d", "c") in want
+
+
 def test_rollups_derive_their_rows_once(spark):
     for name in ("e02_ancestor_rollup_corrected", "e03_source_rollup"):
         assert "lineitem" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()  # they are written by then
