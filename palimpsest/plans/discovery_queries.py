@@ -14,6 +14,7 @@ from palimpsest.operators.joins import first_sharing, tasks_for
 from palimpsest.plans.catalog_queries import OVERLAP_SQL, TERMS_SQL, labels
 from palimpsest.plans.fixtures import COUNTS_SQL, Evidence, days_before
 from palimpsest.plans.registry import query
+from palimpsest.sources.scratch import laid
 
 _INTERVAL = (9500, 9000)
 
@@ -183,7 +184,10 @@ def _(e: Evidence) -> DataFrame:
 
 @query("j15_dossiers", DOSSIER_SQL)
 def _(e: Evidence) -> DataFrame:
-    return _dossiers(e.material, first_sharing(e.material, "locality_id", "taxon_id", 12))
+    tasks = max(tasks_for(e.table("lineitem")), int(e.spark.conf.get("spark.sql.shuffle.partitions")))
+    # records are derived once and lie by locality: counts, terms, intervals, custody and what shares a taxon shuffle none of them
+    rows = laid(e.material.select("locality_id", "specimen_id", "taxon_id", "collection", "institution", "older", "younger", "label", "l_returnflag", "l_linestatus", "p_type"), "dossiers", "locality_id", tasks)
+    return _dossiers(rows, first_sharing(rows, "locality_id", "taxon_id", 12))
 
 
 @query("j16_taxon_summary", "SELECT node, rank, name, count(*) AS assertions, count(DISTINCT specimen_id) AS specimens FROM catalog JOIN closure USING (taxon_id) GROUP BY node, rank, name")

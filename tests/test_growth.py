@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import aggregates, catalogue, entities, hierarchy, joins, reconcile
 from palimpsest.plans import assembly_queries
 from palimpsest.plans.registry import QUERIES
+from palimpsest.sources.scratch import laid
 
 DATA = "/root/testdata/sf0.001"
 
@@ -196,6 +197,19 @@ def test_every_owner_is_a_root_where_none_are_given(spark):
     assert sorted(map(tuple, hierarchy.reachable(None, edges).collect())) == want and ("d", "c") in want
 
 
+def test_rows_lie_by_a_column(spark):
+    rows = spark.range(100).selectExpr("id % 7 as k", "id % 3 as v").unionByName(spark.createDataFrame([(None, 5)], "k bigint, v bigint"))
+    lying = laid(rows, "lying", "k", 5)
+    assert sorted(map(str, lying.collect())) == sorted(map(str, rows.collect()))
+    sizes = lying.groupBy("k", "v").count()
+    assert exchanges(sizes) == 0 and sorted(map(str, sizes.collect())) == sorted(map(str, rows.groupBy("k", "v").count().collect()))
+
+
+def test_dossiers_are_taken_from_rows_that_lie_by_locality(spark):
+    plan = QUERIES["j15_dossiers"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "Bucketed: true" in plan and "hashpartitioning(key" not in plan
+
+
 def test_rollups_derive_their_rows_once(spark):
     for name in ("e02_ancestor_rollup_corrected", "e03_source_rollup"):
         assert "lineitem" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()  # they are written by then
